@@ -6,11 +6,14 @@ from importlib import import_module
 
 #: Query name -> module that holds it.
 MODULES = {
+    "op1_norm_bucket_top_k": "top_k",
     "op2_token_files": "token_files",
+    "op3_local_parsing": "fingerprints",
     "op4_best_fit_packing": "packing",
+    "op10_dart_minhash": "near_duplicates",
 }
 #: Query name -> module whose ORACLE_SQL expresses it.
-SQL_MODULES: dict[str, str] = {}
+SQL_MODULES = {"op1_norm_bucket_top_k": "top_k"}
 
 
 def queries() -> dict:
