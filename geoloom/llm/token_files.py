@@ -2,14 +2,13 @@
 
 File format.  A folder holds two Parquet tables.  `ranks` (rank int, token long) lists the ids
 by falling frequency over all documents, ties by id.  `shards` has one row a document, in
-ascending doc_id order within a file and from file to file: shard (the file's place in that
-order), doc_id, start_in_shard (ids of the shard's documents before it), n_tokens, control and
+ascending doc_id order within a shard and from shard to shard: shard, doc_id, start_in_shard (ids of the shard's documents before it), n_tokens, control and
 data.  An id is stored as its rank in 1 to 4 little-endian bytes of `data`; `control` holds the
 byte counts less one, two bits each, four to a byte, lowest bits first, the last byte padded with
 zeros.  Common ids so take one byte, and a reader finds all places from the control bytes alone.
 
 Nulls: a null text is an empty one; a null doc_id sorts first.  Repeated doc_ids are ordered by
-their number of ids and the ids.  Empty texts hold the end id only.  An empty table gives an
+their number of ids and their stored bytes.  Empty texts hold the end id only.  An empty table gives an
 empty folder of both tables.  Other columns of the input are not read.
 """
 
@@ -23,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunk_encoder import encoder
-from .common import arrow_map, bound_batches, new_path, table, texts_of
+from .common import arrow_map, bound_batches, drop, new_path, table, texts_of
 
 #: Bytes of each of a control byte's four ids, and of all four.
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
-#: Ids of a shard on average.
-SHARD_TOKENS = 8_000_000
+#: Ids of a shard on average, and most shards.
+SHARD_TOKENS, MAX_SHARDS = 1_000_000, 100_000
 
 
 def token_ids(docs: DataFrame, vocab_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,8 +96,11 @@ def unpack_ranks(control: list[bytes], data: list[bytes], counts: np.ndarray) ->
 
 
 def write_token_files(docs: DataFrame, path: str, vocab_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the format above to `path`.  The tokens go to an intermediate table first, as the
-    ranks need the counts over all of them; what is sent to the driver is bounded by the vocabulary."""
+    """Write the format above to `path`.
+
+    The tokens go to an intermediate table first, as the ranks need the counts over all of them.
+    Ids are coded before the shuffle into ranges of doc_ids, which are cut at approximate
+    quantiles.  The driver holds the vocabulary's counts and at most MAX_SHARDS cuts."""
     spark = docs.sparkSession
     tokens = table(token_ids(docs, vocab_path, end_id, id_col, text_col), "tokens")
     counts = sorted(token_counts(tokens).collect(), key=lambda r: (-r["n"], r["token"]))
@@ -106,52 +108,59 @@ def write_token_files(docs: DataFrame, path: str, vocab_path: str, end_id: int,
     spark.createDataFrame(list(enumerate(by_rank.tolist())), "rank int, token long").coalesce(1).write.parquet(f"{path}/ranks")
     to_rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     to_rank[by_rank] = np.arange(len(by_rank))
+    shards = max(1, min(MAX_SHARDS, sum(r["n"] for r in counts) // SHARD_TOKENS))
+    key = F.coalesce("doc_id", F.lit(-(2**63)))
+    cuts = [] if shards == 1 else tokens.agg(F.percentile_approx(key, [i / shards for i in range(1, shards)], max(10_000, 20 * shards))).first()[0]
+    cut = np.unique(np.array(cuts or [], np.int64))
 
-    def make():
-        from pyspark import TaskContext
-
-        shard, before = TaskContext.get().partitionId(), 0
-
+    def code():
         def f(batch):
-            nonlocal before
             n = np.array(batch.column("n_tokens").to_pylist(), np.int64)
             control, data = pack_ranks(to_rank[np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4")], n)
-            start = before + np.cumsum(n) - n
-            before += int(n.sum())
-            return {"shard": [shard] * len(n), "doc_id": batch.column("doc_id"), "start_in_shard": start, "n_tokens": n, "control": control, "data": data}
+            ids = [-(2**63) if d is None else d for d in batch.column("doc_id").to_pylist()]
+            return {"shard": np.searchsorted(cut, np.array(ids, np.int64)), "doc_id": batch.column("doc_id"), "n_tokens": n, "control": control, "data": data}
 
         return f
 
-    shards = max(1, sum(r["n"] for r in counts) // SHARD_TOKENS)
-    ordered = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
-    arrow_map(ordered, make, "shard int, doc_id long, start_in_shard long, n_tokens long, control binary, data binary").write.parquet(f"{path}/shards")
-    _forget(tokens)
+    def place():
+        shard, before = None, 0
 
+        def f(batch):
+            nonlocal shard, before
+            start = []
+            for s, n in zip(batch.column("shard").to_pylist(), batch.column("n_tokens").to_pylist()):
+                shard, before = s, before if s == shard else 0
+                start.append(before)
+                before += n
+            return {x: batch.column(x) for x in ("shard", "doc_id", "n_tokens", "control", "data")} | {"start_in_shard": start}
 
-def _forget(tokens: DataFrame) -> None:
-    from .common import drop
+        return f
 
-    drop(tokens.sparkSession, tokens)
+    coded = arrow_map(tokens, code, "shard int, doc_id long, n_tokens long, control binary, data binary")
+    ordered = coded.repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "data", "control")
+    arrow_map(ordered, place, "shard int, doc_id long, start_in_shard long, n_tokens long, control binary, data binary").write.parquet(f"{path}/shards")
+    drop(spark, tokens)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), decoded from the files."""
+    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), decoded from the files.  The
+    shards' first places are sent to all executors: MAX_SHARDS rows at most."""
     rows = spark.read.parquet(f"{path}/shards")
     by_rank = np.array([r["token"] for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], "<u4")
+    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    bases = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
+    placed = rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("start_in_shard")).alias("start"), "n_tokens", "control", "data")
 
     def make():
         def f(batch):
             n = np.array(batch.column("n_tokens").to_pylist(), np.int64)
             ids = by_rank[unpack_ranks(batch.column("control").to_pylist(), batch.column("data").to_pylist(), n)].tobytes()
             cut = np.concatenate([[0], 4 * np.cumsum(n)]).tolist()
-            return {x: batch.column(x) for x in ("shard", "doc_id", "start_in_shard", "n_tokens")} | {"ids": [ids[a:b] for a, b in zip(cut, cut[1:])]}
+            return {x: batch.column(x) for x in ("doc_id", "start", "n_tokens")} | {"ids": [ids[a:b] for a, b in zip(cut, cut[1:])]}
 
         return f
 
-    back = arrow_map(rows, make, "shard int, doc_id long, start_in_shard long, n_tokens long, ids binary")
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    bases = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
-    return back.join(bases, "shard").select("doc_id", (F.col("base") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids")
+    return arrow_map(placed, make, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def crc_digest(tokens: DataFrame) -> DataFrame:
