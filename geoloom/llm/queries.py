@@ -10,10 +10,15 @@ MODULES = {
     "op2_token_files": "token_files",
     "op3_local_parsing": "fingerprints",
     "op4_best_fit_packing": "packing",
+    "op5_longest_match_counts": "token_counts",
+    "op6_crf_language_id": "language_id",
+    "op7_nbest_segmentation": "nbest_pieces",
+    "op8_link_graph_filter": "url_filter",
+    "op9_hierarchical_quality": "quality",
     "op10_dart_minhash": "near_duplicates",
 }
 #: Query name -> module whose ORACLE_SQL expresses it.
-SQL_MODULES = {"op1_norm_bucket_top_k": "top_k"}
+SQL_MODULES = {"op1_norm_bucket_top_k": "top_k", "op8_link_graph_filter": "url_filter"}
 
 
 def queries() -> dict:
