@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
@@ -18,8 +20,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Modules that register queries.
+MODULES = ("batch_queries", "scalar_queries", "grid_queries", "network_queries", "geometry_queries", "source_queries")
+
+
 def _load() -> None:
-    pass
+    for name in MODULES:
+        import_module(f"geoloom.plans.{name}")
 
 
 def queries() -> dict:
