@@ -1,0 +1,122 @@
+"""Queries of batch tiles, job states and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from geoloom.operators import batch
+
+from .registry import query
+from .views import read
+
+
+def _samples(spark, sf):
+    return read(spark, sf, "events").select(F.col("user_id").alias("tile"), F.col("event_type").alias("stage"), F.col("value").alias("ms"))
+
+
+@query("stage_timings", """
+SELECT event_type AS stage, count(*) AS count, CAST(floor(avg(value) + 0.5) AS BIGINT) AS avg_ms, CAST(floor(median(value) + 0.5) AS BIGINT) AS median_ms,
+       CAST(floor(max(value) + 0.5) AS BIGINT) AS max_ms FROM events GROUP BY event_type""")
+def stage_timings(spark, sf):
+    return batch.stage_timings(_samples(spark, sf))
+
+
+@query("slowest_tiles", """
+SELECT user_id AS tile, CAST(floor(sum(value) + 0.5) AS BIGINT) AS total_ms FROM events GROUP BY user_id ORDER BY sum(value) DESC, user_id LIMIT 10""")
+def slowest_tiles(spark, sf):
+    return batch.slowest_tiles(_samples(spark, sf), 10)
+
+
+@query("job_scores", """
+WITH j AS (SELECT l_orderkey % 200 AS job, count(*) AS tiles, count(*) FILTER (l_linestatus = 'F') AS done, count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'F') AS failed,
+ max(l_partkey) - min(l_suppkey) AS duration_s, max(CAST(l_extendedprice * 40000 AS BIGINT)) AS peak_bytes, sum(l_quantity * 20) / 1000 AS wait_s FROM lineitem GROUP BY 1)
+SELECT *, CAST(floor(duration_s + peak_bytes / 1073741824 * 120 + failed * 900 + wait_s * 0.25 + 0.5) AS BIGINT) AS score,
+ CASE WHEN failed > 0 THEN 'unstable' WHEN peak_bytes / 1073741824 > 2.2 THEN 'memory_risk' ELSE 'good' END AS recommendation FROM j""")
+def job_scores(spark, sf):
+    status = F.when(F.col("l_linestatus") == "F", "done").when(F.col("l_returnflag") == "R", "failed").otherwise("queued")
+    t = read(spark, sf, "lineitem").select((F.col("l_orderkey") % 200).alias("job"), status.alias("status"), F.col("l_suppkey").alias("started"), F.col("l_partkey").alias("ended"), F.round(F.col("l_extendedprice") * 40000).cast("bigint").alias("peak_bytes"), (F.col("l_quantity") * 20).alias("wait_ms"))
+    return batch.job_scores(t)
+
+
+@query("job_states", """
+SELECT o_orderkey AS id, CASE WHEN s IN ('pending', 'running', 'paused', 'canceled', 'completed', 'failed') THEN s WHEN s = 'completed_with_errors' THEN 'completed' WHEN s = 'cancelled' THEN 'canceled' ELSE 'pending' END AS state,
+ s IN ('queued', 'processing', 'done', 'failed', 'skipped') AS tile_state
+FROM (SELECT *, ['pending', 'completed_with_errors', 'cancelled', 'x', 'done', 'running', 'failed'][o_orderkey % 7 + 1] AS s FROM orders)""")
+def job_states(spark, sf):
+    names = ("pending", "completed_with_errors", "cancelled", "x", "done", "running", "failed")
+    s = F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), batch.repaired_state(s, batch.JOB_STATES, batch.LEGACY_JOB, "pending").alias("state"), batch.valid_state(s).alias("tile_state"))
+
+
+@query("last_states", "SELECT user_id AS key, arg_max(event_type, (ts, event_id)) AS state, count(*) AS steps FROM events GROUP BY user_id")
+def last_states(spark, sf):
+    e = read(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
+    return batch.last_states(e)
+
+
+_GRID = """SELECT c_custkey AS job, 40 + c_custkey % 20 AS lat, 5 + c_custkey % 10 AS lng, 1024 AS size_m, 1 + c_custkey % 4 AS cols, 1 + c_custkey % 3 AS rows FROM customer"""
+
+
+@query("grid_tiles", f"""
+WITH t AS (SELECT *, unnest(range(0, cols)) AS col FROM (SELECT *, unnest(range(0, rows)) AS row FROM ({_GRID}))),
+c AS (SELECT *, size_m / 111320 AS dlat, size_m / (111320 * cos(radians(lat))) AS dlng FROM t),
+d AS (SELECT *, lat + ((rows - 1) / 2 - row) * dlat AS clat, lng + (col - (cols - 1) / 2) * dlng AS clng FROM c)
+SELECT job, row, col, row * cols + col AS index, printf('R%dC%d', row + 1, col + 1) AS label, round(clat, 6) AS lat, round(clng, 6) AS lng, round(clat + dlat / 2, 6) AS north, round(clat - dlat / 2, 6) AS south, round(clng + dlng / 2, 6) AS east, round(clng - dlng / 2, 6) AS west FROM d""")
+def grid_tiles(spark, sf):
+    k = F.col("c_custkey")
+    jobs = read(spark, sf, "customer").select(k.alias("job"), (40 + k % 20).alias("lat"), (5 + k % 10).alias("lng"), F.lit(1024).alias("size_m"), (1 + k % 4).cast("int").alias("cols"), (1 + k % 3).cast("int").alias("rows"))
+    t = batch.grid_tiles(jobs)
+    return t.select("job", "row", "col", "index", "label", *[F.round(x, 6).alias(x) for x in ("lat", "lng", "north", "south", "east", "west")])
+
+
+@query("tile_offsets", """
+WITH t AS (SELECT o_custkey AS job, o_orderkey % 5 AS index, arg_max(o_totalprice / 1000, o_orderkey) AS dx, arg_max(-o_totalprice / 2000, o_orderkey) AS dy FROM orders GROUP BY 1, 2)
+SELECT c_custkey AS job, i AS index, round(48 + coalesce(dy, 0) / 111320, 6) AS lat, round(11 + coalesce(dx, 0) / (111320 * cos(radians(48 + coalesce(dy, 0) / 111320))), 6) AS lng
+FROM customer, (SELECT unnest(range(0, 5)) AS i) LEFT JOIN t ON t.job = c_custkey AND t.index = i""")
+def tile_offsets(spark, sf):
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("job"), (F.col("o_orderkey") % 5).alias("index"), F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") / 1000).alias("dx"), (-F.col("o_totalprice") / 2000).alias("dy"))
+    t = read(spark, sf, "customer").select(F.col("c_custkey").alias("job"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("index"), F.lit(48.0).alias("lat"), F.lit(11.0).alias("lng"))
+    return batch.with_offsets(t, o).select("job", "index", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
+_HEIGHTS = "SELECT o_custkey AS job, o_orderkey AS tile, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2"
+
+
+def _heights(spark, sf):
+    li = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
+    o = read(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("job"))
+    return li.join(o, li.l_orderkey == o.o_orderkey).select("job", F.col("o_orderkey").alias("tile"), F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("label"), "lo", "hi")
+
+
+@query("normalization", f"SELECT job, CASE WHEN max(hi) > min(lo) THEN min(lo) END AS lo, CASE WHEN max(hi) > min(lo) THEN max(hi) END AS hi FROM ({_HEIGHTS}) GROUP BY job")
+def normalization(spark, sf):
+    return batch.normalization(_heights(spark, sf))
+
+
+@query("elevation_report", f"""
+WITH t AS (SELECT *, concat('T', tile) AS label, concat('T', tile, ' ', printf('%.2f', lo), ' ', printf('%.2f', hi)) AS line FROM ({_HEIGHTS}))
+SELECT job, count(*) AS tiles, min(lo) AS lowest, arg_min(label, (lo, label)) AS lowest_tile, max(hi) AS highest, arg_max(label, (hi, label)) AS highest_tile,
+  string_agg(line, chr(10) ORDER BY line) AS lines, floor((max(hi) - min(lo)) * 100 + 0.5) / 100 AS range FROM t GROUP BY job""")
+def elevation_report(spark, sf):
+    return batch.elevation_report(_heights(spark, sf))
+
+
+@query("cache_eviction", """
+SELECT event_type AS bucket, event_id AS key FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 120""")
+def cache_eviction(spark, sf):
+    e = read(spark, sf, "events").select(F.col("event_type").alias("bucket"), F.col("event_id").alias("key"), F.col("ts").alias("at"))
+    return batch.newest_within(e, 120).select("bucket", "key")
+
+
+@query("cache_eviction_bytes", """
+SELECT event_type AS bucket, event_id AS key FROM (SELECT *, sum(CAST(floor(value * 1000) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS t FROM events) WHERE t <= 3000000""")
+def cache_eviction_bytes(spark, sf):
+    e = read(spark, sf, "events").select(F.col("event_type").alias("bucket"), F.col("event_id").alias("key"), F.col("ts").alias("at"), F.floor(F.col("value") * 1000).alias("bytes"))
+    return batch.newest_within_bytes(e, 3000000).select("bucket", "key")
+
+
+@query("remaining_time", """
+SELECT o_custkey AS job, CAST(floor(avg(o_totalprice) FILTER (o_orderstatus = 'F') * count(*) FILTER (o_orderstatus <> 'F') + 0.5) AS BIGINT) AS left_ms FROM orders GROUP BY 1""")
+def remaining_time(spark, sf):
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("job"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("queued").alias("status"), F.col("o_totalprice").alias("ms"))
+    return batch.remaining_ms(o)
