@@ -1,0 +1,129 @@
+"""Queries of road networks, joins and graphs."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from geoloom.operators import network
+
+from .registry import query
+from .views import WAYS, read, ways
+
+
+def shared_folder(spark):
+    """Stores tables in the folder that all executors share."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+
+    def write(df):
+        path = f"{base}/geoloom/graph-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return write
+
+
+@query("shared_nodes", f"SELECT node, count(DISTINCT way) AS ways FROM {WAYS} GROUP BY node HAVING count(DISTINCT way) >= 2")
+def shared_nodes(spark, sf):
+    return network.shared_nodes(ways(spark, sf))
+
+
+_PIECES = f"""
+w AS (SELECT *, min(idx) OVER (PARTITION BY way) AS i0, max(idx) OVER (PARTITION BY way) AS i1 FROM {WAYS}),
+s AS (SELECT node FROM w GROUP BY node HAVING count(DISTINCT way) >= 2),
+c AS (SELECT w.*, CAST(s.node IS NOT NULL AND idx > i0 AND idx < i1 AS INT) AS cut FROM w LEFT JOIN s USING (node)),
+p AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY way ORDER BY idx) - cut AS INT) AS p0 FROM c),
+v AS (SELECT way, p0 AS piece, idx, node FROM p UNION ALL SELECT way, p0 + 1, idx, node FROM p WHERE cut = 1)"""
+
+
+@query("road_pieces", f"WITH {_PIECES} SELECT way, piece, CAST(row_number() OVER (PARTITION BY way, piece ORDER BY idx) - 1 AS INT) AS pos, idx, node FROM v")
+def road_pieces(spark, sf):
+    return network.split_ways(ways(spark, sf).select("way", "idx", "node")).select("way", "piece", "pos", "idx", "node")
+
+
+_SEGS = _PIECES + ", g AS (SELECT way, piece, arg_min(node, idx) AS start, arg_max(node, idx) AS end_, count(*) AS points FROM v GROUP BY way, piece HAVING count(*) > 1)"
+
+
+@query("segments", f'WITH {_SEGS} SELECT way, piece, start, end_ AS "end", points FROM g')
+def segments(spark, sf):
+    return network.segments(network.split_ways(ways(spark, sf).select("way", "idx", "node")))
+
+
+@query("intersections", f"WITH {_SEGS}, e AS (SELECT way, start AS node FROM g UNION ALL SELECT way, end_ FROM g) SELECT node, count(*) AS entries, count(DISTINCT way) AS ways FROM e GROUP BY node HAVING count(*) > 1")
+def intersections(spark, sf):
+    return network.intersections(segments(spark, sf))
+
+
+@query("chain_nodes", f"""WITH {_SEGS}, e AS (SELECT way % 3 AS style, concat(way, '/', piece) AS seg, start AS node FROM g UNION ALL SELECT way % 3, concat(way, '/', piece), end_ FROM g)
+SELECT node FROM e GROUP BY node HAVING count(*) = 2 AND count(DISTINCT seg) = 2 AND count(DISTINCT style) = 1""")
+def chain_nodes(spark, sf):
+    return network.chain_nodes(segments(spark, sf).withColumn("style", F.col("way") % 3))
+
+
+_LINKS = "(SELECT p_partkey % 701 AS a, (p_partkey * 7 + p_size) % 701 AS b FROM part WHERE p_size < 12)"
+
+
+@query("graph_components", f"""
+WITH RECURSIVE l AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM {_LINKS} UNION ALL SELECT b, a FROM {_LINKS})),
+r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen)
+SELECT node, min(seen) AS label FROM r GROUP BY node""")
+def graph_components(spark, sf):
+    p = read(spark, sf, "part").where("p_size < 12")
+    links = p.select((F.col("p_partkey") % 701).alias("a"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 701).alias("b"))
+    return network.components(links, shared_folder(spark))
+
+
+@query("handed_down_tags", """
+WITH m AS (SELECT l_partkey AS ref, l_orderkey AS ord, CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag END AS natural_tag, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS name FROM lineitem WHERE l_linenumber < 7),
+d AS (SELECT ref, ord, max(natural_tag) AS natural_tag, max(name) AS name FROM m GROUP BY ref, ord),
+f AS (SELECT ref, arg_min(natural_tag, ord) FILTER (natural_tag IS NOT NULL) AS n, arg_min(name, ord) FILTER (name IS NOT NULL) AS m FROM d GROUP BY ref)
+SELECT p_partkey AS id, coalesce(CASE WHEN p_size % 4 = 0 THEN p_type END, n) AS natural_tag, coalesce(CASE WHEN p_size % 5 = 0 THEN p_name END, m) AS name FROM part LEFT JOIN f ON ref = p_partkey""")
+def handed_down_tags(spark, sf):
+    li = read(spark, sf, "lineitem").where("l_linenumber < 7")
+    m = li.select(F.col("l_partkey").alias("ref"), F.col("l_orderkey").alias("ord"), F.when(F.col("l_linenumber") % 3 == 0, F.col("l_returnflag")).alias("natural_tag"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus")).alias("name"))
+    m = m.groupBy("ref", "ord").agg(F.max("natural_tag").alias("natural_tag"), F.max("name").alias("name"))
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 4 == 0, F.col("p_type")).alias("natural_tag"), F.when(F.col("p_size") % 5 == 0, F.col("p_name")).alias("name"))
+    return network.handed_down(p, m, ["natural_tag", "name"])
+
+
+@query("unconsumed_ways", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def unconsumed_ways(spark, sf):
+    m = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("ref"), F.when(F.col("l_returnflag") == "R", "outer").otherwise("inner").alias("role"))
+    return network.unconsumed(read(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), m)
+
+
+_RECTS = "(SELECT c_custkey AS id, c_nationkey % 4 AS level, c_custkey % 300 * 1.0 AS x0, c_custkey * 13 % 310 * 1.0 AS y0, c_custkey % 300 + 1 + c_custkey % 9 AS x1, c_custkey * 13 % 310 + 1 + c_custkey % 7 AS y1 FROM customer)"
+
+
+@query("carve_targets", f"SELECT a.id AS coarse, b.id AS fine FROM {_RECTS} a JOIN {_RECTS} b ON a.level > b.level AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
+def carve_targets(spark, sf):
+    k = F.col("c_custkey")
+    r = read(spark, sf, "customer").select(k.alias("id"), (F.col("c_nationkey") % 4).alias("level"), (k % 300 * 1.0).alias("x0"), (k * 13 % 310 * 1.0).alias("y0"), (k % 300 + 1 + k % 9).alias("x1"), (k * 13 % 310 + 1 + k % 7).alias("y1"))
+    return network.overlapping(r, 8.0)
+
+
+@query("nearest_targets", """
+WITH p AS (SELECT c_custkey AS id, (c_custkey % 997)::DOUBLE AS x, (c_custkey * 31 % 991)::DOUBLE AS y FROM customer), t AS (SELECT s_suppkey AS target, (s_suppkey * 10 % 997)::DOUBLE AS tx, (s_suppkey * 77 % 991)::DOUBLE AS ty FROM supplier),
+d AS (SELECT id, target, (x - tx) * (x - tx) + (y - ty) * (y - ty) AS d2 FROM p, t)
+SELECT id, arg_min(target, (d2, target)) AS target, min(d2) AS d2 FROM d WHERE d2 <= 2500 GROUP BY id""")
+def nearest_targets(spark, sf):
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    p = read(spark, sf, "customer").select(k.alias("id"), (k % 997 * 1.0).alias("x"), (k * 31 % 991 * 1.0).alias("y"))
+    t = read(spark, sf, "supplier").select(s.alias("target"), (s * 10 % 997 * 1.0).alias("tx"), (s * 77 % 991 * 1.0).alias("ty"))
+    return network.nearest(p, t, 50.0)
+
+
+_TILES = "(SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 3 + CASE WHEN p_partkey // 3 = 0 THEN 1 ELSE 0 END END AS parent, p_size % 3 = 0 AS selected FROM part WHERE p_partkey BETWEEN 1 AND 1000)"
+
+
+@query("finest_covering", f"""
+WITH RECURSIVE t AS (SELECT * FROM {_TILES}), up AS (SELECT id, id AS anc, 0 AS n FROM t UNION ALL SELECT u.id, t.parent, n + 1 FROM up u JOIN t ON u.anc = t.id WHERE t.parent IS NOT NULL),
+leaf AS (SELECT id FROM t WHERE id NOT IN (SELECT parent FROM t WHERE parent IS NOT NULL)),
+near AS (SELECT up.id AS leaf, arg_min(anc, n) AS pick FROM up JOIN t ON t.id = anc AND t.selected WHERE up.id IN (SELECT id FROM leaf) GROUP BY up.id)
+SELECT DISTINCT pick AS id FROM near""")
+def finest_covering(spark, sf):
+    k = F.col("p_partkey")
+    third = F.floor(k / 3)
+    t = read(spark, sf, "part").where("p_partkey between 1 and 1000").select(k.alias("id"), F.when(k > 1, F.greatest(third, F.lit(1))).alias("parent"), (F.col("p_size") % 3 == 0).alias("selected"))
+    return network.finest_covering(t)
