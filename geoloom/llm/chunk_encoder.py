@@ -10,18 +10,19 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 
 import numpy as np
 
+from .common import own_memo
+
 _RARE_SPACE = re.compile(r"[^\S \n]")
 _UNSURE_SPACE = re.compile(r"[\x1c-\x1f]")
 _LED_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: A word of common Latin letters and then signs: two pre-tokens under either set of rules, which
-#: composition leaves alone.  They go straight to the merging model.
-_PLAIN_CHUNK = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?")
+#: A line break, a word of common Latin letters and signs, each of which is a pre-token under either
+#: set of rules and left alone by composition.  They go straight to the merging model.
+_PLAIN_CHUNK = re.compile(r"(\n)?( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?")
 #: Chunks kept at most, and the longest that is kept.
-MEMO_CHUNKS, MEMO_CHARS = 1_200_000, 48
+MEMO_CHUNKS, MEMO_CHARS = 1_500_000, 48
 
 
 def _byte_letters() -> dict[int, str]:
@@ -49,7 +50,7 @@ class ChunkEncoder:
         self.model = self.tokenizer.model
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cut = self._cut(json.loads(self.tokenizer.to_str()))
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self)
 
     @staticmethod
     def _cut(spec: dict) -> str:
@@ -73,41 +74,52 @@ class ChunkEncoder:
 
     def _plain(self, chunk: str) -> bytes | None:
         """Ids of a plain chunk by the merging model alone, or None for any other chunk."""
-        if not (m := _PLAIN_CHUNK.fullmatch(chunk)) or len(chunk) > MEMO_CHARS:
+        if len(chunk) > MEMO_CHARS or not (m := _PLAIN_CHUNK.fullmatch(chunk)):
+            return None
+        lead, word, signs = m.groups()
+        if lead and (self.cut == "dropped" or word[0] == " "):
             return None
-        ids: list[int] = []
-        for part in m.groups():
-            if part:
-                part = part.lower() if self.cut == "dropped" else part
-                letters = part.encode().decode("latin-1").translate(BYTE_LETTERS)
-                ids += [t.id for t in self.model.tokenize(letters)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return (self._part(lead) if lead else b"") + self._part(word) + (self._part(signs) if signs else b"")
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token; as it is a chunk as well, the memo keeps it."""
+        if (ids := self.memo.get(part)) is None:
+            letters = part.lower() if self.cut == "dropped" else part
+            letters = letters.replace(" ", BYTE_LETTERS[32]) if letters.isascii() and letters != "\n" else letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = self.memo[part] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.chunks(t) for t in texts]
         if len(self.memo) > MEMO_CHUNKS:
-            self.memo = {}
-        memo, long = self.memo, {}
-        new = {c for chunks in cut for c in chunks if c not in memo}
-        rest = []
-        for c in new:
-            if self.cut != "whole" and (ids := self._plain(c)) is not None:
-                memo[c] = ids
-            else:
-                rest.append(c)
-        rest.sort(key=len)
-        for i in range(0, len(rest), 1024):
-            part = rest[i : i + 1024]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (memo if len(c) <= MEMO_CHARS else long)[c] = np.asarray(e.ids, "<u4").tobytes()
-        if long:
-            return [b"".join([memo[c] if c in memo else long[c] for c in chunks]) for chunks in cut]
-        return [b"".join([memo[c] for c in chunks]) for chunks in cut]
+            self.memo.clear()
+        get = self.memo.__getitem__
+        return [b"".join(map(get, self.chunks(t))) for t in texts]
+
+    def whole(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+class Memo(dict):
+    """Ids of chunks; one that is missing is encoded, and kept unless it is long."""
+
+    def __init__(self, owner: ChunkEncoder):
+        self.owner = owner
+
+    def __missing__(self, chunk: str) -> bytes:
+        own = self.owner
+        ids = own._plain(chunk) if own.cut != "whole" else None
+        if ids is None:
+            ids = own.whole(chunk)
+        if len(chunk) <= MEMO_CHARS:
+            self[chunk] = ids
+        return ids
 
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder a Python worker and file."""
     if path not in _loaded:
+        _loaded.clear()
         _loaded[path] = ChunkEncoder(path)
+    own_memo("chunks", _loaded.clear)
     return _loaded[path]

@@ -46,6 +46,19 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: The memos of this Python worker by operator, with what empties each.
+_memos: dict[str, Callable[[], None]] = {}
+
+
+def own_memo(name: str, empty: Callable[[], None]) -> None:
+    """Called by a task that is about to fill a memo: a worker serves one operator after another, and
+    the others' memos would only take its memory."""
+    for other, clear in _memos.items():
+        if other != name:
+            clear()
+    _memos[name] = empty
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, Iterable] | None]], schema: str) -> DataFrame:
     """mapInArrow over a function from a batch to columns; make() runs once in each task."""
     spark = df.sparkSession

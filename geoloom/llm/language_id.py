@@ -18,11 +18,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of
+from .common import arrow_map, own_memo, texts_of
 from .crf import Crf, emissions, feature_blocks, posteriors
 
 WORD = re.compile(r"[^\W\d_]+")
-PER_LABEL, MAX_LABELS, UNKNOWN, MEMO_WORDS, MEMO_CHARS = 250, 200, "und", 1_000_000, 64
+PER_LABEL, MAX_LABELS, UNKNOWN, MEMO_WORDS = 250, 200, "und", 1_000_000
 #: Words whose chains are computed at once.
 AT_ONCE = 150_000
 _SPREAD = 1 << 30
@@ -124,6 +124,7 @@ def predict(docs: DataFrame, model: Crf, keep: list[str], text_col: str = "text"
         if key not in _judges:
             _judges.clear()
             _judges[key] = Judge(sent.value)
+        own_memo("languages", _judges.clear)
         judge = _judges[key]
 
         def f(batch):

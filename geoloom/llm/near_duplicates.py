@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, drop, mix64, table, texts_of
+from .common import arrow_map, bound_batches, drop, mix64, own_memo, table, texts_of
 from .components import components
 from .dart_minhash import band_keys, signatures
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 7
 #: Nodes of a block, on average, when a bucket is compared in full.
 BLOCK = 256
-_MEMO_WORDS = 1_000_000
+_MEMO_WORDS = 800_000
 _word_hash: dict[str, int] = {}
 
 
@@ -70,6 +70,7 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
         from pyspark import TaskContext
 
         next_row = TaskContext.get().partitionId() << 40
+        own_memo("words", _word_hash.clear)
 
         def f(batch):
             nonlocal next_row

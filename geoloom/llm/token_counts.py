@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunk_encoder import BYTE_LETTERS
-from .common import arrow_map, texts_of
+from .common import arrow_map, own_memo, texts_of
 
 WORD = re.compile(r"\w+|[^\w\s]")
 #: Words kept at most, and the longest that is kept.
@@ -132,6 +132,7 @@ _counters: dict[str, Counter] = {}
 
 
 def counter(path: str) -> Counter:
+    own_memo("counts", _counters.clear)
     if path not in _counters:
         _counters[path] = Counter(Automaton(*pieces_of(path)))
     return _counters[path]
