@@ -6,8 +6,8 @@ it as an exact heuristic (A*): what lies before a place can't score better, and
 so complete paths come off the queue in falling order of score.  Characters without a piece fall
 back to their bytes.
 
-No piece leads from a letter into a word mark or across a line break, so the lattice falls apart there:
-paths of a text are independent choices in its parts.  Parts are searched alone, remembered with
+Where no piece of the vocabulary leads across - into a word mark, over a line break, most often from
+a letter to a sign - the lattice falls apart: paths of a text are independent choices in its parts.  Parts are searched alone, remembered with
 their best path and the loss of their second best, and the N best of a text follow from the N - 1 parts
 of least loss, as any path that leaves the best one elsewhere scores below N others (equal
 scores: the earlier part).
@@ -25,19 +25,21 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import struct
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of
+from .common import arrow_map, own_memo, texts_of
 
 MARK, BYTE_PENALTY = "▁", 10.0
 #: Scores are whole numbers of this part of a natural logarithm, so that sums and ties are exact.
 UNIT = 1 << 20
 #: Parts kept at most, and the longest that is kept.
-MEMO_PARTS, MEMO_CHARS = 500_000, 48
+MEMO_PARTS, MEMO_CHARS = 700_000, 48
 _PART = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+_LETTER = re.compile(r"[^\W\d_]")
 _INNER_MARK = re.compile(f"[^{MARK}]{MARK}|.\n|\n.", re.S)
 
 
@@ -50,13 +52,30 @@ class Pieces:
         total = sum(1 / (n + 2.7) for n in range(1, len(texts) + 1))
         self.score = {p: -round(UNIT * math.log((n + 2.7) * total)) for n, (p, _) in enumerate(texts, 1)}
         self.id = {p: i for p, i in texts}
-        self.longest = max(map(len, self.score), default=0)
         self.byte_score = -round(UNIT * (math.log((len(texts) + 2.7) * total) + BYTE_PENALTY))
         self.bytes_at = bytes_at
         self.decoded = {i: p.encode() for p, i in texts} | {i: bytes([b]) for b, i in bytes_at.items()}
-        self.prefixes = {p[:k] for p in self.score for k in range(1, len(p))}
+        self.trie: dict = {}
+        for p, i in texts:
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = self.score[p], (i,)
+        #: Neighbours that some piece holds; between all others every path has a border.
+        self.inner = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.split = not any(_INNER_MARK.search(p) for p in self.score)
-        self.memo: dict[str, tuple[int, bytes, int, float]] = {}
+        self.part_pattern = self._pattern()
+        self.memo = Memo(self)
+
+    def _pattern(self) -> re.Pattern:
+        """Cuts between letters and other signs; letters that some piece joins to another sign count as
+        signs, and if letters proper are joined to these, nothing is cut there."""
+        mixed = [b for b in self.inner if b[0] != MARK and bool(_LETTER.match(b[0])) != bool(_LETTER.match(b[1]))]
+        odd = {c for b in mixed for c in b if _LETTER.match(c)}
+        if any((a in odd) != (b in odd) and _LETTER.match(a if b in odd else b) for a, b in self.inner):
+            return _PART
+        out = re.escape("".join(sorted(odd)))
+        return re.compile(f"\n|{MARK}*[^\\W\\d_{out}]+|{MARK}*(?:[^\\w{MARK}\n]|[\\d_{out}])+|{MARK}+")
 
     @classmethod
     def load(cls, path: str) -> "Pieces":
@@ -70,22 +89,21 @@ class Pieces:
     def lattice(self, text: str) -> tuple[list[list[tuple[int, int, tuple[int, ...]]]], list[float]]:
         """Edges (start, score, ids) into each place and the best score up to it."""
         into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(len(text) + 1)]
-        best: list[float] = [0] + [-math.inf] * len(text)
-        score, prefixes = self.score, self.prefixes
-        for a in range(len(text)):
-            base, single = best[a], False
-            for b in range(a + 1, min(len(text), a + self.longest) + 1):
-                piece = text[a:b]
-                s = score.get(piece)
-                if s is not None:
-                    into[b].append((a, s, (self.id[piece],)))
-                    if base + s > best[b]:
-                        best[b] = base + s
-                    single = single or b == a + 1
-                if piece not in prefixes:
-                    break
+        size = len(text)
+        best: list[float] = [0] + [-math.inf] * size
+        for a, first in enumerate(text):
+            base, node = best[a], self.trie.get(first)
+            single, b = node is not None and "" in node, a
+            while node is not None:
+                b += 1
+                end = node.get("")
+                if end is not None:
+                    into[b].append((a, *end))
+                    if base + end[0] > best[b]:
+                        best[b] = base + end[0]
+                node = node.get(text[b]) if b < size else None
             if not single:
-                raw = text[a].encode()
+                raw = first.encode()
                 s = self.byte_score * len(raw)
                 into[a + 1].append((a, s, tuple(self.bytes_at[x] for x in raw)))
                 if base + s > best[a + 1]:
@@ -118,42 +136,47 @@ class Pieces:
         return out
 
     def part(self, text: str) -> tuple[int, bytes, int, float]:
-        """Best score, its ids (little-endian unsigned 32-bit), their number, loss of the second best."""
-        if (got := self.memo.get(text)) is None:
-            two = self.search(text, 2)
-            got = two[0][0], np.array(two[0][1], "<u4").tobytes(), len(two[0][1]), two[0][0] - two[1][0] if len(two) > 1 else math.inf
-            if len(text) <= MEMO_CHARS:
-                self.memo[text] = got
-        return got
+        """Best score, its ids (little-endian unsigned 32-bit), their number, loss of the second best.
+        A part falls apart further between neighbours that no piece holds."""
+        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.inner]
+        if cuts:
+            own = [self.memo[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+            return sum(g[0] for g in own), b"".join([g[1] for g in own]), sum(g[2] for g in own), min(g[3] for g in own)
+        two = self.search(text, 2)
+        ids = two[0][1]
+        return two[0][0], struct.pack(f"<{len(ids)}I", *ids), len(ids), two[0][0] - two[1][0] if len(two) > 1 else math.inf
 
     def parts(self, text: str) -> list[str]:
         if not text:
             return []
         marked = MARK + text.replace(" ", MARK)
-        return _PART.findall(marked) if self.split else [marked]
+        return self.part_pattern.findall(marked) if self.split else [marked]
 
-    def nbest(self, text: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best segmentations of a text: (score, ids as little-endian unsigned 32-bit)."""
+    def changes(self, text: str, n: int) -> tuple[bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]:
+        """The best path's ids (little-endian unsigned 32-bit) and the n best paths in falling order as
+        (score, changes): what they put in place of runs of the best path's pieces (place, number, ids)."""
         if len(self.memo) > MEMO_PARTS:
-            self.memo = {}
+            self.memo.clear()
         parts = self.parts(text)
         if not parts:
-            return [(0.0, b"")]
-        got = [self.part(p) for p in parts]
-        ids, total = [g[1] for g in got], sum(g[0] for g in got)
-        losses = np.array([g[3] for g in got])
-        near = np.argsort(losses, kind="stable")[: n - 1] if len(losses) <= 4 * n else _least(losses, n - 1)
-        choices = [(int(i), self.search(parts[i], n)) for i in near if losses[i] < math.inf]
+            return b"", [(0.0, [])]
+        scores, ids, numbers, losses = zip(*map(self.memo.__getitem__, parts))
+        total, losses = sum(scores), np.array(losses)
+        near = [int(i) for i in _least(losses, min(n - 1, len(losses))) if losses[i] < math.inf]
         # the n best combinations: one choice in each part, best first
-        ways = [(0, [])]
-        for i, paths in choices:
-            more = [(loss + paths[0][0] - s, [*way, (i, p)] if k else list(way)) for loss, way in ways for k, (s, p) in enumerate(paths)]
+        ways: list[tuple[int, list[tuple[int, tuple[int, ...]]]]] = [(0, [])]
+        for i in near:
+            paths = self.search(parts[i], n)
+            more = [(loss + paths[0][0] - s, [*way, (i, p)] if k else way) for loss, way in ways for k, (s, p) in enumerate(paths)]
             ways = sorted(more, key=lambda w: w[0])[:n]
-        out = []
-        for loss, way in ways:
-            changed = {i: np.array(p, "<u4").tobytes() for i, p in way}
-            out.append(((total - loss) / UNIT, b"".join([changed.get(i, x) for i, x in enumerate(ids)]) if changed else b"".join(ids)))
-        return out
+        place = np.cumsum(numbers) - numbers
+        named = lambda i, p: (int(place[i]), numbers[i], np.array(p, "<u4").tobytes())
+        return b"".join(ids), [((total - loss) / UNIT, sorted(named(i, p) for i, p in way)) for loss, way in ways]
+
+    def nbest(self, text: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best segmentations of a text: (score, ids as little-endian unsigned 32-bit)."""
+        best, paths = self.changes(text, n)
+        return [(score, changed(best, way)) for score, way in paths]
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.decoded.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -161,6 +184,28 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
+def changed(best: bytes, way: list[tuple[int, int, bytes]]) -> bytes:
+    """A path's ids from the best path's and its changes, which are in order of place."""
+    out, at = [], 0
+    for place, number, ids in way:
+        out += [best[4 * at : 4 * place], ids]
+        at = place + number
+    return b"".join([*out, best[4 * at :]])
+
+
+class Memo(dict):
+    """Parts with their best path and second loss; long ones aren't kept."""
+
+    def __init__(self, owner: Pieces):
+        self.owner = owner
+
+    def __missing__(self, part: str) -> tuple[int, bytes, int, float]:
+        got = self.owner.part(part)
+        if len(part) <= MEMO_CHARS:
+            self[part] = got
+        return got
+
+
 def _least(losses: np.ndarray, n: int) -> np.ndarray:
     """Places of the n least losses, the earlier ones of equals."""
     if not n:
@@ -174,41 +219,43 @@ _loaded: dict[str, Pieces] = {}
 
 
 def pieces(path: str) -> Pieces:
+    own_memo("pieces", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Pieces.load(path)
     return _loaded[path]
 
 
 def segment(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ranked paths (array of struct score, ids) and whether the best one decodes to the text."""
+    """doc_id, ids of the best path, the n best paths (score, and changes against the best: place, number
+    of pieces replaced, ids) and whether the best one decodes to the text."""
 
     def make():
         model = pieces(model_path)
 
         def f(batch):
             texts = texts_of(batch)
-            found = [model.nbest(t, n) for t in texts]
+            found = [model.changes(t, n) for t in texts]
             return {
                 "doc_id": batch.column("doc_id"),
-                "paths": [[{"score": s, "ids": ids} for s, ids in x] for x in found],
-                "exact": [model.decode(x[0][1]) == t for x, t in zip(found, texts)],
+                "ids": [best for best, _ in found],
+                "paths": [[{"score": s, "changes": [{"place": a, "number": k, "ids": i} for a, k, i in way]} for s, way in paths] for _, paths in found],
+                "exact": [model.decode(best) == t for (best, _), t in zip(found, texts)],
             }
 
         return f
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(rows, make, "doc_id long, paths array<struct<score: double, ids: binary>>, exact boolean")
+    return arrow_map(rows, make, "doc_id long, ids binary, paths array<struct<score: double, changes: array<struct<place: long, number: long, ids: binary>>>>, exact boolean")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Of each document: n_paths, n_pieces, best_score, last_score, ids_crc32 (best), exact."""
-    best = F.col("paths")[0]
-    crcs = F.transform("paths", lambda p: F.crc32(p["ids"]))
-    return found.select("doc_id", F.size("paths").alias("n_paths"), (F.octet_length(best["ids"]) / 4).cast("long").alias("n_pieces"), best["score"].alias("best_score"), F.element_at("paths", -1)["score"].alias("last_score"), crcs[0].alias("ids_crc32"), crcs.alias("paths_crc32"), "exact")
+    """Of each document: n_paths, n_pieces and ids_crc32 of the best, scores of all, exact."""
+    scores = F.transform("paths", lambda p: p["score"])
+    return found.select("doc_id", F.size("paths").alias("n_paths"), (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), scores.alias("scores"), "exact")
 
 
 def op7_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 4 best segmentations of all documents, as scores and crc32 of their ids."""
+    """The 4 best segmentations of all documents: scores, and the best one's crc32."""
     import public_tokenizers
 
     return digest(segment(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model")))

@@ -84,7 +84,7 @@ def test_segment_table(spark):
     docs = spark.createDataFrame([(i if i != 2 else None, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, paths double")
     rows = nb.digest(nb.segment(docs, path)).collect()
     assert all(r["exact"] for r in rows) and len(rows) == len(texts)
-    assert all(r["last_score"] <= r["best_score"] for r in rows)
+    assert all(list(r["scores"]) == sorted(r["scores"], reverse=True) and len(r["scores"]) == r["n_paths"] for r in rows)
     assert nb.pieces(path).split
     assert nb.segment(docs.limit(0), path).count() == 0
     model = nb.pieces(path)
