@@ -120,3 +120,51 @@ SELECT o_custkey AS job, CAST(floor(avg(o_totalprice) FILTER (o_orderstatus = 'F
 def remaining_time(spark, sf):
     o = read(spark, sf, "orders").select(F.col("o_custkey").alias("job"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("queued").alias("status"), F.col("o_totalprice").alias("ms"))
     return batch.remaining_ms(o)
+
+
+@query("route_progress", """
+WITH e AS (SELECT user_id % 20 AS job, user_id AS chunk, event_id AS seq, ['pending', 'terrain', 'bake', 'encode', 'done', 'error'][event_id % 6 + 1] AS phase, value / 40 AS share FROM events),
+f AS (SELECT *, CASE WHEN phase = 'bake' THEN floor(12 + greatest(0.0, least(1.0, share)) * 80 + 0.5) WHEN phase = 'encode' THEN 92 WHEN phase = 'done' THEN 100 ELSE 0 END AS fill FROM e),
+c AS (SELECT job, chunk, arg_max(phase, seq) AS phase, max(fill) AS fill FROM f GROUP BY job, chunk)
+SELECT job, count(*) AS chunks, count(*) FILTER (phase = 'done') AS done, count(*) FILTER (phase = 'error') AS errors, count(*) FILTER (phase IN ('terrain', 'bake', 'encode')) AS active, CAST(floor(avg(fill) + 0.5) AS BIGINT) AS percent FROM c GROUP BY job""")
+def route_progress(spark, sf):
+    from geoloom.operators import routes
+
+    phases = F.array(*[F.lit(p) for p, _ in routes.PHASES])
+    e = read(spark, sf, "events").select((F.col("user_id") % 20).alias("job"), F.col("user_id").alias("chunk"), F.col("event_id").alias("seq"), F.element_at(phases, (F.col("event_id") % 6 + 1).cast("int")).alias("phase"), (F.col("value") / 40).alias("share"))
+    return routes.progress(e)
+
+
+@query("route_chunks")
+def route_chunks(spark, sf):
+    """Chunks of routes through the event tracks: steps north and east by turns."""
+    from pyspark.sql import Window
+
+    from geoloom.operators import routes
+
+    from .views import tracks
+
+    w = Window.partitionBy("track").orderBy("idx")
+    t = tracks(spark, sf).where("idx < 40")
+    t = t.withColumn("lat", 48 + F.sum(F.when(F.col("idx") % 2 == 0, F.col("step")).otherwise(0.0)).over(w) * 2e-5).withColumn("lng", 11 + F.sum(F.when(F.col("idx") % 2 == 1, F.col("step")).otherwise(0.0)).over(w) * 3e-5)
+    return routes.chunks(t.select(F.col("track").alias("route"), "idx", "lat", "lng"), "draft")
+
+
+@query("stage_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS ms FROM events GROUP BY ALL")
+def stage_windows(spark, sf):
+    """The tumbling windows of the stream, over the table as a whole."""
+    from geoloom.streaming import states
+
+    e = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return states.windowed(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("ms", 6).alias("ms"))
+
+
+@query("user_sessions", """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, s""")
+def user_sessions(spark, sf):
+    from geoloom.streaming import states
+
+    e = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return states.sessions(e).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")

@@ -104,3 +104,12 @@ SELECT user_id % 50 AS g, list_sort(list(value))[CAST(floor(count(*) * 0.05) AS
 def percentile_rules(spark, sf):
     e = read(spark, sf, "events")
     return e.groupBy((F.col("user_id") % 50).alias("g")).agg(grid.rank_value("value", 0.05, "floor_n").alias("low"), grid.rank_value("value", 0.8, "floor_n1").alias("surface"), F.round(grid.rank_value("value", 0.9, "linear"), 9).alias("linear"))
+
+
+@query("finished_rasters")
+def finished_rasters(spark, sf):
+    """Rasters of 50 rows with their holes in-painted, grown into and relaxed."""
+    from geoloom.operators import rasters
+
+    c = cells(spark, sf).select(F.floor(F.col("y") / 50).alias("id"), "y", "x", "h")
+    return rasters.per_raster(c, lambda a: rasters.finished(a, smooth=False, fill=True))
