@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import count_delimited, let, parse_int, parse_positive_int, parse_width_m
+from .scalars import count_delimited, let, parse_float, parse_int, parse_positive_int, parse_width_m
 
 # fixed values: word lists and widths that results must share
 AREA_KEYS = ("building", "landuse", "landcover", "water", "leisure", "golf", "recreation", "natural", "amenity", "aeroway", "tourism", "man_made", "public_transport", "power", "military", "place", "historic", "wetland", "surface", "material")
@@ -19,7 +19,14 @@ MAJOR = ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary
 LINKS = ("motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link")
 NO_DECAL_SERVICES = ("parking_aisle", "driveway", "alley", "emergency_access")
 FAST, MAIN, MINOR = ("motorway", "motorway_link", "trunk", "trunk_link"), ("primary", "primary_link", "secondary", "secondary_link"), ("tertiary", "tertiary_link")
-SEA_WORDS = ("sea", "ocean", "bay", "dock", "harbour", "marina")
+GROUND_COVER_KEYS = ("surface", "material", "landcover", "landuse", "natural", "water", "wetland", "waterway", "aeroway")
+BOUNDARIES = ("administrative", "protected_area", "national_park", "political", "historic")
+BARRIER_ASSETS = ((("guard_rail", "guardrail", "handrail"), "guardrail"), (("jersey_barrier", "concrete_barrier"), "concrete"), (("fence", "chain", "wall", "city_wall", "retaining_wall", "block", "cable_barrier", "wire_fence", "gate"), "fence"))
+MASK_SKIP = ("footway", "path", "pedestrian", "steps", "cycleway", "bridleway", "corridor")
+MASK_ROADS = (("motorway", 12.0), ("trunk", 10.0), ("primary", 8.0), ("secondary", 6.0), ("tertiary", 5.0), ("residential", 4.0), ("unclassified", 4.0), ("living_street", 4.0), ("service", 3.0))
+MASK_DEFAULT_M, LEVEL_M = 4.0, 3.0
+WATERWAYS = (("river", 26.0, 8.0), ("canal", 14.0, 5.0), ("stream", 8.0, 3.0), ("drain", 4.0, 2.0), ("ditch", 3.0, 1.5))
+RETRY_STATUS = (408, 425, 429, 500, 502, 503, 504)
 # fixed values: area rules as key, values, material, in order of precedence; -1 is unpainted
 AREA_MATERIALS = (
     ("natural", ("grass", "meadow", "heath", "grassland", "shrub", "wood", "scrub", "shrubbery"), 1),
@@ -260,4 +267,77 @@ def flat_ground(tags: Column) -> Column:
 
 
 def excluded_water(tags: Column) -> Column:
-    return _any(*[_is(tags, k, *SEA_WORDS) for k in ("water", "natural", "place", "leisure")])
+    """Sea and harbour water, which is no inland water."""
+    return _any(_is(tags, "place", "sea", "ocean"), _is(tags, "natural", "bay"), _is(tags, "water", "dock", "harbour"), _is(tags, "harbour", "yes"), _is(tags, "leisure", "marina"))
+
+
+def ground_cover(tags: Column) -> Column:
+    return _any(*[_has(tags, k) for k in GROUND_COVER_KEYS])
+
+
+def boundary_only(tags: Column) -> Column:
+    """A border without a ground of its own."""
+    return F.lower(F.coalesce(tags["boundary"], F.lit(""))).isin(*BOUNDARIES) & ~ground_cover(tags)
+
+
+def barrier_asset(tags: Column) -> Column:
+    """The kind of prefabricated barrier, null for none and for hedges."""
+    kind = _low(tags, "barrier")
+    out = F.when(kind.isin("", "hedge"), F.lit(None).cast("string"))
+    for names, asset in BARRIER_ASSETS:
+        out = out.when(kind.isin(*names), asset)
+    return out.when((kind == "chain_link") | (_low(tags, "material") == "chain_link"), "chain_link").otherwise("guardrail")
+
+
+def barrier_size(tags: Column) -> Column:
+    """struct(height_m, width_m) of a barrier's body."""
+    size = lambda h, w: F.struct(F.lit(h).alias("height_m"), F.lit(w).alias("width_m"))
+    return F.when(_is(tags, "barrier", "city_wall"), size(4.0, 0.5)).when(_is(tags, "barrier", "wall", "retaining_wall"), size(2.0, 0.5)).when(_is(tags, "barrier", "fence", "gate"), size(1.5, 0.1)).when(_is(tags, "barrier", "hedge"), size(1.2, 0.8)).otherwise(size(1.5, 0.2))
+
+
+def building_size(tags: Column, area_m2: Column, seed: Column) -> Column:
+    """struct(levels, height, min_height, roof, roof_height) in metres and levels; a church's height, free between
+    20 and 30, follows from the seed."""
+    first = lambda *keys: F.coalesce(*[F.nullif(tags[k], F.lit("")) for k in keys])
+    number = lambda *keys: F.coalesce(parse_float(first(*keys)), F.lit(0.0))
+    kind = F.coalesce(first("building", "building:part"), F.lit("yes"))
+    given, roof_levels, roof_given, low = number("building:levels", "levels"), number("roof:levels", "building:roof:levels"), number("roof:height", "building:roof:height"), number("building:min_level", "min_level")
+    height, lowest = parse_float(first("height")), parse_float(first("min_height"))
+    usual = F.when(kind.isin("house", "detached", "duplex", "terrace"), 2.0).when(kind.isin("apartments", "office", "commercial", "retail", "hotel"), 4.0).otherwise(1.0)
+    levels = F.when(given != 0, given).when(height.isNotNull(), F.greatest(F.lit(1.0), F.floor(height / LEVEL_M + 0.5))).when(area_m2 > 2000, 5.0).otherwise(usual)
+    free = 20 + F.pmod(F.xxhash64(seed), F.lit(1000)) / 100
+    tall = F.coalesce(height, F.when(kind.isin("church", "cathedral"), free).when(kind.isin("garage", "shed"), 3.5).when(kind == "roof", 4.0), (levels + roof_levels) * LEVEL_M)
+    shape = F.coalesce(first("roof:shape", "building:roof:shape"), F.lit("flat"))
+    roof = F.when((roof_given == 0) & (shape != "flat"), F.when(roof_levels > 0, roof_levels * LEVEL_M).otherwise(3.0)).otherwise(roof_given)
+    return F.struct(levels.alias("levels"), tall.alias("height"), F.coalesce(lowest, F.when(low > 0, low * LEVEL_M), F.lit(0.0)).alias("min_height"), shape.alias("roof"), roof.alias("roof_height"))
+
+
+def mask_half_width(tags: Column) -> Column:
+    """Half width in metres of a road on the ground mask, null for ways off the ground or on foot."""
+    off = _any(*[_has(tags, k) & ~_is(tags, k, "no") for k in ("bridge", "tunnel")], F.coalesce(F.nullif(tags["layer"], F.lit("0")) != "", F.lit(False)))
+    out = F.when(_has(tags, "highway"), MASK_DEFAULT_M)
+    for name, half in reversed(MASK_ROADS):
+        out = F.when(_is(tags, "highway", name), half).otherwise(out)
+    return F.when(~off & ~_is(tags, "highway", *MASK_SKIP), out)
+
+
+def waterway_size(tags: Column) -> Column:
+    """struct(width, depth) in metres of a waterway."""
+    wide, deep = F.lit(10.0), F.lit(None).cast("double")
+    for name, w, d in reversed(WATERWAYS):
+        wide, deep = F.when(_is(tags, "waterway", name), w).otherwise(wide), F.when(_is(tags, "waterway", name), d).otherwise(deep)
+    width = F.greatest(F.lit(3.0), F.coalesce(F.nullif(F.regexp_extract(tags["width"], r"(\d+\.?\d*|\.\d+)", 1), F.lit("")).cast("double"), wide))
+    return F.struct(width.alias("width"), F.greatest(F.lit(1.5), F.coalesce(deep, F.greatest(F.lit(2.0), width * 0.25))).alias("depth"))
+
+
+def error_kind(status: Column, name: Column, message: Column) -> Column:
+    """struct(kind, retryable) of a failed request."""
+    out = lambda kind, again: F.struct(F.lit(kind).alias("kind"), F.lit(again).alias("retryable"))
+    return (
+        F.when(status == 429, out("rate_limit", True))
+        .when(status.isin(*RETRY_STATUS), out("http_server", True))
+        .when(status.between(400, 499), out("http_client", False))
+        .when(name == "AbortError", out("aborted", False))
+        .when(message.rlike("(?i)timeout|network|fetch|ECONN|EAI_AGAIN|ENOTFOUND|ERR_"), out("network", True))
+        .otherwise(out("unknown", True))
+    )

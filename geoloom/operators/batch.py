@@ -11,8 +11,8 @@ from geoloom.functions.scalars import js_round, number_text, round_to, tile_labe
 # fixed values: states and score weights
 JOB_STATES = ("pending", "running", "paused", "canceled", "completed", "failed")
 TILE_STATES = ("queued", "processing", "done", "failed", "skipped")
-LEGACY_JOB = {"completed_with_errors": "completed", "cancelled": "canceled", "idle": "pending"}
-LEGACY_TILE = {"pending": "queued", "completed": "done", "running": "processing"}
+LEGACY_JOB = {"idle": "pending", "completed_with_errors": "completed"}
+LEGACY_TILE = {"pending": "queued", "completed": "done"}
 SECOND_W, GIB_W, FAILURE_W, WAIT_W, RISK_GIB = 1.0, 120.0, 900.0, 0.25, 2.2
 
 
@@ -60,6 +60,21 @@ def repaired_state(col: Column, states, legacy: dict, default: str) -> Column:
     return F.when(valid_state(col, states), col).otherwise(out)
 
 
+def scheduler(resolution: Column, profile: Column, heavy: Column) -> Column:
+    """struct(profile, fetch, tiles, interval_ms) of a job: as asked for, else by resolution; heavy: it exports
+    meshes or map textures."""
+    row = lambda name, fetch, tiles, ms: F.struct(F.lit(name).alias("profile"), (fetch if isinstance(fetch, Column) else F.lit(fetch)).alias("fetch"), (tiles if isinstance(tiles, Column) else F.lit(tiles)).alias("tiles"), F.lit(ms).alias("interval_ms"))
+    pick = lambda cond, a, b: F.when(cond, a).otherwise(b)
+    high = resolution >= 8192
+    return (
+        F.when(profile == "throughput", row("throughput", pick(high, 3, 4), pick(high, 12, 20), 550))
+        .when(profile == "low_memory", row("low_memory", pick(resolution >= 4096, 1, 2), pick(high, 6, 8), 900))
+        .when(high, row("highres_8192", 2, pick(heavy, 8, 10), 750))
+        .when(resolution >= 4096, row("highres_4096", 3, 12, 650))
+        .otherwise(row("balanced", 4, 20, 600))
+    )
+
+
 def last_states(events: DataFrame) -> DataFrame:
     """key -> the latest state of events (key, at, seq, state) and how many there were."""
     last = F.max_by("state", F.struct("at", "seq"))

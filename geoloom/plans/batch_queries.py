@@ -39,11 +39,11 @@ def job_scores(spark, sf):
 
 
 @query("job_states", """
-SELECT o_orderkey AS id, CASE WHEN s IN ('pending', 'running', 'paused', 'canceled', 'completed', 'failed') THEN s WHEN s = 'completed_with_errors' THEN 'completed' WHEN s = 'cancelled' THEN 'canceled' ELSE 'pending' END AS state,
+SELECT o_orderkey AS id, CASE WHEN s IN ('pending', 'running', 'paused', 'canceled', 'completed', 'failed') THEN s WHEN s = 'completed_with_errors' THEN 'completed' ELSE 'pending' END AS state,
  s IN ('queued', 'processing', 'done', 'failed', 'skipped') AS tile_state
-FROM (SELECT *, ['pending', 'completed_with_errors', 'cancelled', 'x', 'done', 'running', 'failed'][o_orderkey % 7 + 1] AS s FROM orders)""")
+FROM (SELECT *, ['pending', 'completed_with_errors', 'idle', 'x', 'done', 'running', 'failed'][o_orderkey % 7 + 1] AS s FROM orders)""")
 def job_states(spark, sf):
-    names = ("pending", "completed_with_errors", "cancelled", "x", "done", "running", "failed")
+    names = ("pending", "completed_with_errors", "idle", "x", "done", "running", "failed")
     s = F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % 7 + 1).cast("int"))
     return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), batch.repaired_state(s, batch.JOB_STATES, batch.LEGACY_JOB, "pending").alias("state"), batch.valid_state(s).alias("tile_state"))
 
@@ -168,3 +168,16 @@ def user_sessions(spark, sf):
 
     e = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return states.sessions(e).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("schedulers", """
+SELECT p_partkey AS id, CASE WHEN prof = 'throughput' THEN 'throughput' WHEN prof = 'low_memory' THEN 'low_memory' WHEN r >= 8192 THEN 'highres_8192' WHEN r >= 4096 THEN 'highres_4096' ELSE 'balanced' END AS profile,
+ CASE WHEN prof = 'throughput' THEN CASE WHEN r >= 8192 THEN 3 ELSE 4 END WHEN prof = 'low_memory' THEN CASE WHEN r >= 4096 THEN 1 ELSE 2 END WHEN r >= 8192 THEN 2 WHEN r >= 4096 THEN 3 ELSE 4 END AS fetch,
+ CASE WHEN prof = 'throughput' THEN CASE WHEN r >= 8192 THEN 12 ELSE 20 END WHEN prof = 'low_memory' THEN CASE WHEN r >= 8192 THEN 6 ELSE 8 END WHEN r >= 8192 THEN CASE WHEN p_size % 2 = 0 THEN 8 ELSE 10 END WHEN r >= 4096 THEN 12 ELSE 20 END AS tiles,
+ CASE WHEN prof = 'throughput' THEN 550 WHEN prof = 'low_memory' THEN 900 WHEN r >= 8192 THEN 750 WHEN r >= 4096 THEN 650 ELSE 600 END AS interval_ms
+FROM (SELECT *, [512, 1024, 4096, 8192, 16384][p_partkey % 5 + 1] AS r, ['', 'throughput', 'low_memory', 'x'][p_partkey % 4 + 1] AS prof FROM part)""")
+def schedulers(spark, sf):
+    k = F.col("p_partkey")
+    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (k % n + 1).cast("int"))
+    s = batch.scheduler(pick(5, 512, 1024, 4096, 8192, 16384), pick(4, "", "throughput", "low_memory", "x"), F.col("p_size") % 2 == 0)
+    return read(spark, sf, "part").select(k.alias("id"), s.alias("s")).select("id", "s.*")
