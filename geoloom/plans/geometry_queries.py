@@ -231,3 +231,49 @@ def corridor_triangles(spark, sf):
     k = F.col("n_nationkey")
     r = read(spark, sf, "nation").select((k % 20).alias("ax"), (k % 25).alias("az"), (k * 3 % 20).alias("bx"), (k * 7 % 25).alias("bz"))
     return mesh.in_corridor(t, v, r, 0.45).select("mesh", "ti")
+
+
+@query("ribbons", f"""
+WITH s AS (SELECT line, idx, x, y, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy FROM {LINES} WINDOW w AS (PARTITION BY line ORDER BY idx)),
+n AS (SELECT *, CASE WHEN dx <> 0 OR dy <> 0 THEN -dy / sqrt(dx * dx + dy * dy) ELSE 0 END AS nx, CASE WHEN dx <> 0 OR dy <> 0 THEN dx / sqrt(dx * dx + dy * dy) ELSE 0 END AS ny FROM s)
+SELECT line, idx * 2 + k AS vi, round(x + nx * d, 6) AS x, round(y + ny * d, 6) AS y FROM n, (VALUES (0, 2.5::DOUBLE), (1, -2.5::DOUBLE)) AS q(k, d)""")
+def ribbons(spark, sf):
+    from geoloom.operators import shapes
+
+    return shapes.ribbon(lines(spark, sf), 2.5).select("line", "vi", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("tree_rows", f"""
+WITH s AS (SELECT line, idx, x, y, lead(x) OVER w AS bx, lead(y) OVER w AS by FROM {LINES} WHERE line % 50 = 0 WINDOW w AS (PARTITION BY line ORDER BY idx)),
+n AS (SELECT *, greatest(1, CAST(floor(sqrt(pow(bx - x, 2) + pow(by - y, 2)) / 8) AS INT)) AS n FROM s WHERE bx IS NOT NULL), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n)
+SELECT line, idx, CAST(k AS INT) AS k, round(x + (bx - x) * k / n, 6) AS x, round(y + (by - y) * k / n, 6) AS y FROM k""")
+def tree_rows(spark, sf):
+    from geoloom.operators import shapes
+
+    return shapes.along(lines(spark, sf).where("line % 50 = 0"), 8.0).select("line", "idx", "k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("walls", f"""
+WITH e AS (SELECT id, ring, unnest(range(1, len(ring) + 1)) AS i FROM {RINGS}), w AS (SELECT id, i - 1 AS wall, ring[i] AS a, ring[i % len(ring) + 1] AS b FROM e)
+SELECT id, CAST(wall AS INT) AS wall, CAST(c AS INT) AS corner, CASE WHEN c IN (0, 3) THEN a.x ELSE b.x END AS x, CASE WHEN c IN (0, 3) THEN a.y ELSE b.y END AS y, CASE WHEN c < 2 THEN 0.0 ELSE 3.0 + id % 5 END::DOUBLE AS z FROM w, (SELECT unnest(range(0, 4)) AS c)""")
+def walls(spark, sf):
+    from geoloom.operators import shapes
+
+    return shapes.extruded(rings(spark, sf).withColumn("low", F.lit(0.0)).withColumn("high", 3.0 + F.col("id") % 5))
+
+
+@query("scattered_trees")
+def scattered_trees(spark, sf):
+    from geoloom.operators import shapes
+
+    return shapes.scattered(rings(spark, sf), 4.0, 2000)
+
+
+@query("relation_rings")
+def relation_rings(spark, sf):
+    """Chains of order lines, two nodes a member, by order."""
+    from geoloom.operators import shapes
+
+    w = ways(spark, sf)
+    m = w.select(F.col("way").alias("rel"), F.col("idx").alias("ord"), F.array((F.col("px") % 4).cast("string"), (F.col("py") % 4).cast("string")).alias("nodes"))
+    return shapes.rings_of_relations(m)

@@ -113,3 +113,18 @@ def geojson_features(spark, sf):
 def terrain_files(spark, sf):
     files = exports.terrain_files(_grids(spark, sf), 8, ["grass", "rock"])
     return files.select("id", F.length("content").alias("bytes"), F.crc32("content").alias("crc32"))
+
+
+@query("tiff_grids", _CELLS)
+def tiff_grids(spark, sf):
+    from geoloom.sources import tiff
+
+    return tiff.read_tiff(tiff.tiff_files(_grids(spark, sf), 10.0, 41.0, 0.01))
+
+
+@query("places", """
+SELECT c_custkey AS id, CAST(i AS INT) AS n, CASE WHEN i = 0 THEN c_name ELSE c_mktsegment END AS name, c_acctbal + i AS lat FROM customer, (VALUES (0), (1)) AS v(i) WHERE c_custkey % 2 = 0""")
+def places(spark, sf):
+    c = read(spark, sf, "customer")
+    j = F.to_json(F.array(*[F.struct((F.col("c_acctbal") + i).cast("string").alias("lat"), F.lit("1.5").alias("lon"), F.concat(F.col(n), F.lit(", b")).alias("display_name"), F.col(n).alias("name"), F.lit("city").alias("type")) for i, n in ((0, "c_name"), (1, "c_mktsegment"))]))
+    return records.read_places(c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), j.alias("text"))).select("id", "n", "name", F.round("lat", 6).alias("lat"))

@@ -102,3 +102,27 @@ def read_container(content: bytes) -> tuple[dict, bytes]:
     if magic != b"MBK1":
         raise ValueError("not a mesh container")
     return json.loads(content[8 : 8 + size]), content[8 + size + -(8 + size) % 4 :]
+
+
+def read_places(files: DataFrame) -> DataFrame:
+    """id, n, lat, lng, name, label, kind of the places in a search answer; those without a position are left out."""
+    schema = "array<struct<lat:string,lon:string,name:string,display_name:string,type:string,address:map<string,string>>>"
+    p = files.select("id", F.posexplode(F.from_json("text", schema)).alias("n", "p"))
+    p = p.select("id", "n", F.col("p.lat").try_cast("double").alias("lat"), F.col("p.lon").try_cast("double").alias("lng"), F.coalesce(F.nullif("p.name", F.lit("")), F.split("p.display_name", ",")[0]).alias("name"), F.col("p.display_name").alias("label"), F.col("p.type").alias("kind"))
+    return p.where("lat is not null and lng is not null")
+
+
+def address_name(address: Column, name: Column, label: Column, keys: tuple[str, ...] = ("road", "hamlet", "village", "town", "suburb", "city", "county", "state", "country")) -> Column:
+    """The first address part that is given, else the name, else the label."""
+    return F.coalesce(*[F.nullif(address[k], F.lit("")) for k in keys], F.nullif(name, F.lit("")), label)
+
+
+def year_order(preferred: int, first: int = 2018, last: int = 2020) -> list[int]:
+    """Years to try: from the preferred one down, then up."""
+    return [y for y in (*range(min(preferred, last), first - 1, -1), *range(preferred + 1, last + 1)) if first <= y <= last]
+
+
+def newest_sheets(index: DataFrame, years: list[int]) -> DataFrame:
+    """index rows (sheet, year, url) of the year that comes first in `years` for each sheet."""
+    rank = F.array_position(F.array(*map(F.lit, years)), F.col("year"))
+    return index.where(F.col("year").isin(*years)).groupBy("sheet").agg(F.min_by(F.struct("year", "url"), F.struct(rank, "url")).alias("b")).select("sheet", "b.*")
