@@ -39,7 +39,8 @@ UNIT = 1 << 20
 #: Parts kept at most, and the longest that is kept.
 MEMO_PARTS, MEMO_CHARS = 700_000, 48
 _PART = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile("[a-zA-ZÀ-ɏ]")
+_WORD_PART = re.compile(f"{MARK}*[a-zA-ZÀ-ɏ]+|\n|{MARK}*[^{MARK}\na-zA-ZÀ-ɏ]+|{MARK}+")
 _INNER_MARK = re.compile(f"[^{MARK}]{MARK}|.\n|\n.", re.S)
 
 
@@ -68,14 +69,9 @@ class Pieces:
         self.memo = Memo(self)
 
     def _pattern(self) -> re.Pattern:
-        """Cuts between letters and other signs; letters that some piece joins to another sign count as
-        signs, and if letters proper are joined to these, nothing is cut there."""
-        mixed = [b for b in self.inner if b[0] != MARK and bool(_LETTER.match(b[0])) != bool(_LETTER.match(b[1]))]
-        odd = {c for b in mixed for c in b if _LETTER.match(c)}
-        if any((a in odd) != (b in odd) and _LETTER.match(a if b in odd else b) for a, b in self.inner):
-            return _PART
-        out = re.escape("".join(sorted(odd)))
-        return re.compile(f"\n|{MARK}*[^\\W\\d_{out}]+|{MARK}*(?:[^\\w{MARK}\n]|[\\d_{out}])+|{MARK}+")
+        """Cuts between Latin letters and other signs as well, if no piece joins them."""
+        mixed = any(a != MARK and bool(_LETTER.match(a)) != bool(_LETTER.match(b)) for a, b in self.inner)
+        return _PART if mixed else _WORD_PART
 
     @classmethod
     def load(cls, path: str) -> "Pieces":
@@ -160,8 +156,8 @@ class Pieces:
         parts = self.parts(text)
         if not parts:
             return b"", [(0.0, [])]
-        scores, ids, numbers, losses = zip(*map(self.memo.__getitem__, parts))
-        total, losses = sum(scores), np.array(losses)
+        got = list(map(self.memo.__getitem__, parts))
+        ids, total, losses = [g[1] for g in got], sum([g[0] for g in got]), np.array([g[3] for g in got])
         near = [int(i) for i in _least(losses, min(n - 1, len(losses))) if losses[i] < math.inf]
         # the n best combinations: one choice in each part, best first
         ways: list[tuple[int, list[tuple[int, tuple[int, ...]]]]] = [(0, [])]
@@ -169,8 +165,8 @@ class Pieces:
             paths = self.search(parts[i], n)
             more = [(loss + paths[0][0] - s, [*way, (i, p)] if k else way) for loss, way in ways for k, (s, p) in enumerate(paths)]
             ways = sorted(more, key=lambda w: w[0])[:n]
-        place = np.cumsum(numbers) - numbers
-        named = lambda i, p: (int(place[i]), numbers[i], np.array(p, "<u4").tobytes())
+        place = np.cumsum([0] + [g[2] for g in got]) if near else ()
+        named = lambda i, p: (int(place[i]), got[i][2], np.array(p, "<u4").tobytes())
         return b"".join(ids), [((total - loss) / UNIT, sorted(named(i, p) for i, p in way)) for loss, way in ways]
 
     def nbest(self, text: str, n: int) -> list[tuple[float, bytes]]:
