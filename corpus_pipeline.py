@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from geoloom.llm import language_id, near_duplicates, packing, quality
 from geoloom.llm.common import new_path
@@ -27,13 +26,11 @@ LANGUAGE_SHARE = 0.5
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality.judge(docs, labels, docs.columns)
-    return judged.where("keep").select(*docs.columns)
+    return quality.good_documents(docs, labels)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.predict(docs, language_id.learn(docs), docs.columns)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE)).select(*docs.columns)
+    return language_id.identified(docs, language_id.learn(docs), LANGUAGE_SHARE)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a batch handed to Python; whole texts, so that a batch of long ones stays small.
 BATCH_ROWS = 512
@@ -41,6 +42,18 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows and bytes of strings up to which a join's side is sent to all executors.
+SENT_ROWS, SENT_BYTES = 2_000_000, 64_000_000
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """A written table as the side of a join: sent to all executors if it is measured to be within SENT_ROWS and
+    SENT_BYTES; else as it is, for a join by shuffle."""
+    texts = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = df.agg(F.count("*").alias("n"), sum(texts, F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= SENT_ROWS and size["b"] <= SENT_BYTES else df
+
+
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Whole documents travel to Python in batches of so many rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -83,6 +96,16 @@ def _column(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
+def carried(columns: list[str]) -> list:
+    """Columns under names of their own, so that none clashes with what an operator adds."""
+    return [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(columns)]
+
+
+def restored(columns: list[str]) -> list:
+    """The carried columns under their old names."""
+    return [F.col(f"_k{i}").alias(c) for i, c in enumerate(columns)]
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]

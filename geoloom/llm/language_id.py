@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, own_memo, texts_of
+from .common import arrow_map, carried, own_memo, restored, texts_of
 from .crf import Crf, emissions, feature_blocks, posteriors
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -115,10 +115,23 @@ _judges: dict[str, Judge] = {}
 
 
 def predict(docs: DataFrame, model: Crf, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score."""
+    """The columns `keep` of docs with lang_pred and score, which replace kept columns of these names."""
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    return _predicted(docs, model, keep, text_col).select(*restored(keep), "lang_pred", "score")
+
+
+def identified(docs: DataFrame, model: Crf, share: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose language is known and has at least that share of the letters."""
+    found = _predicted(docs, model, docs.columns, text_col)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= share)).select(*restored(docs.columns))
+
+
+def _predicted(docs: DataFrame, model: Crf, keep: list[str], text_col: str) -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # features times labels: MAX_LABELS bounds it
     key = uuid.uuid4().hex
+    rows = docs.select(*carried(keep), F.col(text_col).cast("string").alias("_text"))
+    kinds = rows.dtypes[:-1]
 
     def make():
         if key not in _judges:
@@ -129,13 +142,11 @@ def predict(docs: DataFrame, model: Crf, keep: list[str], text_col: str = "text"
 
         def f(batch):
             found = judge.judge(texts_of(batch, "_text"))
-            return {x: batch.column(x) for x in keep} | {"lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
+            return {x: batch.column(x) for x, _ in kinds} | {"lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
 
         return f
 
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    kinds = dict(rows.dtypes)
-    return arrow_map(rows, make, ", ".join(f"`{x}` {kinds[x]}" for x in keep) + ", lang_pred string, score double")
+    return arrow_map(rows, make, "".join(f"`{x}` {kind}, " for x, kind in kinds) + "lang_pred string, score double")
 
 
 def held_out(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, drop, mix64, own_memo, table, texts_of
+from .common import arrow_map, bound_batches, drop, mix64, own_memo, sent_if_small, table, texts_of
 from .components import components
 from .dart_minhash import band_keys, signatures
 
@@ -187,9 +187,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, words:
     buckets = exploded.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
     in_buckets = table(exploded.join(buckets, "key").select("key", "node", "lead", "n"), "buckets")
     pairs = table(in_buckets.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    wanted = in_buckets.select("node").distinct()
-    sets = table(made.select(F.col("row").alias("node"), "shingles").join(wanted, "node", "left_semi"), "sets")
-    drop(spark, made, keys)
+    wanted = table(in_buckets.select("node").distinct(), "wanted")
+    sets = table(made.select(F.col("row").alias("node"), "shingles").join(sent_if_small(wanted), "node", "left_semi"), "sets")
+    drop(spark, made, keys, wanted)
     links = table(verified(pairs, sets, threshold), "verified")
     labels = components(links)
 
@@ -213,8 +213,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) ->
     """The documents less all but the first of each class.  Rows of one doc_id stay or go
     together; rows without a doc_id can't be told apart and are kept."""
     kept = near_duplicate_classes(docs, id_col=id_col, **options)
-    gone = kept.groupBy("doc_id").agg(F.max("first").alias("stays")).where("not stays and doc_id is not null").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    gone = kept.where("doc_id is not null").groupBy("doc_id").agg(F.max("first").alias("stays")).where("not stays").select(F.col("doc_id").alias("_gone"))
+    return docs.join(sent_if_small(table(gone, "gone")), F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
 
 
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table, texts_of
+from .common import arrow_map, carried, restored, sent_if_small, table, texts_of
 
 SAMPLE, KEEP = 6000, 0.5
 #: Bounds of a level's pseudo-documents.
@@ -111,20 +111,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     return Logistic.fit(np.array([r["x"] for r in found]), np.array([float(r["label"] > 0) for r in found]))
 
 
-def evidence(docs: DataFrame, model: Logistic | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` with own_logit: the calibrated log odds of a good document by its text."""
+def evidence(docs: DataFrame, model: Logistic | None, keep: list[str], site: str = "source", path: str = "lang", text_col: str = "text") -> DataFrame:
+    """The carried columns `keep`, _site and _path with own_logit: the calibrated log odds of a good document by its
+    text."""
+    rows = docs.select(*carried(keep), F.col(site).cast("string").alias("_s"), F.col(path).cast("string").alias("_p"), F.col(text_col).cast("string").alias("_text"))
+    kinds = rows.dtypes[:-1]
 
     def make():
         def f(batch):
             texts = texts_of(batch, "_text")
             own = model.logits(np.array([features(t) for t in texts])) if model else np.zeros(len(texts))
-            return {x: batch.column(x) for x in keep} | {"own_logit": own}
+            return {x: batch.column(x) for x, _ in kinds} | {"own_logit": own}
 
         return f
 
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    kinds = dict(rows.dtypes)
-    return arrow_map(rows, make, ", ".join(f"`{x}` {kinds[x]}" for x in keep) + ", own_logit double")
+    return arrow_map(rows, make, "".join(f"`{x}` {kind}, " for x, kind in kinds) + "own_logit double")
 
 
 def _strength(rates: DataFrame, above: str) -> float:
@@ -154,18 +155,27 @@ def posteriors(judged: DataFrame, site: str, path: str) -> DataFrame:
     by_path = by_path.join(by_site.withColumnRenamed("_site", "_up"), F.col("_site").eqNullSafe(F.col("_up"))).drop("_up")
     k2 = _strength(by_path, "site_rate")
     by_path = by_path.withColumn("path_rate", (F.lit(k2) * F.col("site_rate") + F.col("s")) / (F.lit(k2) + F.col("n"))).select("_site", "_path", "site_rate", "path_rate")
-    both = judged.join(by_path, F.col(site).eqNullSafe(F.col("_site")) & F.col(path).eqNullSafe(F.col("_path"))).drop("_site", "_path")
+    both = judged.join(sent_if_small(table(by_path, "path-rates")), F.col(site).eqNullSafe(F.col("_site")) & F.col(path).eqNullSafe(F.col("_path"))).drop("_site", "_path")
     logit = lambda x: F.log(x / (1 - x))
     odds = F.col("own_logit") + logit(F.col("path_rate")) - F.lit(float(np.log(base / (1 - base))))
     return both.withColumn("quality_score", 1 / (1 + F.exp(-odds)))
 
 
+def _judged(docs: DataFrame, labels: DataFrame, columns: list[str], site: str, path: str, **options) -> DataFrame:
+    return posteriors(table(evidence(docs, fit(docs, labels, **options), columns, site, path), "evidence"), "_s", "_p")
+
+
 def judge(docs: DataFrame, labels: DataFrame, keep: list[str], site: str = "source", path: str = "lang", threshold: float = KEEP, **options) -> DataFrame:
-    """The columns `keep` with own_score, site_rate, path_rate, quality_score and keep."""
-    columns = list(dict.fromkeys([*keep, site, path]))
-    judged = table(evidence(docs, fit(docs, labels, **options), columns), "evidence")
-    scored = posteriors(judged, site, path)
-    return scored.select(*keep, (1 / (1 + F.exp(-F.col("own_logit")))).alias("own_score"), "site_rate", "path_rate", "quality_score", (F.col("quality_score") >= threshold).alias("keep"))
+    """The columns `keep` with own_score, site_rate, path_rate, quality_score and keep, which replace kept columns
+    of these names."""
+    keep = [c for c in keep if c not in ("own_score", "site_rate", "path_rate", "quality_score", "keep")]
+    scored = _judged(docs, labels, keep, site, path, **options)
+    return scored.select(*restored(keep), (1 / (1 + F.exp(-F.col("own_logit")))).alias("own_score"), "site_rate", "path_rate", "quality_score", (F.col("quality_score") >= threshold).alias("keep"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "lang", threshold: float = KEEP, **options) -> DataFrame:
+    """The rows of docs whose posterior reaches the threshold."""
+    return _judged(docs, labels, docs.columns, site, path, **options).where(F.col("quality_score") >= threshold).select(*restored(docs.columns))
 
 
 def op9_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

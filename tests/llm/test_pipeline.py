@@ -31,3 +31,18 @@ def test_stages_in_turn(spark):
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= 4096 and len(ends) <= -(-sum(ends.values()) // 4096) * 1.01 + 1
     assert quality.KEEP == cp.LANGUAGE_SHARE == 0.5
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    rows = [(i, "the and of to in that it with for was " * 3 + str(i), "en", "s", 40, 0.5, "x", True, 1) for i in range(30)]
+    rows += [(100, None, None, None, None, None, None, None, None), (None, "the and of to in that", "en", None, 1, 0.1, "", False, 2), (7, "!!", "en", "s", 2, 0.1, "", False, 2), (101, "the and of it " * 9000, "en", "t", 0, 0.0, "", None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, keep boolean, _s int")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(where := (spark.conf.get("spark.checkpoint.dir") + "/odd/labels.parquet"))
+    for data in (docs, docs.limit(0)):
+        out = data
+        for name, stage in cp.STAGES:
+            out = stage(spark, out, where.rpartition("/")[0])
+            n = out.count()
+            assert name == "packing" or out.columns == docs.columns
+        assert n > 0 or data is not docs
