@@ -74,7 +74,7 @@ def tmerc_inverse_sql(x: str, y: str, lat0: float, lng0: float, k: float = 1.0)
     return f"degrees({lat})", f"({lng0} + degrees(atan2(sinh({eta1}), cos({xi1}))))"
 
 
-def local_xy(lat: str, lng: str, lat0: float, lng0: float) -> tuple[Column, Column]:
+def local_xy(lat: str, lng: str, lat0: float, lng0: str | float) -> tuple[Column, Column]:
     """Metres east and north of a centre."""
     x, y = tmerc_sql(lat, lng, lat0, lng0)
     return F.expr(x), F.expr(y)

@@ -111,14 +111,14 @@ def water_blocks(spark, sf):
 
 
 @query("ground_mask", """
-WITH s AS (SELECT 1.5 + s_suppkey % 3 AS half, (s_suppkey * 7 % 64)::DOUBLE AS ax, (s_suppkey * 13 % 64)::DOUBLE AS az, (s_suppkey * 11 % 64)::DOUBLE AS bx, (s_suppkey * 5 % 64)::DOUBLE AS bz FROM supplier WHERE s_suppkey <= 20),
+WITH s AS (SELECT 1.5 + s_suppkey % 3 AS half, (s_suppkey * 7 % 64)::DOUBLE AS ax, (s_suppkey * 13 % 64)::DOUBLE AS az, (s_suppkey * 11 % 64)::DOUBLE AS bx, (s_suppkey * 5 % 64)::DOUBLE AS bz FROM supplier),
 c AS (SELECT s.*, x.i AS cx, z.i AS cz FROM s, (SELECT unnest(range(0, 64)) AS i) x, (SELECT unnest(range(0, 64)) AS i) z),
 t AS (SELECT *, coalesce(greatest(0, least(1, ((cx + 0.5 - ax) * (bx - ax) + (cz + 0.5 - az) * (bz - az)) / nullif((bx - ax) * (bx - ax) + (bz - az) * (bz - az), 0))), 0) AS t FROM c),
 e AS (SELECT cx, cz, sqrt(pow(cx + 0.5 - ax - (bx - ax) * t, 2) + pow(cz + 0.5 - az - (bz - az) * t, 2)) - half AS edge FROM t)
 SELECT CAST(cx AS INT) AS cx, CAST(cz AS INT) AS cz, round(max(CASE WHEN edge <= 0 THEN 1 ELSE pow((3 - edge) / 3, 2) * (3 - 2 * (3 - edge) / 3) END), 6) AS w FROM e WHERE edge < 3 GROUP BY cx, cz""")
 def ground_mask(spark, sf):
     k = F.col("s_suppkey")
-    s = read(spark, sf, "supplier").where("s_suppkey <= 20").select((1.5 + k % 3).alias("half"), (k * 7 % 64).cast("double").alias("ax"), (k * 13 % 64).cast("double").alias("az"), (k * 11 % 64).cast("double").alias("bx"), (k * 5 % 64).cast("double").alias("bz"))
+    s = read(spark, sf, "supplier").select((1.5 + k % 3).alias("half"), (k * 7 % 64).cast("double").alias("ax"), (k * 13 % 64).cast("double").alias("az"), (k * 11 % 64).cast("double").alias("bx"), (k * 5 % 64).cast("double").alias("bz"))
     return junctions.ground_mask(s, 64, 3.0).select("cx", "cz", F.round("w", 6).alias("w"))
 
 
@@ -129,9 +129,9 @@ def capped_categories(spark, sf):
     return junctions.capped(li, {"A": 50, "R": 120}).select(F.col("l_orderkey").alias("ord"), "category")
 
 
-@query("stable_widths", "SELECT l_suppkey * 100 + l_partkey % 50 AS corridor, max(l_quantity) AS width FROM lineitem WHERE l_linenumber = 7 GROUP BY 1 HAVING max(l_quantity) - min(l_quantity) <= 3.5 * 2 + 0.75")
+@query("stable_widths", "SELECT l_partkey * 100000 + l_suppkey AS corridor, max(l_quantity) AS width FROM lineitem GROUP BY 1 HAVING max(l_quantity) - min(l_quantity) <= 3.5 * 2 + 0.75")
 def stable_widths(spark, sf):
-    li = read(spark, sf, "lineitem").where("l_linenumber = 7").select((F.col("l_suppkey") * 100 + F.col("l_partkey") % 50).alias("corridor"), F.col("l_quantity").alias("width"), F.lit(3.5).alias("lane"))
+    li = read(spark, sf, "lineitem").select((F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("corridor"), F.col("l_quantity").alias("width"), F.lit(3.5).alias("lane"))
     return junctions.stable_widths(li)
 
 

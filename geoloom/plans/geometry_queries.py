@@ -153,7 +153,7 @@ def hulls(spark, sf):
     return geometry.hull(lines(spark, sf))
 
 
-_SEGS = f"(SELECT line AS ord, line % 7 AS mat, 1 + line % 3 AS half, x % 128 AS ax, y % 128 AS ay, (x + 17) % 128 AS bx, (y + 5) % 128 AS by FROM {LINES} WHERE idx = 0)"
+_SEGS = f"(SELECT line * 64 + idx AS ord, line % 7 AS mat, 1.3::DOUBLE + line % 2 AS half, x % 128 AS ax, y % 128 AS ay, x % 128 + y % 5 AS bx, y % 128 + x % 4 AS by FROM {LINES})"
 
 
 @query("segment_raster", f"""
@@ -162,8 +162,8 @@ q AS (SELECT *, unnest(range(greatest(0, CAST(floor(least(ay, by) - half) AS BIG
 t AS (SELECT *, greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / nullif((bx - ax) * (bx - ax) + (by - ay) * (by - ay), 0))) AS t FROM q)
 SELECT CAST(px AS INT) AS px, CAST(py AS INT) AS py, arg_max(mat, ord) AS mat FROM t WHERE pow(px - ax - (bx - ax) * coalesce(t, 0), 2) + pow(py - ay - (by - ay) * coalesce(t, 0), 2) <= half * half GROUP BY px, py""")
 def segment_raster(spark, sf):
-    v = lines(spark, sf).where("idx = 0")
-    s = v.select(F.col("line").alias("ord"), (F.col("line") % 7).alias("mat"), (1 + F.col("line") % 3).alias("half"), (F.col("x") % 128).alias("ax"), (F.col("y") % 128).alias("ay"), ((F.col("x") + 17) % 128).alias("bx"), ((F.col("y") + 5) % 128).alias("by"))
+    x, y = F.col("x"), F.col("y")
+    s = lines(spark, sf).select((F.col("line") * 64 + F.col("idx")).alias("ord"), (F.col("line") % 7).alias("mat"), (1.3 + F.col("line") % 2).alias("half"), (x % 128).alias("ax"), (y % 128).alias("ay"), (x % 128 + y % 5).alias("bx"), (y % 128 + x % 4).alias("by"))
     return geometry.rasterized_segments(s, 128)
 
 
@@ -244,13 +244,13 @@ def ribbons(spark, sf):
 
 
 @query("tree_rows", f"""
-WITH s AS (SELECT line, idx, x, y, lead(x) OVER w AS bx, lead(y) OVER w AS by FROM {LINES} WHERE line % 50 = 0 WINDOW w AS (PARTITION BY line ORDER BY idx)),
-n AS (SELECT *, greatest(1, CAST(floor(sqrt(pow(bx - x, 2) + pow(by - y, 2)) / 8) AS INT)) AS n FROM s WHERE bx IS NOT NULL), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n)
+WITH s AS (SELECT line, idx, x, y, lead(x) OVER w AS bx, lead(y) OVER w AS by FROM {LINES} WINDOW w AS (PARTITION BY line ORDER BY idx)),
+n AS (SELECT *, greatest(1, CAST(floor(sqrt(pow(bx - x, 2) + pow(by - y, 2)) / 80) AS INT)) AS n FROM s WHERE bx IS NOT NULL), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n)
 SELECT line, idx, CAST(k AS INT) AS k, round(x + (bx - x) * k / n, 6) AS x, round(y + (by - y) * k / n, 6) AS y FROM k""")
 def tree_rows(spark, sf):
     from geoloom.operators import shapes
 
-    return shapes.along(lines(spark, sf).where("line % 50 = 0"), 8.0).select("line", "idx", "k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return shapes.along(lines(spark, sf), 80.0).select("line", "idx", "k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query("walls", f"""

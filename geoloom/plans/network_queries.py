@@ -61,7 +61,7 @@ def chain_nodes(spark, sf):
     return network.chain_nodes(segments(spark, sf).withColumn("style", F.col("way") % 3))
 
 
-_LINKS = "(SELECT p_partkey % 701 AS a, (p_partkey * 7 + p_size) % 701 AS b FROM part WHERE p_size < 12)"
+_LINKS = "(SELECT p_partkey AS a, p_partkey // 8 * 8 + p_size % 8 AS b FROM part)"
 
 
 @query("graph_components", f"""
@@ -69,18 +69,18 @@ WITH RECURSIVE l AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM {_LINKS} UNION
 r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen)
 SELECT node, min(seen) AS label FROM r GROUP BY node""")
 def graph_components(spark, sf):
-    p = read(spark, sf, "part").where("p_size < 12")
-    links = p.select((F.col("p_partkey") % 701).alias("a"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 701).alias("b"))
+    k = F.col("p_partkey")
+    links = read(spark, sf, "part").select(k.alias("a"), (F.floor(k / 8) * 8 + F.col("p_size") % 8).alias("b"))
     return network.components(links, shared_folder(spark))
 
 
 @query("handed_down_tags", """
-WITH m AS (SELECT l_partkey AS ref, l_orderkey AS ord, CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag END AS natural_tag, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS name FROM lineitem WHERE l_linenumber < 7),
+WITH m AS (SELECT l_partkey AS ref, l_orderkey AS ord, CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag END AS natural_tag, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS name FROM lineitem),
 d AS (SELECT ref, ord, max(natural_tag) AS natural_tag, max(name) AS name FROM m GROUP BY ref, ord),
 f AS (SELECT ref, arg_min(natural_tag, ord) FILTER (natural_tag IS NOT NULL) AS n, arg_min(name, ord) FILTER (name IS NOT NULL) AS m FROM d GROUP BY ref)
 SELECT p_partkey AS id, coalesce(CASE WHEN p_size % 4 = 0 THEN p_type END, n) AS natural_tag, coalesce(CASE WHEN p_size % 5 = 0 THEN p_name END, m) AS name FROM part LEFT JOIN f ON ref = p_partkey""")
 def handed_down_tags(spark, sf):
-    li = read(spark, sf, "lineitem").where("l_linenumber < 7")
+    li = read(spark, sf, "lineitem")
     m = li.select(F.col("l_partkey").alias("ref"), F.col("l_orderkey").alias("ord"), F.when(F.col("l_linenumber") % 3 == 0, F.col("l_returnflag")).alias("natural_tag"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus")).alias("name"))
     m = m.groupBy("ref", "ord").agg(F.max("natural_tag").alias("natural_tag"), F.max("name").alias("name"))
     p = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 4 == 0, F.col("p_type")).alias("natural_tag"), F.when(F.col("p_size") % 5 == 0, F.col("p_name")).alias("name"))
@@ -114,7 +114,7 @@ def nearest_targets(spark, sf):
     return network.nearest(p, t, 50.0)
 
 
-_TILES = "(SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 3 + CASE WHEN p_partkey // 3 = 0 THEN 1 ELSE 0 END END AS parent, p_size % 3 = 0 AS selected FROM part WHERE p_partkey BETWEEN 1 AND 1000)"
+_TILES = "(SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 3 + CASE WHEN p_partkey // 3 = 0 THEN 1 ELSE 0 END END AS parent, p_size % 3 = 0 AS selected FROM part WHERE p_partkey > 0)"
 
 
 @query("finest_covering", f"""
@@ -125,5 +125,5 @@ SELECT DISTINCT pick AS id FROM near""")
 def finest_covering(spark, sf):
     k = F.col("p_partkey")
     third = F.floor(k / 3)
-    t = read(spark, sf, "part").where("p_partkey between 1 and 1000").select(k.alias("id"), F.when(k > 1, F.greatest(third, F.lit(1))).alias("parent"), (F.col("p_size") % 3 == 0).alias("selected"))
+    t = read(spark, sf, "part").where("p_partkey > 0").select(k.alias("id"), F.when(k > 1, F.greatest(third, F.lit(1))).alias("parent"), (F.col("p_size") % 3 == 0).alias("selected"))
     return network.finest_covering(t)

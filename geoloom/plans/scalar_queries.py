@@ -16,16 +16,16 @@ def r6(x):
     return scalars.round_to(x, 6)
 
 
-_E, _N = crs.tmerc_sql("lat", "lng", 50.0, 10.0)
-_NEAR = "abs(lng - 10) < 40"
+_E, _N = crs.tmerc_sql("lat", "lng", 50.0, "(floor(lng / 6) * 6 + 3)")
 _BLAT, _BLNG = crs.tmerc_inverse_sql("east", "north", 50.0, 10.0)
 
 
 @query("local_projection", f"""
-SELECT id, {R6.format(_E)} AS east, {R6.format(_N)} AS north FROM {POINTS} WHERE {_NEAR}""")
+SELECT id, floor({_E} * 10000 + 0.5) / 10000 AS east, floor({_N} * 10000 + 0.5) / 10000 AS north FROM {POINTS}""")
 def local_projection(spark, sf):
-    x, y = crs.local_xy("lat", "lng", 50.0, 10.0)
-    return points(spark, sf).where(_NEAR).select("id", r6(x).alias("east"), r6(y).alias("north"))
+    """Metres from latitude 50 and the middle of each point's six-degree strip."""
+    x, y = crs.local_xy("lat", "lng", 50.0, "(floor(lng / 6) * 6 + 3)")
+    return points(spark, sf).select("id", scalars.round_to(x, 4).alias("east"), scalars.round_to(y, 4).alias("north"))
 
 
 @query("local_projection_inverse", f"""

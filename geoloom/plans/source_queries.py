@@ -65,19 +65,19 @@ def decoded_polylines(spark, sf):
 
 
 @query("map_elements", """
-SELECT l_orderkey AS file, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS ord, l_partkey AS id, CASE WHEN l_linenumber % 2 = 0 THEN 'node' ELSE 'way' END AS type, l_returnflag AS kind FROM lineitem WHERE l_orderkey % 10 = 0""")
+SELECT l_orderkey AS file, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS ord, l_partkey AS id, CASE WHEN l_linenumber % 2 = 0 THEN 'node' ELSE 'way' END AS type, l_returnflag AS kind FROM lineitem""")
 def map_elements(spark, sf):
-    li = read(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+    li = read(spark, sf, "lineitem")
     e = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.to_json(F.struct(F.when(F.col("l_linenumber") % 2 == 0, "node").otherwise("way").alias("type"), F.col("l_partkey").alias("id"), F.create_map(F.lit("kind"), F.col("l_returnflag")).alias("tags"))).alias("j"))
     files = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.concat(F.lit('{"elements":['), F.array_join(F.transform(F.sort_array(F.collect_list(e)), lambda x: x["j"]), ","), F.lit("]}")).alias("text"))
     return records.read_elements(files).select("file", "ord", "id", "type", F.col("tags")["kind"].alias("kind"))
 
 
 @query("sheet_links", """
-WITH m AS (SELECT l_orderkey AS id, l_partkey AS n, CASE WHEN l_linenumber % 3 = 0 THEN concat('ftp://x/', l_partkey) ELSE concat('https://x/', l_partkey) END AS url, CASE WHEN l_suppkey % 2 = 0 THEN concat('N-', l_suppkey % 5) END AS sheet FROM lineitem WHERE l_orderkey % 20 = 0)
+WITH m AS (SELECT l_orderkey AS id, l_partkey AS n, CASE WHEN l_linenumber % 3 = 0 THEN concat('ftp://x/', l_partkey) ELSE concat('https://x/', l_partkey) END AS url, CASE WHEN l_suppkey % 2 = 0 THEN concat('N-', l_suppkey % 5) END AS sheet FROM lineitem)
 SELECT id, coalesce(sheet, url) AS key, arg_min(url, n) AS url FROM m WHERE url LIKE 'https%' GROUP BY id, coalesce(sheet, url)""")
 def sheet_links(spark, sf):
-    li = read(spark, sf, "lineitem").where("l_orderkey % 20 = 0")
+    li = read(spark, sf, "lineitem")
     url = F.concat(F.when(F.col("l_linenumber") % 3 == 0, "ftp://x/").otherwise("https://x/"), F.col("l_partkey").cast("string"))
     sheet = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("<ms:godlo>N-"), (F.col("l_suppkey") % 5).cast("string"), F.lit("</ms:godlo>"))).otherwise("")
     block = F.struct(F.col("l_partkey").alias("n"), F.concat(F.lit("<wfs:member><ms:url_do_pobrania>"), url, F.lit("</ms:url_do_pobrania>"), sheet, F.lit("</wfs:member>")).alias("b"))
@@ -123,8 +123,8 @@ def tiff_grids(spark, sf):
 
 
 @query("places", """
-SELECT c_custkey AS id, CAST(i AS INT) AS n, CASE WHEN i = 0 THEN c_name ELSE c_mktsegment END AS name, c_acctbal + i AS lat FROM customer, (VALUES (0), (1)) AS v(i) WHERE c_custkey % 2 = 0""")
+SELECT c_custkey AS id, CAST(i AS INT) AS n, CASE WHEN i = 0 THEN c_name ELSE c_mktsegment END AS name, c_acctbal + i AS lat FROM customer, (VALUES (0), (1)) AS v(i)""")
 def places(spark, sf):
     c = read(spark, sf, "customer")
     j = F.to_json(F.array(*[F.struct((F.col("c_acctbal") + i).cast("string").alias("lat"), F.lit("1.5").alias("lon"), F.concat(F.col(n), F.lit(", b")).alias("display_name"), F.col(n).alias("name"), F.lit("city").alias("type")) for i, n in ((0, "c_name"), (1, "c_mktsegment"))]))
-    return records.read_places(c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), j.alias("text"))).select("id", "n", "name", F.round("lat", 6).alias("lat"))
+    return records.read_places(c.select(F.col("c_custkey").alias("id"), j.alias("text"))).select("id", "n", "name", F.round("lat", 6).alias("lat"))
