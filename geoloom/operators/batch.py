@@ -134,3 +134,25 @@ def remaining_ms(done: DataFrame) -> DataFrame:
     """job, left_ms: mean of the finished tiles' ms times the number of unfinished ones."""
     out = done.groupBy("job").agg(F.avg(F.when(F.col("status") == "done", F.col("ms"))).alias("mean"), F.count_if(F.col("status").isin("queued", "processing")).alias("left"))
     return out.select("job", js_round(F.col("mean") * F.col("left")).alias("left_ms"))
+
+
+def number_key(x: Column, places: int) -> Column:
+    """A rounded number as text without a trailing zero part."""
+    return F.regexp_replace(round_to(x, places).cast("string"), r"\.0$", "")
+
+
+def tile_ids(tiles: DataFrame) -> DataFrame:
+    """tiles (job, row, col, lat, lng, north, south, east, west) with `tile`, a key that follows from the job, the place
+    and the bounds to six places."""
+    from geoloom.functions.scalars import fnv1a_hex
+
+    text = lambda c: F.col(c).cast("string")
+    key = F.concat_ws("|", text("job"), text("row"), text("col"), *[number_key(F.col(c), 6) for c in ("lat", "lng", "north", "south", "east", "west")])
+    return tiles.withColumn("tile", F.concat(F.lit("tile_"), fnv1a_hex(key)))
+
+
+def combinations(spark, options: dict[str, list]) -> DataFrame:
+    """One row for each combination of a few options' values."""
+    from itertools import product
+
+    return spark.createDataFrame(list(product(*options.values())), list(options))

@@ -128,3 +128,9 @@ def rank_value(col: str, share: float, rule: str) -> Column:
         return F.percentile(col, F.lit(share))
     at = F.floor(n * share) if rule == "floor_n" else F.floor((n - 1) * share)
     return F.element_at(a, (F.greatest(F.lit(0), F.least(n - 1, at)) + 1).cast("int"))
+
+
+def highest(cells: DataFrame, by: list[str]) -> DataFrame:
+    """The highest cell of each group, of equal ones the first by row and column."""
+    best = F.min_by(F.struct("y", "x", "h"), F.struct((-F.col("h")).alias("d"), "y", "x"))
+    return cells.where("h is not null").groupBy(*by).agg(best.alias("b")).select(*by, *[F.col(f"b.{c}").alias(f"top_{c}") for c in ("y", "x", "h")])

@@ -86,3 +86,17 @@ def stamped(template: DataFrame, instances: DataFrame) -> DataFrame:
     c, s = F.cos("yaw"), F.sin("yaw")
     j = instances.join(F.broadcast(template), "kind")
     return j.select("id", "vi", (F.col("px") + F.col("scale") * (F.col("x") * c + F.col("z") * s)).alias("x"), (F.col("py") + F.col("scale") * F.col("y")).alias("y"), (F.col("pz") + F.col("scale") * (F.col("z") * c - F.col("x") * s)).alias("z"))
+
+
+def conformed(vertices: DataFrame, triangles: DataFrame, terrain: DataFrame, cell: float, reach: float = GROUND_M, most: float = 15.0) -> DataFrame:
+    """Vertices lowered by their cell's median residual over the terrain (cx, cz, h).
+
+    Residuals are those of the ground triangles' corners within `reach` of the terrain; a shift is held to `most`, and
+    cells without a residual don't move."""
+    key = [F.floor(F.col(c) / cell).alias(f"c{c}") for c in "xz"]
+    v = vertices.select("*", *key)
+    over = v.join(terrain, ["cx", "cz"], "left").withColumn("r", F.col("y") - F.coalesce("h", F.lit(0.0)))
+    ground = ground_triangles(triangles, vertices).select("mesh", F.explode(F.array("i0", "i1", "i2")).alias("vi"))
+    shift = ground.join(over.select("mesh", "vi", "cx", "cz", "r"), ["mesh", "vi"]).where(F.abs("r") < reach).groupBy("cx", "cz").agg(F.median("r").alias("d"))
+    moved = v.join(shift, ["cx", "cz"], "left")
+    return moved.select("mesh", "lod", "vi", "x", (F.col("y") - F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce("d", F.lit(0.0))))).alias("y"), "z")

@@ -181,3 +181,17 @@ def schedulers(spark, sf):
     pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (k % n + 1).cast("int"))
     s = batch.scheduler(pick(5, 512, 1024, 4096, 8192, 16384), pick(4, "", "throughput", "low_memory", "x"), F.col("p_size") % 2 == 0)
     return read(spark, sf, "part").select(k.alias("id"), s.alias("s")).select("id", "s.*")
+
+
+_KEY = "regexp_replace(CAST(floor({} * 1000000 + 0.5) / 1000000 AS VARCHAR), '\\.0$', '')"
+
+
+@query("tile_ids", f"""
+WITH t AS (SELECT o_orderkey AS job, o_custkey % 5 AS row, o_custkey % 7 AS col, 40 + o_custkey * 0.001::DOUBLE AS lat, 9 + o_orderkey * 0.0001::DOUBLE AS lng FROM orders),
+k AS (SELECT *, concat_ws('|', job, row, col, {", ".join(_KEY.format(c) for c in ("lat", "lng", "(lat + 0.005::DOUBLE)", "(lat - 0.005::DOUBLE)", "(lng + 0.007::DOUBLE)", "(lng - 0.007::DOUBLE)"))}) AS k FROM t)
+SELECT job, concat('tile_', lower(lpad(to_hex(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(k, ''), lambda c: ascii(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)), 8, '0'))) AS tile FROM k""")
+def tile_ids(spark, sf):
+    o = read(spark, sf, "orders")
+    lat, lng = 40 + F.col("o_custkey") * 0.001, 9 + F.col("o_orderkey") * 0.0001
+    t = o.select(F.col("o_orderkey").alias("job"), (F.col("o_custkey") % 5).alias("row"), (F.col("o_custkey") % 7).alias("col"), lat.alias("lat"), lng.alias("lng"), (lat + 0.005).alias("north"), (lat - 0.005).alias("south"), (lng + 0.007).alias("east"), (lng - 0.007).alias("west"))
+    return batch.tile_ids(t).select("job", "tile")

@@ -277,3 +277,15 @@ def relation_rings(spark, sf):
     w = ways(spark, sf)
     m = w.select(F.col("way").alias("rel"), F.col("idx").alias("ord"), F.array((F.col("px") % 4).cast("string"), (F.col("py") % 4).cast("string")).alias("nodes"))
     return shapes.rings_of_relations(m)
+
+
+@query("conformed_vertices", f"""
+WITH {_V}, {_TRI}, h AS (SELECT CAST(floor(x / 6) AS BIGINT) AS cx, CAST(floor(z / 6) AS BIGINT) AS cz, min(y) + 0.125 AS h FROM v GROUP BY 1, 2),
+r AS (SELECT v.*, CAST(floor(x / 6) AS BIGINT) AS cx, CAST(floor(z / 6) AS BIGINT) AS cz FROM v), o AS (SELECT r.*, y - coalesce(h, 0) AS r FROM r LEFT JOIN h USING (cx, cz)),
+u AS (SELECT ti AS vi FROM g WHERE up > 0.85 UNION ALL SELECT i1 FROM g WHERE up > 0.85 UNION ALL SELECT i2 FROM g WHERE up > 0.85),
+d AS (SELECT cx, cz, median(r) AS d FROM u JOIN o USING (vi) WHERE abs(r) < 2.5 GROUP BY cx, cz)
+SELECT mesh, vi, round(y - greatest(-15, least(15, coalesce(d, 0))), 6) AS y FROM r LEFT JOIN d USING (cx, cz)""")
+def conformed_vertices(spark, sf):
+    v, t = _soup(spark, sf)
+    h = v.groupBy(F.floor(F.col("x") / 6).alias("cx"), F.floor(F.col("z") / 6).alias("cz")).agg((F.min("y") + 0.125).alias("h"))
+    return mesh.conformed(v, t, h, 6.0).select("mesh", "vi", F.round("y", 6).alias("y"))

@@ -113,3 +113,8 @@ def finished_rasters(spark, sf):
 
     c = cells(spark, sf).select(F.floor(F.col("y") / 50).alias("id"), "y", "x", "h")
     return rasters.per_raster(c, lambda a: rasters.finished(a, smooth=False, fill=True))
+
+
+@query("highest_cells", f"SELECT y // 10 AS block, arg_min({{'y': y, 'x': x, 'h': h}}, (-h, y, x)).y AS top_y, arg_min({{'y': y, 'x': x, 'h': h}}, (-h, y, x)).x AS top_x, max(h) AS top_h FROM {GRID} WHERE h IS NOT NULL GROUP BY 1")
+def highest_cells(spark, sf):
+    return grid.highest(cells(spark, sf).withColumn("block", F.floor(F.col("y") / 10)), ["block"])
