@@ -248,3 +248,28 @@ def rasterized_rings(rings: DataFrame, size: int) -> DataFrame:
     a, b = F.greatest(F.lit(0), F.ceil("s.a")).cast("int"), F.least(F.lit(size - 1), F.floor("s.b")).cast("int")
     s = s.withColumn("p0", a).withColumn("p1", b).where("p0 <= p1").withColumn("px", F.explode(F.sequence("p0", "p1")))
     return s.groupBy("px", "py").agg(F.max_by("mat", "ord").alias("mat"))
+
+
+def layer_map(layers: list[DataFrame]) -> DataFrame:
+    """px, py, mat of painted rasters (px, py, mat); a later one covers an earlier one."""
+    parts = [df.select("px", "py", "mat", F.lit(n).alias("layer")) for n, df in enumerate(layers)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.groupBy("px", "py").agg(F.max_by("mat", "layer").alias("mat"))
+
+
+def trimmed(points: DataFrame, start: float, end: float) -> DataFrame:
+    """Lines (line, idx, x, y) less so much length at both ends, new ends interpolated; a line that is shorter than
+    both goes.  Rows line, arc, x, y."""
+    w = Window.partitionBy("line").orderBy("idx")
+    a = with_arc(points).withColumn("total", F.max("arc").over(Window.partitionBy("line"))).where(F.col("total") > start + end)
+    a = a.select("line", "idx", "x", "y", "arc", "total", F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by"), F.lead("arc").over(w).alias("b"))
+    lo, hi = F.lit(start), F.col("total") - end
+    at = lambda s: F.struct(s.alias("arc"), (F.col("x") + (F.col("bx") - F.col("x")) * (s - F.col("arc")) / (F.col("b") - F.col("arc"))).alias("x"), (F.col("y") + (F.col("by") - F.col("y")) * (s - F.col("arc")) / (F.col("b") - F.col("arc"))).alias("y"))
+    none = F.array().cast("array<struct<arc:double,x:double,y:double>>")
+    own = F.when((F.col("arc") > lo) & (F.col("arc") < hi), F.array(F.struct("arc", "x", "y"))).otherwise(none)
+    inside = lambda s: (F.col("b") > F.col("arc")) & (s >= F.col("arc")) & (s < F.col("b"))
+    ends = F.concat(own, F.when(inside(lo), F.array(at(lo))).otherwise(none), F.when(inside(hi), F.array(at(hi))).otherwise(none))
+    last = F.when((F.col("b").isNull()) & (F.lit(end) == 0), F.array(F.struct("arc", "x", "y"))).otherwise(none)
+    return a.select("line", F.explode(F.concat(ends, last)).alias("p")).select("line", "p.*")

@@ -289,3 +289,35 @@ def conformed_vertices(spark, sf):
     v, t = _soup(spark, sf)
     h = v.groupBy(F.floor(F.col("x") / 6).alias("cx"), F.floor(F.col("z") / 6).alias("cz")).agg((F.min("y") + 0.125).alias("h"))
     return mesh.conformed(v, t, h, 6.0).select("mesh", "vi", F.round("y", 6).alias("y"))
+
+
+@query("layer_map", f"""
+WITH s AS (SELECT id AS ord, id % 4 AS mat, 1.3::DOUBLE AS half, ring[1].x AS ax, ring[1].y AS ay, ring[2].x AS bx, ring[2].y AS by FROM {RINGS}),
+q AS (SELECT s.*, x.i AS px, y.i AS py FROM s, (SELECT unnest(range(0, 64)) AS i) x, (SELECT unnest(range(0, 64)) AS i) y),
+t AS (SELECT *, coalesce(greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / nullif((bx - ax) * (bx - ax) + (by - ay) * (by - ay), 0))), 0) AS t FROM q),
+roads AS (SELECT px, py, arg_max(mat, ord) AS mat FROM t WHERE pow(px - ax - (bx - ax) * t, 2) + pow(py - ay - (by - ay) * t, 2) <= half * half GROUP BY px, py),
+e AS (SELECT id, unnest(list_zip(ring, {_NEXT})) AS e FROM {RINGS}), f AS (SELECT id, e[1].x AS ax, e[1].y AS ay, e[2].x AS bx, e[2].y AS by FROM e),
+g AS (SELECT *, unnest(range(0, 64)) AS py FROM f WHERE ay <> by), x AS (SELECT id, py, ax + (py + 0.5 - ay) / (by - ay) * (bx - ax) AS x FROM g WHERE py + 0.5 >= least(ay, by) AND py + 0.5 < greatest(ay, by)),
+r AS (SELECT id, py, list_sort(list(x)) AS xs FROM x GROUP BY id, py), u AS (SELECT id, py, xs, unnest(range(1, len(xs) // 2 + 1)) AS i FROM r),
+p AS (SELECT id, py, unnest(range(greatest(0, CAST(ceil(xs[2 * i - 1]) AS BIGINT)), least(63, CAST(floor(xs[2 * i]) AS BIGINT)) + 1)) AS px FROM u),
+areas AS (SELECT px, py, arg_max(id % 8, id) AS mat FROM p GROUP BY px, py)
+SELECT CAST(coalesce(r.px, a.px) AS INT) AS px, CAST(coalesce(r.py, a.py) AS INT) AS py, coalesce(r.mat, a.mat) AS mat FROM roads r FULL JOIN areas a ON a.px = r.px AND a.py = r.py""")
+def layer_map(spark, sf):
+    """Areas, then the first side of each ring as a road over them."""
+    r, k = rings(spark, sf), F.col("id")
+    areas = geometry.rasterized_rings(r.select(k.alias("ord"), (k % 8).alias("mat"), "ring"), 64)
+    side = lambda i, c: F.col("ring")[i][c]
+    roads = geometry.rasterized_segments(r.select(k.alias("ord"), (k % 4).alias("mat"), F.lit(1.3).alias("half"), side(0, "x").alias("ax"), side(0, "y").alias("ay"), side(1, "x").alias("bx"), side(1, "y").alias("by")), 64)
+    return geometry.layer_map([areas, roads])
+
+
+@query("trimmed_lines", f"""
+WITH s AS (SELECT line, idx, x, y, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM {LINES} WINDOW w AS (PARTITION BY line ORDER BY idx)),
+a AS (SELECT *, sum(d) OVER (PARTITION BY line ORDER BY idx) AS arc FROM s), t AS (SELECT *, max(arc) OVER (PARTITION BY line) AS total FROM a),
+g AS (SELECT *, lead(x) OVER w AS bx, lead(y) OVER w AS by, lead(arc) OVER w AS b FROM t WHERE total > 100 WINDOW w AS (PARTITION BY line ORDER BY idx)),
+c AS (SELECT line, arc, x, y FROM g WHERE arc > 40 AND arc < total - 60 UNION ALL
+ SELECT line, 40, x + (bx - x) * (40 - arc) / (b - arc), y + (by - y) * (40 - arc) / (b - arc) FROM g WHERE b > arc AND 40 >= arc AND 40 < b UNION ALL
+ SELECT line, total - 60, x + (bx - x) * (total - 60 - arc) / (b - arc), y + (by - y) * (total - 60 - arc) / (b - arc) FROM g WHERE b > arc AND total - 60 >= arc AND total - 60 < b)
+SELECT line, round(arc, 4) AS arc, round(x, 4) AS x, round(y, 4) AS y FROM c""")
+def trimmed_lines(spark, sf):
+    return geometry.trimmed(lines(spark, sf), 40.0, 60.0).select("line", *[F.round(c, 4).alias(c) for c in ("arc", "x", "y")])
