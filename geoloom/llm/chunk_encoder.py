@@ -22,7 +22,7 @@ _LED_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: set of rules and left alone by composition.  They go straight to the merging model.
 _PLAIN_CHUNK = re.compile(r"(\n)?( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?")
 #: Chunks kept at most, and the longest that is kept.
-MEMO_CHUNKS, MEMO_CHARS = 1_500_000, 48
+MEMO_CHUNKS, MEMO_CHARS = 1_000_000, 48
 
 
 def _byte_letters() -> dict[int, str]:

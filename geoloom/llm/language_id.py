@@ -22,7 +22,7 @@ from .common import arrow_map, carried, own_memo, restored, texts_of
 from .crf import Crf, emissions, feature_blocks, posteriors
 
 WORD = re.compile(r"[^\W\d_]+")
-PER_LABEL, MAX_LABELS, UNKNOWN, MEMO_WORDS = 250, 200, "und", 1_000_000
+PER_LABEL, MAX_LABELS, UNKNOWN, MEMO_WORDS = 250, 200, "und", 700_000
 #: Words whose chains are computed at once.
 AT_ONCE = 150_000
 _SPREAD = 1 << 30

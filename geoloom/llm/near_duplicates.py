@@ -35,7 +35,7 @@ from .dart_minhash import band_keys, signatures
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 7
 #: Nodes of a block, on average, when a bucket is compared in full.
 BLOCK = 256
-_MEMO_WORDS = 800_000
+_MEMO_WORDS = 600_000
 _word_hash: dict[str, int] = {}
 
 

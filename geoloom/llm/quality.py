@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, carried, restored, sent_if_small, table, texts_of
+from .common import arrow_map, carried, own_memo, restored, sent_if_small, table, texts_of
 
 SAMPLE, KEEP = 6000, 0.5
 #: Bounds of a level's pseudo-documents.
@@ -118,6 +118,8 @@ def evidence(docs: DataFrame, model: Logistic | None, keep: list[str], site: str
     kinds = rows.dtypes[:-1]
 
     def make():
+        own_memo("quality", lambda: None)  # it keeps none, but empties the others'
+
         def f(batch):
             texts = texts_of(batch, "_text")
             own = model.logits(np.array([features(t) for t in texts])) if model else np.zeros(len(texts))
