@@ -21,7 +21,7 @@ _LED_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: A line break, a word of common Latin letters and signs, each of which is a pre-token under either
 #: set of rules and left alone by composition.  They go straight to the merging model.
 _PLAIN_CHUNK = re.compile(r"(\n)?( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?")
-#: Chunks kept at most, and the longest that is kept.
+#: Chunks kept at most where nothing else is asked for, and the longest that is kept.
 MEMO_CHUNKS, MEMO_CHARS = 1_000_000, 48
 
 
@@ -39,7 +39,7 @@ _loaded: dict[str, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_chunks: int = MEMO_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,7 +50,7 @@ class ChunkEncoder:
         self.model = self.tokenizer.model
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cut = self._cut(json.loads(self.tokenizer.to_str()))
-        self.memo = Memo(self)
+        self.memo, self.memo_chunks = Memo(self), memo_chunks
 
     @staticmethod
     def _cut(spec: dict) -> str:
@@ -91,7 +91,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.memo) > MEMO_CHUNKS:
+        if len(self.memo) > self.memo_chunks:
             self.memo.clear()
         get = self.memo.__getitem__
         return [b"".join(map(get, self.chunks(t))) for t in texts]
@@ -116,10 +116,11 @@ class Memo(dict):
         return ids
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, memo_chunks: int = MEMO_CHUNKS) -> ChunkEncoder:
     """One encoder a Python worker and file."""
     if path not in _loaded:
         _loaded.clear()
         _loaded[path] = ChunkEncoder(path)
+    _loaded[path].memo_chunks = memo_chunks
     own_memo("chunks", _loaded.clear)
     return _loaded[path]

@@ -28,18 +28,23 @@ from .common import arrow_map, bound_batches, drop, new_path, table, texts_of
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 #: Ids of a shard on average, and most shards.
 SHARD_TOKENS, MAX_SHARDS = 1_000_000, 100_000
+#: Ids below this are counted in an array.
+DENSE = 1 << 20
+#: Text chunks whose ids a worker keeps: this writer's tasks hold little else.
+MEMO_CHUNKS = 2_000_000
 
 
-def token_ids(docs: DataFrame, vocab_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) of each whole text and the end id."""
+def token_ids(docs: DataFrame, vocab_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned, `width` bytes) of each whole text and the end id."""
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        enc = encoder(vocab_path)
+        enc = encoder(vocab_path, MEMO_CHUNKS)
 
         def f(batch):
             ids = [x + end for x in enc.encode(texts_of(batch))]
-            return {"doc_id": batch.column("doc_id"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+            stored = ids if width == 4 else [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in ids]
+            return {"doc_id": batch.column("doc_id"), "n_tokens": [len(x) // 4 for x in ids], "ids": stored}
 
         return f
 
@@ -47,15 +52,21 @@ def token_ids(docs: DataFrame, vocab_path: str, end_id: int, id_col: str = "doc_
     return arrow_map(rows, make, "doc_id long, n_tokens long, ids binary")
 
 
-def token_counts(tokens: DataFrame) -> DataFrame:
+def token_counts(tokens: DataFrame, width: int = 4) -> DataFrame:
     """token, n over all documents; each task counts before the shuffle."""
 
     def run(batches):
         total: dict[int, int] = defaultdict(int)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4")
-            for t, n in zip(*(x.tolist() for x in np.unique_counts(ids))):
-                total[t] += n
+            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), f"<u{width}")
+            if ids.max(initial=0) < DENSE:
+                n = np.bincount(ids)
+                own = np.flatnonzero(n)
+                n = n[own]
+            else:
+                own, n = np.unique_counts(ids)
+            for t, k in zip(own.tolist(), n.tolist()):
+                total[t] += k
         yield pa.RecordBatch.from_pydict({"token": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
 
     bound_batches(tokens.sparkSession)
@@ -102,8 +113,9 @@ def write_token_files(docs: DataFrame, path: str, vocab_path: str, end_id: int,
     Ids are coded before the shuffle into ranges of doc_ids, which are cut at approximate
     quantiles.  The driver holds the vocabulary's counts and at most MAX_SHARDS cuts."""
     spark = docs.sparkSession
-    tokens = table(token_ids(docs, vocab_path, end_id, id_col, text_col), "tokens")
-    counts = sorted(token_counts(tokens).collect(), key=lambda r: (-r["n"], r["token"]))
+    width = 2 if max(encoder(vocab_path).vocab_size - 1, end_id) < 1 << 16 else 4
+    tokens = table(token_ids(docs, vocab_path, end_id, id_col, text_col, width), "tokens")
+    counts = sorted(token_counts(tokens, width).collect(), key=lambda r: (-r["n"], r["token"]))
     by_rank = np.array([r["token"] for r in counts], np.int64)
     spark.createDataFrame(list(enumerate(by_rank.tolist())), "rank int, token long").coalesce(1).write.parquet(f"{path}/ranks")
     to_rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
@@ -116,7 +128,7 @@ def write_token_files(docs: DataFrame, path: str, vocab_path: str, end_id: int,
     def code():
         def f(batch):
             n = np.array(batch.column("n_tokens").to_pylist(), np.int64)
-            control, data = pack_ranks(to_rank[np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4")], n)
+            control, data = pack_ranks(to_rank[np.frombuffer(b"".join(batch.column("ids").to_pylist()), f"<u{width}")], n)
             ids = [-(2**63) if d is None else d for d in batch.column("doc_id").to_pylist()]
             return {"shard": np.searchsorted(cut, np.array(ids, np.int64)), "doc_id": batch.column("doc_id"), "n_tokens": n, "control": control, "data": data}
 
