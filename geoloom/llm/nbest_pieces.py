@@ -37,7 +37,7 @@ MARK, BYTE_PENALTY = "▁", 10.0
 #: Scores are whole numbers of this part of a natural logarithm, so that sums and ties are exact.
 UNIT = 1 << 20
 #: Parts kept at most, and the longest that is kept.
-MEMO_PARTS, MEMO_CHARS = 700_000, 48
+MEMO_PARTS, MEMO_CHARS = 1_300_000, 48
 _PART = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 _LETTER = re.compile("[a-zA-ZÀ-ɏ]")
 _WORD_PART = re.compile(f"{MARK}*[a-zA-ZÀ-ɏ]+|\n|{MARK}*[^{MARK}\na-zA-ZÀ-ɏ]+|{MARK}+")
@@ -56,12 +56,14 @@ class Pieces:
         self.byte_score = -round(UNIT * (math.log((len(texts) + 2.7) * total) + BYTE_PENALTY))
         self.bytes_at = bytes_at
         self.decoded = {i: p.encode() for p, i in texts} | {i: bytes([b]) for b, i in bytes_at.items()}
-        self.trie: dict = {}
+        #: Nodes (children, score, ids); a node that ends no piece has no score.
+        self.trie: dict[str, list] = {}
         for p, i in texts:
-            node = self.trie
+            children = self.trie
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = self.score[p], (i,)
+                node = children.setdefault(c, [{}, None, None])
+                children = node[0]
+            node[1:] = self.score[p], (i,)
         #: Neighbours that some piece holds; between all others every path has a border.
         self.inner = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.split = not any(_INNER_MARK.search(p) for p in self.score)
@@ -87,17 +89,18 @@ class Pieces:
         into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(len(text) + 1)]
         size = len(text)
         best: list[float] = [0] + [-math.inf] * size
+        trie = self.trie
         for a, first in enumerate(text):
-            base, node = best[a], self.trie.get(first)
-            single, b = node is not None and "" in node, a
-            while node is not None:
+            base, node, b = best[a], trie.get(first), a
+            single = node is not None and node[1] is not None
+            while node:
                 b += 1
-                end = node.get("")
-                if end is not None:
-                    into[b].append((a, *end))
-                    if base + end[0] > best[b]:
-                        best[b] = base + end[0]
-                node = node.get(text[b]) if b < size else None
+                children, s, ids = node
+                if s is not None:
+                    into[b].append((a, s, ids))
+                    if base + s > best[b]:
+                        best[b] = base + s
+                node = children.get(text[b]) if b < size else None
             if not single:
                 raw = first.encode()
                 s = self.byte_score * len(raw)
@@ -112,10 +115,11 @@ class Pieces:
         Of equal scores the path nearer the text's start goes first, and no place is left more than n
         times, so the queue stays in proportion to the text even if every path scores the same."""
         into, best = self.lattice(text)
+        push, pop = heapq.heappush, heapq.heappop
         heap = [(-best[-1], len(text), 0, 0, None)]
         out, left, made = [], [0] * (len(text) + 1), 0
         while heap and len(out) < n:
-            loss, at, _, after, path = heapq.heappop(heap)
+            loss, at, _, after, path = pop(heap)
             if at == 0:
                 ids: list[int] = []
                 while path:
@@ -126,9 +130,19 @@ class Pieces:
             left[at] += 1
             if left[at] > n:
                 continue
-            for a, s, own in into[at]:
+            edges = into[at]
+            while len(edges) == 1:  # no choice: on to the edge's start without the queue
+                at, s, own = edges[0]
+                after += s
+                path = own, path
+                edges = into[at]
+            if at == 0:
+                made += 1
+                push(heap, (loss, 0, made, after, path))
+                continue
+            for a, s, own in edges:
                 made += 1
-                heapq.heappush(heap, (-(best[a] + s + after), a, made, s + after, (own, path)))
+                push(heap, (-(best[a] + s + after), a, made, s + after, (own, path)))
         return out
 
     def part(self, text: str) -> tuple[int, bytes, int, float]:
