@@ -245,12 +245,12 @@ def ribbons(spark, sf):
 
 @query("tree_rows", f"""
 WITH s AS (SELECT line, idx, x, y, lead(x) OVER w AS bx, lead(y) OVER w AS by FROM {LINES} WINDOW w AS (PARTITION BY line ORDER BY idx)),
-n AS (SELECT *, greatest(1, CAST(floor(sqrt(pow(bx - x, 2) + pow(by - y, 2)) / 80) AS INT)) AS n FROM s WHERE bx IS NOT NULL), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n)
+n AS (SELECT *, greatest(1, CAST(floor(sqrt(pow(bx - x, 2) + pow(by - y, 2)) / 8) AS INT)) AS n FROM s WHERE bx IS NOT NULL), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n)
 SELECT line, idx, CAST(k AS INT) AS k, round(x + (bx - x) * k / n, 6) AS x, round(y + (by - y) * k / n, 6) AS y FROM k""")
 def tree_rows(spark, sf):
     from geoloom.operators import shapes
 
-    return shapes.along(lines(spark, sf), 80.0).select("line", "idx", "k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return shapes.along(lines(spark, sf), 8.0).select("line", "idx", "k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query("walls", f"""

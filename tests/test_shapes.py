@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -73,3 +75,21 @@ def test_places_and_sheets(spark):
 def test_throttle(spark):
     df = spark.createDataFrame([("k", t, float(t)) for t in (0, 500, 1200, 1300, 2500, 2600)], "key string, at long, value double")
     assert [r["at"] for r in shapes.throttled(df, 1200, 2).orderBy("at").collect()] == [1200, 2500]
+
+
+def test_trees_stand_every_eight_metres(spark, tmp_path):
+    from geoloom.plans import registry
+
+    rows = [(1, 1, 0, 0), (1, 2, 600, 0), (1, 3, 601, 0), (1, 4, 601, 0), (2, 1, 990, 5), (2, 2, 3, 141), (3, 1, 7, 7)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = []
+    for (line, i, ax, ay), (other, _, bx, by) in zip(rows, rows[1:]):
+        if line != other:
+            continue
+        ax, ay, bx, by = ax % 997, ay * 7 % 991, bx % 997, by * 7 % 991
+        n = max(1, math.floor(math.hypot(bx - ax, by - ay) / 8))
+        want += [(line, i - 1, k, round(ax + (bx - ax) * k / n, 6), round(ay + (by - ay) * k / n, 6)) for k in range(n + 1)]
+    got = sorted(map(tuple, registry.queries()["tree_rows"](spark, str(tmp_path)).collect()))
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+    assert np.allclose([g[3:] for g in got], [w[3:] for w in sorted(want)], atol=1e-6)
+    assert len(got) > 200
