@@ -62,8 +62,8 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row (unique), doc_id, h1, h2 (hash of the set), keys (one a band), shingles (ascending
+def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """row (unique: row_col, or made here), doc_id, h1, h2 (hash of the set), keys (one a band), shingles (ascending
     little-endian unsigned 32-bit)."""
 
     def make():
@@ -80,7 +80,7 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
             sig = signatures(flat, np.ones(len(flat)), np.array([len(s) for s in some], np.int64), bands * rows)
             found = iter(band_keys(sig, bands, rows).tolist())
             whole = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            ids = np.arange(next_row, next_row + len(sets))
+            ids = batch.column("row") if row_col else np.arange(next_row, next_row + len(sets))
             next_row += len(sets)
             return {
                 "row": ids,
@@ -93,7 +93,7 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
 
         return f
 
-    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
     return arrow_map(rows_, make, "row long, doc_id long, h1 long, h2 long, keys array<long>, shingles binary")
 
 
@@ -174,11 +174,12 @@ def _join_labels(rows: list[dict], threshold: float) -> tuple[list[int], list[in
     return (a, b) if a else None
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), class_size, row and first (whether this row is
-    the class's first: least doc_id, then least row) for every document."""
+    the class's first: least doc_id, then least row) for every document; row_col: a column that
+    numbers the rows, taken for row."""
     spark = docs.sparkSession
-    made = table(sketches(docs, words, bands, rows, id_col, text_col), "sketches")
+    made = table(sketches(docs, words, bands, rows, id_col, text_col, row_col), "sketches")
     nodes = made.groupBy("h1", "h2").agg(F.min("row").alias("node"))
     members = table(made.select("row", "doc_id", "h1", "h2").join(nodes, ["h1", "h2"]).select("row", "doc_id", "node"), "members")
     leads = members.where("row = node").select("node")
@@ -210,11 +211,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, words:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents less all but the first of each class.  Rows of one doc_id stay or go
-    together; rows without a doc_id can't be told apart and are kept."""
-    kept = near_duplicate_classes(docs, id_col=id_col, **options)
-    gone = kept.where("doc_id is not null").groupBy("doc_id").agg(F.max("first").alias("stays")).where("not stays").select(F.col("doc_id").alias("_gone"))
-    return docs.join(sent_if_small(table(gone, "gone")), F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """The rows less all but the first of each class, whatever their doc_ids: of copies that share a
+    doc_id or have none one row stays as well.  Rows are numbered in a written copy of docs."""
+    row = "_row" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    keyed = table(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    gone = near_duplicate_classes(keyed, id_col=id_col, row_col=row, **options).where("not first").select(F.col("row").alias(row))
+    return keyed.join(sent_if_small(table(gone, "gone")), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

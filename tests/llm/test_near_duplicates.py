@@ -87,3 +87,15 @@ def test_blocks_join_only_unlike_labels():
     rows = [dict(key=1, i=0, j=0, own=0, node=n, label=n, shingles=same) for n in range(4)] + [dict(key=1, i=0, j=0, own=0, node=9, label=9, shingles=np.arange(500, 600, dtype="<u4").tobytes())]
     a, b = nd._join_labels(rows, 0.8)
     assert len(a) == 3 and 9 not in a + b
+
+
+def test_one_row_of_each_class_stays(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long.replace("w30", "x30")
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k l"), (None, "m n o p q r"), (7, long), (7, "s t u v w x"), (3, near), (3, near), (9, "s t u v w x"), (None, long)]
+    df = spark.createDataFrame([(t, d, n) for n, (d, t) in enumerate(rows)], "text string, doc_id long, _row int").repartition(3)
+    kept = nd.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    got = kept.select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(5, "a b c d e f"), (None, "g h i j k l"), (None, "m n o p q r"), (3, near), (7, "s t u v w x")], key=repr)
+    assert nd.drop_near_duplicates(df.withColumnRenamed("doc_id", "id").withColumnRenamed("text", "body"), id_col="id", text_col="body").count() == 5
