@@ -48,14 +48,18 @@ def spikes(spark, sf):
 
 
 @query("bilinear", f"""
-WITH p AS (SELECT c_custkey AS id, greatest(0.0, least(63.0, c_custkey % 71 * 0.93 - 1)) AS x, greatest(0.0, least(399.0, c_custkey * 7 % 411 * 0.97)) AS y FROM customer),
+WITH r AS (SELECT max(vec_id) AS y1, 7 * ((max(vec_id) + 1) * 3 // 20 + 3) + 1 AS m FROM embeddings),
+p AS (SELECT c_custkey AS id, greatest(0.0, least(63.0, c_custkey % 71 * 0.93 - 1)) AS x, greatest(0.0, least(y1, c_custkey * 7 % m * 0.97::DOUBLE)) AS y, y1 FROM customer, r),
 q AS (SELECT *, CAST(floor(x) AS BIGINT) AS x0, CAST(floor(y) AS BIGINT) AS y0 FROM p),
-c AS (SELECT id, least(y0 + a, 399) AS cy, least(x0 + b, 63) AS cx, (CASE WHEN a = 1 THEN y - y0 ELSE 1 - (y - y0) END) * (CASE WHEN b = 1 THEN x - x0 ELSE 1 - (x - x0) END) AS w FROM q, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b))
+c AS (SELECT id, least(y0 + a, y1) AS cy, least(x0 + b, 63) AS cx, (CASE WHEN a = 1 THEN y - y0 ELSE 1 - (y - y0) END) * (CASE WHEN b = 1 THEN x - x0 ELSE 1 - (x - x0) END) AS w FROM q, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b))
 SELECT id, round(CASE WHEN count(h) = 4 THEN sum(h * w) END, 9) AS h FROM c LEFT JOIN {GRID} g ON g.y = cy AND g.x = cx GROUP BY id""")
 def bilinear(spark, sf):
-    k = F.col("c_custkey")
-    p = read(spark, sf, "customer").select(k.alias("id"), (k % 71 * 0.93 - 1).alias("px"), (k * 7 % 411 * 0.97).alias("py"))
-    return grid.sample_bilinear(cells(spark, sf), p, 64, 400).select("id", F.round("h", 9).alias("h"))
+    k, last = F.col("c_custkey"), read(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0]
+    height = 0 if last is None else last + 1
+    # prime to the 7 and a little beyond the last row, so that points fall on all rows and past the edge
+    m = 7 * (height * 3 // 20 + 3) + 1
+    p = read(spark, sf, "customer").select(k.alias("id"), (k % 71 * 0.93 - 1).alias("px"), (k * 7 % m * 0.97).alias("py"))
+    return grid.sample_bilinear(cells(spark, sf), p, 64, height).select("id", F.round("h", 9).alias("h"))
 
 
 @query("push_pull", f"""
@@ -91,11 +95,14 @@ def scatter_medians(spark, sf):
 
 
 @query("point_grid", """
-SELECT 31 - CAST(floor((l_suppkey - 1) / 4.0) AS INT) AS row, CAST(floor((l_partkey - 1) / 50.0) AS INT) AS col, round(avg(l_extendedprice), 6) AS h, count(*) AS n
-FROM lineitem WHERE l_linenumber IN (2, 6) AND l_suppkey BETWEEN 1 AND 128 AND l_partkey BETWEEN 1 AND 3200 GROUP BY 1, 2""")
+WITH b AS (SELECT min(l_partkey) AS x0, min(l_suppkey) AS y0, max(l_suppkey) AS y1 FROM lineitem)
+SELECT CAST(floor((y1 - y0) / 4.0) AS INT) - CAST(floor((l_suppkey - y0) / 4.0) AS INT) AS row, CAST(floor((l_partkey - x0) / 50.0) AS INT) AS col, round(avg(l_extendedprice), 6) AS h, count(*) AS n
+FROM lineitem, b WHERE l_linenumber IN (2, 6) AND l_suppkey IS NOT NULL AND l_partkey IS NOT NULL GROUP BY 1, 2""")
 def point_grid(spark, sf):
     p = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"), F.col("l_extendedprice").alias("z"), F.col("l_linenumber").alias("class"))
-    return grid.gridded_points(p, (2, 6), 1.0, 1.0, 50.0, 4.0, 64, 32).select("row", "col", F.round("h", 6).alias("h"), "n")
+    b = p.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    x0, y0, x1, y1 = b if None not in b else (0, 0, 0, 0)
+    return grid.gridded_points(p, (2, 6), x0, y0, 50.0, 4.0, int((x1 - x0) // 50) + 1, int((y1 - y0) // 4) + 1).select("row", "col", F.round("h", 6).alias("h"), "n")
 
 
 @query("percentile_rules", """

@@ -186,3 +186,23 @@ def test_components_of_a_chain(spark, tmp_path):
 
     got = {r["node"]: r["label"] for r in network.components(links, write).collect()}
     assert got == {i: 0 for i in range(31)} | {99: 99}
+
+
+def test_point_grid_spans_the_table(spark, tmp_path):
+    from geoloom.plans import registry
+
+    rows = [(0, 0, 2, 10.0), (0, 3, 6, 20.0), (3300, 129, 2, 30.0), (9000, 400, 6, 40.0), (9000, 400, 1, 99.0), (9100, 408, 1, 99.0), (None, 5, 2, 1.0)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = registry.queries()["point_grid"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(2, 180, 40.0, 1), (70, 66, 30.0, 1), (102, 0, 15.0, 2)]
+
+
+def test_bilinear_samples_all_rows(spark, tmp_path):
+    from geoloom.plans import registry
+
+    height = 700
+    spark.createDataFrame([(y, [float(y)] * 64) for y in range(height)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(k,) for k in range(2000)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    got = [r["h"] for r in registry.queries()["bilinear"](spark, str(tmp_path)).collect()]
+    assert len(got) == 2000 and max(got) == height - 1
+    assert {int(h) for h in got} == set(range(height))
