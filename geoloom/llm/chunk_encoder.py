@@ -3,7 +3,9 @@
 A byte-pair tokenizer encodes each of its pre-tokens alone, so a text may be cut wherever a
 pre-token is sure to end and each chunk be encoded once.  Chunks are runs up to the next blank
 or line break.  Texts with rarer white space, on which libraries differ, are encoded whole, as
-are all texts where the tokenizer's own rules are not known to allow the cut."""
+are all texts where the tokenizer's own rules are not known to allow the cut.  Strings of the file's
+added tokens get those tokens' ids, as the library does by default; they hold no white space and
+look at none beside them, so the cuts don't touch them."""
 
 from __future__ import annotations
 
@@ -44,7 +46,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
@@ -56,6 +57,9 @@ class ChunkEncoder:
     def _cut(spec: dict) -> str:
         """How texts may be cut: before white space that leads a word, at white space that is
         dropped, or not at all."""
+        for t in spec.get("added_tokens") or []:
+            if re.search(r"\s", t["content"]) or _PLAIN_CHUNK.fullmatch(t["content"]) or any(t.get(x) for x in ("lstrip", "rstrip", "single_word", "normalized")):
+                return "whole"
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not norm:
             return "led"

@@ -16,9 +16,14 @@ BATCH_ROWS = 512
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, else (only where
-    that is unset, as in local tests) a folder of this machine."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/") + "/geoloom"
+    """This application's folder in the one that the driver and all executors share, spark.checkpoint.dir.
+    Where that is unset a folder of this machine serves if Spark runs on this machine alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        shared = "file:///tmp/checkpoints"
+    return f"{shared.rstrip('/')}/geoloom/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -42,6 +47,33 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application, once no result that reads them is needed any more: a
+    result is computed from them only when it is used, so the operators can't remove its tables themselves."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key is hot if it holds more than one of so many rows; so fewer keys than this are, whatever the table.
+HOT_SHARE = 4096
+
+
+def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None:
+    """The hot keys of `counts` (keys, n rows of total) as rows sent with the plan: fewer than HOT_SHARE."""
+    found = counts.where(F.col("n") * HOT_SHARE > total).select(*keys).collect()
+    return counts.sparkSession.createDataFrame(found, counts.select(*keys).schema) if found else None
+
+
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with side (one row a key, no null keys).  The side's rows of hot keys, fewer than HOT_SHARE, are sent to
+    where the rows are; only the rows of other keys are shuffled, so no key gathers its rows in one task."""
+    if hot is None:
+        return rows.join(side, keys, how)
+    hot = F.broadcast(hot)
+    sent = F.broadcast(side.join(hot, keys, "left_semi"))
+    return rows.join(hot, keys, "left_semi").join(sent, keys, how).unionByName(rows.join(hot, keys, "left_anti").join(side, keys, how))
+
+
 #: Rows and bytes of strings up to which a join's side is sent to all executors.
 SENT_ROWS, SENT_BYTES = 2_000_000, 64_000_000
 

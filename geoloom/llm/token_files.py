@@ -8,7 +8,8 @@ byte counts less one, two bits each, four to a byte, lowest bits first, the last
 zeros.  Common ids so take one byte, and a reader finds all places from the control bytes alone.
 
 Nulls: a null text is an empty one; a null doc_id sorts first.  Repeated doc_ids are ordered by
-their number of ids and their stored bytes.  Empty texts hold the end id only.  An empty table gives an
+their number of ids and their stored bytes within a shard; a doc_id that would fill several shards is
+dealt over as many.  Empty texts hold the end id only.  An empty table gives an
 empty folder of both tables.  Other columns of the input are not read.
 """
 
@@ -123,14 +124,30 @@ def write_token_files(docs: DataFrame, path: str, vocab_path: str, end_id: int,
     shards = max(1, min(MAX_SHARDS, sum(r["n"] for r in counts) // SHARD_TOKENS))
     key = F.coalesce("doc_id", F.lit(-(2**63)))
     cuts = [] if shards == 1 else tokens.agg(F.percentile_approx(key, [i / shards for i in range(1, shards)], max(10_000, 20 * shards))).first()[0]
-    cut = np.unique(np.array(cuts or [], np.int64))
+    cut, times = np.unique(np.array(cuts or [], np.int64), return_counts=True)
+    own_shards = np.where(times > 1, times, 0)  # of a doc_id that is a cut several times
+    first = np.concatenate([[0], np.cumsum(1 + own_shards)])
 
     def code():
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId()
+
+        def shard_of(ids: np.ndarray) -> np.ndarray:
+            nonlocal at
+            place = np.searchsorted(cut, ids)
+            out = first[place]
+            hot = np.flatnonzero((place < len(cut)) & (np.append(own_shards, 0)[place] > 0))
+            hot = hot[cut[place[hot]] == ids[hot]]
+            out[hot] += 1 + (at + np.arange(len(hot))) % own_shards[place[hot]]
+            at += len(hot)
+            return out
+
         def f(batch):
             n = np.array(batch.column("n_tokens").to_pylist(), np.int64)
             control, data = pack_ranks(to_rank[np.frombuffer(b"".join(batch.column("ids").to_pylist()), f"<u{width}")], n)
             ids = [-(2**63) if d is None else d for d in batch.column("doc_id").to_pylist()]
-            return {"shard": np.searchsorted(cut, np.array(ids, np.int64)), "doc_id": batch.column("doc_id"), "n_tokens": n, "control": control, "data": data}
+            return {"shard": shard_of(np.array(ids, np.int64)), "doc_id": batch.column("doc_id"), "n_tokens": n, "control": control, "data": data}
 
         return f
 

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from geoloom.llm import packing, token_files
 from geoloom.llm.chunk_encoder import encoder
 
-ODD = [None, "", "  a  b \n\n c\t d  ", "it's don't we'll x \x1c y", "á ́b É", "x" * 9000, " \n ", "<|endoftext|> hi", "3.14  2,000 -- ...", "word " * 9000, "same", "same"]
+ODD = [None, "", "  a  b \n\n c\t d  ", "it's don't we'll x \x1c y", "á ́b É", "x" * 9000, " \n ", "<|endoftext|> hi", "a \n<|endoftext|>b<|ENDOFTEXT|> <|startoftext|>'s", "3.14  2,000 -- ...", "word " * 9000, "same", "same"]
 DOCS = "doc_id long, text string, n_tokens string, shard string, length string, part int"
 
 
@@ -20,9 +20,7 @@ def docs(spark, texts=ODD):
 
 
 def plain(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -61,6 +59,23 @@ def test_files_against_plain_encoding(spark, tmp_path):
     assert ranks[0]["token"] in (2, 1573)  # the end id or the repeated word
 
 
+def test_a_hot_id_is_dealt_over_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_TOKENS", 40)
+    rows = [(i, f"text {i} <|endoftext|>") for i in range(60)] + [(30, f"hot {i}") for i in range(60)] + [(None, "null")] * 40
+    path = f"file://{tmp_path}/h"
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    shards = spark.read.parquet(f"{path}/shards")
+    assert shards.where("doc_id = 30").select("shard").distinct().count() > 3 and shards.where("doc_id is null").select("shard").distinct().count() > 1
+    got = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r["start"])
+    t, at = plain("byte_bpe_50k.json"), 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert [r["doc_id"] or -1 for r in got] == sorted([d if d else -1 for d, _ in rows])
+    want = sorted(np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes() for _, x in rows)
+    assert sorted(bytes(r["ids"]) for r in got) == want
+
+
 def test_files_of_no_documents(spark, tmp_path):
     path = f"file://{tmp_path}/e"
     token_files.write_token_files(docs(spark, []), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
