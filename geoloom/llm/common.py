@@ -54,13 +54,14 @@ def clear(spark: SparkSession) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: A key is hot if it holds more than one of so many rows; so fewer keys than this are, whatever the table.
-HOT_SHARE = 4096
+#: A key is hot if it holds more than one of HOT_SHARE rows - so fewer keys than this are, whatever the table - and more
+#: than a task does in no time anyway.
+HOT_SHARE, HOT_ROWS = 4096, 1000
 
 
 def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None:
     """The hot keys of `counts` (keys, n rows of total) as rows sent with the plan: fewer than HOT_SHARE."""
-    found = counts.where(F.col("n") * HOT_SHARE > total).select(*keys).collect()
+    found = counts.where((F.col("n") * HOT_SHARE > total) & (F.col("n") > HOT_ROWS)).select(*keys).collect()
     return counts.sparkSession.createDataFrame(found, counts.select(*keys).schema) if found else None
 
 

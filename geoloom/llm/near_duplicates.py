@@ -1,19 +1,25 @@
-"""Near-duplicate classes of documents by DartMinHash signatures and a banded join.
+"""Near-duplicate classes of documents by weighted DartMinHash signatures and a banded join.
 
-Words are runs between white space; a document's set is its five-word shingles (all words as one
-shingle if there are fewer).  Two documents are linked when the Jaccard similarity of their sets
-is at least 0.8; a class is a connected component of links.  The plan:
+Words are runs between white space; a document's elements are its five-word shingles (all words as one
+shingle if there are fewer), each with the number of times it occurs as its weight.  Two documents are
+linked when the weighted Jaccard similarity - the sum of least weights over the sum of greatest - is at
+least 0.8; a class is a connected component of links.  The plan:
 
-1. Each document becomes a set of hashes, a signature and its band keys, written as a table.
-2. Equal sets are one node from here on (grouped by a 128-bit hash): copies cost nothing more.
+1. Each document becomes its weighted elements, a signature and its band keys, written as a table.  The
+   n-th occurrence of a shingle has a hash of its own, so that weighted sets are compared as plain ones.
+2. Equal weighted sets are one node from here on (grouped by a 128-bit hash): copies cost nothing more.
 3. In each bucket of a band key the least node leads; every other node makes one pair with it.
    Pairs are compared set against set; the similar ones are links, and links give labels.
 4. A bucket of three nodes or more that still holds two labels may hide links between nodes that
-   don't lead.  Its nodes are dealt into blocks of bounded size and every pair of blocks is
-   compared in one task, which reports only the links that join two labels.  So no bucket needs a
-   cap and no list of all its pairs is ever made.
+   didn't lead.  A node of another label leads next, as long as that finds links.
+5. In what is left, the nodes outside a bucket's largest label are dealt into blocks of bounded size and
+   compared with one another and with blocks of the largest label, each pair of blocks in one task, which
+   reports only the links that join two labels.  So no bucket needs a cap, no list of all its pairs is ever
+   made, and what travels grows with the nodes outside the largest label, not with the bucket's square.
 
-With 40 bands of 7 a pair at exactly 0.8 shares no bucket with probability 8e-5, at 0.85 2e-7.
+With 40 bands of 7 a pair at exactly 0.8 shares no bucket with probability 8e-5, at 0.85 2e-7.  Sets are
+compared by 32-bit hashes: two sets of m and n elements take about m n / 2**32 unlike ones for equal.
+Buckets, hubs, classes and copies that hold many rows are joined by `join_hot`, never in one task.
 
 Nulls: a null text is an empty one, and documents without words form one class, as their texts
 don't differ in any word.  Null and repeated doc_ids stay rows of their own; class_id is the
@@ -28,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, drop, mix64, own_memo, sent_if_small, table, texts_of
+from .common import arrow_map, bound_batches, drop, hot_keys, join_hot, mix64, own_memo, sent_if_small, table, texts_of
 from .components import components
 from .dart_minhash import band_keys, signatures
 
@@ -39,8 +45,8 @@ _MEMO_WORDS = 600_000
 _word_hash: dict[str, int] = {}
 
 
-def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
-    """The distinct 64-bit shingle hashes of each text, ascending."""
+def shingle_sets(texts: list[str], words: int = WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct 64-bit shingle hashes of each text, ascending, and how often each occurs."""
     memo = _word_hash
     split = [t.split() for t in texts]
     if len(memo) > _MEMO_WORDS:
@@ -58,13 +64,25 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
         s = np.zeros(n, np.uint64)
         for i in range(words):
             s = mix64(s * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-        out.append(np.unique(s))
+        out.append(np.unique_counts(s))
     return out
 
 
+def occurrences(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A 32-bit hash for every occurrence of each element, ascending and distinct."""
+    first = (elements >> np.uint64(32)).astype("<u4")
+    more = np.flatnonzero(counts > 1)
+    if len(more):
+        times = counts[more] - 1
+        nth = np.arange(1, int(times.sum()) + 1) - np.repeat(np.cumsum(times) - times, times)
+        again = mix64(np.repeat(elements[more], times) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        first = np.concatenate([first, (again >> np.uint64(32)).astype("<u4")])
+    return np.unique(first)
+
+
 def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """row (unique: row_col, or made here), doc_id, h1, h2 (hash of the set), keys (one a band), shingles (ascending
-    little-endian unsigned 32-bit)."""
+    """row (unique: row_col, or made here), doc_id, h1, h2 (hash of the weighted set), keys (one a band), shingles
+    (hashes of occurrences, ascending little-endian unsigned 32-bit)."""
 
     def make():
         from pyspark import TaskContext
@@ -75,11 +93,12 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
         def f(batch):
             nonlocal next_row
             sets = shingle_sets(texts_of(batch), words)
-            some = [s for s in sets if len(s)]
-            flat = np.concatenate(some) if some else np.zeros(0, np.uint64)
-            sig = signatures(flat, np.ones(len(flat)), np.array([len(s) for s in some], np.int64), bands * rows)
+            some = [(s, n) for s, n in sets if len(s)]
+            flat = np.concatenate([s for s, _ in some]) if some else np.zeros(0, np.uint64)
+            weights = np.concatenate([n for _, n in some]).astype(np.float64) if some else np.zeros(0)
+            sig = signatures(flat, weights, np.array([len(s) for s, _ in some], np.int64), bands * rows)
             found = iter(band_keys(sig, bands, rows).tolist())
-            whole = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            whole = [xxhash.xxh3_128_digest(s.tobytes() + n.tobytes()) for s, n in sets]
             ids = batch.column("row") if row_col else np.arange(next_row, next_row + len(sets))
             next_row += len(sets)
             return {
@@ -87,8 +106,8 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
                 "doc_id": batch.column("doc_id"),
                 "h1": [int.from_bytes(h[:8], "little", signed=True) for h in whole],
                 "h2": [int.from_bytes(h[8:], "little", signed=True) for h in whole],
-                "keys": [next(found) if len(s) else [] for s in sets],
-                "shingles": [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets],
+                "keys": [next(found) if len(s) else [] for s, _ in sets],
+                "shingles": [occurrences(s, n).tobytes() for s, n in sets],
             }
 
         return f
@@ -124,7 +143,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def links_in_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
     """Links that join two labels, for rows (key, i, j, own, node, label, shingles) of which those
-    of a (key, i, j) lie together; own: the row's block.  A block pair's rows are held at once."""
+    of a (key, i, j) lie together; own: the row's block; j is negative for blocks of the largest label.  A block
+    pair's rows are held at once."""
 
     def run(batches):
         held, at = [], None
@@ -180,34 +200,84 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, words:
     numbers the rows, taken for row."""
     spark = docs.sparkSession
     made = table(sketches(docs, words, bands, rows, id_col, text_col, row_col), "sketches")
-    nodes = made.groupBy("h1", "h2").agg(F.min("row").alias("node"))
-    members = table(made.select("row", "doc_id", "h1", "h2").join(nodes, ["h1", "h2"]).select("row", "doc_id", "node"), "members")
-    leads = members.where("row = node").select("node")
-    keys = table(made.select(F.col("row").alias("node"), "keys").join(leads, "node", "left_semi"), "keys")
+    members = table(made.select("row", "doc_id", "h1", "h2"), "members")
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("least")
+    nodes = table(members.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("n"), least), "nodes")
+    keys = table(made.select(F.col("row").alias("node"), "keys").join(nodes.select("node"), "node", "left_semi"), "keys")
     exploded = keys.select("node", F.explode("keys").alias("key"))
-    buckets = exploded.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    in_buckets = table(exploded.join(buckets, "key").select("key", "node", "lead", "n"), "buckets")
+    buckets = table(exploded.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"), "leads")
+    hot = hot_keys(buckets, ["key"], bands * keys.count())
+    in_buckets = table(join_hot(exploded, buckets, ["key"], hot), "buckets")
     pairs = table(in_buckets.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     wanted = table(in_buckets.select("node").distinct(), "wanted")
     sets = table(made.select(F.col("row").alias("node"), "shingles").join(sent_if_small(wanted), "node", "left_semi"), "sets")
-    drop(spark, made, keys, wanted)
-    links = table(verified(pairs, sets, threshold), "verified")
-    labels = components(links)
-
-    labelled = in_buckets.where("n > 2").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    drop(spark, made, keys)
+    labels = wanted.join(components(table(verified(pairs, sets, threshold), "verified")), "node", "left")
+    labels = table(labels.select("node", F.coalesce("label", "node").alias("label")), "labels")
+    drop(spark, pairs, wanted)
+
+    round_ = 0
+    while True:
+        left = table(unlike_buckets(in_buckets, labels, hot), "unlike")
+        if not left.limit(1).count():
+            break
+        round_ += 1
+        links = table(verified(next_pairs(left, hot, round_), sets, threshold), "verified")
+        if not links.limit(1).count():
+            links = table(links_in_blocks(dealt(left, hot).join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), threshold), "more")
+            labels = relabelled(labels, links) if links.limit(1).count() else labels
+            break
+        labels = relabelled(labels, links)
+        drop(spark, left)
+
+    of_nodes = table(nodes.join(labels, "node", "left").select("h1", "h2", "n", "least", F.coalesce("label", "node").alias("class")), "classes")
+    classes = of_nodes.groupBy("class").agg(F.min("least").alias("least"), F.sum("n").alias("class_size"), F.count("*").alias("n"))
+    of_nodes = join_hot(of_nodes.select("h1", "h2", "class"), classes.drop("n"), ["class"], hot_keys(classes, ["class"], of_nodes.count()))
+    whole = join_hot(members, of_nodes.drop("class"), ["h1", "h2"], hot_keys(nodes, ["h1", "h2"], members.count()))
+    return whole.select("doc_id", F.col("least.doc_id").alias("class_id"), "class_size", "row", (F.col("least.row") == F.col("row")).alias("first"))
+
+
+def unlike_buckets(in_buckets: DataFrame, labels: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """key, node, lead, label of the buckets of three nodes or more that hold two labels or more."""
+    labelled = in_buckets.where("n > 2").join(labels, "node").select("key", "node", "lead", "label")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key")
-    dealt = labelled.join(mixed, "key", "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
-    dealt = dealt.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = table(links_in_blocks(dealt, threshold), "more")
-    if more.limit(1).count():
-        labels = components(links.union(more))
-
-    placed = members.join(labels, "node", "left").select("row", "doc_id", F.coalesce("label", "node").alias("class"))
-    firsts = placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("least"), F.count("*").alias("class_size"))
-    return placed.join(firsts, "class").select("doc_id", F.col("least.doc_id").alias("class_id"), "class_size", "row", (F.col("least.row") == F.col("row")).alias("first"))
+    return join_hot(labelled, mixed, ["key"], hot, "left_semi")
+
+
+def next_pairs(left: DataFrame, hot: DataFrame | None, round_: int) -> DataFrame:
+    """Pairs (a, b) of a new lead a in each bucket - the least node of a label drawn by the round's number, in the
+    first round one that the lead doesn't have - and the bucket's nodes b of other labels."""
+    drawn = F.when(F.col("label") == F.col("of_lead"), F.lit(-(2**63))) if round_ == 1 else F.lit(None).cast("long")
+    of_lead = left.where("node = lead").select("key", F.col("label").alias("of_lead"))
+    known = join_hot(left, of_lead, ["key"], hot)
+    draw = F.coalesce(drawn, F.xxhash64("label", F.lit(round_)))
+    leads = known.groupBy("key").agg(F.max(F.struct(draw.alias("draw"), "label", (-F.col("node")).alias("least"))).alias("top"))
+    leads = leads.select("key", F.col("top.label").alias("its"), (-F.col("top.least")).alias("a"))
+    return join_hot(left, leads, ["key"], hot).where("label != its").select("a", F.col("node").alias("b")).distinct()
+
+
+def dealt(left: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """key, i, j, own, node, label: each bucket's nodes in all pairs of blocks that have to be compared."""
+    by_label = left.groupBy("key", "label").agg(F.count("*").alias("m"))
+    largest = by_label.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    largest = largest.select("key", F.col("top.label").alias("main"), blocks(F.col("top.m")).alias("mains"), blocks(F.col("n") - F.col("top.m")).alias("strays"))
+    known = join_hot(left, largest, ["key"], hot).withColumn("stray", F.col("label") != F.col("main"))
+    known = known.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int"))
+    among = known.where("stray").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)))
+    among = among.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+    across = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("stray"), F.col("mains")).otherwise(F.col("strays")) - 1)))
+    i, j = F.when(F.col("stray"), F.col("own")).otherwise(F.col("other")), F.when(F.col("stray"), F.col("other")).otherwise(F.col("own"))
+    return among.union(across.select("key", i.alias("i"), (-1 - j).alias("j"), F.col("stray").cast("int").alias("own"), "node", "label"))
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after more links (a, b) between their nodes."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    joined = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    often = hot_keys(labels.groupBy("label").agg(F.count("*").alias("n")), ["label"], labels.count())
+    moved = join_hot(labels, joined.select(F.col("node").alias("label"), F.col("label").alias("to")), ["label"], often, "left")
+    return table(moved.select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -1,6 +1,9 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
+from geoloom.llm import common
 from geoloom.llm import near_duplicates as nd
 from geoloom.llm.components import components
 from geoloom.llm.dart_minhash import signatures
@@ -27,12 +30,12 @@ def test_components(spark):
 
 
 def brute(rows):
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for _, t in rows]
+    sets = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").split()) else Counter() for _, t in rows]
     label = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            if sets[i] == sets[j] or both >= 0.8 * len(sets[i] | sets[j]) > 0:
+            both = (sets[i] & sets[j]).total()
+            if sets[i] == sets[j] or both >= 0.8 * (sets[i] | sets[j]).total() > 0:
                 a, b = label[i], label[j]
                 label = [min(a, b) if x in (a, b) else x for x in label]
     least = {}
@@ -61,6 +64,9 @@ def corpus():
     for i in range(8):
         out.append(" ".join(chain))
         chain[i * 20 : i * 20 + 2] = text(2)
+    line = text(12)
+    for n in (10, 11, 13, 30, 33, 40):  # one set of shingles, unlike weights
+        out.append(" ".join(line * n + chain[:30]))
     return out + ["", None, "  ", "a b", "a  b", "a b c d e", "a b c d e", " ".join(text(9000))]
 
 
@@ -77,6 +83,30 @@ def test_classes_against_brute_force(spark, monkeypatch, block):
     assert set(ids) <= {c for _, c, _ in brute(rows)} | {70}
 
 
+def test_hot_groups_against_brute_force(spark, monkeypatch):
+    """Exact copies, near copies around a hub and boilerplate that shares buckets but not enough: many keys count as hot,
+    or none does."""
+    rng = np.random.default_rng(6)
+    vocab = [f"w{i}" for i in range(300)]
+    hub = list(rng.choice(vocab, 120))
+    texts = [" ".join(hub)] * 40
+    for i in range(40):
+        x = list(hub)
+        x[3 * i : 3 * i + 1] = ["zz" + str(i)]
+        texts.append(" ".join(x))
+    for i in range(40):  # about 0.7 to the hub and to one another
+        texts.append(" ".join([*hub[:100], *[f"u{i}" for _ in range(10)], *rng.choice(vocab, 8)]))
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for share, block in ((10, 3), (4096, 256)):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        monkeypatch.setattr(common, "HOT_ROWS", 5 if share < 4096 else 1000)
+        monkeypatch.setattr(nd, "BLOCK", block)
+        got = nd.near_duplicate_classes(df).select("doc_id", "class_id", "class_size").collect()
+        assert sorted(map(tuple, got), key=repr) == want
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert nd.near_duplicate_classes(df).count() == 0 and nd.drop_near_duplicates(df).count() == 0
