@@ -12,13 +12,16 @@ their best path and the loss of their second best, and the N best of a text foll
 of least loss, as any path that leaves the best one elsewhere scores below N others (equal
 scores: the earlier part).
 
-The file is read for its pieces and their order only; a piece's score is the logarithm of its share
-under Zipf's law by its place, a byte's lies BYTE_PENALTY below the last piece's.
+Scores and normalisation are the model file's: a piece's score is the one stored for it (the logarithm of a probability
+in a unigram model, less the number of its merge in a merge model), and a text passes the file's normaliser, which also
+turns blanks into marks and adds one before the text if the file says so.  A character without a piece counts
+UNKNOWN_PENALTY below the least score of any piece, as the library has it, and is written as its bytes; a model without
+byte pieces writes its unknown piece.
 
-Encoding puts a mark before the text and for each blank; decoding undoes both and is exact but
-for texts that hold the mark itself.  Nulls: a null text is an empty one and has no pieces and one
-(empty) path.  Null and repeated doc_ids are rows of their own.  An empty table gives no rows;
-other columns are not read."""
+Decoding undoes the marks; it is exact where the normaliser changes nothing and the text doesn't hold the mark itself.
+Nulls: a null text is an empty one and has no pieces and one (empty) path.  Null and repeated doc_ids are rows of their own.
+A text without any border between parts is one part: its search keeps one score a character and finds the edges into a place
+only when a path leads there.  An empty table gives no rows; other columns are not read."""
 
 from __future__ import annotations
 
@@ -26,6 +29,8 @@ import heapq
 import math
 import re
 import struct
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +38,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, own_memo, texts_of
 
-MARK, BYTE_PENALTY = "▁", 10.0
-#: Scores are whole numbers of this part of a natural logarithm, so that sums and ties are exact.
-UNIT = 1 << 20
+MARK, UNKNOWN_PENALTY = "▁", 10.0
+#: Scores are whole numbers, held as floats, of a part of one: this part, or a larger one where the file's scores are so large that
+#: the sum of LONG of them would not be exact.
+UNIT, LONG = 1 << 20, 4096
 #: Parts kept at most, and the longest that is kept.
 MEMO_PARTS, MEMO_CHARS = 1_300_000, 48
 _PART = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
@@ -47,20 +53,32 @@ _INNER_MARK = re.compile(f"[^{MARK}]{MARK}|.\n|\n.", re.S)
 class Pieces:
     """A vocabulary of pieces with their ids and scores."""
 
-    def __init__(self, pieces: list[str], bytes_at: dict[int, int], skip: set[int] = frozenset()):
-        """bytes_at: the id of each byte's piece; skip: ids that aren't text."""
+    def __init__(self, pieces: list[str], scores: list[float], bytes_at: dict[int, int], skip: set[int] = frozenset(), unknown: int = 0, normalize=None):
+        """bytes_at: the id of each byte's piece, if there are any; skip: ids that aren't text; unknown: the id of what has no
+        piece; normalize: from texts to marked texts."""
         texts = [(p, i) for i, p in enumerate(pieces) if i not in skip and i not in set(bytes_at.values())]
-        total = sum(1 / (n + 2.7) for n in range(1, len(texts) + 1))
-        self.score = {p: -round(UNIT * math.log((n + 2.7) * total)) for n, (p, _) in enumerate(texts, 1)}
+        top = max((abs(scores[i]) for _, i in texts), default=1.0) + UNKNOWN_PENALTY
+        self.unit = min(UNIT, 2 ** max(0, 52 - math.frexp(top * LONG)[1]))
+        self.score = {p: float(round(self.unit * scores[i])) for p, i in texts}
         self.id = {p: i for p, i in texts}
-        self.byte_score = -round(UNIT * (math.log((len(texts) + 2.7) * total) + BYTE_PENALTY))
-        self.bytes_at = bytes_at
-        self.decoded = {i: p.encode() for p, i in texts} | {i: bytes([b]) for b, i in bytes_at.items()}
-        #: Nodes (children, score, ids); a node that ends no piece has no score.
+        self.unknown_score = min(self.score.values(), default=0) - self.unit * UNKNOWN_PENALTY
+        self.bytes_at, self.unknown = bytes_at, unknown
+        self.normalize = normalize or (lambda texts: [MARK + t.replace(" ", MARK) if t else "" for t in texts])
+        probe = self.normalize(["a"])[0]
+        self.lead, self.tail = probe.startswith(MARK), probe.endswith(MARK)
+        self.decoded = {unknown: " \u2047 ".encode()} | {i: p.encode() for p, i in texts} | {i: bytes([b]) for b, i in bytes_at.items()}
+        #: Nodes (children, score) of pieces forward, and (children, score, ids) of pieces read backward; a node
+        #: that ends no piece has no score.
         self.trie: dict[str, list] = {}
+        self.back: dict[str, list] = {}
         for p, i in texts:
             children = self.trie
             for c in p:
+                node = children.setdefault(c, [{}, None])
+                children = node[0]
+            node[1] = self.score[p]
+            children = self.back
+            for c in reversed(p):
                 node = children.setdefault(c, [{}, None, None])
                 children = node[0]
             node[1:] = self.score[p], (i,)
@@ -82,42 +100,60 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         at = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        return cls([sp.id_to_piece(i) for i in range(n)], at, {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)})
-
-    def lattice(self, text: str) -> tuple[list[list[tuple[int, int, tuple[int, ...]]]], list[float]]:
-        """Edges (start, score, ids) into each place and the best score up to it."""
-        into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(len(text) + 1)]
-        size = len(text)
-        best: list[float] = [0] + [-math.inf] * size
-        trie = self.trie
+        skip = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
+        return cls([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], at, skip, max(0, sp.unk_id()), sp.normalize)
+
+    def forward(self, text: str) -> tuple[list[float], list[int], list[float]]:
+        """Of each place the best score up to it, the start of the piece that ends there on the best path (of equal
+        ones the longest piece), and the loss if the second best piece ends there."""
+        size, trie, unknown = len(text), self.trie, self.unknown_score
+        best, start, loss = [0.0] + [-math.inf] * size, [0] * (size + 1), [math.inf] * (size + 1)
         for a, first in enumerate(text):
             base, node, b = best[a], trie.get(first), a
-            single = node is not None and node[1] is not None
+            if node is None or node[1] is None:
+                node = [node[0] if node else {}, unknown]
             while node:
                 b += 1
-                children, s, ids = node
+                children, s = node
                 if s is not None:
-                    into[b].append((a, s, ids))
-                    if base + s > best[b]:
-                        best[b] = base + s
-                node = children.get(text[b]) if b < size else None
-            if not single:
-                raw = first.encode()
-                s = self.byte_score * len(raw)
-                into[a + 1].append((a, s, tuple(self.bytes_at[x] for x in raw)))
-                if base + s > best[a + 1]:
-                    best[a + 1] = base + s
-        return into, best
-
-    def search(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+                    gain = base + s - best[b]
+                    if gain > 0:
+                        best[b], start[b], loss[b] = base + s, a, gain
+                    elif -gain < loss[b]:
+                        loss[b] = -gain
+                if b == size or not children:
+                    break
+                node = children.get(text[b])
+        return best, start, loss
+
+    def _unknown_ids(self, char: str) -> list[int]:
+        return [self.bytes_at[x] for x in char.encode()] if self.bytes_at else [self.unknown]
+
+    def edges(self, text: str, at: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """The pieces that end at a place: (start, score, ids)."""
+        last = text[at - 1]
+        node, a, out = self.back.get(last), at, []
+        if node is None or node[1] is None:
+            out.append((at - 1, self.unknown_score, tuple(self._unknown_ids(last))))
+        while node:
+            a -= 1
+            children, s, ids = node
+            if s is not None:
+                out.append((a, s, ids))
+            node = children.get(text[a - 1]) if a else None
+        return out
+
+    def search(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best paths (score, ids) of one lattice, best first.
 
         Of equal scores the path nearer the text's start goes first, and no place is left more than n
         times, so the queue stays in proportion to the text even if every path scores the same."""
-        into, best = self.lattice(text)
+        best, edges_at = self.forward(text)[0], self.edges
         push, pop = heapq.heappush, heapq.heappop
-        heap = [(-best[-1], len(text), 0, 0, None)]
-        out, left, made = [], [0] * (len(text) + 1), 0
+        if not text:
+            return [(0.0, ())]
+        heap = [(-best[-1], len(text), 0, 0.0, None)]
+        out, left, made = [], Counter(), 0
         while heap and len(out) < n:
             loss, at, _, after, path = pop(heap)
             if at == 0:
@@ -130,12 +166,12 @@ class Pieces:
             left[at] += 1
             if left[at] > n:
                 continue
-            edges = into[at]
+            edges = edges_at(text, at)
             while len(edges) == 1:  # no choice: on to the edge's start without the queue
                 at, s, own = edges[0]
                 after += s
                 path = own, path
-                edges = into[at]
+                edges = edges_at(text, at) if at else ()
             if at == 0:
                 made += 1
                 push(heap, (loss, 0, made, after, path))
@@ -145,53 +181,65 @@ class Pieces:
                 push(heap, (-(best[a] + s + after), a, made, s + after, (own, path)))
         return out
 
-    def part(self, text: str) -> tuple[int, bytes, int, float]:
+    def part(self, text: str) -> tuple[float, bytes, int, float]:
         """Best score, its ids (little-endian unsigned 32-bit), their number, loss of the second best.
         A part falls apart further between neighbours that no piece holds."""
         cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.inner]
         if cuts:
             own = [self.memo[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])]
             return sum(g[0] for g in own), b"".join([g[1] for g in own]), sum(g[2] for g in own), min(g[3] for g in own)
-        two = self.search(text, 2)
-        ids = two[0][1]
-        return two[0][0], struct.pack(f"<{len(ids)}I", *ids), len(ids), two[0][0] - two[1][0] if len(two) > 1 else math.inf
-
-    def parts(self, text: str) -> list[str]:
-        if not text:
+        best, start, loss = self.forward(text)
+        at, least, ids = len(text), math.inf, []
+        while at:  # the second best path leaves the best one, seen from the end, where that loses least
+            if loss[at] < least:
+                least = loss[at]
+            a = start[at]
+            i = self.id.get(text[a:at])
+            if i is None:
+                ids += reversed(self._unknown_ids(text[a]))
+            else:
+                ids.append(i)
+            at = a
+        ids.reverse()
+        return best[-1], struct.pack(f"<{len(ids)}I", *ids), len(ids), least
+
+    def parts(self, marked: str) -> list[str]:
+        if not marked:
             return []
-        marked = MARK + text.replace(" ", MARK)
         return self.part_pattern.findall(marked) if self.split else [marked]
 
-    def changes(self, text: str, n: int) -> tuple[bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]:
-        """The best path's ids (little-endian unsigned 32-bit) and the n best paths in falling order as
+    def changes(self, marked: str, n: int) -> tuple[bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]:
+        """Of a normalised text the best path's ids (little-endian unsigned 32-bit) and the n best paths in falling order as
         (score, changes): what they put in place of runs of the best path's pieces (place, number, ids)."""
         if len(self.memo) > MEMO_PARTS:
             self.memo.clear()
-        parts = self.parts(text)
+        parts = self.parts(marked)
         if not parts:
             return b"", [(0.0, [])]
         got = list(map(self.memo.__getitem__, parts))
         ids, total, losses = [g[1] for g in got], sum([g[0] for g in got]), np.array([g[3] for g in got])
         near = [int(i) for i in _least(losses, min(n - 1, len(losses))) if losses[i] < math.inf]
         # the n best combinations: one choice in each part, best first
-        ways: list[tuple[int, list[tuple[int, tuple[int, ...]]]]] = [(0, [])]
+        ways: list[tuple[float, list[tuple[int, tuple[int, ...]]]]] = [(0.0, [])]
         for i in near:
             paths = self.search(parts[i], n)
             more = [(loss + paths[0][0] - s, [*way, (i, p)] if k else way) for loss, way in ways for k, (s, p) in enumerate(paths)]
             ways = sorted(more, key=lambda w: w[0])[:n]
         place = np.cumsum([0] + [g[2] for g in got]) if near else ()
         named = lambda i, p: (int(place[i]), got[i][2], np.array(p, "<u4").tobytes())
-        return b"".join(ids), [((total - loss) / UNIT, sorted(named(i, p) for i, p in way)) for loss, way in ways]
+        return b"".join(ids), [((total - loss) / self.unit, sorted(named(i, p) for i, p in way)) for loss, way in ways]
 
     def nbest(self, text: str, n: int) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text: (score, ids as little-endian unsigned 32-bit)."""
-        best, paths = self.changes(text, n)
+        best, paths = self.changes(self.normalize([text])[0], n)
         return [(score, changed(best, way)) for score, way in paths]
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.decoded.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         text = raw.decode(errors="replace").replace(MARK, " ")
-        return text[1:] if text[:1] == " " else text
+        if self.lead and text[:1] == " ":
+            return text[1:]
+        return text[:-1] if self.tail and text[-1:] == " " else text
 
 
 def changed(best: bytes, way: list[tuple[int, int, bytes]]) -> bytes:
@@ -203,13 +251,18 @@ def changed(best: bytes, way: list[tuple[int, int, bytes]]) -> bytes:
     return b"".join([*out, best[4 * at :]])
 
 
+def described(best: bytes, score: float, way: list[tuple[int, int, bytes]]) -> dict:
+    ids = changed(best, way) if way else best
+    return {"score": score, "n_pieces": len(ids) // 4, "ids_crc32": zlib.crc32(ids), "changes": [{"place": a, "number": k, "ids": i} for a, k, i in way]}
+
+
 class Memo(dict):
     """Parts with their best path and second loss; long ones aren't kept."""
 
     def __init__(self, owner: Pieces):
         self.owner = owner
 
-    def __missing__(self, part: str) -> tuple[int, bytes, int, float]:
+    def __missing__(self, part: str) -> tuple[float, bytes, int, float]:
         got = self.owner.part(part)
         if len(part) <= MEMO_CHARS:
             self[part] = got
@@ -236,36 +289,37 @@ def pieces(path: str) -> Pieces:
 
 
 def segment(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids of the best path, the n best paths (score, and changes against the best: place, number
-    of pieces replaced, ids) and whether the best one decodes to the text."""
+    """doc_id, ids of the best path, the n best paths (score, number of pieces, crc32 of their ids as little-endian unsigned
+    32-bit integers, and changes against the best: place, number of pieces replaced, ids) and whether the best one
+    decodes to the text."""
 
     def make():
         model = pieces(model_path)
 
         def f(batch):
             texts = texts_of(batch)
-            found = [model.changes(t, n) for t in texts]
+            found = [model.changes(t, n) for t in model.normalize(texts)]
             return {
                 "doc_id": batch.column("doc_id"),
                 "ids": [best for best, _ in found],
-                "paths": [[{"score": s, "changes": [{"place": a, "number": k, "ids": i} for a, k, i in way]} for s, way in paths] for _, paths in found],
+                "paths": [[described(best, s, way) for s, way in paths] for best, paths in found],
                 "exact": [model.decode(best) == t for (best, _), t in zip(found, texts)],
             }
 
         return f
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(rows, make, "doc_id long, ids binary, paths array<struct<score: double, changes: array<struct<place: long, number: long, ids: binary>>>>, exact boolean")
+    return arrow_map(rows, make, "doc_id long, ids binary, paths array<struct<score: double, n_pieces: long, ids_crc32: long, changes: array<struct<place: long, number: long, ids: binary>>>>, exact boolean")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Of each document: n_paths, n_pieces and ids_crc32 of the best, scores of all, exact."""
-    scores = F.transform("paths", lambda p: p["score"])
-    return found.select("doc_id", F.size("paths").alias("n_paths"), (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), scores.alias("scores"), "exact")
+    """Of each document: n_paths, of all paths scores, n_pieces and ids_crc32, best first, and exact."""
+    of = lambda x: F.transform("paths", lambda p: p[x])
+    return found.select("doc_id", F.size("paths").alias("n_paths"), of("score").alias("scores"), of("n_pieces").alias("n_pieces"), of("ids_crc32").alias("ids_crc32"), "exact")
 
 
 def op7_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 4 best segmentations of all documents: scores, and the best one's crc32."""
+    """The 4 best segmentations of all documents: scores, numbers of pieces and crc32 of each."""
     import public_tokenizers
 
     return digest(segment(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model")))

@@ -49,7 +49,8 @@ def test_counts_against_the_library(spark):
 
 def toy():
     pieces = ["<unk>", *[f"<0x{b:02X}>" for b in range(256)], "▁", "a", "b", "ab", "▁a", "ba", "aba", "▁ab", "▁▁", "c"]
-    return nb.Pieces(pieces, {b: b + 1 for b in range(256)}, {0})
+    scores = [0.0] * 257 + [-2.25, -2.5, -3.0, -3.5, -1.75, -4.0, -1e9, -2.5, -1e9, -4.25]
+    return nb.Pieces(pieces, scores, {b: b + 1 for b in range(256)}, {0})
 
 
 def every_path(model, text):
@@ -61,20 +62,69 @@ def every_path(model, text):
         if text[:k] in model.score:
             out += [(model.score[text[:k]] + s, (model.id[text[:k]], *p)) for s, p in every_path(model, text[k:])]
     if not single:
-        raw = text[0].encode()
-        out += [(model.byte_score * len(raw) + s, (*[model.bytes_at[x] for x in raw], *p)) for s, p in every_path(model, text[1:])]
+        out += [(model.unknown_score + s, (*[model.bytes_at[x] for x in text[0].encode()], *p)) for s, p in every_path(model, text[1:])]
     return out
 
 
+def unigram_file(path, with_bytes):
+    """A unigram model's file written field by field: pieces (text, score, kind), then trainer and normaliser settings."""
+    rng = np.random.default_rng(3)
+    varint = lambda n: bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+    field = lambda n, kind, raw: varint(n << 3 | kind) + (varint(len(raw)) + raw if kind == 2 else raw)
+    piece = lambda p, s, k: field(1, 2, field(1, 2, p.encode()) + field(2, 5, np.array(s, "<f4").tobytes()) + field(3, 0, varint(k)))
+    out = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3)
+    if with_bytes:
+        out += b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256))
+    texts = ["▁", "a", "b", "c", "ab", "▁a", "ba", "aba", "▁ab", "bc", "cab", "▁c", "abc", "▁b", "ca"]
+    out += b"".join(piece(p, -2 - 6 * rng.random(), 1) for p in texts)
+    trainer = field(3, 0, varint(1)) + field(35, 0, varint(int(with_bytes)))
+    out += field(2, 2, trainer) + field(3, 2, field(1, 2, b"identity") + field(3, 0, varint(1)) + field(4, 0, varint(0)) + field(5, 0, varint(1)))
+    path.write_bytes(out)
+    return str(path)
+
+
+def test_nbest_equals_the_library_on_a_unigram_model(tmp_path):
+    import sentencepiece
+
+    for with_bytes in (True, False):
+        file = unigram_file(tmp_path / f"m{with_bytes}.model", with_bytes)
+        library, model = sentencepiece.SentencePieceProcessor(model_file=file), nb.Pieces.load(file)
+        rng = np.random.default_rng(5)
+        for _ in range(150):
+            text = "".join(rng.choice(list("aabbcc é"), int(rng.integers(1, 14))))
+            if with_bytes or "é" not in text:  # the library joins unknown neighbours that have no bytes
+                got = [np.frombuffer(i, "<u4").tolist() for _, i in model.nbest(text, 1)]
+                assert got[0] == library.encode(text)
+                n = len(want := library.nbest_encode_as_ids(text, 5))
+                mine = [np.frombuffer(i, "<u4").tolist() for _, i in model.nbest(text, 5)]
+                of_id = {i: library.get_score(i) for i in range(library.get_piece_size())}
+                value = lambda ids: round(sum(of_id[i] for i in ids), 3)
+                assert [value(x) for x in mine] == [value(x) for x in want] and (n == 5 or len(mine) == n)
+                clear = [x for x in want if sum(value(x) == value(y) for y in want) == 1 and value(x) > value(want[-1])]
+                assert all(x in mine for x in clear)  # equal scores may come in any order
+
+
+def test_one_long_part_needs_memory_in_proportion():
+    import tracemalloc
+
+    model = toy()
+    text = "▁" + "ab" * 200_000
+    tracemalloc.start()
+    two = model.search(text, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(two) == 2 and two[0][0] >= two[1][0] and peak < 400 * len(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aab bc\né", max_size=10), st.integers(1, 6))
 def test_nbest_is_exact(text, n):
     model = toy()
     got = model.nbest(text, n)
     want = sorted((-s for s, _ in every_path(model, nb.MARK + text.replace(" ", nb.MARK) if text else "")))[:n]
-    assert [round(s * nb.UNIT) for s, _ in got] == [-w for w in want]
+    assert [round(s * model.unit) for s, _ in got] == [-w for w in want]
     paths = {np.array(p, "<u4").tobytes(): s for s, p in every_path(model, nb.MARK + text.replace(" ", nb.MARK) if text else "")}
-    assert len({i for _, i in got}) == len(got) and all(paths[i] == round(s * nb.UNIT) for s, i in got)
+    assert len({i for _, i in got}) == len(got) and all(paths[i] == round(s * model.unit) for s, i in got)
     assert all(model.decode(i) == text for _, i in got)
 
 
@@ -86,11 +136,13 @@ def test_segment_table(spark):
     assert all(r["exact"] for r in rows) and len(rows) == len(texts)
     assert all(list(r["scores"]) == sorted(r["scores"], reverse=True) and len(r["scores"]) == r["n_paths"] for r in rows)
     assert nb.pieces(path).split
+    for r in rows:
+        assert len(r["n_pieces"]) == len(r["ids_crc32"]) == r["n_paths"]
     assert nb.segment(docs.limit(0), path).count() == 0
     model = nb.pieces(path)
     for t in ("cat sat", "tions"):
-        whole = model.search(nb.MARK + t.replace(" ", nb.MARK), 8)
-        assert [s for s, _ in whole] == [round(s * nb.UNIT) for s, _ in model.nbest(t, 8)]
+        whole = model.search(model.normalize([t])[0], 8)
+        assert [s for s, _ in whole] == [round(s * model.unit) for s, _ in model.nbest(t, 8)]
 
 
 
