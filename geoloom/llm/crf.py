@@ -16,6 +16,15 @@ from .common import mix64
 
 BITS, LEXICON, SEGMENT = 17, 5000, 48
 _NONE = 1 << BITS
+#: Numbers that segments' matrices may hold at once; with more, each text is one segment and needs none.
+MATRICES = 1 << 23
+#: Labels up to which features have all their BITS; twice as many take one bit less, so that the weights stay bounded.
+FULL_LABELS = 256
+
+
+def bits_for(labels: int) -> int:
+    """Bits of hashed features for so many labels."""
+    return BITS - max(0, (labels - 1) // FULL_LABELS).bit_length()
 
 
 def _hash(codes: np.ndarray, salt: int) -> np.ndarray:
@@ -35,9 +44,9 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, starts, np.diff(starts, append=len(codes))
 
 
-def feature_blocks(words: list[str], lexicon: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def feature_blocks(words: list[str], lexicon: np.ndarray, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
     """Blocks (features, starts): the features of word i in a block begin at starts[i].  Features
-    past a word's end are a feature without weight."""
+    past a word's end are a feature without weight; hashed ones take `bits` bits."""
     codes, starts, sizes = _codes(words)
     left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))
     padded = np.concatenate([codes, np.zeros(3, np.uint64)])
@@ -56,6 +65,8 @@ def feature_blocks(words: list[str], lexicon: np.ndarray) -> list[tuple[np.ndarr
     at = np.searchsorted(lexicon, whole)
     known = (at < len(lexicon)) & (lexicon[np.minimum(at, len(lexicon) - 1)] == whole) if len(lexicon) else np.zeros(len(words), bool)
     blocks.append((np.where(known, _NONE + 1 + at, _NONE), one))
+    if bits < BITS:  # hashed features below 1 << bits, then the one without weight, then the lexicon
+        blocks = [(np.where(f < _NONE, f & ((1 << bits) - 1), f - _NONE + (1 << bits)), s) for f, s in blocks]
     return blocks
 
 
@@ -68,48 +79,47 @@ def posteriors(scores: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> tupl
     forward and backward values, for the gradient of the transitions."""
     n, labels = scores.shape
     e = np.exp(scores - scores.max(1, keepdims=True)).astype(np.float64)
-    a = np.exp(trans)
-    segs = -(-sizes // SEGMENT)
+    a = np.exp(trans - trans.max(initial=0))
+    seg = SEGMENT if int((-(-sizes // SEGMENT)).sum()) * labels * labels <= MATRICES else max(1, int(sizes.max(initial=1)))
+    segs = -(-sizes // seg)
     first = np.cumsum(segs) - segs
     starts = np.cumsum(sizes) - sizes
     nth = np.arange(int(segs.sum())) - np.repeat(first, segs)
-    at = np.repeat(starts, segs) + nth * SEGMENT
-    size = np.minimum(SEGMENT, np.repeat(sizes, segs) - nth * SEGMENT)
-    grid = np.minimum(at[:, None] + np.arange(SEGMENT), n - 1)
-    inside = np.arange(SEGMENT) < size[:, None]
-    # segments' matrices: entry (i, j) leads from label i before the segment to j at its end
-    m = np.broadcast_to(np.eye(labels), (len(at), labels, labels)).copy()
-    if (segs > 1).any():
-        for t in range(SEGMENT):
-            new = (m.reshape(-1, labels) @ a).reshape(m.shape) * e[grid[:, t]][:, None, :]
-            new /= new.sum((1, 2), keepdims=True)
-            m = np.where(inside[:, t, None, None], new, m)
+    at = np.repeat(starts, segs) + nth * seg
+    size = np.minimum(seg, np.repeat(sizes, segs) - nth * seg)
+    steps = int(size.max(initial=0))
+    inside = lambda t: np.flatnonzero(size > t)
     before = np.ones((len(at), labels)) / labels
     after = np.ones((len(at), labels)) / labels
-    for s in range(1, int(segs.max(initial=1))):
-        on = first[segs > s] + s
-        v = before[on - 1]
-        # a text's first word has no transition into it
-        head = np.einsum("ni,nij->nj", v, m[on - 1]) if s > 1 else _first(e, at[on - 1], size[on - 1], a, grid[on - 1], inside[on - 1])
-        before[on] = head / head.sum(1, keepdims=True)
-    for s in range(int(segs.max(initial=1)) - 2, -1, -1):
-        on = first[segs > s + 1] + s
-        v = np.einsum("nij,nj->ni", m[on + 1], after[on + 1])
-        after[on] = v / v.sum(1, keepdims=True)
+    if (segs > 1).any():
+        # segments' matrices: entry (i, j) leads from label i before the segment to j at its end
+        m = np.broadcast_to(np.eye(labels), (len(at), labels, labels)).copy()
+        for t in range(steps):
+            rows = inside(t)
+            new = (m[rows].reshape(-1, labels) @ a).reshape(len(rows), labels, labels) * e[at[rows] + t][:, None, :]
+            m[rows] = new / new.sum((1, 2), keepdims=True)
+        for s in range(1, int(segs.max(initial=1))):
+            on = first[segs > s] + s
+            # a text's first word has no transition into it
+            head = np.einsum("ni,nij->nj", before[on - 1], m[on - 1]) if s > 1 else _first(e, at[on - 1], size[on - 1], a)
+            before[on] = head / head.sum(1, keepdims=True)
+        for s in range(int(segs.max(initial=1)) - 2, -1, -1):
+            on = first[segs > s + 1] + s
+            v = np.einsum("nij,nj->ni", m[on + 1], after[on + 1])
+            after[on] = v / v.sum(1, keepdims=True)
     alpha, beta = np.zeros((n, labels)), np.zeros((n, labels))
     v = before
-    for t in range(SEGMENT):
-        rows = np.flatnonzero(inside[:, t])
-        g = grid[rows, t]
+    for t in range(steps):
+        rows = inside(t)
+        g = at[rows] + t
         x = np.where(((nth[rows] == 0) & (t == 0))[:, None], 1.0, v[rows] @ a) * e[g]
         x /= x.sum(1, keepdims=True)
-        v = v.copy() if v is before else v
         v[rows] = x
         alpha[g] = x
-    v = after.copy()
-    for t in range(SEGMENT - 1, -1, -1):
-        rows = np.flatnonzero(inside[:, t])
-        g = grid[rows, t]
+    v = after
+    for t in range(steps - 1, -1, -1):
+        rows = inside(t)
+        g = at[rows] + t
         beta[g] = v[rows]
         x = (e[g] * v[rows]) @ a.T
         v[rows] = x / x.sum(1, keepdims=True)
@@ -117,20 +127,53 @@ def posteriors(scores: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> tupl
     return p / p.sum(1, keepdims=True), alpha, beta
 
 
-def _first(e, at, size, a, grid, inside):
+def _first(e, at, size, a):
     """Forward values at the ends of texts' first segments."""
     v = e[at]
-    for t in range(1, SEGMENT):
-        x = (v @ a) * e[grid[:, t]]
-        v = np.where(inside[:, t, None], x / x.sum(1, keepdims=True), v)
+    for t in range(1, int(size.max(initial=0))):
+        rows = np.flatnonzero(size > t)
+        x = (v[rows] @ a) * e[at[rows] + t]
+        v[rows] = x / x.sum(1, keepdims=True)
     return v
 
 
+def label_sums(score_of, size: int, letters: np.ndarray, trans: np.ndarray, chunk: int) -> np.ndarray:
+    """Sums over one text of each label's probability times the words' letters, with one chunk of words held
+    at a time: a forward pass keeps the values at the chunks' starts, then the chunks are done from the last to
+    the first.  score_of: from a range of words to their scores."""
+    a = np.exp(trans - trans.max(initial=0))
+    cuts = [*range(0, size, chunk), size]
+    scale = lambda x: np.exp(x - x.max(1, keepdims=True)).astype(np.float64)
+    heads, v = [], None
+    for lo, hi in zip(cuts, cuts[1:]):
+        heads.append(v)
+        for e in scale(score_of(lo, hi)):
+            v = e if v is None else (v @ a) * e
+            v = v / v.sum()
+    total, back = np.zeros(len(a)), np.ones(len(a)) / len(a)
+    for k in range(len(cuts) - 2, -1, -1):
+        lo, hi = cuts[k], cuts[k + 1]
+        e, v = scale(score_of(lo, hi)), heads[k]
+        alpha = np.zeros(e.shape)
+        for t in range(hi - lo):
+            v = e[t] if v is None else (v @ a) * e[t]
+            v = alpha[t] = v / v.sum()
+        for t in range(hi - lo - 1, -1, -1):
+            p = alpha[t] * back
+            total += letters[lo + t] * p / p.sum()
+            back = a @ (e[t] * back)
+            back /= back.sum()
+    return total
+
+
 class Crf:
     """labels, weights (features, labels), transitions and the lexicon's word hashes."""
 
     def __init__(self, labels: list[str], lexicon: np.ndarray, weights: np.ndarray, trans: np.ndarray):
-        self.labels, self.lexicon, self.weights, self.trans = labels, lexicon, weights, trans
+        self.labels, self.lexicon, self.weights, self.trans, self.bits = labels, lexicon, weights, trans, bits_for(len(labels))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        return emissions(feature_blocks(words, self.lexicon, self.bits), self.weights)
 
     @classmethod
     def train(cls, texts: list[list[str]], labels: list[str], epochs: int = 3, rate: float = 0.3, ridge: float = 1e-6, seed: int = 11) -> "Crf":
@@ -147,24 +190,26 @@ class Crf:
         hashes = word_hashes(words)
         often = np.argsort(-counts, kind="stable")[:LEXICON]
         lexicon = np.unique(hashes[often])
-        weights, trans = np.zeros((_NONE + 1 + len(lexicon), len(names)), np.float32), np.zeros((len(names), len(names)))
+        bits = bits_for(len(names))
+        weights, trans = np.zeros(((1 << bits) + 1 + len(lexicon), len(names)), np.float32), np.zeros((len(names), len(names)))
         model = cls(names, lexicon, weights, trans)
         if not words or len(names) < 1:
             return model
         rng = np.random.default_rng(seed)
         spans = [(ids[i : i + n], lab) for ids, lab in seqs for i in range(0, len(ids), 40) for n in (int(rng.integers(6, 41)),)]
         g2, t2 = np.full(weights.shape[0], 1e-8), np.full(trans.shape, 1e-8)
+        batch = max(8, min(800, 4 * (50_000 // len(names))))
         for _ in range(epochs):
             order = rng.permutation(len(spans))
-            for b in range(0, len(order), 800):
-                part = [spans[i] for i in order[b : b + 800]]
+            for b in range(0, len(order), batch):
+                part = [spans[i] for i in order[b : b + batch]]
                 ids = np.concatenate([p[0] for p in part])
                 gold = np.concatenate([np.full(len(p[0]), p[1]) for p in part])
                 # four spans in turn make one text that switches
                 sizes = np.array([len(p[0]) for p in part])
                 sizes = np.add.reduceat(sizes, np.arange(0, len(sizes), 4))
                 own, inv = np.unique(ids, return_inverse=True)
-                blocks = feature_blocks([words[i] for i in own], lexicon)
+                blocks = feature_blocks([words[i] for i in own], lexicon, bits)
                 prob, alpha, beta = posteriors(emissions(blocks, weights)[inv], sizes, trans)
                 g = -prob
                 g[np.arange(len(gold)), gold] += 1
@@ -176,7 +221,7 @@ class Crf:
                 used, back = np.unique(feats, return_inverse=True)
                 gw = np.zeros((len(used), len(names)))
                 np.add.at(gw, back, by_word[owner])
-                gw[used == _NONE] = 0
+                gw[used == 1 << bits] = 0
                 g2[used] += (gw * gw).sum(1)
                 weights[used] += (rate * gw / np.sqrt(g2[used])[:, None] - ridge * weights[used]).astype(np.float32)
                 inner = np.ones(len(ids), bool)
@@ -184,9 +229,9 @@ class Crf:
                 to = np.flatnonzero(inner)
                 e = emissions(blocks, weights)[inv][to]
                 e = np.exp(e - e.max(1, keepdims=True))
-                pair = alpha[to - 1][:, :, None] * np.exp(trans) * (e * beta[to])[:, None, :]
-                pair /= pair.sum((1, 2), keepdims=True)
-                gt = -pair.sum(0)
+                ways, ahead = np.exp(trans), e * beta[to]
+                z = ((alpha[to - 1] @ ways) * ahead).sum(1, keepdims=True)
+                gt = -ways * (alpha[to - 1].T @ (ahead / z))
                 np.add.at(gt, (gold[to - 1], gold[to]), 1)
                 t2 += gt * gt
                 trans += rate * gt / np.sqrt(t2)

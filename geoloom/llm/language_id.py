@@ -2,11 +2,12 @@
 
 Words are runs of letters, in lower case.  The field labels each word of a text, so texts that
 switch between languages are labelled span by span; a text's language is the one with most letters
-by posterior, and its score is that share.  The field is trained on at most `per_label` whole texts
-of each language and `MAX_LABELS` languages, chosen by a hash of the id; everything else covers all rows.
+by posterior, and its score is that share.  The field is trained on about `per_label` whole texts
+of each of the MAX_LABELS most frequent languages, chosen by a hash of id and text among texts of at most SAMPLE_CHARS
+code points, fewer if `per_label` would hold more than SAMPLE_BYTES in all; everything else covers all rows.
 
-Nulls: a null text or one without letters is `und` with score 0, as is every text if nothing could
-be learned.  Rows with a null label or id are not learned from; a null id isn't held out.  Repeated
+Nulls: a null text or one without letters (characters of a Unicode letter category) is `und` with score 0, as
+is every text if nothing could be learned.  Rows with a null label or id are not learned from; a null id isn't held out.  Repeated
 rows are judged alike.  An empty table gives no rows; other columns are not read."""
 
 from __future__ import annotations
@@ -15,35 +16,43 @@ import re
 import uuid
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, carried, own_memo, restored, texts_of
-from .crf import Crf, emissions, feature_blocks, posteriors
-
-WORD = re.compile(r"[^\W\d_]+")
-PER_LABEL, MAX_LABELS, UNKNOWN, MEMO_WORDS = 250, 200, "und", 700_000
-#: Words whose chains are computed at once.
-AT_ONCE = 150_000
+from .crf import Crf, label_sums, posteriors
+
+WORD, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
+PER_LABEL, MAX_LABELS, UNKNOWN, MEMO_WORDS = 250, 1000, "und", 700_000
+#: Bounds of the texts that are learned from: code points of one, and bytes of all.
+SAMPLE_CHARS, SAMPLE_BYTES = 200_000, 64_000_000
+#: Words times labels whose chains are computed at once, and words at most.
+NUMBERS, AT_ONCE = 2_000_000, 150_000
 _SPREAD = 1 << 30
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters in lower case; what counts as a word character but is no letter (as ² or Ⅷ) parts them."""
+    words = WORD.findall(text.lower())
+    if not "".join(words).isalpha():
+        words = [x for w in words for x in ([w] if w.isalpha() else LETTERS.findall(w))]
+    return words
 
 
 def learn(docs: DataFrame, per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Crf:
     """A field trained on a bounded sample of the rows of docs."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     rows = rows.where("id is not null and text is not null and label is not null")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS).collect()}
-    if not counts:
+    rows = rows.where(F.length("text") <= SAMPLE_CHARS)
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "label").limit(MAX_LABELS).collect()
+    if not sizes:
         return Crf.train([], [])
-    draw, parts = F.pmod(F.xxhash64("id"), F.lit(_SPREAD)), [(k, min(_SPREAD, _SPREAD * per_label // n + 1)) for k, n in counts.items()]
-    below = F.lit(False)
-    for label, limit in parts:
-        below = below | ((F.col("label") == label) & (draw < limit))
-    some = rows.where(below).limit(2 * per_label * len(counts)).select("id", "text", "label").collect()
+    held = sum(r["bytes"] * min(1.0, per_label / r["n"]) for r in sizes)
+    share = min(1.0, SAMPLE_BYTES / max(1.0, held))
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(_SPREAD))
+    limits = rows.sparkSession.createDataFrame([(r["label"], min(_SPREAD, int(_SPREAD * share * per_label / r["n"]) + 1)) for r in sizes], "label string, below long")
+    some = rows.join(F.broadcast(limits), "label").where(draw < F.col("below")).select("id", "label", "text").distinct().collect()
     some = sorted(some, key=lambda r: (r["id"], r["label"], r["text"]))
     return Crf.train([words_of(r["text"]) for r in some], [r["label"] for r in some])
 
@@ -53,6 +62,8 @@ class Judge:
 
     def __init__(self, model: Crf):
         self.model, self.rows, self.new = model, {}, []
+        self.at_once = max(256, min(AT_ONCE, NUMBERS // max(1, len(model.labels))))
+        self.memo_words = min(MEMO_WORDS, 16 * NUMBERS // max(1, len(model.labels)))
         self.scores = np.zeros((0, len(model.labels)), np.float32)
 
     def _index(self, words: list[str]) -> np.ndarray:
@@ -73,23 +84,35 @@ class Judge:
         part, size = [], 0
         for t in texts:
             words = words_of(t)
-            part.append(words)
-            size += len(words)
-            if size >= AT_ONCE:
+            if part and size + len(words) > self.at_once:
                 out += self._judge(part)
                 part, size = [], 0
+            if len(words) > 2 * self.at_once:
+                out.append(self._judge_long(words))
+            else:
+                part.append(words)
+                size += len(words)
         return out + self._judge(part)
 
+    def _judge_long(self, words: list[str]) -> tuple[str, float]:
+        """One text, with `at_once` words' chains held at a time."""
+        if not self.model.labels:
+            return UNKNOWN, 0.0
+        letters = np.fromiter(map(len, words), np.float64, len(words))
+        share = label_sums(lambda lo, hi: self.model.scores(words[lo:hi]), len(words), letters, self.model.trans, self.at_once) / letters.sum()
+        best = int(share.argmax())
+        return self.model.labels[best], float(min(1.0, max(0.0, share[best])))
+
     def _judge(self, texts: list[list[str]]) -> list[tuple[str, float]]:
         out, labels = [(UNKNOWN, 0.0)] * len(texts), self.model.labels
         some = [i for i, t in enumerate(texts) if t]
         if not some or not labels:
             return out
-        if len(self.rows) > MEMO_WORDS:
+        if len(self.rows) > self.memo_words:
             self.rows, self.scores = {}, self.scores[:0]
         ids = [self._index(texts[i]) for i in some]
         if self.new:
-            self.scores = np.concatenate([self.scores, emissions(feature_blocks(self.new, self.model.lexicon), self.model.weights)])
+            self.scores = np.concatenate([self.scores, self.model.scores(self.new)])
             self.new.clear()
         sizes = np.array([len(x) for x in ids], np.int64)
         prob, _, _ = posteriors(self.scores[np.concatenate(ids)], sizes, self.model.trans)
@@ -106,8 +129,7 @@ class Judge:
         words = words_of(text)
         if not words or not self.model.labels:
             return []
-        e = emissions(feature_blocks(words, self.model.lexicon), self.model.weights)
-        prob, _, _ = posteriors(e, np.array([len(words)]), self.model.trans)
+        prob, _, _ = posteriors(self.model.scores(words), np.array([len(words)]), self.model.trans)
         return [(w, self.model.labels[int(p.argmax())], float(p.max())) for w, p in zip(words, prob)]
 
 
@@ -128,7 +150,7 @@ def identified(docs: DataFrame, model: Crf, share: float, text_col: str = "text"
 
 def _predicted(docs: DataFrame, model: Crf, keep: list[str], text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # features times labels: MAX_LABELS bounds it
+    sent = spark.sparkContext.broadcast(model)  # features times labels: bits_for and MAX_LABELS bound it
     key = uuid.uuid4().hex
     rows = docs.select(*carried(keep), F.col(text_col).cast("string").alias("_text"))
     kinds = rows.dtypes[:-1]

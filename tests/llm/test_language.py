@@ -33,6 +33,68 @@ def test_segments_give_the_plain_posteriors():
     assert np.allclose(got, plain(scores, sizes, trans), atol=1e-9)
 
 
+def test_many_labels_need_no_matrices(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = np.array([3, 200, 1, 97])
+    scores, trans = rng.normal(size=(sizes.sum(), 20)) * 2, rng.normal(size=(20, 20))
+    want = plain(scores, sizes, trans)
+    assert np.allclose(crf.posteriors(scores, sizes, trans)[0], want, atol=1e-9)
+    monkeypatch.setattr(crf, "MATRICES", 100)
+    assert np.allclose(crf.posteriors(scores, sizes, trans)[0], want, atol=1e-9)
+    letters = rng.integers(1, 9, sizes.sum()).astype(float)
+    for chunk in (1, 7, 1000):
+        got = crf.label_sums(lambda lo, hi: scores[lo:hi], len(scores), letters, trans, chunk)
+        assert np.allclose(got, (plain(scores, np.array([len(scores)]), trans) * letters[:, None]).sum(0), atol=1e-8)
+
+
+def test_three_hundred_languages(spark):
+    rng = np.random.default_rng(7)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    own = ["".join(rng.choice(list(alphabet), 3)) for _ in range(300)]
+    text = lambda k, n: " ".join(own[k] + "".join(rng.choice(list(alphabet), 2)) for _ in range(n))
+    rows = [(300 * j + k, text(k, 30), f"l{k:03}") for k in range(300) for j in range(3)] + [(9999, text(7, 3000), "l007")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.learn(docs)
+    assert len(model.labels) == 300 and model.weights.size <= 1.2 * (1 << crf.BITS) * crf.FULL_LABELS
+    judge = li.Judge(model)
+    judge.at_once = 256
+    got = judge.judge([t for _, t, _ in rows])
+    assert np.mean([g == lang for (g, _), (_, _, lang) in zip(got, rows)]) > 0.9 and got[-1][0] == "l007"
+    assert np.isclose(got[-1][1], li.Judge(model).judge([rows[-1][1]])[0][1], atol=1e-5)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    rows = [(1, "the same row again", "en")] * 3000 + [(i, f"un deux trois {i}", "fr") for i in range(2, 3000)] + [(5, "x" * 3000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(crf.Crf, "train", classmethod(lambda cls, texts, labels: seen.append((len(texts), sum(len(w) for t in texts for w in t)))))
+    li.learn(docs, 100)
+    monkeypatch.setattr(li, "SAMPLE_CHARS", 1000)
+    monkeypatch.setattr(li, "SAMPLE_BYTES", 500)
+    li.learn(docs, 100)
+    assert seen[0][0] < 160 and seen[1][1] < 1000 and seen[1][0] < 60
+
+
+def test_prediction_equals_a_plain_field():
+    """The whole prediction, features by plain loops over letters and words, against the judge."""
+    texts = [["le", "chat", "est", "noir"], ["the", "cat", "is", "black"], ["der", "hund", "ist", "da"]] * 20
+    model = crf.Crf.train(texts, ["fr", "en", "de"] * 20)
+    judge = li.Judge(model)
+    for text in ("le chat is black", "Der Hund est là, the end", "ça x", "é"):
+        words = li.WORD.findall(text.lower())
+        e = np.concatenate([model.weights[np.concatenate([f[s[0] :] for f, s in crf.feature_blocks([w], model.lexicon)])].sum(0)[None] for w in words])
+        p = plain(e, np.array([len(words)]), model.trans)
+        share = sum(len(w) * x for w, x in zip(words, p)) / sum(map(len, words))
+        (lang, score), = judge.judge([text])
+        assert lang == model.labels[int(share.argmax())] and np.isclose(score, share.max(), atol=1e-5)
+
+
+def test_only_letters_make_words():
+    assert li.words_of("x²y ½ ① Ⅷ ab_c d4e ñandú 日本") == ["x", "y", "ab", "c", "d", "e", "ñandú", "日本"]
+    model = crf.Crf.train([["le", "chat"], ["the", "cat"]] * 9, ["fr", "en"] * 9)
+    assert li.Judge(model).judge(["² ½", "① Ⅷ 12", "", "the"])[:3] == [("und", 0.0)] * 3
+
+
 def test_memo_scores_equal_direct_scores():
     model = crf.Crf.train([["le", "chat", "est"], ["the", "cat", "is"]] * 30, ["fr", "en"] * 30)
     words = ["le", "cat", "x", "chaton", "é", "theis"]
