@@ -8,14 +8,13 @@ minimum, so where a phrase ends depends on a few symbols around it only and equa
 alike but for their edges, wherever they stand.  A phrase's name is a hash of its symbols; names are
 the next level's symbols, until one is left.
 
-The fingerprint keeps the SKETCH least 32-bit hashes of the distinct names from level BASE on (from
-the level below if the text has few phrases there, and the last name of shorter ones), as
-hexadecimal digits.  The likeness of two fingerprints is the Jaccard similarity that these least
+The fingerprint keeps the SKETCH least 32-bit hashes of the distinct names from level BASE on and of the text's
+one last name, as hexadecimal digits: the same levels for every text.  The likeness of two fingerprints is the Jaccard similarity that these least
 hashes estimate; texts with fewer names have it exactly.
 
 Nulls: a null text is an empty one; its fingerprint is the empty string, whose likeness is 1 to
 itself and 0 to any other.  Null doc_ids come last in descending order; rows of one doc_id follow
-each other by text.  One row follows itself.  An empty table gives no rows; other columns are not
+each other by a hash of the text.  One row follows itself.  An empty table gives no rows; other columns are not
 read."""
 
 from __future__ import annotations
@@ -26,14 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, mix64
+from .common import bound_batches, mix64, table
 
-BASE, FEW, SKETCH, ROUNDS = 3, 8, 64, 4
-#: Code points that are parsed at once; rows of a range of doc_ids; most such ranges.
-AT_ONCE, RANGE_ROWS, MAX_RANGES = 300_000, 2048, 200_000
+BASE, SKETCH, ROUNDS = 2, 64, 4
+#: Code points that are parsed at once.
+AT_ONCE = 300_000
 _PLACE, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -100,8 +99,7 @@ def sketch(levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """The least hashes of a text's names, ascending."""
     if not levels:
         return np.zeros(0, np.uint32)
-    base = BASE if len(levels) >= BASE and len(levels[BASE - 1][1]) >= FEW else BASE - 1
-    kept = [n for level, n in levels if level >= base] or [levels[-1][1]]
+    kept = [n for level, n in levels if level >= BASE or level == len(levels)]
     return np.unique((np.concatenate(kept) >> np.uint64(32)).astype(np.uint32))[:SKETCH]
 
 
@@ -147,75 +145,83 @@ def fingerprint_column(docs: DataFrame, text_col: str = "text", to: str = "finge
     return docs.withColumn(to, of(F.col(text_col)))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows home, ghost, key, doc_id, text, in descending order of doc_id (the smallest is followed
-    by the largest) within ranges of doc_ids.
+def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, home: ranges of the descending order of doc_ids, a partition each and numbered by home.
 
-    Ranges are cut at approximate quantiles, a range's rows lie in one partition, and the
-    first of the next range comes once more as ghost at a range's end: so each row finds the next
-    one beside it and texts are shuffled once."""
-    spark = docs.sparkSession
+    Ranges are cut by doc_id, hash of the text and row, so that no doc_id and no text has to lie in one range."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
-    ids = rows.select("key")
-    ranges = max(1, min(MAX_RANGES, ids.count() // RANGE_ROWS))
-    cuts = [] if ranges == 1 else ids.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges))).first()[0]
-    cut = np.unique(np.array(cuts, np.int64))
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    order = [F.col("doc_id").desc_nulls_last(), "tie", "row"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("home"))
 
-    @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series((len(cut) - np.searchsorted(cut, key.to_numpy(), side="left")).astype(np.int32))
 
-    tops = sorted((r["home"], r["top"]) for r in ids.withColumn("home", range_of("key")).groupBy("home").agg(F.max("key").alias("top")).collect())
-    homes = np.array([h for h, _ in tops])
-    guests = {tops[i][1]: tops[i - 1][0] for i in range(len(tops))}  # a range's first row also ends the range before it
+_KINDS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    @F.pandas_udf("array<int>")
-    def places(key: pd.Series) -> pd.Series:
-        own = len(cut) - np.searchsorted(cut, key.to_numpy(), side="left")
-        return pd.Series([[int(h)] if (g := guests.get(k)) is None else [int(h), -1 - int(g)] for h, k in zip(own, key)])
 
-    spread = rows.withColumn("place", F.explode(places("key")))
-    spread = spread.select(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("home"), (F.col("place") < 0).alias("ghost"), "key", "doc_id", "text")
-    parts = max(1, min(len(homes), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return spread.repartition(parts, "home").sortWithinPartitions("home", "ghost", F.desc("key"), "text")
+def _judged(pairs: list[tuple]) -> list[list]:
+    """Columns of _KINDS for pairs (doc_id, text, next text)."""
+    changed = [edited(t, n) for _, t, n in pairs]
+    # a next text is most often the following pair's own
+    texts, own = [], []
+    for _, t, n in pairs:
+        if not texts or texts[-1] is not t:
+            texts.append(t)
+        own.append(len(texts) - 1)
+        texts.append(n)
+    prints, after = fingerprints(texts), fingerprints(changed)
+    rows = [(d, len(t), hashlib.sha256(c.encode()).hexdigest(), fingerprint(prints[i]), fingerprint(e), likeness(prints[i], e), likeness(prints[i], prints[i + 1])) for (d, t, _), c, i, e in zip(pairs, changed, own, after)]
+    return [list(x) for x in zip(*rows)]
 
 
 def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-
-    def emit(pairs: list[tuple]) -> pa.RecordBatch:
-        """pairs: doc_id, text, next text."""
-        changed = [edited(t, n) for _, t, n in pairs]
-        # a next text is most often the following pair's own
-        texts, own = [], []
-        for _, t, n in pairs:
-            if not texts or texts[-1] is not t:
-                texts.append(t)
-            own.append(len(texts) - 1)
-            texts.append(n)
-        prints, after = fingerprints(texts), fingerprints(changed)
-        rows = [(d, len(t), hashlib.sha256(c.encode()).hexdigest(), fingerprint(prints[i]), fingerprint(e), likeness(prints[i], e), likeness(prints[i], prints[i + 1])) for (d, t, _), c, i, e in zip(pairs, changed, own, after)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    Within a range each row has the next one beside it.  A range's first and last texts are written with
+    the results; the last one's results follow from a join with the first of the next range that has rows, so texts are
+    shuffled once and two of each range once more."""
+    spark = docs.sparkSession
+    kinds = _KINDS.append(pa.field("home", pa.int32())).append(pa.field("first", pa.string())).append(pa.field("last", pa.string()))
+
+    def batch_of(columns: list[list], home=None, first=None, last=None) -> pa.RecordBatch:
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip([*columns, [home] * n, [first] * n, [last] * n], kinds)], schema=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pairs, size = None, [], 0
+        first = last = home = None
+        pairs, size = [], 0
         for batch in batches:
-            for home, ghost, doc, text in zip(*(batch.column(x).to_pylist() for x in ("home", "ghost", "doc_id", "text"))):
-                if last and last[0] == home and not last[1]:
-                    pairs.append((last[2], last[3], text))
-                    size += len(last[3])
-                last = home, ghost, doc, text
+            for doc, text, home in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "home"))):
+                if last is None:
+                    first = text
+                else:
+                    pairs.append((*last, text))
+                    size += len(last[1])
+                last = doc, text
                 if size >= AT_ONCE:
-                    yield emit(pairs)
+                    yield batch_of(_judged(pairs))
                     pairs, size = [], 0
         if pairs:
-            yield emit(pairs)
+            yield batch_of(_judged(pairs))
+        if last:
+            yield batch_of([[last[0]], *[[None]] * 6], home, first, last[1])
 
-    bound_batches(docs.sparkSession)
-    ordered = with_next(docs, id_col, text_col)
-    return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(_judged([(row["doc_id"], row["last"], row["first"])]), _KINDS)], schema=_KINDS)
+
+    bound_batches(spark)
+    found = table(in_order(docs, id_col, text_col).mapInArrow(run, _RESULT + ", home int, first string, last string"), "likeness")
+    ends = found.where("home is not null")
+    # one row a range: the next range's number, without its texts
+    homes = ends.select("home")
+    following = homes.select(F.col("home").alias("at"), F.lead("home").over(Window.orderBy("home")).alias("to"))
+    least = homes.agg(F.min("home")).first()[0]
+    following = following.select("at", F.coalesce("to", F.lit(least)).alias("to"))
+    open_ends = ends.select("doc_id", "home", "last").join(F.broadcast(following), F.col("home") == F.col("at"))
+    paired = open_ends.join(ends.select(F.col("home").alias("there"), "first"), F.col("to") == F.col("there")).select("doc_id", "last", "first")
+    return found.where("home is null").drop("home", "first", "last").unionByName(paired.mapInArrow(close, _RESULT))
 
 
 def op3_local_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ have a rate of good documents: the mean of the documents' evidence, shrunk towar
 a path toward its site, a site toward the whole corpus - by as many pseudo-documents as the spread of
 rates on that level calls for (method of moments).  Sparse sites so stay near the global prior while
 large ones speak for themselves.  A document's posterior odds are its own odds times the odds of its
-path against the corpus.  All rates are grouped sums; only the model and three numbers reach the driver.
+path against the corpus, where the rates of its path and site leave its own evidence out, so that no
+evidence counts twice.  All rates are grouped sums; only the model and three numbers reach the driver.
 
 The model is fitted on at most SAMPLE labelled documents, chosen by a hash of the id.
 
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, carried, own_memo, restored, sent_if_small, table, texts_of
+from .common import arrow_map, carried, hot_keys, join_hot, own_memo, restored, table, texts_of
 
 SAMPLE, KEEP = 6000, 0.5
 #: Bounds of a level's pseudo-documents.
@@ -144,23 +145,26 @@ def _strength(rates: DataFrame, above: str) -> float:
 
 
 def posteriors(judged: DataFrame, site: str, path: str) -> DataFrame:
-    """judged (own_logit, site and path columns) with site_rate, path_rate, quality_score."""
-    p = 1 / (1 + F.exp(-F.col("own_logit")))
-    sums = [F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("v")]
-    by_path = table(judged.withColumn("p", p).groupBy(F.col(site).alias("_site"), F.col(path).alias("_path")).agg(*sums), "rates")
+    """judged (a written table with own_logit, site and path columns) with site_rate and path_rate - of the other
+    documents - and quality_score."""
+    judged = judged.withColumn("_own", 1 / (1 + F.exp(-F.col("own_logit")))).withColumn("_key", F.to_json(F.struct(F.col(site).alias("s"), F.col(path).alias("p"))))
+    sums = [F.count("*").alias("n"), F.sum("_own").alias("s"), F.sum(F.col("_own") * F.col("_own")).alias("v")]
+    by_path = table(judged.groupBy("_key", F.col(site).alias("_site")).agg(*sums), "rates")
     by_site = by_path.groupBy("_site").agg(*[F.sum(x).alias(x) for x in ("n", "s", "v")])
     whole = by_site.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     base = (whole["s"] + 1) / (whole["n"] + 2) if whole["n"] else 0.5
-    by_site = by_site.withColumn("base", F.lit(base))
+    by_site = table(by_site.withColumn("base", F.lit(base)), "site-rates")
     k1 = _strength(by_site, "base")
-    by_site = by_site.withColumn("site_rate", (F.lit(k1 * base) + F.col("s")) / (F.lit(k1) + F.col("n"))).select("_site", "site_rate")
-    by_path = by_path.join(by_site.withColumnRenamed("_site", "_up"), F.col("_site").eqNullSafe(F.col("_up"))).drop("_up")
-    k2 = _strength(by_path, "site_rate")
-    by_path = by_path.withColumn("path_rate", (F.lit(k2) * F.col("site_rate") + F.col("s")) / (F.lit(k2) + F.col("n"))).select("_site", "_path", "site_rate", "path_rate")
-    both = judged.join(sent_if_small(table(by_path, "path-rates")), F.col(site).eqNullSafe(F.col("_site")) & F.col(path).eqNullSafe(F.col("_path"))).drop("_site", "_path")
+    by_site = by_site.select(F.col("_site").alias("_up"), F.col("n").alias("site_n"), F.col("s").alias("site_s"))
+    by_site = by_site.withColumn("_rate", (F.lit(k1 * base) + F.col("site_s")) / (F.lit(k1) + F.col("site_n")))
+    by_path = table(by_path.join(by_site, F.col("_site").eqNullSafe(F.col("_up"))).drop("_up", "_site"), "path-rates")
+    k2 = _strength(by_path, "_rate")
+    both = join_hot(judged, by_path.drop("v", "_rate"), ["_key"], hot_keys(by_path, ["_key"], int(whole["n"] or 0)))
+    both = both.withColumn("site_rate", (F.lit(k1 * base) + F.col("site_s") - F.col("_own")) / (F.lit(k1) + F.col("site_n") - 1))
+    both = both.withColumn("path_rate", (F.lit(k2) * F.col("site_rate") + F.col("s") - F.col("_own")) / (F.lit(k2) + F.col("n") - 1))
     logit = lambda x: F.log(x / (1 - x))
     odds = F.col("own_logit") + logit(F.col("path_rate")) - F.lit(float(np.log(base / (1 - base))))
-    return both.withColumn("quality_score", 1 / (1 + F.exp(-odds)))
+    return both.withColumn("quality_score", 1 / (1 + F.exp(-odds))).drop("_own", "_key", "n", "s", "site_n", "site_s")
 
 
 def _judged(docs: DataFrame, labels: DataFrame, columns: list[str], site: str, path: str, **options) -> DataFrame:

@@ -1,5 +1,7 @@
 import numpy as np
+from pyspark.sql import functions as F
 
+from geoloom.llm import common
 from geoloom.llm import quality as q
 
 SF = "/root/testdata/sf0.01"
@@ -37,9 +39,44 @@ def brute(rows, base_k):
     k1 = strength(list(sites.values()), [base] * len(sites))
     rate = {s: (k1 * base + sum(g)) / (k1 + len(g)) for s, g in sites.items()}
     k2 = strength(list(paths.values()), [rate[s] for s, _ in paths])
-    own = {k: (k2 * rate[k[0]] + sum(g)) / (k2 + len(g)) for k, g in paths.items()}
     lo = lambda x: np.log(x / (1 - x))
-    return [1 / (1 + np.exp(-(x + lo(own[s, t]) - lo(base)))) for x, s, t in rows]
+    out = []
+    for own, (x, s, t) in zip(p, rows):  # a document's rates are those of the others
+        of_site = (k1 * base + sum(sites[s]) - own) / (k1 + len(sites[s]) - 1)
+        of_path = (k2 * of_site + sum(paths[s, t]) - own) / (k2 + len(paths[s, t]) - 1)
+        out.append(1 / (1 + np.exp(-(x + lo(of_path) - lo(base)))))
+    return out
+
+
+def test_held_out_labels_are_matched(spark):
+    """The model is fitted on four fifths of the labels and judged by the rest."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rest = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    rows = q.judge(docs, labels.where(~rest), ["doc_id"]).join(labels.where(rest), "doc_id").collect()
+    assert len(rows) > 50 and np.mean([r["keep"] == (r["quality"] > 0) for r in rows]) > 0.95
+
+
+def test_each_source_and_language_is_a_path(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"s{i % 2}", f"l{i % 3}") for i in range(60)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 6 > 1)) for i in range(60)], "doc_id long, quality int")
+    rates = {}
+    for r in q.judge(docs, labels, ["source", "lang", "doc_id"]).collect():
+        rates.setdefault((r["source"], r["lang"]), []).append((r["own_score"], r["path_rate"]))
+    for rows in rates.values():  # the rate of the others plus the own share is the same for a whole path
+        assert len(rows) == 10 and len({round(o, 6) for o, _ in rows}) >= 1
+        by_score = sorted(rows)
+        assert all(a[1] >= b[1] - 1e-12 for a, b in zip(by_score, by_score[1:]))
+
+
+def test_hot_paths_are_joined_alike(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(rng.normal()), "s" if i % 3 else None, f"p{i % 40 // 30}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, own_logit double, source string, lang string")
+    plain = sorted((r["doc_id"], r["quality_score"]) for r in q.posteriors(df, "source", "lang").collect())
+    monkeypatch.setattr(common, "HOT_SHARE", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    split = sorted((r["doc_id"], r["quality_score"]) for r in q.posteriors(df, "source", "lang").collect())
+    assert [i for i, _ in plain] == [i for i, _ in split] and np.allclose([x for _, x in plain], [x for _, x in split])
 
 
 def test_posteriors_against_plain_grouping(spark):
