@@ -60,9 +60,10 @@ HOT_SHARE, HOT_ROWS = 4096, 1000
 
 
 def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None:
-    """The hot keys of `counts` (keys, n rows of total) as rows sent with the plan: fewer than HOT_SHARE."""
-    found = counts.where((F.col("n") * HOT_SHARE > total) & (F.col("n") > HOT_ROWS)).select(*keys).collect()
-    return counts.sparkSession.createDataFrame(found, counts.select(*keys).schema) if found else None
+    """The hot keys of `counts` (keys, n rows of total) as a written table of fewer than HOT_SHARE rows; None if there are
+    none."""
+    found = table(counts.where((F.col("n") * HOT_SHARE > total) & (F.col("n") > HOT_ROWS)).select(*keys).coalesce(1), "hot")
+    return found if found.limit(1).count() else None
 
 
 def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
