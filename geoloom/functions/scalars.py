@@ -160,3 +160,32 @@ def short_place(s: Column) -> Column:
     """The first three parts of a comma list."""
     parts = F.split(s, ",")
     return F.when(F.size(parts) <= 2, s).otherwise(F.concat_ws(", ", F.transform(F.slice(parts, 1, 3), lambda x: F.trim(x))))
+
+
+def retry_after_ms(value: Column, now: Column) -> Column:
+    """Milliseconds to wait by a header: whole or broken seconds, or a date of the form that HTTP uses; null for anything else."""
+    seconds = F.trim(value).try_cast("double")
+    date = F.try_to_timestamp(F.regexp_replace(F.trim(value), r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    until = F.unix_millis(date) - F.unix_millis(now)
+    wait = F.when(seconds.isNotNull() & ~F.isnan(seconds), F.floor(seconds * 1000)).otherwise(until)
+    return F.when(wait.isNotNull(), F.greatest(F.lit(0), wait))
+
+
+def strictly_true(value: Column) -> Column:
+    """A boolean column's truth; null is not true."""
+    return F.coalesce(value, F.lit(False))
+
+
+def gml_name(name: Column) -> Column:
+    low = F.lower(F.coalesce(name, F.lit("")))
+    return low.endswith(".gml") | low.endswith(".xml")
+
+
+def tile_key(key: Column) -> Column:
+    """Whether a cache key is one of a map tile."""
+    return F.coalesce(key.startswith("terr|") | key.startswith("sat|"), F.lit(False))
+
+
+def token_like(text: Column) -> Column:
+    """Three parts of base64url text joined by dots, the first two of which begin as JSON objects do in it."""
+    return F.coalesce(F.trim(text).rlike(r"^eyJ[\w-]+\.[\w-]+\.[\w-]+$"), F.lit(False))

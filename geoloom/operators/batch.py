@@ -18,8 +18,11 @@ SECOND_W, GIB_W, FAILURE_W, WAIT_W, RISK_GIB = 1.0, 120.0, 900.0, 0.25, 2.2
 
 def stage_timings(samples: DataFrame) -> DataFrame:
     """stage, count, avg_ms, median_ms, max_ms of samples (tile, stage, ms), whole milliseconds."""
-    ms = F.coalesce(F.col("ms"), F.lit(0.0))
-    out = samples.groupBy("stage").agg(F.count("*").alias("count"), F.avg(ms).alias("a"), F.median(ms).alias("m"), F.max(ms).alias("x"))
+    from .grid import rank_values
+
+    some = samples.select("stage", F.coalesce(F.col("ms"), F.lit(0.0)).alias("ms"))
+    out = some.groupBy("stage").agg(F.count("*").alias("count"), F.avg("ms").alias("a"), F.max("ms").alias("x"))
+    out = out.join(rank_values(some, ["stage"], "ms", {"m": (0.5, "linear")}), "stage")
     return out.select("stage", "count", js_round(F.col("a")).alias("avg_ms"), js_round(F.col("m")).alias("median_ms"), js_round(F.col("x")).alias("max_ms"))
 
 
@@ -124,10 +127,24 @@ def newest_within(entries: DataFrame, cap: int) -> DataFrame:
     return entries.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).drop("n")
 
 
+#: Equal spans of time whose sizes are summed before entries are looked at.
+SPANS = 4096
+
+
 def newest_within_bytes(entries: DataFrame, most: int) -> DataFrame:
-    """Cache entries (bucket, key, at, bytes) that stay: the newest whose sizes sum to at most `most`."""
-    w = Window.partitionBy("bucket").orderBy(F.desc("at"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("total", F.sum("bytes").over(w)).where(F.col("total") <= most).drop("total")
+    """Cache entries (bucket, key, at, bytes) that stay: the newest whose sizes sum to at most `most`.
+
+    Sizes are summed by spans of time; entries of a span that lies wholly beyond `most` go without being sorted, and the
+    others' running sums start from the sums of the newer spans."""
+    order = Window.partitionBy("bucket", "_span").orderBy(F.desc("at"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
+    seconds = F.col("at").cast("timestamp").cast("double") if dict(entries.dtypes)["at"].startswith(("timestamp", "date")) else F.col("at").cast("double")
+    lo, hi = entries.agg(F.min(seconds), F.max(seconds)).first()
+    span = F.floor((seconds - F.lit(lo)) / F.lit(hi - lo) * (SPANS - 1)) if lo is not None and hi > lo else F.lit(0)
+    some = entries.withColumn("_span", F.coalesce(span.cast("long"), F.lit(-1).cast("long")))
+    newer = Window.partitionBy("bucket").orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = some.groupBy("bucket", "_span").agg(F.sum("bytes").alias("_b")).withColumn("_before", F.sum("_b").over(newer) - F.col("_b"))
+    kept = some.join(sums.where(F.col("_before") <= most).select("bucket", "_span", "_before"), ["bucket", "_span"])
+    return kept.withColumn("_total", F.col("_before") + F.sum("bytes").over(order)).where(F.col("_total") <= most).drop("_total", "_before", "_span")
 
 
 def remaining_ms(done: DataFrame) -> DataFrame:

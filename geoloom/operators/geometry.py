@@ -226,11 +226,17 @@ def hull(points: DataFrame) -> DataFrame:
 
 def rasterized_segments(segs: DataFrame, size: int) -> DataFrame:
     """px, py, mat of pixels within `half` of segments (ord, mat, half, ax, ay, bx, by); the one with
-    the greatest ord wins a pixel."""
-    lo = lambda a, b: F.greatest(F.lit(0), F.floor(F.least(a, b) - F.col("half"))).cast("int")
-    hi = lambda a, b: F.least(F.lit(size - 1), F.ceil(F.greatest(a, b) + F.col("half"))).cast("int")
-    s = segs.withColumn("x0", lo("ax", "bx")).withColumn("x1", hi("ax", "bx")).withColumn("y0", lo("ay", "by")).withColumn("y1", hi("ay", "by")).where("x0 <= x1 and y0 <= y1")
-    px = s.withColumn("px", F.explode(F.sequence("x0", "x1"))).withColumn("py", F.explode(F.sequence("y0", "y1")))
+    the greatest ord wins a pixel.  Segments are walked row by row: in each only the pixels beside the part of the
+    segment that is within `half` rows are looked at."""
+    clip = lambda v: F.greatest(F.lit(0), F.least(F.lit(size - 1), v)).cast("int")
+    y0, y1 = F.floor(F.least("ay", "by") - F.col("half")), F.ceil(F.greatest("ay", "by") + F.col("half"))
+    rows = segs.where((y1 >= 0) & (y0 <= size - 1)).withColumn("py", F.explode(F.sequence(clip(y0), clip(y1))))
+    dy, dx = F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")
+    t0, t1 = (F.col("py") - F.col("half") - F.col("ay")) / F.nullif(dy, F.lit(0)), (F.col("py") + F.col("half") - F.col("ay")) / F.nullif(dy, F.lit(0))
+    rows = rows.withColumn("t0", F.greatest(F.lit(0.0), F.coalesce(F.least(t0, t1), F.lit(0.0)))).withColumn("t1", F.least(F.lit(1.0), F.coalesce(F.greatest(t0, t1), F.lit(1.0)))).where("t0 <= t1")
+    a, b = F.col("ax") + F.col("t0") * dx, F.col("ax") + F.col("t1") * dx
+    x0, x1 = F.floor(F.least(a, b) - F.col("half") - 1e-6), F.ceil(F.greatest(a, b) + F.col("half") + 1e-6)
+    px = rows.where((x1 >= 0) & (x0 <= size - 1)).withColumn("px", F.explode(F.sequence(clip(x0), clip(x1))))
     d2 = segment_distance2(*[F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")])
     return px.where(d2 <= F.col("half") * F.col("half")).groupBy("px", "py").agg(F.max_by("mat", "ord").alias("mat"))
 

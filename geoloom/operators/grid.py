@@ -17,44 +17,54 @@ def coverage(cells: DataFrame, by: list[str] = ()) -> DataFrame:
     return cells.groupBy(*by).agg(F.count("*").alias("cells"), F.count_if(hole).alias("holes"), F.avg(hole.cast("int")).alias("hole_share"), F.min(F.when(~hole, F.col("h"))).alias("lowest"), F.max(F.when(~hole, F.col("h"))).alias("highest"))
 
 
-def blur_axis(cells: DataFrame, axis: str, radius: int) -> DataFrame:
+#: Cells along an axis that one task's window holds.
+BLOCK = 4096
+
+
+def around(cells: DataFrame, axis: str, reach: int, aggregates: dict, by: list[str] = ()) -> DataFrame:
+    """cells with aggregates (name -> from a window of them to a column) over the cells within `reach` along x or y, for each
+    raster (`by`).  An axis is cut into blocks of BLOCK cells that also hold `reach` cells beyond both ends, so
+    that no task holds a whole row or column."""
+    other, at = ("y" if axis == "x" else "x"), lambda d: F.floor((F.col(axis) + d) / BLOCK)
+    held = cells.withColumn("_block", F.explode(F.array_distinct(F.array(at(-reach), at(0), at(reach)))))
+    w = Window.partitionBy(*by, other, "_block").orderBy(axis).rangeBetween(-reach, reach)
+    for name, make in aggregates.items():
+        held = held.withColumn(name, make(w))
+    return held.where(F.col("_block") == at(0)).drop("_block")
+
+
+def blur_axis(cells: DataFrame, axis: str, radius: int, by: list[str] = ()) -> DataFrame:
     """Mean over a frame along x or y that leaves holes out; holes stay."""
-    other = "y" if axis == "x" else "x"
-    w = Window.partitionBy(other).orderBy(axis).rangeBetween(-radius, radius)
-    return cells.select("y", "x", F.when(F.col("h").isNotNull(), F.avg("h").over(w)).alias("h"))
+    near = around(cells.select(*by, "y", "x", "h"), axis, radius, {"_m": lambda w: F.avg("h").over(w)}, by)
+    return near.select(*by, "y", "x", F.when(F.col("h").isNotNull(), F.col("_m")).alias("h"))
 
 
-def smooth(cells: DataFrame, radius: int = 8, rounds: int = 2) -> DataFrame:
+def smooth(cells: DataFrame, radius: int = 8, rounds: int = 2, by: list[str] = ()) -> DataFrame:
     for _ in range(rounds):
-        cells = blur_axis(blur_axis(cells, "x", radius), "y", radius)
+        cells = blur_axis(blur_axis(cells, "x", radius, by), "y", radius, by)
     return cells
 
 
-def spread_3x3(cells: DataFrame) -> DataFrame:
-    """Each known value sent to the nine cells around it: y, x, v, dy, dx."""
-    shift = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("d")
-    sent = cells.where("h is not null").select("y", "x", "h", shift)
-    return sent.select((F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), F.col("h").alias("v"), F.col("d.dy").alias("dy"), F.col("d.dx").alias("dx"))
-
-
-def mean_3x3(cells: DataFrame) -> DataFrame:
-    """Mean of the known values of the 3 x 3 cells; also fills holes that have a known neighbour."""
-    near = spread_3x3(cells).groupBy("y", "x").agg(F.avg("v").alias("m"))
-    return cells.select("y", "x").join(near, ["y", "x"], "left").withColumnRenamed("m", "h")
+def mean_3x3(cells: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Mean of the known values of the 3 x 3 cells; also fills holes that have a known neighbour.  All cells of the
+    raster are listed, holes as null."""
+    rows = around(cells.select(*by, "y", "x", "h"), "x", 1, {"_s": lambda w: F.sum("h").over(w), "_n": lambda w: F.count("h").over(w)}, by)
+    both = around(rows.drop("h"), "y", 1, {"_t": lambda w: F.sum("_s").over(w), "_k": lambda w: F.sum("_n").over(w)}, by)
+    return both.select(*by, "y", "x", F.when(F.col("_k") > 0, F.col("_t") / F.col("_k")).alias("h"))
 
 
 def suppress_spikes(cells: DataFrame, least: int = 5, floor: float = 8.0, times: float = 6.0, most: float = 12000.0) -> DataFrame:
     """Inner cells that stray from the upper median of their 3 x 3 cells by more than `times` the median
-    deviation (`floor` at least), or beyond `most`, take the median."""
+    deviation (`floor` at least), or beyond `most`, take the median.  All cells of the raster are listed."""
     upper = lambda a: F.element_at(a, (F.floor(F.size(a) / 2) + 1).cast("int"))
-    near = spread_3x3(cells).groupBy("y", "x").agg(F.sort_array(F.collect_list("v")).alias("a"))
-    near = near.withColumn("m", upper(F.col("a")))
-    near = near.withColumn("d", upper(F.sort_array(F.transform("a", lambda v: F.abs(v - F.col("m"))))))
-    last = cells.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    joined = cells.join(near, ["y", "x"], "left").join(F.broadcast(last))
-    inner = (F.col("y") > F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") > F.col("x0")) & (F.col("x") < F.col("x1"))
+    y0, y1, x0, x1 = cells.agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
+    rows = around(cells.select("y", "x", "h"), "x", 1, {"_a": lambda w: F.collect_list("h").over(w)})
+    near = around(rows, "y", 1, {"_b": lambda w: F.collect_list("_a").over(w)}).withColumn("a", F.sort_array(F.flatten("_b")))
+    near = near.withColumn("m", F.when(F.size("a") > 0, upper(F.col("a"))))
+    near = near.withColumn("d", F.when(F.size("a") > 0, upper(F.sort_array(F.transform("a", lambda v: F.abs(v - F.col("m")))))))
+    inner = (F.col("y") > F.lit(y0)) & (F.col("y") < F.lit(y1)) & (F.col("x") > F.lit(x0)) & (F.col("x") < F.lit(x1))
     off = inner & (F.size("a") >= least) & ((F.abs(F.col("h") - F.col("m")) > F.greatest(F.lit(floor), F.col("d") * times)) | (F.abs("h") > most))
-    return joined.select("y", "x", F.when(off, F.col("m")).otherwise(F.col("h")).alias("h"))
+    return near.select("y", "x", F.when(off, F.col("m")).otherwise(F.col("h")).alias("h"))
 
 
 def sample_bilinear(cells: DataFrame, points: DataFrame, width: int, height: int) -> DataFrame:
@@ -121,13 +131,39 @@ def gridded_points(points: DataFrame, classes: tuple[int, ...], min_x: float, mi
     return kept.groupBy("row", "col").agg(F.avg("z").alias("h"), F.count("*").alias("n"))
 
 
-def rank_value(col: str, share: float, rule: str) -> Column:
-    """A percentile by one of three rules: floor of n * share, floor of (n - 1) * share, linear."""
-    a, n = F.sort_array(F.collect_list(col)), F.count(col)
-    if rule == "linear":
-        return F.percentile(col, F.lit(share))
-    at = F.floor(n * share) if rule == "floor_n" else F.floor((n - 1) * share)
-    return F.element_at(a, (F.greatest(F.lit(0), F.least(n - 1, at)) + 1).cast("int"))
+#: Equal parts of a group's range of values that are counted before the ranks are looked for.
+PARTS = 1024
+
+
+def rank_values(rows: DataFrame, by: list[str], col: str, picks: dict[str, tuple[float, str]]) -> DataFrame:
+    """by and, for each pick (share, rule), the value at that rank of the group's values: floor_n (n * share), floor_n1
+    ((n - 1) * share), both rounded down, or linear between the two values around (n - 1) * share.
+
+    Values are counted by parts of the group's range; only the parts that hold a rank are looked into, each in a task of
+    its own and value by distinct value, so that no task holds a group."""
+    v = F.col(col).cast("double")
+    known = rows.where(F.col(col).isNotNull()).select(*by, v.alias("_v"))
+    size = known.groupBy(*by).agg(F.count("*").alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(PARTS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS))).otherwise(0)
+    parted = known.groupBy(*by, "_v").agg(F.count("*").alias("_c")).join(size.select(*by, "_lo", "_hi"), by).withColumn("_part", part)
+    in_order = Window.partitionBy(*by).orderBy("_part")
+    counts = parted.groupBy(*by, "_part").agg(F.sum("_c").alias("_c")).withColumn("_first", F.sum("_c").over(in_order) - F.col("_c"))
+    wanted = []
+    for name, (share, rule) in picks.items():
+        n, none = F.col("_size"), F.lit(0.0)
+        at = {"floor_n": F.floor(n * share), "floor_n1": F.floor((n - 1) * share)}.get(rule)
+        if at is None:
+            place = (n - 1) * F.lit(share)
+            lo, rest = F.floor(place), place - F.floor(place)
+            wanted += [F.struct(F.lit(name).alias("name"), lo.alias("rank"), (1 - rest).alias("w")), F.struct(F.lit(name).alias("name"), F.least(lo + 1, n - 1).alias("rank"), rest.alias("w"))]
+        else:
+            wanted.append(F.struct(F.lit(name).alias("name"), F.greatest(F.lit(0), F.least(n - 1, at)).alias("rank"), (none + 1).alias("w")))
+    asked = size.select(*by, F.explode(F.array(*wanted)).alias("p")).select(*by, F.col("p.name").alias("_name"), F.col("p.rank").alias("_rank"), F.col("p.w").alias("_w"))
+    hits = asked.join(counts, by).where("_rank >= _first and _rank < _first + _c").select(*by, "_part", "_name", "_rank", "_w", "_first")
+    inside = parted.join(hits.select(*by, "_part").distinct(), [*by, "_part"], "left_semi")
+    inside = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v")))
+    got = hits.join(inside.select(*by, "_part", "_v", "_c", "_upto"), [*by, "_part"]).where("_rank - _first >= _upto - _c and _rank - _first < _upto")
+    return got.groupBy(*by).agg(*[F.sum(F.when(F.col("_name") == name, F.col("_v") * F.col("_w"))).alias(name) for name in picks])
 
 
 def highest(cells: DataFrame, by: list[str]) -> DataFrame:

@@ -108,13 +108,15 @@ def ground_mask(roads: DataFrame, size: int, feather: float) -> DataFrame:
 
 
 def capped(rows: DataFrame, caps: dict[str, int]) -> DataFrame:
-    """rows (category, priority, ord) within the cap of their category, high priorities first, then in order."""
-    limit = F.lit(None).cast("int")
+    """rows (category, priority, ord) within the cap of their category, high priorities first, then in order.  Only
+    categories with a cap are ranked."""
+    has_cap = F.coalesce(F.col("category").isin(*caps), F.lit(False)) if caps else F.lit(False)
+    limit = F.lit(0)
     for name, n in caps.items():
         limit = F.when(F.col("category") == name, n).otherwise(limit)
     w = Window.partitionBy("category").orderBy(F.desc("priority"), "ord")
-    out = rows.withColumn("_n", F.row_number().over(w)).withColumn("_cap", limit)
-    return out.where("_cap is null or _n <= _cap").drop("_n", "_cap")
+    first = rows.where(has_cap).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(caps.values(), default=0))
+    return rows.where(~has_cap).unionByName(first.where(F.col("_n") <= limit).drop("_n"))
 
 
 def stable_widths(roads: DataFrame) -> DataFrame:

@@ -59,6 +59,52 @@ def chain_nodes(segs: DataFrame) -> DataFrame:
     return got.where("n = 2 and segs = 2 and styles = 1").select("node")
 
 
+def merged_segments(segs: DataFrame, write) -> DataFrame:
+    """way, piece, chain_way, chain_piece, pos, reversed of segments (way, piece, start, end, style): the chains that they form
+    over places where exactly two segments of one style meet, named by their first segment (by way and piece), which keeps
+    its direction; pos counts along the chain, and a segment that is passed from its end to its start is reversed.
+
+    A segment is passed in two directions; each such state has at most one next state.  Ends and distances are found by doubling
+    the pointers, in rounds by the logarithm of a chain's length, so chains of any length are no one task's.
+    A ring has no end: it is cut before its first segment.  `write` as in spread_labels."""
+    name = F.struct("way", "piece")
+    joint = chain_nodes(segs).withColumn("_joint", F.lit(True))
+    both = segs.select(name.alias("seg"), F.lit(False).alias("back"), F.col("start").alias("enter"), F.col("end").alias("leave"))
+    both = both.union(segs.select(name.alias("seg"), F.lit(True).alias("back"), F.col("end").alias("enter"), F.col("start").alias("leave")))
+    both = write(both)
+    ahead = both.select(F.col("seg").alias("to_seg"), F.col("back").alias("to_back"), F.col("enter").alias("leave"))
+    step = both.join(joint.withColumnRenamed("node", "leave"), "leave").join(ahead, "leave").where("seg != to_seg").select("seg", "back", "to_seg", "to_back")
+    step = write(both.select("seg", "back").join(step, ["seg", "back"], "left"))
+    # the least state of a ring is found by doubling as well; the step into it is cut
+    ends = _followed(step, write)
+    ring = ends.where("to_seg is not null").select("seg", "back", "least")
+    if ring.limit(1).count():
+        cut = step.join(ring, ["seg", "back"], "left")
+        into = F.struct(F.col("to_seg").alias("seg"), F.col("to_back").alias("back")) == F.col("least")
+        step = write(cut.select("seg", "back", F.when(~F.coalesce(into, F.lit(False)), F.col("to_seg")).alias("to_seg"), F.when(~F.coalesce(into, F.lit(False)), F.col("to_back")).alias("to_back")))
+        ends = _followed(step, write)
+    # of a chain's two passes the one in which its first segment isn't reversed
+    first = ends.groupBy("end").agg(F.min(F.struct("seg", "back")).alias("first"), F.max("far").alias("far"))
+    kept = ends.drop("far").withColumn("left", F.col("hops")).join(first.where("not first.back"), "end")
+    return kept.select("seg.way", "seg.piece", F.col("first.seg.way").alias("chain_way"), F.col("first.seg.piece").alias("chain_piece"), (F.col("far") - F.col("left")).cast("int").alias("pos"), F.col("back").alias("reversed"))
+
+
+def _followed(step: DataFrame, write, most: int = 64) -> DataFrame:
+    """seg, back, end (the last state that is reached), hops and far (steps to it), least (state met on the way); to_seg is not null
+    where steps go round and round.  step: seg, back, to_seg, to_back."""
+    state = lambda a, b: F.struct(F.col(a).alias("seg"), F.col(b).alias("back"))
+    to = F.when(F.col("to_seg").isNotNull(), state("to_seg", "to_back"))
+    now = step.select(state("seg", "back").alias("at"), to.alias("to"), F.coalesce(to, state("seg", "back")).alias("end"), F.when(F.col("to_seg").isNotNull(), 1).otherwise(0).cast("long").alias("hops"), state("seg", "back").alias("least"))
+    now, size = write(now), step.count()
+    for n in range(most):
+        if 2**n > size or not now.where("to is not null").limit(1).count():
+            break
+        ahead = now.select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("end").alias("end2"), F.col("hops").alias("hops2"), F.col("least").alias("least2"))
+        joined = now.join(ahead, "to", "left")
+        now = write(joined.select("at", F.col("to2").alias("to"), F.coalesce("end2", "end").alias("end"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), F.least("least", F.coalesce("least2", "least")).alias("least")))
+    return now.select("at.seg", "at.back", "end", "hops", F.col("hops").alias("far"), "least", F.col("to.seg").alias("to_seg"))
+
+
 def spread_labels(nodes: DataFrame, links: DataFrame, write=None, most: int = 1000) -> DataFrame:
     """node, label: the least node of its component, for links (a, b).  `write` stores a round's table
     and returns it read back, so that plans don't grow; without it rounds are checkpointed."""
@@ -106,20 +152,22 @@ def nearest(points: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
     return got.groupBy("id").agg(F.min(F.struct("d2", "target")).alias("m")).select("id", "m.target", "m.d2")
 
 
-def finest_covering(tiles: DataFrame) -> DataFrame:
-    """ids of tiles (id, parent, selected) that stay: selected and without children that all are covered
-    (selected or covered in turn by their children).  Levels are walked from the leaves."""
-    spark = tiles.sparkSession
-    tiles.select("id", "parent", "selected").createOrReplaceTempView("_tiles")
-    # a tile's ancestors, so that coverage folds up without a loop over levels
-    spark.sql("""
-        WITH RECURSIVE up(id, anc) AS (SELECT id, id FROM _tiles UNION ALL SELECT u.id, t.parent FROM up u JOIN _tiles t ON u.anc = t.id WHERE t.parent IS NOT NULL)
-        SELECT id, anc FROM up""").createOrReplaceTempView("_up")
-    # a leaf is bare if no tile from it up to and including a given one is selected
-    return spark.sql("""
-        WITH leaf AS (SELECT id FROM _tiles WHERE id NOT IN (SELECT parent FROM _tiles WHERE parent IS NOT NULL)),
-        path AS (SELECT l.id AS leaf, u.anc FROM leaf l JOIN _up u ON u.id = l.id),
-        depth AS (SELECT id, count(*) AS d FROM _up GROUP BY id),
-        best AS (SELECT p.leaf, max(d.d) AS d FROM path p JOIN _tiles t ON t.id = p.anc AND t.selected JOIN depth d ON d.id = p.anc GROUP BY p.leaf)
-        SELECT t.id FROM _tiles t JOIN path p ON p.anc = t.id JOIN depth d ON d.id = t.id LEFT JOIN best b ON b.leaf = p.leaf
-        WHERE t.selected GROUP BY t.id, d.d HAVING max(CASE WHEN b.d = d.d THEN 1 ELSE 0 END) = 1""")
+def finest_covering(tiles: DataFrame, write=None, most: int = 64) -> DataFrame:
+    """ids of tiles (id, parent, selected) that stay: those that are the nearest selected tile, itself or above, of a
+    tile without children.  Each tile points to itself if it is selected or has no parent, else to its parent;
+    pointers are doubled until none moves, in rounds by the logarithm of the depth.  `write` as in spread_labels."""
+    keep = write or (lambda df: df.checkpoint())
+    tiles = tiles.select("id", "parent", "selected")
+    leaves = tiles.select("id").join(tiles.select(F.col("parent").alias("id")).where("id is not null").distinct(), "id", "left_anti")
+    stop = F.coalesce("selected", F.lit(False)) | F.col("parent").isNull()
+    known = tiles.select(F.col("id").alias("parent"), F.lit(True).alias("_known"))
+    now = tiles.join(known, "parent", "left").select("id", F.when(stop | F.col("_known").isNull(), F.col("id")).otherwise(F.col("parent")).alias("to"))
+    now = keep(now)
+    for _ in range(most):
+        ahead = now.select(F.col("id").alias("to"), F.col("to").alias("far"))
+        moved = keep(now.join(ahead, "to").select("id", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
+        now = moved.select("id", "to")
+        if not moved.where("moved").limit(1).count():
+            break
+    picks = leaves.join(now, "id").select(F.col("to").alias("id")).distinct()
+    return picks.join(tiles.where("selected").select("id"), "id", "left_semi")

@@ -109,8 +109,9 @@ def point_grid(spark, sf):
 SELECT user_id % 50 AS g, list_sort(list(value))[CAST(floor(count(*) * 0.05) AS BIGINT) + 1] AS low, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.8) AS BIGINT) + 1] AS surface,
   round(quantile_cont(value, 0.9), 9) AS linear FROM events GROUP BY 1""")
 def percentile_rules(spark, sf):
-    e = read(spark, sf, "events")
-    return e.groupBy((F.col("user_id") % 50).alias("g")).agg(grid.rank_value("value", 0.05, "floor_n").alias("low"), grid.rank_value("value", 0.8, "floor_n1").alias("surface"), F.round(grid.rank_value("value", 0.9, "linear"), 9).alias("linear"))
+    e = read(spark, sf, "events").select((F.col("user_id") % 50).alias("g"), "value")
+    got = grid.rank_values(e, ["g"], "value", {"low": (0.05, "floor_n"), "surface": (0.8, "floor_n1"), "linear": (0.9, "linear")})
+    return got.select("g", "low", "surface", F.round("linear", 9).alias("linear"))
 
 
 @query("finished_rasters")

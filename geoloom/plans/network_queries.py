@@ -13,8 +13,11 @@ from .views import WAYS, read, ways
 
 
 def shared_folder(spark):
-    """Stores tables in the folder that all executors share."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """Stores tables in the folder that all executors share; a folder of this machine if Spark runs on it alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
+    base = (base or "file:///tmp/checkpoints").rstrip("/")
 
     def write(df):
         path = f"{base}/geoloom/graph-{uuid.uuid4().hex}"
@@ -61,6 +64,31 @@ def chain_nodes(spark, sf):
     return network.chain_nodes(segments(spark, sf).withColumn("style", F.col("way") % 3))
 
 
+_CHAIN_WAYS = "(SELECT c_custkey AS way, 0 AS piece, CAST(c_custkey AS VARCHAR) AS a, CAST(CASE WHEN c_custkey % 17 = 16 THEN c_custkey - 16 WHEN c_custkey % 23 = 22 THEN c_custkey * 7 % 50 ELSE c_custkey + 1 END AS VARCHAR) AS b, c_custkey // 40 % 2 AS style, c_custkey % 3 = 0 AS turned FROM customer)"
+
+
+@query("merged_segments", f"""
+WITH RECURSIVE s AS (SELECT way, style, CASE WHEN turned THEN b ELSE a END AS s, CASE WHEN turned THEN a ELSE b END AS e FROM {_CHAIN_WAYS}),
+ends AS (SELECT way, style, s AS node FROM s UNION ALL SELECT way, style, e FROM s),
+j AS (SELECT node FROM ends GROUP BY node HAVING count(*) = 2 AND count(DISTINCT way) = 2 AND count(DISTINCT style) = 1),
+p AS (SELECT x.way AS a, y.way AS b FROM ends x JOIN ends y ON x.node = y.node AND x.way <> y.way JOIN j ON j.node = x.node),
+r AS (SELECT way, way AS seen FROM s UNION SELECT r.way, p.b FROM r JOIN p ON p.a = r.seen),
+c AS (SELECT way, min(seen) AS chain, count(*) AS members FROM r GROUP BY way),
+walk(chain, way, pos, leave, back) AS (SELECT c.chain, c.way, 0, s.e, false FROM c JOIN s ON s.way = c.way WHERE c.way = c.chain
+  UNION ALL SELECT w.chain, n.way, w.pos + 1, CASE WHEN n.s = w.leave THEN n.e ELSE n.s END, n.s <> w.leave FROM walk w JOIN j ON j.node = w.leave JOIN s n ON (n.s = w.leave OR n.e = w.leave) AND n.way <> w.way AND n.way <> w.chain),
+rear(chain, way, pos, enter, back) AS (SELECT c.chain, c.way, 0, s.s, false FROM c JOIN s ON s.way = c.way WHERE c.way = c.chain AND NOT EXISTS (SELECT 1 FROM walk v WHERE v.chain = c.chain AND v.way <> c.chain AND v.leave = s.s AND s.s IN (SELECT node FROM j))
+  UNION ALL SELECT w.chain, n.way, w.pos - 1, CASE WHEN n.e = w.enter THEN n.s ELSE n.e END, n.e <> w.enter FROM rear w JOIN j ON j.node = w.enter JOIN s n ON (n.s = w.enter OR n.e = w.enter) AND n.way <> w.way AND n.way <> w.chain),
+o AS (SELECT chain, way, pos, back FROM walk UNION SELECT chain, way, pos, back FROM rear)
+SELECT way, CAST(0 AS INT) AS piece, chain AS chain_way, CAST(0 AS INT) AS chain_piece, CAST(pos - min(pos) OVER (PARTITION BY chain) AS INT) AS pos, back AS reversed FROM o""")
+def merged_segments(spark, sf):
+    """Chains of customers' links, some of them rings, a third of the links drawn the other way round."""
+    k = F.col("c_custkey")
+    b = F.when(k % 17 == 16, k - 16).when(k % 23 == 22, k * 7 % 50).otherwise(k + 1)
+    s = read(spark, sf, "customer").select(k.alias("way"), F.lit(0).alias("piece"), k.cast("string").alias("a"), b.cast("string").alias("b"), (F.floor(k / 40) % 2).alias("style"), (k % 3 == 0).alias("turned"))
+    pick = lambda x, y: F.when(F.col("turned"), F.col(y)).otherwise(F.col(x))
+    return network.merged_segments(s.select("way", "piece", pick("a", "b").alias("start"), pick("b", "a").alias("end"), "style"), shared_folder(spark))
+
+
 _LINKS = "(SELECT p_partkey AS a, p_partkey // 8 * 8 + p_size % 8 AS b FROM part)"
 
 
@@ -126,4 +154,4 @@ def finest_covering(spark, sf):
     k = F.col("p_partkey")
     third = F.floor(k / 3)
     t = read(spark, sf, "part").where("p_partkey > 0").select(k.alias("id"), F.when(k > 1, F.greatest(third, F.lit(1))).alias("parent"), (F.col("p_size") % 3 == 0).alias("selected"))
-    return network.finest_covering(t)
+    return network.finest_covering(t, shared_folder(spark))

@@ -16,21 +16,59 @@ def r6(x):
     return scalars.round_to(x, 6)
 
 
-_E, _N = crs.tmerc_sql("lat", "lng", 50.0, "(floor(lng / 6) * 6 + 3)")
+# The SQL of the projections is written apart from the library's formulas: the conformal latitude by tangents, the series by
+# published coefficients of WGS84 (rectifying radius, forward and backward terms), and latitudes by Newton's steps.
+_RECTIFYING, _ECC = "6367449.145823415", "0.0818191908426215"
+_FORWARD = ("8.377318206244698e-4", "7.608527773572307e-7", "1.197645503329453e-9", "2.429170607201359e-12")
+_BACKWARD = ("8.377321640579488e-4", "5.905870152220203e-8", "1.673482665283997e-10", "2.164798110490642e-13")
+
+
+def _conformal(tan: str) -> str:
+    return f"({tan} * sqrt(1 + pow(sinh({_ECC} * atanh({_ECC} * {tan} / sqrt(1 + {tan} * {tan}))), 2)) - sinh({_ECC} * atanh({_ECC} * {tan} / sqrt(1 + {tan} * {tan}))) * sqrt(1 + {tan} * {tan}))"
+
+
+def _forward_sql(rows: str, keep: str) -> str:
+    """CTEs t, x, m of rows with lat, lng and mid (the central meridian): east and north in metres from the equator."""
+    north = "".join(f" + {a} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(_FORWARD, 1))
+    east = "".join(f" + {a} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(_FORWARD, 1))
+    return f"""t AS (SELECT *, tan(radians(CAST(lat AS DOUBLE))) AS tn, radians(CAST(lng AS DOUBLE) - mid) AS dl FROM ({rows})),
+u AS (SELECT *, {_conformal("tn")} AS tc FROM t),
+x AS (SELECT *, atan2(tc, cos(dl)) AS xi, asinh(sin(dl) / sqrt(tc * tc + cos(dl) * cos(dl))) AS eta FROM u),
+m AS (SELECT {keep}, {_RECTIFYING} * (eta{east}) AS east, {_RECTIFYING} * (xi{north}) AS north FROM x)"""
+
+
+def _newton(n: int) -> str:
+    """CTE n{n} with a better tangent tn of the latitude whose conformal tangent is tc."""
+    e2 = f"{_ECC} * {_ECC}"
+    return f"n{n} AS (SELECT id, lng, tc, tn + (tc - {_conformal('tn')}) / sqrt(1 + pow({_conformal('tn')}, 2)) * (1 + (1 - {e2}) * tn * tn) / ((1 - {e2}) * sqrt(1 + tn * tn)) AS tn FROM n{n - 1})"
+
+
 _BLAT, _BLNG = crs.tmerc_inverse_sql("east", "north", 50.0, 10.0)
 
 
+_FROM_50 = _forward_sql(f"SELECT id, lat, lng, floor(lng / 6) * 6 + 3 AS mid FROM {POINTS} UNION ALL SELECT -1, 50.0, 0.0, 0", "id")
+
+
 @query("local_projection", f"""
-SELECT id, floor({_E} * 10000 + 0.5) / 10000 AS east, floor({_N} * 10000 + 0.5) / 10000 AS north FROM {POINTS}""")
+WITH {_FROM_50}
+SELECT id, floor(east * 10 + 0.5) / 10 AS east, floor((north - (SELECT north FROM m WHERE id = -1)) * 10 + 0.5) / 10 AS north FROM m WHERE id <> -1""")
 def local_projection(spark, sf):
-    """Metres from latitude 50 and the middle of each point's six-degree strip."""
+    """Metres from latitude 50 and the middle of each point's six-degree strip, to a tenth: the SQL's series is shorter."""
     x, y = crs.local_xy("lat", "lng", 50.0, "(floor(lng / 6) * 6 + 3)")
-    return points(spark, sf).select("id", scalars.round_to(x, 4).alias("east"), scalars.round_to(y, 4).alias("north"))
+    return points(spark, sf).select("id", scalars.round_to(x, 1).alias("east"), scalars.round_to(y, 1).alias("north"))
+
+
+_BACK_N = "".join(f" - {b} * sin({2 * j} * a) * cosh({2 * j} * b)" for j, b in enumerate(_BACKWARD, 1))
+_BACK_E = "".join(f" - {b} * cos({2 * j} * a) * sinh({2 * j} * b)" for j, b in enumerate(_BACKWARD, 1))
 
 
 @query("local_projection_inverse", f"""
-SELECT id, {R6.format(_BLAT)} AS lat, {R6.format(_BLNG)} AS lng
-FROM (SELECT id, (id % 400 - 200) * 1000.0 AS east, (id % 300 - 150) * 1000.0 AS north FROM {POINTS})""")
+WITH {_forward_sql("SELECT 50.0 AS lat, 0.0 AS lng, 0 AS mid", "0 AS id")},
+p AS (SELECT i.id, ((i.id % 300 - 150) * 1000.0 + m.north) / {_RECTIFYING} AS a, (i.id % 400 - 200) * 1000.0 / {_RECTIFYING} AS b FROM {POINTS} i, m),
+q AS (SELECT id, a{_BACK_N} AS xi, b{_BACK_E} AS eta FROM p),
+n0 AS (SELECT id, 10 + degrees(atan2(sinh(eta), cos(xi))) AS lng, sin(xi) / sqrt(pow(sinh(eta), 2) + pow(cos(xi), 2)) AS tc, sin(xi) / sqrt(pow(sinh(eta), 2) + pow(cos(xi), 2)) AS tn FROM q),
+{_newton(1)}, {_newton(2)}, {_newton(3)}
+SELECT id, {R6.format("degrees(atan(tn))")} AS lat, {R6.format("lng")} AS lng FROM n3""")
 def local_projection_inverse(spark, sf):
     p = points(spark, sf).select("id", ((F.col("id") % 400 - 200) * 1000.0).alias("east"), ((F.col("id") % 300 - 150) * 1000.0).alias("north"))
     return p.select("id", r6(F.expr(_BLAT)).alias("lat"), r6(F.expr(_BLNG)).alias("lng"))
@@ -40,19 +78,19 @@ _UTM = crs.utm_sql("lat", "lng")
 
 
 @query("utm", f"""
-SELECT id, {_UTM['zone']} AS zone, {_UTM['epsg']} AS epsg, round({_UTM['easting']}, 4) AS easting, round({_UTM['northing']}, 4) AS northing
-FROM {POINTS}""")
+WITH {_forward_sql(f"SELECT id, lat, lng, floor(lng / 6) * 6 + 3 AS mid FROM {POINTS}", "id, lat, CAST(floor(lng / 6) AS INT) + 31 AS zone")}
+SELECT id, zone, CASE WHEN lat < 0 THEN 32700 ELSE 32600 END + zone AS epsg, floor((east * 0.9996 + 500000) * 10 + 0.5) / 10 AS easting, floor((north * 0.9996 + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END) * 10 + 0.5) / 10 AS northing FROM m""")
 def utm(spark, sf):
     p = points(spark, sf)
-    return p.select("id", F.expr(_UTM["zone"]).alias("zone"), F.expr(_UTM["epsg"]).alias("epsg"), F.round(F.expr(_UTM["easting"]), 4).alias("easting"), F.round(F.expr(_UTM["northing"]), 4).alias("northing"))
+    return p.select("id", F.expr(_UTM["zone"]).alias("zone"), F.expr(_UTM["epsg"]).alias("epsg"), scalars.round_to(F.expr(_UTM["easting"]), 1).alias("easting"), scalars.round_to(F.expr(_UTM["northing"]), 1).alias("northing"))
 
 
 _PX, _PY = crs.mercator_sql("lat", "lng", 12)
 
 
 @query("mercator_tiles", f"""
-SELECT id, round({_PX}, 4) AS px, round({_PY}, 4) AS py, CAST(floor({_PX} / 256) AS BIGINT) % 4096 AS tx, CAST(floor({_PY} / 256) AS BIGINT) AS ty
-FROM {POINTS}""")
+WITH p AS (SELECT id, (CAST(lng AS DOUBLE) + 180) / 360 * 1048576 AS px, (1 - asinh(tan(radians(CAST(lat AS DOUBLE)))) / pi()) / 2 * 1048576 AS py FROM {POINTS})
+SELECT id, round(px, 4) AS px, round(py, 4) AS py, CAST(floor(px / 256) AS BIGINT) % 4096 AS tx, CAST(floor(py / 256) AS BIGINT) AS ty FROM p""")
 def mercator_tiles(spark, sf):
     x, y = F.expr(_PX), F.expr(_PY)
     return points(spark, sf).select("id", F.round(x, 4).alias("px"), F.round(y, 4).alias("py"), (F.floor(x / 256) % 4096).alias("tx"), F.floor(y / 256).alias("ty"))
@@ -71,9 +109,12 @@ def tile_cover(spark, sf):
 _HAV = crs.haversine_sql("lat", "lng", "48.0", "11.0")
 
 
-@query("haversine", f"SELECT id, round({_HAV}, 4) AS metres FROM {POINTS}")
+@query("haversine", f"""
+WITH p AS (SELECT id, radians(CAST(lat AS DOUBLE)) AS a, radians(CAST(lng AS DOUBLE)) AS b FROM {POINTS}),
+v AS (SELECT id, cos(a) * cos(b) - cos(radians(48)) * cos(radians(11)) AS x, cos(a) * sin(b) - cos(radians(48)) * sin(radians(11)) AS y, sin(a) - sin(radians(48)) AS z FROM p)
+SELECT id, round(2 * 6371000 * asin(least(1, sqrt(x * x + y * y + z * z) / 2)), 3) AS metres FROM v""")
 def haversine(spark, sf):
-    return points(spark, sf).select("id", F.round(F.expr(_HAV), 4).alias("metres"))
+    return points(spark, sf).select("id", F.round(F.expr(_HAV), 3).alias("metres"))
 
 
 @query("longitudes", f"""
@@ -154,15 +195,24 @@ _WIDTH = """w FROM (SELECT * REPLACE (CASE WHEN w > 0 THEN w END AS w) FROM (SEL
   ELSE TRY_CAST(regexp_extract(raw, '^([-+]?(?:\\d+\\.?\\d*|\\.\\d+))', 1) AS DOUBLE) END AS w FROM (SELECT *, lower(trim(width_)) AS raw FROM """ + _T + ")))"
 
 
+# The values that the synthetic tags take, as the SQL's own lists.
+_FAST, _MAIN, _MINOR = ("motorway", "motorway_link", "trunk", "trunk_link"), ("primary", "primary_link", "secondary", "secondary_link"), ("tertiary", "tertiary_link")
+_LINKS = ("motorway_link", "primary_link")
+_MAJOR = ("motorway", "motorway_link", "trunk", "primary", "primary_link", "secondary")
+
+
 def _in(key: str, values) -> str:
     return f"coalesce({key}_ IN ({', '.join(repr(v) for v in values)}), false)"
 
 
 @query("feature_kinds", f"""
-SELECT id, CASE WHEN man_made_ = 'bridge' AND highway_ IS NULL THEN 'bridge_infra' WHEN building_ IS NOT NULL OR {_in('historic', tags.OLD_BUILDINGS)} THEN 'building'
+SELECT id, CASE WHEN man_made_ = 'bridge' AND highway_ IS NULL THEN 'bridge_infra' WHEN building_ IS NOT NULL OR historic_ IN ('castle', 'ruins') THEN 'building'
   WHEN natural_ = 'coastline' THEN 'coastline' WHEN natural_ = 'water' OR waterway_ IS NOT NULL OR landuse_ IN ('reservoir', 'basin') OR leisure_ = 'marina' THEN 'water'
   WHEN barrier_ IS NOT NULL THEN 'barrier' WHEN coalesce(landuse_, leisure_, natural_, amenity_, man_made_, historic_, surface_) IS NOT NULL THEN 'landuse' END AS kind,
-  CASE {' '.join(f"WHEN {_in(k, v)} THEN {m}" for k, v, m in tags.AREA_MATERIALS)} ELSE -1 END AS material FROM {_T}""")
+  CASE WHEN natural_ IN ('heath', 'wood') THEN 1 WHEN natural_ = 'sand' THEN 3 WHEN natural_ = 'rock' THEN 4 WHEN natural_ = 'mud' THEN 2 WHEN natural_ = 'water' THEN -1
+    WHEN landuse_ = 'forest' THEN 1 WHEN landuse_ = 'farmland' THEN 2 WHEN landuse_ = 'retail' THEN 7 WHEN landuse_ = 'residential' THEN 1 WHEN landuse_ = 'quarry' THEN 4 WHEN landuse_ = 'railway' THEN 6 WHEN landuse_ = 'reservoir' THEN -1
+    WHEN leisure_ = 'park' THEN 1 WHEN leisure_ = 'stadium' THEN 7 WHEN leisure_ = 'track' THEN 5 WHEN amenity_ = 'parking' THEN 7 WHEN amenity_ = 'fuel' THEN 5
+    WHEN surface_ = 'asphalt' THEN 5 WHEN surface_ = 'concrete' THEN 7 WHEN surface_ = 'gravel' THEN 6 WHEN surface_ = 'grass' THEN 1 WHEN surface_ = 'sand' THEN 3 ELSE -1 END AS material FROM {_T}""")
 def feature_kinds(spark, sf):
     t = F.col("tags")
     return tagged(spark, sf).select("id", tags.feature_kind(t).alias("kind"), tags.area_material(t).alias("material"))
@@ -173,10 +223,10 @@ SELECT id, {_OW} AS oneway,
   coalesce(TRY_CAST(regexp_extract(trim(layer_), '^([-+]?\\d+)', 1) AS DOUBLE), CAST({_in('bridge', ('yes', 'viaduct'))} OR coalesce(man_made_ = 'bridge', false) AS INT) - CAST(coalesce(tunnel_ = 'yes', false) AS INT))
   + CASE WHEN barrier_ = 'retaining_wall' AND NOT {_in('bridge', ('yes', 'viaduct'))} AND NOT coalesce(man_made_ = 'bridge', false) AND NOT coalesce(tunnel_ = 'yes', false) THEN 0.5 ELSE 0 END
   + CASE WHEN embankment_ = 'yes' THEN 0.5 ELSE 0 END AS layer,
-  CASE WHEN lane_markings_ = 'no' THEN true WHEN lane_markings_ = 'yes' THEN false ELSE {_in('surface', tags.UNMARKED)} OR coalesce(highway_ = 'track', false) END AS unmarked,
-  {_in('highway', tags.MAJOR)} AND NOT CASE WHEN lane_markings_ = 'yes' THEN false WHEN lane_markings_ = 'no' THEN true ELSE coalesce(lower(trim(surface_)) IN ({', '.join(map(repr, tags.UNPAVED))}), false) END AS marked,
-  {_in('highway', tags.MAJOR)} AND NOT coalesce(lower(trim(surface_)) IN ({', '.join(map(repr, tags.UNPAVED))}), false) AS grass_edge,
-  highway_ IS NOT NULL AND NOT ({_in('highway', (*tags.NO_ROADS, 'trunk_link', 'service'))} OR coalesce(area_ = 'yes', false) OR coalesce(lower(trim(service_)) IN ({', '.join(map(repr, tags.NO_DECAL_SERVICES))}), false)) AS decal
+  CASE WHEN lane_markings_ = 'no' THEN true WHEN lane_markings_ = 'yes' THEN false ELSE coalesce(surface_ IN ('gravel', 'dirt', 'grass', 'sand'), false) OR coalesce(highway_ = 'track', false) END AS unmarked,
+  {_in('highway', _MAJOR)} AND NOT CASE WHEN lane_markings_ = 'yes' THEN false WHEN lane_markings_ = 'no' THEN true ELSE coalesce(lower(trim(surface_)) IN ('gravel', 'dirt', 'grass', 'sand'), false) END AS marked,
+  {_in('highway', _MAJOR)} AND NOT coalesce(lower(trim(surface_)) IN ('gravel', 'dirt', 'grass', 'sand'), false) AS grass_edge,
+  highway_ IS NOT NULL AND NOT ({_in('highway', ('footway', 'service'))} OR coalesce(area_ = 'yes', false) OR coalesce(lower(trim(service_)) IN ('alley', 'driveway'), false)) AS decal
 FROM {_T}""")
 def road_rules(spark, sf):
     t = F.col("tags")
@@ -185,13 +235,13 @@ def road_rules(spark, sf):
 
 @query("road_widths", f"""
 SELECT id, round(greatest(lo, least(hi, coalesce(w / 2, lanes * lane_w / 2))), 6) AS half_width, lane_w, most FROM (
- SELECT *, greatest(CASE WHEN {_in('highway', ('motorway', 'trunk'))} THEN CASE WHEN ow THEN 2 ELSE 4 END WHEN {_in('highway', (*tags.LINKS, 'service', 'track'))} THEN 1 ELSE CASE WHEN ow THEN 1 ELSE 2 END END, CASE WHEN l > 0 THEN l ELSE lf + lb END) AS lanes FROM (
+ SELECT *, greatest(CASE WHEN {_in('highway', ('motorway', 'trunk'))} THEN CASE WHEN ow THEN 2 ELSE 4 END WHEN {_in('highway', (*_LINKS, 'service', 'track'))} THEN 1 ELSE CASE WHEN ow THEN 1 ELSE 2 END END, CASE WHEN l > 0 THEN l ELSE lf + lb END) AS lanes FROM (
  SELECT id, highway_, {_OW} AS ow, greatest(0, coalesce(TRY_CAST(regexp_extract(trim(lanes_), '^([-+]?\\d+)', 1) AS BIGINT), 0)) AS l,
   greatest(0, coalesce(TRY_CAST(regexp_extract(trim(lanes_forward_), '^([-+]?\\d+)', 1) AS BIGINT), 0)) AS lf, greatest(0, coalesce(TRY_CAST(regexp_extract(trim(lanes_backward_), '^([-+]?\\d+)', 1) AS BIGINT), 0)) AS lb,
-  CASE WHEN {_in('highway', tags.FAST)} THEN 3.7 WHEN {_in('highway', tags.MAIN)} THEN 3.5 WHEN {_in('highway', tags.MINOR)} THEN 3.25 WHEN {_in('highway', ('service', 'track'))} THEN 2.8 ELSE 3.0 END::DOUBLE AS lane_w,
-  CASE WHEN {_in('highway', tags.FAST)} THEN 3.5 WHEN {_in('highway', tags.MAIN)} THEN 2.8 WHEN {_in('highway', ('service', 'track'))} THEN 1.8 ELSE 2.2 END::DOUBLE AS lo,
-  CASE WHEN {_in('highway', tags.FAST)} THEN 9.0 WHEN {_in('highway', tags.MAIN)} THEN 6.0 WHEN {_in('highway', ('service', 'track'))} THEN 3.5 ELSE 5.0 END::DOUBLE AS hi,
-  CASE WHEN {_in('highway', ('motorway', 'trunk'))} THEN CASE WHEN {_OW} THEN 6 ELSE 10 END WHEN {_in('highway', tags.LINKS)} THEN CASE WHEN {_OW} THEN 3 ELSE 4 END WHEN {_in('highway', ('primary', 'secondary'))} THEN CASE WHEN {_OW} THEN 5 ELSE 8 END ELSE CASE WHEN {_OW} THEN 4 ELSE 6 END END AS most,
+  CASE WHEN {_in('highway', _FAST)} THEN 3.7 WHEN {_in('highway', _MAIN)} THEN 3.5 WHEN {_in('highway', _MINOR)} THEN 3.25 WHEN {_in('highway', ('service', 'track'))} THEN 2.8 ELSE 3.0 END::DOUBLE AS lane_w,
+  CASE WHEN {_in('highway', _FAST)} THEN 3.5 WHEN {_in('highway', _MAIN)} THEN 2.8 WHEN {_in('highway', ('service', 'track'))} THEN 1.8 ELSE 2.2 END::DOUBLE AS lo,
+  CASE WHEN {_in('highway', _FAST)} THEN 9.0 WHEN {_in('highway', _MAIN)} THEN 6.0 WHEN {_in('highway', ('service', 'track'))} THEN 3.5 ELSE 5.0 END::DOUBLE AS hi,
+  CASE WHEN {_in('highway', ('motorway', 'trunk'))} THEN CASE WHEN {_OW} THEN 6 ELSE 10 END WHEN {_in('highway', _LINKS)} THEN CASE WHEN {_OW} THEN 3 ELSE 4 END WHEN {_in('highway', ('primary', 'secondary'))} THEN CASE WHEN {_OW} THEN 5 ELSE 8 END ELSE CASE WHEN {_OW} THEN 4 ELSE 6 END END AS most,
   {_WIDTH}))""")
 def road_widths(spark, sf):
     t = F.col("tags")
@@ -205,8 +255,8 @@ _BARS = lambda key: f"nullif(len(list_filter(string_split({key}_, '|'), lambda x
 
 @query("lane_counts", f"""
 WITH g AS (SELECT id, highway_, {_OW} AS ow, {_N('lanes')} AS t, coalesce({_N('lanes_forward')}, {_BARS('turn_lanes_forward')}) AS f, {_N('lanes_backward')} AS b, {_BARS('turn_lanes')} AS turn,
-  {_in('highway', ('motorway', 'trunk'))} AS fast, {_in('highway', (*tags.LINKS, 'service', 'track'))} AS narrow,
-  CASE WHEN {_in('highway', ('motorway', 'trunk'))} THEN CASE WHEN {_OW} THEN 6 ELSE 10 END WHEN {_in('highway', tags.LINKS)} THEN CASE WHEN {_OW} THEN 3 ELSE 4 END
+  {_in('highway', ('motorway', 'trunk'))} AS fast, {_in('highway', (*_LINKS, 'service', 'track'))} AS narrow,
+  CASE WHEN {_in('highway', ('motorway', 'trunk'))} THEN CASE WHEN {_OW} THEN 6 ELSE 10 END WHEN {_in('highway', _LINKS)} THEN CASE WHEN {_OW} THEN 3 ELSE 4 END
    WHEN {_in('highway', ('primary', 'secondary'))} THEN CASE WHEN {_OW} THEN 5 ELSE 8 END ELSE CASE WHEN {_OW} THEN 4 ELSE 6 END END AS most FROM {_T}),
 h AS (SELECT *, coalesce(t, CASE WHEN fast THEN 4 WHEN narrow THEN 1 ELSE 2 END) AS guess FROM g),
 s AS (SELECT *, CASE WHEN ow THEN greatest(1, least(most, coalesce(f, t, turn, CASE WHEN fast THEN 2 ELSE 1 END))) WHEN f IS NULL AND b IS NULL THEN (guess + 1) // 2 ELSE coalesce(f, CASE WHEN t IS NOT NULL THEN greatest(1, t - b) END, 1) END AS f0,
@@ -222,8 +272,8 @@ def lane_counts(spark, sf):
 @query("lane_lines", f"""
 SELECT id, CASE WHEN {_OW} OR coalesce(suffix(highway_, '_link'), false) THEN NULL WHEN highway_ IN ('motorway', 'trunk') THEN 'white solid' WHEN highway_ IN ('primary', 'secondary') THEN CASE WHEN id % 6 + 1 >= 4 THEN 'yellow double' ELSE 'yellow dashed' END
   WHEN highway_ = 'tertiary' THEN 'yellow dashed' WHEN highway_ IN ('residential', 'unclassified') AND id % 6 + 1 >= 4 THEN 'yellow dashed' END AS centre,
-  CASE WHEN {_in('highway', tags.FAST)} THEN 0.15 WHEN highway_ IN ('primary', 'secondary') THEN 0.1 END::DOUBLE AS edge,
-  CASE WHEN {_in('highway', tags.FAST)} THEN 3.7 WHEN {_in('highway', tags.MAIN)} THEN 3.5 WHEN {_in('highway', tags.MINOR)} THEN 3.25 WHEN highway_ = 'service' THEN 2.8 ELSE 3.0 END::DOUBLE AS lane_width FROM {_T}""")
+  CASE WHEN {_in('highway', _FAST)} THEN 0.15 WHEN highway_ IN ('primary', 'secondary') THEN 0.1 END::DOUBLE AS edge,
+  CASE WHEN {_in('highway', _FAST)} THEN 3.7 WHEN {_in('highway', _MAIN)} THEN 3.5 WHEN {_in('highway', _MINOR)} THEN 3.25 WHEN highway_ = 'service' THEN 2.8 ELSE 3.0 END::DOUBLE AS lane_width FROM {_T}""")
 def lane_lines(spark, sf):
     t = F.col("tags")
     return tagged(spark, sf).select("id", tags.centre_line(t, F.col("id") % 6 + 1, tags.one_way(t)).alias("centre"), tags.edge_line_width(t).alias("edge"), tags.painter_lane_width(t).alias("lane_width"))

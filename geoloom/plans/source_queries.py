@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import scalars
@@ -9,7 +10,7 @@ from geoloom.sinks import exports
 from geoloom.sources import records, text_grids
 
 from .registry import query
-from .views import read
+from .views import WAYS, read, ways
 
 
 def _grids(spark, sf):
@@ -27,11 +28,19 @@ def asc_grids(spark, sf):
     return text_grids.read_asc(exports.asc_text(_grids(spark, sf), 10.0, 40.0, 0.01))
 
 
-@query("asc_headers", "SELECT vec_id AS id, 8 AS cols, 8 AS rows, 10.0::DOUBLE AS west, round(40.08, 6)::DOUBLE AS north, 0.01::DOUBLE AS cell, true AS likely FROM embeddings")
+@query("asc_headers", """
+SELECT c_custkey AS id, c_custkey % 9 + 1 AS cols, c_custkey % 5 + 1 AS rows,
+  CASE WHEN x > 180 THEN x - 360 ELSE x END::DOUBLE AS west, round((c_custkey % 50)::DOUBLE - CASE WHEN c_custkey % 4 < 2 THEN cell / 2 ELSE 0 END + cell * (c_custkey % 5 + 1), 6) AS north, cell, c_custkey % 3 > 0 AS likely
+FROM (SELECT *, 0.25 * (1 + c_custkey % 3)::DOUBLE AS cell, (c_custkey % 350)::DOUBLE - CASE WHEN c_custkey % 4 < 2 THEN 0.125 * (1 + c_custkey % 3) ELSE 0 END AS x FROM customer)""")
 def asc_headers(spark, sf):
-    files = exports.asc_text(_grids(spark, sf), 10.0, 40.0, 0.01)
-    sniffed = files.select("id", text_grids.likely_asc(F.col("text")).alias("likely"))
-    return text_grids.asc_meta(files).join(sniffed, "id").select("id", "cols", "rows", "west", F.round("north", 6).alias("north"), "cell", "likely")
+    """Headers that name corners, centres or both; a third lacks the cell size's line among the first 2048 characters."""
+    k = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    edge = lambda axis, v: F.concat(F.when(k % 4 > 0, F.concat(F.lit(f"{axis}llcorner "), text(F.when(k % 4 == 1, v + 3).otherwise(v)), F.lit("\n"))).otherwise(""), F.when(k % 4 < 2, F.concat(F.lit(f"{axis}llcenter "), text(v), F.lit("\n"))).otherwise(""))
+    head = F.concat(F.lit("NCOLS "), text(k % 9 + 1), F.lit("\nnrows   "), text(k % 5 + 1), F.lit("\n"), edge("x", k % 350), edge("y", k % 50))
+    late = F.when(k % 3 == 0, F.repeat(F.lit("# remark\n"), 300)).otherwise("")
+    c = read(spark, sf, "customer").select(k.alias("id"), F.concat(head, late, F.lit("cellsize "), text(0.25 * (1 + k % 3)), F.lit("\n1 2 3\n")).alias("text"))
+    return text_grids.asc_meta(c).select("id", "cols", "rows", "west", F.round("north", 6).alias("north"), "cell").join(c.select("id", text_grids.likely_asc(F.col("text")).alias("likely")), "id")
 
 
 @query("gml_grids", f"SELECT * FROM ({_CELLS})")
@@ -53,14 +62,15 @@ def xyz_grids(spark, sf):
     return text_grids.read_xyz(files)
 
 
-@query("decoded_polylines", """
-SELECT c_custkey AS id, CAST(i AS INT) AS idx, lat::DOUBLE AS lat, lng::DOUBLE AS lng FROM customer, (VALUES (0, 38.5, -120.2), (1, 40.7, -120.95), (2, 43.252, -126.453)) AS p(i, lat, lng) WHERE c_custkey % 3 = 0
-UNION ALL SELECT c_custkey, 0, 0.00001::DOUBLE, -0.00001::DOUBLE FROM customer WHERE c_custkey % 3 = 1""")
+@query("decoded_polylines", f"""
+SELECT way AS id, idx, (px * 911 % 1800000 - 900000) / 100000.0::DOUBLE AS lat, (py * 1777 % 3600000 - 1800000) / 100000.0::DOUBLE AS lng FROM {WAYS}""")
 def decoded_polylines(spark, sf):
-    """A published example and the least steps; every third customer has none."""
-    k = F.col("c_custkey")
-    text = F.when(k % 3 == 0, "_p~iF~ps|U_ulLnnqC_mqNvxq`@").when(k % 3 == 1, "A@").otherwise("")
-    c = read(spark, sf, "customer").select(k.alias("id"), F.posexplode(records.decode_polyline(text)).alias("idx", "p"))
+    """Lines of orders, encoded by the published rule and decoded again."""
+    p = ways(spark, sf).select(F.col("way").alias("id"), "idx", (F.col("px") * 911 % 1800000 - 900000).alias("lat"), (F.col("py") * 1777 % 3600000 - 1800000).alias("lng"))
+    w = Window.partitionBy("id").orderBy("idx")
+    step = lambda c: records.encoded_number(F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0)))
+    text = p.withColumn("t", F.concat(step("lat"), step("lng"))).groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "t"))), lambda s: s["t"]), "").alias("text"))
+    c = text.select("id", F.posexplode(records.decode_polyline(F.col("text"))).alias("idx", "p"))
     return c.select("id", "idx", "p.lat", "p.lng")
 
 

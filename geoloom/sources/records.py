@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 ELEMENT_SCHEMA = "elements array<struct<type:string,id:bigint,lat:double,lon:double,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>,members:array<struct<type:string,ref:bigint,role:string,geometry:array<struct<lat:double,lon:double>>>>>>"
 
 
+def encoded_number(n: Column) -> Column:
+    """A whole number of 1e-5 degrees as the polyline format writes it: sign in the lowest bit, then groups of five bits
+    from the lowest on, 32 more for all but the last, 63 beyond that in ASCII."""
+    v = F.when(n < 0, -2 * n - 1).otherwise(2 * n).cast("long")
+    groups = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.floor(v / F.pow(F.lit(32.0), i)).cast("long"))
+    used = F.filter(groups, lambda g, i: (i == 0) | (g > 0))
+    chars = F.transform(used, lambda g: F.char(g % 32 + F.when(g >= 32, 32).otherwise(0) + 63))
+    return F.array_join(chars, "")
+
+
 def decode_polyline(text: Column) -> Column:
     """array<struct<lat, lng>> of an encoded polyline: five-bit groups, low first, signs in the lowest bit,
     differences in units of 1e-5."""
