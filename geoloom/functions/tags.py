@@ -341,3 +341,21 @@ def error_kind(status: Column, name: Column, message: Column) -> Column:
         .when(message.rlike("(?i)timeout|network|fetch|ECONN|EAI_AGAIN|ENOTFOUND|ERR_"), out("network", True))
         .otherwise(out("unknown", True))
     )
+
+
+def style_key(fields: list[Column]) -> Column:
+    """A road's style as a JSON array of its fields; null is an empty text."""
+    return F.to_json(F.array(*[F.coalesce(f.cast("string"), F.lit("")) for f in fields]))
+
+
+def segment_style_key(highway: Column, layer: Column, tags: Column) -> Column:
+    return style_key([highway, layer, *[tags[k] for k in ("name", "ref", "width", "lanes", "lanes:forward", "lanes:backward", "oneway", "surface")]])
+
+
+def corridor_style_key(highway: Column, layer: Column, tags: Column) -> Column:
+    return style_key([highway, layer, *[tags[k] for k in ("name", "ref", "surface", "oneway")]])
+
+
+def width_corridor_key(highway: Column, layer: Column, tags: Column) -> Column:
+    """The corridor whose widths are kept alike; a road without a layer of its own takes that of its tags."""
+    return style_key([F.coalesce(F.nullif(highway, F.lit("")), tags["highway"]), F.coalesce(layer, F.regexp_replace(road_layer(tags).cast("string"), r"\.0$", "")), *[tags[k] for k in ("name", "ref", "oneway")]])

@@ -173,3 +173,16 @@ def combinations(spark, options: dict[str, list]) -> DataFrame:
     from itertools import product
 
     return spark.createDataFrame(list(product(*options.values())), list(options))
+
+
+def reset_failed(tiles: DataFrame) -> DataFrame:
+    """tiles (status, error, attempts) ready to run again: failed ones are queued without an error or attempts."""
+    bad = F.coalesce(F.col("status") == "failed", F.lit(False))
+    out = {"status": F.when(bad, "queued").otherwise(F.col("status")), "error": F.when(~bad, F.col("error")), "attempts": F.when(bad, 0).otherwise(F.col("attempts"))}
+    return tiles.withColumns(out)
+
+
+def tile_names(names: DataFrame, cols: int, most: int) -> DataFrame:
+    """index, name of tiles (index, name) below `most` that have a name of their own: trimmed, not empty, not the default label."""
+    out = names.select("index", F.trim("name").alias("name")).where(F.col("index").between(0, most - 1))
+    return out.where((F.col("name") != "") & (F.col("name") != tile_label(F.col("index"), F.lit(cols))))

@@ -138,3 +138,24 @@ def area_mask(areas: DataFrame, size: int, feather: float) -> DataFrame:
     gap = ring_distance(x, y, F.col("ring"))
     w = F.when(F.col("_in"), F.when(~holed, 1.0)).otherwise(F.when(gap < feather, smoothstep((feather - gap) / feather)))
     return c.withColumn("w", w).where("w is not null").groupBy("cx", "cz").agg(F.max("w").alias("w"))
+
+
+def uncovered(reference: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Cells (cx, cz) of a reference mask that a coverage mask doesn't hold."""
+    return reference.select("cx", "cz").distinct().join(coverage.select("cx", "cz"), ["cx", "cz"], "left_anti")
+
+
+def roughness(vertices: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, rms_before, rms_after, most_before: how far vertices (w, ground, before, after) on the mask's inner half (w over 0.5) lie from the
+    ground; and extent: the range of all vertices' heights before."""
+    on = F.col("w") > 0.5
+    rms = lambda c: F.sqrt(F.avg(F.when(on, F.pow(F.col(c) - F.col("ground"), 2))))
+    most = F.max(F.when(on, F.abs(F.col("before") - F.col("ground"))))
+    return vertices.groupBy(*by).agg(F.count_if(on).alias("n"), rms("before").alias("rms_before"), rms("after").alias("rms_after"), most.alias("most_before"), (F.max("before") - F.min("before")).alias("extent"))
+
+
+def feature_counts(features: DataFrame, by: list[str]) -> DataFrame:
+    """by, total, a count of each kind, and points, lines, polygons of features (kind, n_points, closed)."""
+    kinds = [F.count_if(F.col("kind") == k).alias(name) for k, name in (("road", "roads"), ("building", "buildings"), ("water", "water"), ("vegetation", "vegetation"), ("landuse", "landuse"))]
+    point, ring = F.coalesce("n_points", F.lit(0)) <= 1, F.coalesce("closed", F.lit(False))
+    return features.groupBy(*by).agg(F.count("*").alias("total"), *kinds, F.count_if(point).alias("points"), F.count_if(~point & ring).alias("polygons"), F.count_if(~point & ~ring).alias("lines"))

@@ -279,3 +279,62 @@ def trimmed(points: DataFrame, start: float, end: float) -> DataFrame:
     ends = F.concat(own, F.when(inside(lo), F.array(at(lo))).otherwise(none), F.when(inside(hi), F.array(at(hi))).otherwise(none))
     last = F.when((F.col("b").isNull()) & (F.lit(end) == 0), F.array(F.struct("arc", "x", "y"))).otherwise(none)
     return a.select("line", F.explode(F.concat(ends, last)).alias("p")).select("line", "p.*")
+
+
+# fixed values: turns in degrees beyond which a point is cut off, on long and on short edges; what a short edge is, how far off the
+# new points lie, at most in shares of the edge; least end edge; least way of an end's direction
+KINK, TIGHT_KINK, SHORT_EDGE, KINK_OFFSET, OFFSET_SHARE, LEAST_END, TANGENT_WAY = 75.0, 30.0, 4.0, 2.0, 0.4, 2.0, 3.0
+
+
+def smoothed_kinks(points: DataFrame) -> DataFrame:
+    """line, idx, x, y of lines (line, idx, x, y) without sharp turns: a point that turns by more than KINK gives way to two
+    on its edges; beside a short edge one that turns by more than TIGHT_KINK goes.  Ends stay."""
+    from geoloom.functions.frames import turn_degrees
+
+    w = Window.partitionBy("line").orderBy("idx")
+    p = points.select("line", "idx", "x", "y", F.struct("x", "y").alias("c"), F.lag(F.struct("x", "y")).over(w).alias("a"), F.lead(F.struct("x", "y")).over(w).alias("b"))
+    gap = lambda s: F.hypot(F.col(f"{s}.x") - F.col("x"), F.col(f"{s}.y") - F.col("y"))
+    p = p.withColumn("before", gap("a")).withColumn("after", gap("b")).withColumn("turn", turn_degrees(F.col("a"), F.col("c"), F.col("b")))
+    short, off = F.least("before", "after") < SHORT_EDGE, F.least(F.lit(KINK_OFFSET), F.least("before", "after") * OFFSET_SHARE)
+    toward = lambda s, n: F.struct((F.col("x") + (F.col(f"{s}.x") - F.col("x")) * off / F.col(n)).alias("x"), (F.col("y") + (F.col(f"{s}.y") - F.col("y")) * off / F.col(n)).alias("y"))
+    stays = F.col("a").isNull() | F.col("b").isNull() | (F.col("turn") <= F.when(short, TIGHT_KINK).otherwise(KINK))
+    made = F.when(stays, F.array("c")).when(short, F.slice(F.array("c"), 1, 0)).otherwise(F.array(toward("a", "before"), toward("b", "after")))
+    q = p.select("line", "idx", F.posexplode(made).alias("n", "q"))
+    return q.select("line", (F.row_number().over(Window.partitionBy("line").orderBy("idx", "n")) - 1).alias("idx"), "q.x", "q.y")
+
+
+def pruned_ends(points: DataFrame, least: float = LEAST_END) -> DataFrame:
+    """Lines (line, idx, x, y) without the inner points next to an end that are nearer to it than `least`."""
+    for order in (F.col("idx"), F.desc("idx")):
+        w = Window.partitionBy("line").orderBy(order)
+        gap = F.hypot(F.col("x") - F.first("x").over(w), F.col("y") - F.first("y").over(w))
+        p = points.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy("line"))).withColumn("_far", gap >= least)
+        inner = (F.col("_i") > 1) & (F.col("_i") < F.col("_n"))
+        far = F.max(F.when(inner & F.col("_far"), 1).otherwise(0)).over(w)
+        points = p.withColumn("_kept", ~inner | (far == 1)).where("_kept").drop("_i", "_n", "_far", "_kept")
+    return points
+
+
+def end_tangents(points: DataFrame, way: float = TANGENT_WAY) -> DataFrame:
+    """line, end, dx, dy: the unit vector into each end of a line (line, idx, x, y) from its first point that is at least `way` along
+    the line away, else from the other end; 0 for lines of one place."""
+    from geoloom.functions.frames import unit_vector
+
+    a = with_arc(points).withColumn("total", F.max("arc").over(Window.partitionBy("line")))
+    ends = []
+    for name, along, node, other in (("start", F.col("arc"), F.min_by, F.max_by), ("end", F.col("total") - F.col("arc"), F.max_by, F.min_by)):
+        at = F.struct("x", "y")
+        g = a.groupBy("line").agg(node(at, "idx").alias("p"), other(at, "idx").alias("o"), F.min_by(F.when(along >= way, at), F.when(along >= way, F.struct(along, F.when(F.lit(name == "start"), F.col("idx")).otherwise(-F.col("idx"))))).alias("q"))
+        q = F.coalesce("q", "o")
+        ends.append(g.select("line", F.lit(name).alias("end"), unit_vector(F.col("p.x") - q["x"], F.col("p.y") - q["y"], 1e-9).alias("d")))
+    return ends[0].union(ends[1]).select("line", "end", F.col("d.x").alias("dx"), F.col("d.y").alias("dy"))
+
+
+def height_along(points: DataFrame, distance: float) -> DataFrame:
+    """line, z: the height of lines (line, idx, x, y, z) at a distance from their start, at most at their end."""
+    w = Window.partitionBy("line").orderBy("idx")
+    a = with_arc(points).withColumn("total", F.max("arc").over(Window.partitionBy("line"))).withColumn("_b", F.lead("arc").over(w)).withColumn("_z", F.lead("z").over(w))
+    at = F.least(F.lit(float(distance)), F.col("total"))
+    inside = (F.col("_b") > F.col("arc")) & (at > F.col("arc")) & (at <= F.col("_b"))
+    z = F.when(inside, F.col("z") + (F.col("_z") - F.col("z")) * (at - F.col("arc")) / (F.col("_b") - F.col("arc")))
+    return a.groupBy("line").agg(F.coalesce(F.max(z), F.min_by("z", "idx")).alias("z"))

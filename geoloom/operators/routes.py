@@ -124,3 +124,58 @@ def progress(events: DataFrame) -> DataFrame:
     active = F.count_if(F.col("phase").isin("terrain", "bake", "encode"))
     out = per.groupBy("job").agg(F.count("*").alias("chunks"), F.count_if(F.col("phase") == "done").alias("done"), F.count_if(F.col("phase") == "error").alias("errors"), active.alias("active"), F.avg("fill").alias("a"))
     return out.select("job", "chunks", "done", "errors", "active", F.floor(F.col("a") + 0.5).alias("percent"))
+
+
+# fixed values: part of the half width that side stations reach, half width of a ring of them, most rings
+RING_SHARE, RING_M, MOST_RINGS = 0.85, 160.0, 3
+
+
+def corridor_stations(points: DataFrame, half_width: float, spacing: float, extent: float, most: int) -> DataFrame:
+    """route, n, sample, side, e, north, dir_e, dir_n of routes (route, idx, e, north in metres from the middle of a box): every
+    `spacing` along the route, half of it in, and for wide corridors in rings to the left (side 1, 2, 3) and right (-1, -2, -3).
+
+    Places beyond the box of `extent` metres go; of more than `most` an even selection stays, never the first ones only."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("route").orderBy("idx")
+    s = points.select("route", "idx", "e", "north", F.lead("e").over(w).alias("e2"), F.lead("north").over(w).alias("north2"))
+    s = s.withColumn("len", F.coalesce(F.hypot(F.col("e2") - F.col("e"), F.col("north2") - F.col("north")), F.lit(0.0)))
+    s = s.withColumn("arc", F.sum("len").over(w) - F.col("len")).where("len > 1e-6")
+    lo, hi = F.ceil((F.col("arc") - spacing / 2) / spacing), F.ceil((F.col("arc") + F.col("len") - spacing / 2) / spacing) - 1
+    s = s.withColumn("n0", F.greatest(F.lit(0), lo)).withColumn("n1", hi).where("n1 >= n0").withColumn("sample", F.explode(F.sequence("n0", "n1")))
+    u, de, dn = (F.col("sample") * spacing + spacing / 2 - F.col("arc")) / F.col("len"), (F.col("e2") - F.col("e")) / F.col("len"), (F.col("north2") - F.col("north")) / F.col("len")
+    rings = min(MOST_RINGS, math.floor(half_width / RING_M + 0.5))
+    sides = [0, *[side * r for r in range(1, rings + 1) for side in (1, -1)]]
+    off = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("side"), F.lit(half_width * x / rings * RING_SHARE if x else 0.0).alias("off")) for k, x in enumerate(sides)])
+    s = s.select("route", "sample", (F.col("e") + (F.col("e2") - F.col("e")) * u).alias("e"), (F.col("north") + (F.col("north2") - F.col("north")) * u).alias("north"), de.alias("dir_e"), dn.alias("dir_n"), F.explode(off).alias("o"))
+    s = s.select("route", "sample", "o.k", "o.side", (F.col("e") - F.col("dir_n") * F.col("o.off")).alias("e"), (F.col("north") + F.col("dir_e") * F.col("o.off")).alias("north"), "dir_e", "dir_n")
+    s = s.where((F.abs("e") <= extent / 2) & (F.abs("north") <= extent / 2))
+    s = s.withColumn("n", F.row_number().over(Window.partitionBy("route").orderBy("sample", "k")) - 1).withColumn("total", F.count("*").over(Window.partitionBy("route")))
+    stride = F.greatest(F.lit(1.0), F.col("total") / most)
+    taken = F.ceil(F.col("n") / stride - 1e-9)
+    return s.where((F.floor(taken * stride + 1e-9) == F.col("n")) & (taken < most)).drop("k", "total")
+
+
+def route_frames(chunks_: DataFrame, size: float) -> DataFrame:
+    """route, chunk, east, north, up, scale, and the route's min_x, max_x, min_z, max_z: chunks (route, chunk, lat, lng, low, units:
+    scene units a metre) placed in metres from each route's first chunk; x runs east, z south."""
+    from pyspark.sql import Window
+
+    first = chunks_.groupBy("route").agg(F.min_by(F.struct("lat", "lng", F.coalesce("low", F.lit(0.0)).alias("low")), "chunk").alias("a"))
+    c = chunks_.join(first, "route")
+    wide = DEGREE_M * F.cos(F.radians("a.lat"))
+    c = c.select("route", "chunk", ((F.col("lng") - F.col("a.lng")) * wide).alias("east"), ((F.col("lat") - F.col("a.lat")) * DEGREE_M).alias("north"), (F.coalesce("low", F.lit(0.0)) - F.col("a.low")).alias("up"), F.when(F.col("units") > 0, 1 / F.col("units")).otherwise(1.0).alias("scale"))
+    w = Window.partitionBy("route")
+    return c.select("*", (F.min("east").over(w) - size / 2).alias("min_x"), (F.max("east").over(w) + size / 2).alias("max_x"), (-F.max("north").over(w) - size / 2).alias("min_z"), (-F.min("north").over(w) + size / 2).alias("max_z"))
+
+
+def spawn_places(roads: DataFrame, centres: DataFrame) -> DataFrame:
+    """area, lat, lng of areas' centres (area, lat, lng), or of the nearest middle vertex of their roads (area, road, idx, lat, lng, highway)
+    by degrees, ties to the smaller road; ways on foot don't count."""
+    from geoloom.functions.tags import MASK_SKIP
+
+    drivable = roads.where(~F.coalesce(F.col("highway").isin(*MASK_SKIP), F.lit(False)))
+    size = drivable.groupBy("area", "road").agg(F.count("*").alias("n"))
+    mids = drivable.join(size, ["area", "road"]).where("idx = floor(n / 2)").select("area", "road", F.col("lat").alias("mlat"), F.col("lng").alias("mlng"))
+    near = mids.join(centres, "area").groupBy("area").agg(F.min_by(F.struct("mlat", "mlng"), F.struct(F.hypot(F.col("mlat") - F.col("lat"), F.col("mlng") - F.col("lng")), F.col("road"))).alias("m"))
+    return centres.join(near, "area", "left").select("area", F.coalesce("m.mlat", "lat").alias("lat"), F.coalesce("m.mlng", "lng").alias("lng"))
