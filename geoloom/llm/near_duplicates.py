@@ -11,7 +11,7 @@ least 0.8; a class is a connected component of links.  The plan:
 3. In each bucket of a band key the least node leads; every other node makes one pair with it.
    Pairs are compared set against set; the similar ones are links, and links give labels.
 4. A bucket of three nodes or more that still holds two labels may hide links between nodes that
-   didn't lead.  A node of another label leads next, as long as that finds links.
+   didn't lead.  A node of another label leads next, LEADERS times or until that finds no link.
 5. In what is left, the nodes outside a bucket's largest label are dealt into blocks of bounded size and
    compared with one another and with blocks of the largest label, each pair of blocks in one task, which
    reports only the links that join two labels.  So no bucket needs a cap, no list of all its pairs is ever
@@ -39,8 +39,8 @@ from .components import components
 from .dart_minhash import band_keys, signatures
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 7
-#: Nodes of a block, on average, when a bucket is compared in full.
-BLOCK = 256
+#: Nodes of a block, on average, when a bucket is compared in full; further leaders of a bucket before that.
+BLOCK, LEADERS = 256, 2
 _MEMO_WORDS = 600_000
 _word_hash: dict[str, int] = {}
 
@@ -216,14 +216,16 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, words:
     labels = table(labels.select("node", F.coalesce("label", "node").alias("label")), "labels")
     drop(spark, pairs, wanted)
 
-    round_ = 0
-    while True:
+    found, round_ = True, 0
+    while found:
         left = table(unlike_buckets(in_buckets, labels, hot), "unlike")
         if not left.limit(1).count():
             break
         round_ += 1
-        links = table(verified(next_pairs(left, hot, round_), sets, threshold), "verified")
-        if not links.limit(1).count():
+        if round_ <= LEADERS:
+            links = table(verified(next_pairs(left, hot, round_), sets, threshold), "verified")
+            found = bool(links.limit(1).count())
+        if round_ > LEADERS or not found:
             links = table(links_in_blocks(dealt(left, hot).join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), threshold), "more")
             labels = relabelled(labels, links) if links.limit(1).count() else labels
             break
