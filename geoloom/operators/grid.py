@@ -26,7 +26,7 @@ def around(cells: DataFrame, axis: str, reach: int, aggregates: dict, by: list[s
     raster (`by`).  An axis is cut into blocks of BLOCK cells that also hold `reach` cells beyond both ends, so
     that no task holds a whole row or column."""
     other, at = ("y" if axis == "x" else "x"), lambda d: F.floor((F.col(axis) + d) / BLOCK)
-    held = cells.withColumn("_block", F.explode(F.array_distinct(F.array(at(-reach), at(0), at(reach)))))
+    held = cells.withColumn("_block", F.explode(F.sequence(at(-reach), at(reach))))
     w = Window.partitionBy(*by, other, "_block").orderBy(axis).rangeBetween(-reach, reach)
     for name, make in aggregates.items():
         held = held.withColumn(name, make(w))

@@ -39,9 +39,12 @@ def test_asc(spark):
     m = {r["id"]: r for r in text_grids.asc_meta(f).collect()}
     assert (m[1]["west"], round(m[1]["north"], 6)) == (-120, 40.01) and (m[2]["west"], m[2]["north"]) == (-160.5, 9.5)
     assert one(spark, text_grids.likely_asc(F.col("t")), t=ASC) and not one(spark, text_grids.likely_asc(F.col("t")), t=GML)
-    bad = spark.createDataFrame([(1, ASC + "5")], "id long, text string")
+    more = spark.createDataFrame([(1, ASC + "5"), (2, ASC.replace("xllcorner -120", "xllcorner -120\nxllcenter 7"))], "id long, text string")
+    assert grid_of(text_grids.read_asc(more.where("id = 1")), 2) == [1, 2, 3, 4]
+    assert {r["id"]: round(r["west"], 6) for r in text_grids.asc_meta(more).collect()} == {1: -120, 2: 6.995}
+    bad = spark.createDataFrame([(1, ASC[:-2])], "id long, text string")
     assert text_grids.read_asc(bad, strict=False).count() == 0
-    with pytest.raises(Exception, match="wrong number"):
+    with pytest.raises(Exception, match="too few"):
         text_grids.read_asc(bad).collect()
 
 
