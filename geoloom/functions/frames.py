@@ -184,3 +184,49 @@ def closed_ring(ring: Column, least: float = 1e-6) -> Column:
     a, z = ring[0], F.element_at(ring, -1)
     open_ = (F.abs(a["x"] - z["x"]) > least) | (F.abs(a["y"] - z["y"]) > least)
     return F.when(F.size(ring) < 3, F.slice(ring, 1, 0)).when(open_, F.concat(ring, F.array(a))).otherwise(ring)
+
+
+# fixed values: WGS84's axis and squared eccentricity; samples along a seam and the steps of its profile; shares of the scene over
+# which a neighbour fades into the seam; share of missing cells beyond which it is taken for flat
+AXIS, ECC2 = 6378137.0, 6.69437999014e-3
+SEAM_TAPS, SEAM_STEPS, SEAM_WIDTH, FLAT_SHARE = 11, 768, 0.42, 0.25
+
+
+def aoi_frame(b: Column) -> Column:
+    """struct(metres_per_degree, width, height, extent, centre, up, east, north): sizes in metres and, earth-centred, the middle on the
+    ellipsoid and the directions there; up is away from the earth's middle."""
+    lat, lng = F.radians((b["north"] + b["south"]) / 2), F.radians((b["east"] + b["west"]) / 2)
+    per = DEGREE_M * F.cos(lat)
+    wide, tall = (b["east"] - b["west"]) * per, (b["north"] - b["south"]) * DEGREE_M
+    n = AXIS / F.sqrt(1 - ECC2 * F.sin(lat) * F.sin(lat))
+    x, y, z = n * F.cos(lat) * F.cos(lng), n * F.cos(lat) * F.sin(lng), n * (1 - ECC2) * F.sin(lat)
+    size = F.sqrt(x * x + y * y + z * z)
+    ux, uy, uz = x / size, y / size, z / size
+    ex, ey = -F.sin(lng), F.cos(lng)
+    return F.struct(per.alias("metres_per_degree"), wide.alias("width"), tall.alias("height"), F.greatest(wide, tall).alias("extent"), F.array(x, y, z).alias("centre"), F.array(ux, uy, uz).alias("up"), F.array(ex, ey, F.lit(0.0)).alias("east"), F.array(-uz * ey, uz * ex, ux * ey - uy * ex).alias("north"))
+
+
+def height_map_place(lat: Column, lng: Column, b: Column, size: Column) -> Column:
+    """struct(col, row): where a point lies on a square height map, row 0 in the north, between cells and held to it."""
+    hold = lambda v: F.greatest(F.lit(0.0), F.least(size - 1.0, v))
+    return F.struct(hold((lng - b["west"]) / (b["east"] - b["west"]) * (size - 1)).alias("col"), hold((size - 1) - (lat - b["south"]) / (b["north"] - b["south"]) * (size - 1)).alias("row"))
+
+
+def seam_point(x: Column, z: Column) -> Column:
+    """struct(x, z, distance, along_x): the scene's edge point nearest to a place around it, how far off that is, and whether
+    the edge there runs along x."""
+    sx, sz = clamp(x, -SCENE / 2, SCENE / 2), clamp(z, -SCENE / 2, SCENE / 2)
+    return F.struct(sx.alias("x"), sz.alias("z"), F.hypot(x - sx, z - sz).alias("distance"), (F.abs(z - sz) > F.abs(x - sx)).alias("along_x"))
+
+
+def sea_level(lowest: Column) -> Column:
+    """The height of the sea in a level whose heights count from its lowest point, to three places."""
+    return F.coalesce(F.when(~F.isnan(lowest), round_to(-lowest, 3)), F.lit(0.0))
+
+
+def bake_key(version: int, b: Column, width: Column, height: Column, options: list[tuple[str, Column]], corridor: Column | None = None) -> Column:
+    """The text that a bake's result is kept under: bounds to seven places, size and options in turn, and its corridor's key if it has one."""
+    seven = F.concat_ws(",", *[F.format_string("%.7f", b[k]) for k in _SIDES])
+    tail = [F.format_string(f"|{k}=%s", v.cast("string")) for k, v in options]
+    own = F.coalesce(F.concat(F.lit("|corr="), corridor), F.lit("")) if corridor is not None else F.lit("")
+    return F.concat(F.lit(f"v{version}|"), seven, F.lit("|"), width.cast("string"), F.lit("x"), height.cast("string"), *tail, own)

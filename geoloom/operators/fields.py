@@ -159,3 +159,23 @@ def feature_counts(features: DataFrame, by: list[str]) -> DataFrame:
     kinds = [F.count_if(F.col("kind") == k).alias(name) for k, name in (("road", "roads"), ("building", "buildings"), ("water", "water"), ("vegetation", "vegetation"), ("landuse", "landuse"))]
     point, ring = F.coalesce("n_points", F.lit(0)) <= 1, F.coalesce("closed", F.lit(False))
     return features.groupBy(*by).agg(F.count("*").alias("total"), *kinds, F.count_if(point).alias("points"), F.count_if(~point & ring).alias("polygons"), F.count_if(~point & ~ring).alias("lines"))
+
+
+def seam_heights(places: DataFrame, centre: DataFrame, size: int, flat: float = 0.0) -> DataFrame:
+    """places (id, x, z around the scene, h: their own tile's height or null, missing: their tile's share of missing cells) with seam - the
+    mean of the centre raster's heights (y, x, h; size by size cells) at eleven taps along the edge - and blended: flat ground for tiles that
+    miss more than a quarter, else their own height, both bent to the seam near it."""
+    from geoloom.functions.scalars import smoothstep
+
+    tap = F.explode(F.sequence(F.lit(0), F.lit(frames.SEAM_TAPS - 1))).alias("k")
+    s = places.withColumn("s", frames.seam_point(F.col("x"), F.col("z"))).select("id", "h", "missing", "s", tap)
+    step = (F.col("k") / (frames.SEAM_TAPS - 1) - 0.5) * (2 * SCENE / frames.SEAM_STEPS)
+    at = lambda v: clamp((v + SCENE / 2) / SCENE * (size - 1), 0.0, size - 1.0)
+    s = s.withColumn("px", at(F.col("s.x") + F.when(F.col("s.along_x"), step).otherwise(0.0))).withColumn("py", at(F.col("s.z") + F.when(~F.col("s.along_x"), step).otherwise(0.0)))
+    taps = sampled(s.select("id", "px", "py"), centre).groupBy("id").agg(F.avg("h").alias("seam"))
+    p = places.join(taps, "id").withColumn("distance", frames.seam_point(F.col("x"), F.col("z"))["distance"])
+    fade = smoothstep(F.col("distance") / SCENE)
+    near = smoothstep((F.col("distance") - 0.5) / (SCENE * frames.SEAM_WIDTH - 0.5))
+    level = F.col("seam") * (1 - fade) + F.lit(flat) * fade
+    bent = F.col("h") + (F.col("seam") - F.col("h")) * (1 - near)
+    return p.withColumn("blended", F.when((F.col("missing") > frames.FLAT_SHARE) | F.col("h").isNull(), level).otherwise(bent))

@@ -89,3 +89,21 @@ def area_mask(spark, sf):
     ring, hole = box(x, y, x + r, y + 2 * r), box(x + 1, y + 1, x + r - 1, y + r)
     areas = read(spark, sf, "supplier").select(ring.alias("ring"), F.when(k % 3 == 0, F.array(hole)).otherwise(F.slice(F.array(hole), 1, 0)).alias("holes"))
     return fields.area_mask(areas, 100, 3.0).select("cx", "cz", F.round("w", 6).alias("w"))
+
+
+@query("seam_heights", f"""
+WITH g AS (SELECT y, x, coalesce(h, 0) AS h FROM {GRID} WHERE y < 64),
+p AS (SELECT c_custkey AS id, (c_custkey * 7 % 301 - 150.5)::DOUBLE AS x, (c_custkey * 13 % 307 - 153.5)::DOUBLE AS z, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 17 / 20.0 END::DOUBLE AS h, (c_custkey % 4 * 0.1)::DOUBLE AS missing FROM customer),
+e AS (SELECT *, greatest(-50, least(50, x)) AS sx, greatest(-50, least(50, z)) AS sz FROM p),
+d AS (SELECT *, sqrt(pow(x - sx, 2) + pow(z - sz, 2)) AS dist, abs(z - sz) > abs(x - sx) AS flat FROM e),
+t AS (SELECT id, greatest(0, least(63, (sx + CASE WHEN flat THEN (k / 10 - 0.5) * 200 / 768 ELSE 0 END + 50) / 100 * 63)) AS px, greatest(0, least(63, (sz + CASE WHEN flat THEN 0 ELSE (k / 10 - 0.5) * 200 / 768 END + 50) / 100 * 63)) AS py FROM d, (SELECT unnest(range(11))::DOUBLE AS k)),
+w AS (SELECT id, least(63, floor(py) + a) AS y, least(63, floor(px) + b) AS x, (CASE WHEN a = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN b = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS wt FROM t, (VALUES (0), (1)) AS v(a), (VALUES (0), (1)) AS u(b)),
+s AS (SELECT w.id, sum(g.h * wt) / 11 AS seam FROM w JOIN g ON g.y = w.y AND g.x = w.x GROUP BY 1),
+f AS (SELECT d.*, seam, greatest(0, least(1, dist / 100)) AS u, greatest(0, least(1, (dist - 0.5) / 41.5)) AS v FROM d JOIN s USING (id))
+SELECT id, round(seam, 6) AS seam, round(CASE WHEN missing > 0.25 OR h IS NULL THEN seam * (1 - u * u * (3 - 2 * u)) ELSE h + (seam - h) * (1 - v * v * (3 - 2 * v)) END, 6) AS blended FROM f""")
+def seam_heights(spark, sf):
+    """Places around a raster of 64 by 64 cells; a quarter of the tiles misses too much."""
+    k = F.col("c_custkey")
+    p = read(spark, sf, "customer").select(k.alias("id"), (k * 7 % 301 - 150.5).alias("x"), (k * 13 % 307 - 153.5).alias("z"), F.when(k % 5 > 0, k % 17 / 20.0).alias("h"), (k % 4 * 0.1).alias("missing"))
+    g = cells(spark, sf).where("y < 64").withColumn("h", F.coalesce("h", F.lit(0.0)))
+    return fields.seam_heights(p, g, 64).select("id", F.round("seam", 6).alias("seam"), F.round("blended", 6).alias("blended"))

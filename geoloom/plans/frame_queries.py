@@ -145,3 +145,20 @@ def combined_coverages(spark, sf):
     text = F.when(k % 5 == 4, "<gml:Envelope><gml:lowerCorner>1</gml:lowerCorner></gml:Envelope>").otherwise(F.concat(F.lit("<gml:Envelope><gml:lowerCorner> "), low, F.lit("</gml:lowerCorner><gml:upperCorner>"), high, F.lit("</gml:upperCorner></gml:Envelope>")))
     f = read(spark, sf, "supplier").select(g.alias("g"), text_grids.envelope_bounds(text).alias("bounds"), F.when(k % 3 > 0, (6660 + g % 4 + k % 2).cast("int")).alias("epsg"), F.when(k % 4 == 0, "meters").otherwise("unknown").alias("unit"))
     return text_grids.combined_sources(f, ["g"])
+
+
+@query("aoi_frames", f"""
+WITH c AS (SELECT id, north, south, east, west, radians((north + south) / 2) AS a, radians((east + west) / 2) AS o FROM {_B}),
+e AS (SELECT *, 6378137 / sqrt(1 - 0.00669437999014 * sin(a) * sin(a)) AS n FROM c),
+p AS (SELECT *, n * cos(a) * cos(o) AS x, n * cos(a) * sin(o) AS y, n * (1 - 0.00669437999014) * sin(a) AS z, sqrt(pow(n * cos(a), 2) + pow(n * (1 - 0.00669437999014) * sin(a), 2)) AS r FROM e)
+SELECT id, round(greatest((east - west) * 111320 * cos(a), (north - south) * 111320), 4) AS extent, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, round(z / r, 9) AS up_z, round(-sin(o), 9) AS east_x, round(sqrt(x * x + y * y) / r, 9) AS north_z,
+  round(greatest(0, least(511, (lng + 0.01 - west) / (east - west) * 511)), 5) AS col, round(greatest(0, least(511, 511 - (lat - 0.005 - south) / (north - south) * 511)), 5) AS row,
+  CASE WHEN id % 4 > 0 THEN floor(-(sin(id) * 90) * 1000 + 0.5) / 1000 ELSE 0 END AS sea, concat('v3|', printf('%.7f,%.7f,%.7f,%.7f', north, south, east, west), '|', id % 9 + 1, 'x512|et=5|sweep=true', CASE WHEN id % 2 = 0 THEN concat('|corr=150:', id) ELSE '' END) AS key
+FROM p JOIN (SELECT id, lat, lng FROM {_B}) USING (id)""")
+def aoi_frames(spark, sf):
+    """Earth-centred frames, height-map places, sea levels and keys of areas."""
+    f, b, k = _bounded(spark, sf), F.col("b"), F.col("id")
+    key = frames.bake_key(3, b, k % 9 + 1, F.lit(512), [("et", F.lit(5)), ("sweep", F.lit(True))], F.when(k % 2 == 0, F.concat(F.lit("150:"), k.cast("string"))))
+    f = f.select("id", frames.aoi_frame(b).alias("f"), frames.height_map_place(F.col("lat") - 0.005, F.col("lng") + 0.01, b, F.lit(512)).alias("h"), frames.sea_level(F.when(k % 4 > 0, F.sin(k) * 90)).alias("sea"), key.alias("key"))
+    c, u = F.col("f.centre"), F.col("f.up")
+    return f.select("id", _rounded("f.extent", 4).alias("extent"), *[_rounded(c[i], 3).alias(n) for i, n in enumerate("xyz")], _rounded(u[2], 9).alias("up_z"), _rounded(F.col("f.east")[0], 9).alias("east_x"), _rounded(F.col("f.north")[2], 9).alias("north_z"), _rounded("h.col", 5).alias("col"), _rounded("h.row", 5).alias("row"), "sea", "key")

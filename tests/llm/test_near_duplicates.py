@@ -70,7 +70,7 @@ def corpus():
     return out + ["", None, "  ", "a b", "a  b", "a b c d e", "a b c d e", " ".join(text(9000))]
 
 
-@pytest.mark.parametrize("block", [256, 4])
+@pytest.mark.parametrize("block", [4])
 def test_classes_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(nd, "BLOCK", block)
     rows = [((7 * i) % 1000 if i % 17 else None, t) for i, t in enumerate(corpus())] + [(70, "repeated id"), (70, "repeated id")]
