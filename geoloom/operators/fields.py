@@ -179,3 +179,20 @@ def seam_heights(places: DataFrame, centre: DataFrame, size: int, flat: float =
     level = F.col("seam") * (1 - fade) + F.lit(flat) * fade
     bent = F.col("h") + (F.col("seam") - F.col("h")) * (1 - near)
     return p.withColumn("blended", F.when((F.col("missing") > frames.FLAT_SHARE) | F.col("h").isNull(), level).otherwise(bent))
+
+
+def sampled_pixels(points: DataFrame, image: DataFrame, zoom: int, tile_x: int, tile_y: int, width: int, height: int) -> DataFrame:
+    """points (lat, lng) with r, g, b, a of the pixel of a Web Mercator image (y, x, r, g, b, a; its first tile at a zoom) that they lie
+    in; opaque black beyond the image."""
+    from geoloom.functions.crs import mercator_sql
+
+    px, py = mercator_sql("lat", "lng", zoom)
+    p = points.withColumn("_x", (F.floor(F.expr(px)) - tile_x * 256).cast("long")).withColumn("_y", (F.floor(F.expr(py)) - tile_y * 256).cast("long"))
+    own = image.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).select(F.col("y").cast("long").alias("_y"), F.col("x").cast("long").alias("_x"), *[F.col(c).alias(f"_{c}") for c in "rgba"])
+    joined = p.join(own, ["_y", "_x"], "left")
+    return joined.select(*points.columns, *[F.coalesce(f"_{c}", F.lit(255 if c == "a" else 0)).alias(c) for c in "rgba"])
+
+
+def resampled_image(targets: DataFrame, image: DataFrame, zoom: int, tile_x: int, tile_y: int, width: int, height: int) -> DataFrame:
+    """id, y, x, r, g, b, a of all cells of targets (see target_cells) from a Web Mercator image."""
+    return sampled_pixels(target_cells(targets), image, zoom, tile_x, tile_y, width, height).drop("lat", "lng")

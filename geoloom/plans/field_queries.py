@@ -107,3 +107,19 @@ def seam_heights(spark, sf):
     p = read(spark, sf, "customer").select(k.alias("id"), (k * 7 % 301 - 150.5).alias("x"), (k * 13 % 307 - 153.5).alias("z"), F.when(k % 5 > 0, k % 17 / 20.0).alias("h"), (k % 4 * 0.1).alias("missing"))
     g = cells(spark, sf).where("y < 64").withColumn("h", F.coalesce("h", F.lit(0.0)))
     return fields.seam_heights(p, g, 64).select("id", F.round("seam", 6).alias("seam"), F.round("blended", 6).alias("blended"))
+
+
+@query("image_grid", f"""
+WITH {_TARGETS.replace("46.0::DOUBLE + n_nationkey * 0.7::DOUBLE", "49.2::DOUBLE - n_nationkey * 0.05::DOUBLE").replace("42.5::DOUBLE + n_nationkey * 0.6::DOUBLE", "47.9::DOUBLE - n_nationkey * 0.04::DOUBLE").replace("9.0::DOUBLE + n_nationkey * 0.5::DOUBLE", "8.7::DOUBLE + n_nationkey * 0.01::DOUBLE").replace("4.5::DOUBLE + n_nationkey * 0.45::DOUBLE", "8.41::DOUBLE + n_nationkey * 0.002::DOUBLE")},
+m AS (SELECT max(vec_id) AS last FROM embeddings),
+p AS (SELECT id, y, x, CAST(floor((lng + 180) / 360 * 65536) AS BIGINT) - 34304 AS ix, CAST(floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 65536) AS BIGINT) - 22528 AS iy FROM c)
+SELECT p.id, CAST(p.y AS INT) AS y, CAST(p.x AS INT) AS x, coalesce(CASE WHEN g.y IS NULL THEN 0 ELSE (g.y * 7 + g.x) % 256 END, 0)::INT AS r, coalesce(g.x * 3, 0)::INT AS g, CASE WHEN g.h IS NULL AND g.y IS NOT NULL THEN 9 ELSE 0 END::INT AS b, CASE WHEN g.y IS NULL THEN 255 ELSE 200 END::INT AS a FROM p LEFT JOIN {GRID} g ON g.y = iy AND g.x = ix""")
+def image_grid(spark, sf):
+    """Grids of nations from an image of 64 pixels a row, partly beyond it."""
+    n = F.col("n_nationkey")
+    b = frames.bounds(49.2 - n * 0.05, 47.9 - n * 0.04, 8.7 + n * 0.01, 8.41 + n * 0.002)
+    targets = read(spark, sf, "nation").select(n.alias("id"), (12 + n % 5).cast("int").alias("width"), (10 + n % 7).cast("int").alias("height"), b.alias("b"))
+    whole = lambda c: c.cast("int")
+    image = cells(spark, sf).select("y", "x", whole((F.col("y") * 7 + F.col("x")) % 256).alias("r"), whole(F.col("x") * 3).alias("g"), F.when(F.col("h").isNull(), 9).otherwise(0).alias("b"), F.lit(200).alias("a"))
+    last = read(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] or 0
+    return fields.resampled_image(targets, image, 8, 134, 88, 64, last + 1)
