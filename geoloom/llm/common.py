@@ -56,7 +56,7 @@ def clear(spark: SparkSession) -> None:
 
 #: A key is hot if it holds more than one of HOT_SHARE rows - so fewer keys than this are, whatever the table - and more
 #: than a task does in no time anyway.
-HOT_SHARE, HOT_ROWS = 4096, 1000
+HOT_SHARE, HOT_ROWS = 4096, 100
 
 
 def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None:

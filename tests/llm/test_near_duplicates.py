@@ -101,7 +101,7 @@ def test_hot_groups_against_brute_force(spark, monkeypatch):
     want = brute(rows)
     for share, block in ((10, 3), (4096, 256)):
         monkeypatch.setattr(common, "HOT_SHARE", share)
-        monkeypatch.setattr(common, "HOT_ROWS", 5 if share < 4096 else 1000)
+        monkeypatch.setattr(common, "HOT_ROWS", 5 if share < 4096 else 100)
         monkeypatch.setattr(nd, "BLOCK", block)
         got = nd.near_duplicate_classes(df).select("doc_id", "class_id", "class_size").collect()
         assert sorted(map(tuple, got), key=repr) == want
