@@ -1,9 +1,8 @@
-"""Shared plumbing of the training-data operators: the shared work folder, intermediate
-tables, Arrow batch bounds and 64-bit mixing in numpy."""
+"""Shared plumbing of the training-data operators: Arrow batch bounds, memos of a worker, columns under names of
+their own and 64-bit mixing in numpy; written tables, hot keys and measured sides come from the engine."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,86 +10,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.operators.shared import clear, drop, hot_keys, join_hot, new_path, sent_if_small, table, work_dir  # noqa: F401
+
 #: Rows of a batch handed to Python; whole texts, so that a batch of long ones stays small.
 BATCH_ROWS = 512
 
 
-def work_dir(spark: SparkSession) -> str:
-    """This application's folder in the one that the driver and all executors share, spark.checkpoint.dir.
-    Where that is unset a folder of this machine serves if Spark runs on this machine alone."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
-        shared = "file:///tmp/checkpoints"
-    return f"{shared.rstrip('/')}/geoloom/{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: the cut in its lineage."""
-    spark = df.sparkSession
-    path = path or new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, *tables: DataFrame) -> None:
-    """Remove intermediate tables that nothing reads any more."""
-    for df in tables:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/geoloom/" in folder:
-                where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def clear(spark: SparkSession) -> None:
-    """Remove all intermediate tables of this application, once no result that reads them is needed any more: a
-    result is computed from them only when it is used, so the operators can't remove its tables themselves."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-#: A key is hot if it holds more than one of HOT_SHARE rows - so fewer keys than this are, whatever the table - and more
-#: than a task does in no time anyway.
-HOT_SHARE, HOT_ROWS = 4096, 100
-
-
-def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None:
-    """The hot keys of `counts` (keys, n rows of total) as a written table of fewer than HOT_SHARE rows; None if there are
-    none."""
-    found = table(counts.where((F.col("n") * HOT_SHARE > total) & (F.col("n") > HOT_ROWS)).select(*keys).coalesce(1), "hot")
-    return found if found.limit(1).count() else None
-
-
-def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
-    """rows joined with side (one row a key, no null keys).  The side's rows of hot keys, fewer than HOT_SHARE, are sent to
-    where the rows are; only the rows of other keys are shuffled, so no key gathers its rows in one task."""
-    if hot is None:
-        return rows.join(side, keys, how)
-    hot = F.broadcast(hot)
-    sent = F.broadcast(side.join(hot, keys, "left_semi"))
-    return rows.join(hot, keys, "left_semi").join(sent, keys, how).unionByName(rows.join(hot, keys, "left_anti").join(side, keys, how))
-
-
-#: Rows and bytes of strings up to which a join's side is sent to all executors.
-SENT_ROWS, SENT_BYTES = 2_000_000, 64_000_000
-
-
-def sent_if_small(df: DataFrame) -> DataFrame:
-    """A written table as the side of a join: sent to all executors if it is measured to be within SENT_ROWS and
-    SENT_BYTES; else as it is, for a join by shuffle."""
-    texts = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
-    size = df.agg(F.count("*").alias("n"), sum(texts, F.lit(0)).alias("b")).first()
-    return F.broadcast(df) if size["n"] <= SENT_ROWS and size["b"] <= SENT_BYTES else df
+def bound_batches(spark: SparkSession) -> None:
+    """Whole documents travel to Python in batches of so many rows.  The setting is the session's and the same for every operator;
+    a function that must not see more rows at once slices its batches (`sliced`)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Whole documents travel to Python in batches of so many rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, whatever the session's setting was when the plan ran."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 #: The memos of this Python worker by operator, with what empties each.
@@ -117,8 +53,8 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None:
+        for batch in sliced(batches):
+            if (out := f(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([_column(out[x.name], x.type) for x in target], schema=target)
 
     return df.mapInArrow(run, fields)

@@ -16,9 +16,10 @@ MODULES = {
     "op8_link_graph_filter": "url_filter",
     "op9_hierarchical_quality": "quality",
     "op10_dart_minhash": "near_duplicates",
+    "op11_line_dedup": "line_dedup",
 }
 #: Query name -> module whose ORACLE_SQL expresses it.
-SQL_MODULES = {"op1_norm_bucket_top_k": "top_k", "op8_link_graph_filter": "url_filter"}
+SQL_MODULES = {"op1_norm_bucket_top_k": "top_k", "op8_link_graph_filter": "url_filter", "op11_line_dedup": "line_dedup"}
 
 
 def queries() -> dict:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, table
+from .common import arrow_map, sliced, table
 
 #: Ratio of a norm bucket's ends; longest vectors looked at first; rows of a block of vectors and
 #: of queries; local threshold from which coordinates prune; coordinates that are looked at.
@@ -106,7 +106,6 @@ def top_k(vectors: DataFrame, is_query, k: int, scale: float = 1024.0, id_col: s
     condition on `vec_id`."""
     all_rows = table(integer_vectors(vectors, scale, id_col, vector_col), "vectors")
     asked = table(thresholds(all_rows.where(is_query), all_rows, k, seeds), "queries")
-    spark = vectors.sparkSession
 
     # buckets: at most a few thousand, by their norms' range
     sizes = all_rows.groupBy("dim", "bucket").agg(F.count("*").alias("n"), F.max("norm").alias("top"))
@@ -124,12 +123,9 @@ def top_k(vectors: DataFrame, is_query, k: int, scale: float = 1024.0, id_col: s
     pairs = met.join(held, ["dim", "bucket", "block"]).select("top", "queries", "rows")
 
     def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                yield _search(one.column("queries")[0].values, one.column("rows")[0].values, one.column("top")[0].as_py(), k)
+        for one in sliced(batches, 1):
+            yield _search(one.column("queries")[0].values, one.column("rows")[0].values, one.column("top")[0].as_py(), k)
 
-    bound_batches(spark, 1)
     found = pairs.mapInArrow(run, "query_id long, query_row long, vec_id long, score long")
     order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
