@@ -18,9 +18,10 @@ MODULES = {
     "op10_dart_minhash": "near_duplicates",
     "op11_line_dedup": "line_dedup",
     "op12_centroid_clusters": "centroids",
+    "op13_wavelet_search": "wavelet_search",
 }
 #: Query name -> module whose ORACLE_SQL expresses it.
-SQL_MODULES = {"op1_norm_bucket_top_k": "top_k", "op8_link_graph_filter": "url_filter", "op11_line_dedup": "line_dedup", "op12_centroid_clusters": "centroids"}
+SQL_MODULES = {"op1_norm_bucket_top_k": "top_k", "op8_link_graph_filter": "url_filter", "op11_line_dedup": "line_dedup", "op12_centroid_clusters": "centroids", "op13_wavelet_search": "wavelet_search"}
 
 
 def queries() -> dict:
