@@ -5,7 +5,8 @@ Pages without a rule are judged by their host.  Each host's share of pages that
 trust, the share that rules block seeds distrust.  Trust follows links (personalised PageRank: a
 host hands on DAMPING of its trust in the proportion of its links), distrust runs against them (a
 host gets that of the hosts it links to).  A host is blocked when its distrust exceeds its trust by
-more than THRESHOLD.  Links are the absolute and scheme-less hrefs of the pages' html; those within a
+more than THRESHOLD; a difference within MARGIN of it counts as equal, so a tie - and sums whose last digits hang on
+their order - allows.  Links are the absolute and scheme-less hrefs of the pages' html; those within a
 host don't count.
 
 Everything is DataFrame work.  Links are counted per pair of hosts before any join, both flows share
@@ -31,7 +32,9 @@ from .common import hot_keys, join_hot, table
 
 #: verdict, host, start of the path
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, TOLERANCE, THRESHOLD, MAX_RULES = 0.85, 1e-6, 0.05, 1000
+DAMPING, TOLERANCE, THRESHOLD, MAX_RULES = 0.85, 1e-10, 0.05, 1000
+#: Differences of scores up to this are rounding: far above what sums of float64 shares lose, and above what rounds leave out at TOLERANCE.
+MARGIN = 1e-9
 #: Rounds after which what was added is joined to the totals and the verdicts are looked at.
 LOOK = 8
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
@@ -80,7 +83,7 @@ def seeds(judged: DataFrame) -> DataFrame:
 
 def spread(seeded: DataFrame, links: DataFrame, threshold: float = THRESHOLD, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust at the end of the rounds: below the fixed point by less than the tolerance, or
-    by less than would bring any host's distrust less trust to the other side of the threshold."""
+    by less than would bring any host's distrust less trust to the other side of the threshold and its margin."""
     total = table(seeded.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust")), "seeds")
     links = table(links, "links")
     if not links.limit(1).count():
@@ -102,7 +105,7 @@ def spread(seeded: DataFrame, links: DataFrame, threshold: float = THRESHOLD, da
         if bound <= tolerance or len(added) == LOOK:
             total = table(reduce(DataFrame.union, added, total).groupBy("host").agg(*sums), "spread")
             added = []
-            if bound <= tolerance or not total.where(F.abs(F.col("distrust") - F.col("trust") - threshold) <= bound).limit(1).count():
+            if bound <= tolerance or not total.where(F.abs(F.col("distrust") - F.col("trust") - threshold - MARGIN) <= bound).limit(1).count():
                 return total
 
 
@@ -113,12 +116,12 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damping:
     scores = spread(seeds(judged), host_links(pages, url_col, html_col), threshold, damping)
     counts = table(rows.groupBy("host").agg(F.count("*").alias("n")), "hosts")
     whole = join_hot(judged, scores, ["host"], hot_keys(counts, ["host"], counts.agg(F.sum("n")).first()[0] or 0), "left")
-    own = F.when(F.coalesce(F.col("distrust"), F.lit(0.0)) - F.coalesce(F.col("trust"), F.lit(0.0)) > threshold, "block").otherwise("allow")
+    own = F.when(F.coalesce(F.col("distrust"), F.lit(0.0)) - F.coalesce(F.col("trust"), F.lit(0.0)) - threshold > MARGIN, "block").otherwise("allow")
     return whole.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", own).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
-#: Rounds of the SQL, which can't look at its own progress: what is left is below 1e-9 of the mass.
-_SQL_ROUNDS = 130
+#: Rounds of the SQL, which can't look at its own progress: what is left is below 1e-10 of the mass.
+_SQL_ROUNDS = 160
 
 
 def _oracle() -> str:
@@ -143,7 +146,7 @@ r(n, host, trust, distrust) AS (
         SELECT r.n, dst AS host, trust * w AS trust, CAST(0 AS DOUBLE) AS distrust FROM r JOIN ways ON host = src
         UNION ALL SELECT r.n, src, CAST(0 AS DOUBLE), distrust * w FROM r JOIN ways ON host = dst) WHERE n < {_SQL_ROUNDS} GROUP BY n, host),
 s AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM r GROUP BY host)
-SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > {THRESHOLD}
+SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) - {THRESHOLD} > {MARGIN}
        THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN s ON j.host = s.host
 """

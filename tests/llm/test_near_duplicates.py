@@ -3,7 +3,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from geoloom.llm import common
+from geoloom.operators import shared
 from geoloom.llm import near_duplicates as nd
 from geoloom.llm.components import components
 from geoloom.llm.dart_minhash import signatures
@@ -100,8 +100,8 @@ def test_hot_groups_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     for share, block in ((10, 3), (4096, 256)):
-        monkeypatch.setattr(common, "HOT_SHARE", share)
-        monkeypatch.setattr(common, "HOT_ROWS", 5 if share < 4096 else 100)
+        monkeypatch.setattr(shared, "HOT_SHARE", share)
+        monkeypatch.setattr(shared, "HOT_ROWS", 5 if share < 4096 else 100)
         monkeypatch.setattr(nd, "BLOCK", block)
         got = nd.near_duplicate_classes(df).select("doc_id", "class_id", "class_size").collect()
         assert sorted(map(tuple, got), key=repr) == want

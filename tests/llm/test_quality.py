@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from geoloom.llm import common
+from geoloom.operators import shared
 from geoloom.llm import quality as q
 
 SF = "/root/testdata/sf0.01"
@@ -73,8 +73,8 @@ def test_hot_paths_are_joined_alike(spark, monkeypatch):
     rows = [(i, float(rng.normal()), "s" if i % 3 else None, f"p{i % 40 // 30}") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, own_logit double, source string, lang string")
     plain = sorted((r["doc_id"], r["quality_score"]) for r in q.posteriors(df, "source", "lang").collect())
-    monkeypatch.setattr(common, "HOT_SHARE", 3)
-    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(shared, "HOT_SHARE", 3)
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
     split = sorted((r["doc_id"], r["quality_score"]) for r in q.posteriors(df, "source", "lang").collect())
     assert [i for i, _ in plain] == [i for i, _ in split] and np.allclose([x for _, x in plain], [x for _, x in split])
 

@@ -4,8 +4,8 @@ import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from geoloom.llm import common
 from geoloom.llm import url_filter as uf
+from geoloom.operators import shared
 
 PAGES = [
     (1, "https://Good.example.net/en/1", '<a href="http://far.example.com/x">1</a><a href="/in">'),
@@ -64,7 +64,7 @@ def brute(rows):
     out = []
     for i, host, path, rule, v in judged:
         t, d = now.get(host, (0, 0))
-        out.append((i, host, path, rule, v or ("block" if d - t > uf.THRESHOLD else "allow"), t, d))
+        out.append((i, host, path, rule, v or ("block" if d - t - uf.THRESHOLD > uf.MARGIN else "allow"), t, d))
     return sorted(out, key=repr)
 
 
@@ -111,6 +111,30 @@ def test_a_graph_that_mixes_slowly(spark, monkeypatch):
     for shift in (-0.02, 0.02):  # a threshold on either side of the hub's margin, nearer than 20 rounds come
         rows = {r["host"]: r["verdict"] for r in uf.judge(df, threshold=-true["hub.x"] + shift).collect()}
         assert rows["hub.x"] == ("allow" if shift > 0 else "block")
-    monkeypatch.setattr(common, "HOT_SHARE", 3)
-    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(shared, "HOT_SHARE", 3)
+    monkeypatch.setattr(shared, "HOT_ROWS", 2)
     check(uf.judge(df).collect(), pages)
+
+
+def verdicts_by_sql(pages):
+    con = duckdb.connect()
+    con.execute("create table pages(page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", pages)
+    return sorted(con.execute(uf.ORACLE_SQL).fetchall(), key=repr)
+
+
+def test_ties_allow_with_and_without_links(spark):
+    """A host with one blocked page of three has a distrust of 0.15 / 3, the threshold; one that links only to hosts with 20 blocked pages of
+    51 has 0.85 * 0.15 * 20 / 51, the threshold as well, however its links are split."""
+    ties = [(i, f"http://tie.example.com/{'de/' if i == 0 else 'x'}", "") for i in range(3)]
+    ties += [(10 + i, f"http://over.example.com/{'de/' if i < 2 else 'x'}", None) for i in range(5)]
+    linked = [(100 * h + i, f"http://y{h}.example.com/{'de/' if i < 20 else 'x'}", "") for h in (1, 2, 3) for i in range(51)]
+    for n, split in enumerate([(1, 0, 0), (1, 1, 1), (1, 2, 4), (3, 7, 11)]):
+        linked += [(1000 + n, f"http://x{n}.test/", "".join(f"<a href='//y{h + 1}.example.com/'>" * k for h, k in enumerate(split)))]
+    linked += [(1010, "http://more.test/", "<a href='//y1.example.com/'><a href='//allbad.net/'>"), (1011, "http://allbad.net/", "")]
+    for pages in (ties, ties + linked):
+        got = sorted((tuple(r[:5]) for r in uf.judge(frame(spark, pages).repartition(7)).collect()), key=repr)
+        assert got == verdicts_by_sql(pages)
+        by = {(r[1], r[2]): r[4] for r in got}
+        assert by["tie.example.com", "/x"] == "allow" and by["over.example.com", "/x"] == "block"
+    assert all(by[f"x{n}.test", "/"] == "allow" for n in range(4)) and by["more.test", "/"] == "block"
