@@ -2,9 +2,11 @@
 
 A word's scores are sums of weights of its features: letter n-grams of 1 to 3 with the word's ends
 marked, prefixes and suffixes of 1 to 3 letters, all hashed, and the word itself if it is in the
-lexicon (the most frequent words of training).  A transition weight joins the labels of neighbours.
+lexicon (the most frequent words of training).  Features that training never met have no weights and no row.  A transition
+weight joins the labels of neighbours.
 Training maximises the likelihood by AdaGrad over sequences that switch between spans of texts of
-unlike labels, so that the transitions are learned from switches as well.  Chains are computed by
+unlike labels, so that the transitions are learned from switches as well; the spans of a text tile it, so every word
+counts.  Chains are computed by
 forward-backward in segments: all segments of all texts advance in step, first as matrices, which
 are joined from segment to segment, then as vectors; the result is that of a plain pass."""
 
@@ -18,13 +20,10 @@ BITS, LEXICON, SEGMENT = 17, 5000, 48
 _NONE = 1 << BITS
 #: Numbers that segments' matrices may hold at once; with more, each text is one segment and needs none.
 MATRICES = 1 << 23
-#: Labels up to which features have all their BITS; twice as many take one bit less, so that the weights stay bounded.
-FULL_LABELS = 256
-
-
-def bits_for(labels: int) -> int:
-    """Bits of hashed features for so many labels."""
-    return BITS - max(0, (labels - 1) // FULL_LABELS).bit_length()
+#: Weights of a model at most: 1024 labels with all hashed features; with more the features of fewest words lose their rows.
+MODEL = 1 << 27
+#: Words of a span: no fewer, no more.
+SHORT, LONG = 6, 40
 
 
 def _hash(codes: np.ndarray, salt: int) -> np.ndarray:
@@ -44,9 +43,9 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, starts, np.diff(starts, append=len(codes))
 
 
-def feature_blocks(words: list[str], lexicon: np.ndarray, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Blocks (features, starts): the features of word i in a block begin at starts[i].  Features
-    past a word's end are a feature without weight; hashed ones take `bits` bits."""
+def feature_blocks(words: list[str], lexicon: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Blocks (features, starts): the features of word i in a block begin at starts[i].  Hashed features lie below the
+    feature _NONE, which stands for those past a word's end, the lexicon's above it."""
     codes, starts, sizes = _codes(words)
     left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))
     padded = np.concatenate([codes, np.zeros(3, np.uint64)])
@@ -65,8 +64,6 @@ def feature_blocks(words: list[str], lexicon: np.ndarray, bits: int = BITS) -> l
     at = np.searchsorted(lexicon, whole)
     known = (at < len(lexicon)) & (lexicon[np.minimum(at, len(lexicon) - 1)] == whole) if len(lexicon) else np.zeros(len(words), bool)
     blocks.append((np.where(known, _NONE + 1 + at, _NONE), one))
-    if bits < BITS:  # hashed features below 1 << bits, then the one without weight, then the lexicon
-        blocks = [(np.where(f < _NONE, f & ((1 << bits) - 1), f - _NONE + (1 << bits)), s) for f, s in blocks]
     return blocks
 
 
@@ -166,14 +163,69 @@ def label_sums(score_of, size: int, letters: np.ndarray, trans: np.ndarray, chun
     return total
 
 
+def gradient(blocks: list[tuple[np.ndarray, np.ndarray]], inv: np.ndarray, gold: np.ndarray, sizes: np.ndarray, weights: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the log-likelihood of texts (sizes: their words; inv: each word's place in blocks, gold its label): the rows of weights
+    that are met, their gradient, and that of the transitions.  The last row of weights is held at 0."""
+    scores = emissions(blocks, weights)[inv]
+    prob, alpha, beta = posteriors(scores, sizes, trans)
+    g = -prob
+    g[np.arange(len(gold)), gold] += 1
+    by_word = np.zeros((len(blocks[0][1]), len(trans)))
+    np.add.at(by_word, inv, g)
+    feats = np.concatenate([f for f, _ in blocks])
+    owner = np.concatenate([np.repeat(np.arange(len(s)), np.diff(s, append=len(f))) for f, s in blocks])
+    used, back = np.unique(feats, return_inverse=True)
+    gw = np.zeros((len(used), len(trans)))
+    np.add.at(gw, back, by_word[owner])
+    gw[used == len(weights) - 1] = 0
+    inner = np.ones(len(inv), bool)
+    inner[np.cumsum(sizes) - sizes] = False
+    to = np.flatnonzero(inner)
+    e = np.exp(scores[to] - scores[to].max(1, keepdims=True, initial=-np.inf))
+    ways, ahead = np.exp(trans), e * beta[to]
+    z = ((alpha[to - 1] @ ways) * ahead).sum(1, keepdims=True)
+    gt = -ways * (alpha[to - 1].T @ (ahead / z))
+    np.add.at(gt, (gold[to - 1], gold[to]), 1)
+    return used, gw, gt
+
+
+def spans_of(size: int, rng: np.random.Generator) -> list[tuple[int, int]]:
+    """A text's words cut into spans of SHORT to LONG words, the last of what is left: together all of them."""
+    cuts = [0]
+    while cuts[-1] < size:
+        cuts.append(min(size, cuts[-1] + int(rng.integers(SHORT, LONG + 1))))
+    return list(zip(cuts, cuts[1:]))
+
+
 class Crf:
-    """labels, weights (features, labels), transitions and the lexicon's word hashes."""
+    """labels, weights (features, labels), transitions, the lexicon's word hashes, and each feature's row of weights; the last
+    row is 0 and that of all features without weights."""
 
-    def __init__(self, labels: list[str], lexicon: np.ndarray, weights: np.ndarray, trans: np.ndarray):
-        self.labels, self.lexicon, self.weights, self.trans, self.bits = labels, lexicon, weights, trans, bits_for(len(labels))
+    def __init__(self, labels: list[str], lexicon: np.ndarray, weights: np.ndarray, trans: np.ndarray, row_of: np.ndarray):
+        self.labels, self.lexicon, self.weights, self.trans, self.row_of = labels, lexicon, weights, trans, row_of
+
+    def blocks(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(self.row_of[f], s) for f, s in feature_blocks(words, self.lexicon)]
 
     def scores(self, words: list[str]) -> np.ndarray:
-        return emissions(feature_blocks(words, self.lexicon, self.bits), self.weights)
+        return emissions(self.blocks(words), self.weights)
+
+    @classmethod
+    def empty(cls, words: list[str], counts: np.ndarray, labels: list[str]) -> "Crf":
+        """A model whose rows are the features of these words."""
+        hashes = word_hashes(words)
+        lexicon = np.unique(hashes[np.argsort(-counts, kind="stable")[:LEXICON]])
+        met = np.zeros(_NONE + 1 + len(lexicon), np.int64)
+        for at in range(0, len(words), 100_000):
+            for f, _ in feature_blocks(words[at : at + 100_000], lexicon):
+                met += np.bincount(f, minlength=len(met))
+        met[_NONE] = 0
+        rows = np.flatnonzero(met)
+        if len(rows) * len(labels) > MODEL:
+            rows = np.sort(rows[np.argsort(-met[rows], kind="stable")[: MODEL // len(labels)]])
+        row_of = np.full(len(met), len(rows))
+        row_of[rows] = np.arange(len(rows))
+        return cls(labels, lexicon, np.zeros((len(rows) + 1, len(labels)), np.float32), np.zeros((len(labels), len(labels))), row_of)
 
     @classmethod
     def train(cls, texts: list[list[str]], labels: list[str], epochs: int = 3, rate: float = 0.3, ridge: float = 1e-6, seed: int = 11) -> "Crf":
@@ -187,52 +239,26 @@ class Crf:
             np.add.at(counts, ids, 1)
             seqs.append((ids, names.index(lab)))
         words = list(index)
-        hashes = word_hashes(words)
-        often = np.argsort(-counts, kind="stable")[:LEXICON]
-        lexicon = np.unique(hashes[often])
-        bits = bits_for(len(names))
-        weights, trans = np.zeros(((1 << bits) + 1 + len(lexicon), len(names)), np.float32), np.zeros((len(names), len(names)))
-        model = cls(names, lexicon, weights, trans)
-        if not words or len(names) < 1:
+        model = cls.empty(words, counts, names)
+        if not words:
             return model
+        weights, trans = model.weights, model.trans
         rng = np.random.default_rng(seed)
-        spans = [(ids[i : i + n], lab) for ids, lab in seqs for i in range(0, len(ids), 40) for n in (int(rng.integers(6, 41)),)]
+        spans = [(ids[a:b], lab) for ids, lab in seqs for a, b in spans_of(len(ids), rng)]
         g2, t2 = np.full(weights.shape[0], 1e-8), np.full(trans.shape, 1e-8)
         batch = max(8, min(800, 4 * (50_000 // len(names))))
         for _ in range(epochs):
             order = rng.permutation(len(spans))
             for b in range(0, len(order), batch):
                 part = [spans[i] for i in order[b : b + batch]]
-                ids = np.concatenate([p[0] for p in part])
                 gold = np.concatenate([np.full(len(p[0]), p[1]) for p in part])
                 # four spans in turn make one text that switches
                 sizes = np.array([len(p[0]) for p in part])
                 sizes = np.add.reduceat(sizes, np.arange(0, len(sizes), 4))
-                own, inv = np.unique(ids, return_inverse=True)
-                blocks = feature_blocks([words[i] for i in own], lexicon, bits)
-                prob, alpha, beta = posteriors(emissions(blocks, weights)[inv], sizes, trans)
-                g = -prob
-                g[np.arange(len(gold)), gold] += 1
-                by_word = np.zeros((len(own), len(names)))
-                np.add.at(by_word, inv, g)
-                grad: dict = {}
-                feats = np.concatenate([f for f, _ in blocks])
-                owner = np.concatenate([np.repeat(np.arange(len(own)), np.diff(s, append=len(f))) for f, s in blocks])
-                used, back = np.unique(feats, return_inverse=True)
-                gw = np.zeros((len(used), len(names)))
-                np.add.at(gw, back, by_word[owner])
-                gw[used == 1 << bits] = 0
+                own, inv = np.unique(np.concatenate([p[0] for p in part]), return_inverse=True)
+                used, gw, gt = gradient(model.blocks([words[i] for i in own]), inv, gold, sizes, weights, trans)
                 g2[used] += (gw * gw).sum(1)
                 weights[used] += (rate * gw / np.sqrt(g2[used])[:, None] - ridge * weights[used]).astype(np.float32)
-                inner = np.ones(len(ids), bool)
-                inner[np.cumsum(sizes) - sizes] = False
-                to = np.flatnonzero(inner)
-                e = emissions(blocks, weights)[inv][to]
-                e = np.exp(e - e.max(1, keepdims=True))
-                ways, ahead = np.exp(trans), e * beta[to]
-                z = ((alpha[to - 1] @ ways) * ahead).sum(1, keepdims=True)
-                gt = -ways * (alpha[to - 1].T @ (ahead / z))
-                np.add.at(gt, (gold[to - 1], gold[to]), 1)
                 t2 += gt * gt
                 trans += rate * gt / np.sqrt(t2)
         return model

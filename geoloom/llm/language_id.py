@@ -2,9 +2,10 @@
 
 Words are runs of letters, in lower case.  The field labels each word of a text, so texts that
 switch between languages are labelled span by span; a text's language is the one with most letters
-by posterior, and its score is that share.  The field is trained on about `per_label` whole texts
-of each of the MAX_LABELS most frequent languages, chosen by a hash of id and text among texts of at most SAMPLE_CHARS
-code points, fewer if `per_label` would hold more than SAMPLE_BYTES in all; everything else covers all rows.
+by posterior, and its score is that share.  The field is trained on about `per_label` texts of every language, chosen by a hash
+of id and text - all, if a language has fewer, and one at least; fewer if they would hold more than SAMPLE_BYTES in
+all.  Of a chosen text of more than SAMPLE_CHARS code points a part of that length counts, at a place drawn by the hash.  Everything else covers
+all rows and whole texts.
 
 Nulls: a null text or one without letters (characters of a Unicode letter category) is `und` with score 0, as
 is every text if nothing could be learned.  Rows with a null label or id are not learned from; a null id isn't held out.  Repeated
@@ -24,8 +25,8 @@ from .common import arrow_map, carried, own_memo, restored, texts_of
 from .crf import Crf, label_sums, posteriors
 
 WORD, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
-PER_LABEL, MAX_LABELS, UNKNOWN, MEMO_WORDS = 250, 1000, "und", 700_000
-#: Bounds of the texts that are learned from: code points of one, and bytes of all.
+PER_LABEL, UNKNOWN, MEMO_WORDS = 250, "und", 700_000
+#: Bounds of the sample that is learned from: code points of a text, and bytes of all.
 SAMPLE_CHARS, SAMPLE_BYTES = 200_000, 64_000_000
 #: Words times labels whose chains are computed at once, and words at most.
 NUMBERS, AT_ONCE = 2_000_000, 150_000
@@ -44,15 +45,19 @@ def learn(docs: DataFrame, per_label: int = PER_LABEL, id_col: str = "doc_id", t
     """A field trained on a bounded sample of the rows of docs."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     rows = rows.where("id is not null and text is not null and label is not null")
-    rows = rows.where(F.length("text") <= SAMPLE_CHARS)
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "label").limit(MAX_LABELS).collect()
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(_SPREAD))
+    over = F.length("text") - SAMPLE_CHARS
+    part = F.when(over > 0, F.substring("text", F.pmod(F.xxhash64("text", "id"), over + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))).otherwise(F.col("text"))
+    rows = rows.withColumn("draw", draw)
+    # bytes of a part are at most four a code point
+    held_by = F.sum(F.least(F.octet_length("text"), F.lit(4 * SAMPLE_CHARS)))
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), held_by.alias("bytes"), F.min("draw").alias("first")).collect()
     if not sizes:
         return Crf.train([], [])
     held = sum(r["bytes"] * min(1.0, per_label / r["n"]) for r in sizes)
     share = min(1.0, SAMPLE_BYTES / max(1.0, held))
-    draw = F.pmod(F.xxhash64("id", "text"), F.lit(_SPREAD))
-    limits = rows.sparkSession.createDataFrame([(r["label"], min(_SPREAD, int(_SPREAD * share * per_label / r["n"]) + 1)) for r in sizes], "label string, below long")
-    some = rows.join(F.broadcast(limits), "label").where(draw < F.col("below")).select("id", "label", "text").distinct().collect()
+    limits = rows.sparkSession.createDataFrame([(r["label"], max(r["first"] + 1, min(_SPREAD, int(_SPREAD * share * per_label / r["n"]) + 1))) for r in sizes], "label string, below long")  # one row a language
+    some = rows.join(F.broadcast(limits), "label").where(F.col("draw") < F.col("below")).select("id", "label", part.alias("text")).distinct().collect()
     some = sorted(some, key=lambda r: (r["id"], r["label"], r["text"]))
     return Crf.train([words_of(r["text"]) for r in some], [r["label"] for r in some])
 
@@ -150,7 +155,7 @@ def identified(docs: DataFrame, model: Crf, share: float, text_col: str = "text"
 
 def _predicted(docs: DataFrame, model: Crf, keep: list[str], text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # features times labels: bits_for and MAX_LABELS bound it
+    sent = spark.sparkContext.broadcast(model)  # bounded by crf.MODEL
     key = uuid.uuid4().hex
     rows = docs.select(*carried(keep), F.col(text_col).cast("string").alias("_text"))
     kinds = rows.dtypes[:-1]

@@ -55,7 +55,7 @@ def test_three_hundred_languages(spark):
     rows = [(300 * j + k, text(k, 30), f"l{k:03}") for k in range(300) for j in range(3)] + [(9999, text(7, 3000), "l007")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = li.learn(docs)
-    assert len(model.labels) == 300 and model.weights.size <= 1.2 * (1 << crf.BITS) * crf.FULL_LABELS
+    assert len(model.labels) == 300 and model.weights.shape[0] <= (1 << crf.BITS) + crf.LEXICON + 1
     judge = li.Judge(model)
     judge.at_once = 256
     got = judge.judge([t for _, t, _ in rows])
@@ -72,7 +72,7 @@ def test_the_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(li, "SAMPLE_CHARS", 1000)
     monkeypatch.setattr(li, "SAMPLE_BYTES", 500)
     li.learn(docs, 100)
-    assert seen[0][0] < 160 and seen[1][1] < 1000 and seen[1][0] < 60
+    assert seen[0][0] < 160 and seen[1][1] < 1000 + 500 and seen[1][0] < 60
 
 
 def test_prediction_equals_a_plain_field():
@@ -82,7 +82,7 @@ def test_prediction_equals_a_plain_field():
     judge = li.Judge(model)
     for text in ("le chat is black", "Der Hund est là, the end", "ça x", "é"):
         words = li.WORD.findall(text.lower())
-        e = np.concatenate([model.weights[np.concatenate([f[s[0] :] for f, s in crf.feature_blocks([w], model.lexicon)])].sum(0)[None] for w in words])
+        e = np.concatenate([model.weights[model.row_of[np.concatenate([f[s[0] :] for f, s in crf.feature_blocks([w], model.lexicon)])]].sum(0)[None] for w in words])
         p = plain(e, np.array([len(words)]), model.trans)
         share = sum(len(w) * x for w, x in zip(words, p)) / sum(map(len, words))
         (lang, score), = judge.judge([text])
@@ -98,8 +98,8 @@ def test_only_letters_make_words():
 def test_memo_scores_equal_direct_scores():
     model = crf.Crf.train([["le", "chat", "est"], ["the", "cat", "is"]] * 30, ["fr", "en"] * 30)
     words = ["le", "cat", "x", "chaton", "é", "theis"]
-    e = crf.emissions(crf.feature_blocks(words, model.lexicon), model.weights)
-    one = np.concatenate([crf.emissions(crf.feature_blocks([w], model.lexicon), model.weights) for w in words])
+    e = crf.emissions(model.blocks(words), model.weights)
+    one = np.concatenate([crf.emissions(model.blocks([w]), model.weights) for w in words])
     assert np.allclose(e, one, atol=1e-5)
     labels = [lab for _, lab, _ in li.Judge(model).label_words("the cat is the cat is le chat est le chat est")]
     assert labels == ["en"] * 6 + ["fr"] * 6
@@ -126,3 +126,65 @@ def test_edges(spark):
     none = li.predict(docs, li.learn(docs.where(F.lit(False))), ["doc_id"])
     assert {(r["lang_pred"], r["score"]) for r in none.collect()} == {("und", 0.0)}
     assert li.predict(docs.limit(0), learned, ["doc_id"]).count() == 0
+
+
+def test_gradient_against_finite_differences():
+    rng = np.random.default_rng(5)
+    words = "the cat le chat die katze sat sur auf mat".split()
+    model = crf.Crf.empty(words, np.arange(len(words)), ["a", "b", "c"])
+    blocks = model.blocks(words)
+    weights, trans = rng.normal(size=model.weights.shape), rng.normal(size=(3, 3))
+    weights[-1] = 0
+    sizes = np.array([7, 1, 60, 2])
+    inv, gold = rng.integers(0, len(words), sizes.sum()), rng.integers(0, 3, sizes.sum())
+
+    def likelihood(w, t):
+        """Log of the labels' share, by the plain forward sums."""
+        scores, total, at = crf.emissions(blocks, w)[inv], 0.0, 0
+        for n in sizes:
+            s, y = scores[at : at + n], gold[at : at + n]
+            total += s[np.arange(n), y].sum() + t[y[:-1], y[1:]].sum()
+            v = s[0]
+            for k in range(1, n):
+                v = np.log(np.exp(v[:, None] + t).sum(0)) + s[k]
+            total -= np.log(np.exp(v).sum())
+            at += n
+        return total
+
+    used, gw, gt = crf.gradient(blocks, inv, gold, sizes, weights, trans)
+    assert (gw[used == len(weights) - 1] == 0).all()
+    for k in rng.choice(np.flatnonzero(used < len(weights) - 1), 25, replace=False):
+        for label in range(3):
+            up, down = weights.copy(), weights.copy()
+            up[used[k], label] += 1e-5
+            down[used[k], label] -= 1e-5
+            assert abs((likelihood(up, trans) - likelihood(down, trans)) / 2e-5 - gw[k, label]) < 1e-4
+    for i in range(3):
+        for j in range(3):
+            up, down = trans.copy(), trans.copy()
+            up[i, j] += 1e-5
+            down[i, j] -= 1e-5
+            assert abs((likelihood(weights, up) - likelihood(weights, down)) / 2e-5 - gt[i, j]) < 1e-4
+
+
+def test_spans_tile_a_text():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 6, 40, 41, 333):
+        spans = crf.spans_of(n, rng)
+        assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+        assert all(crf.SHORT <= b - a <= crf.LONG for a, b in spans[:-1])
+    assert crf.spans_of(0, rng) == []
+
+
+def test_rare_languages_and_those_of_long_texts_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(li, "SAMPLE_CHARS", 2000)
+    monkeypatch.setattr(li, "SAMPLE_BYTES", 60_000)
+    rng = np.random.default_rng(3)
+    vocabulary = {lab: ["".join(rng.choice(list(alphabet), rng.integers(3, 8))) for _ in range(80)] for lab, alphabet in (("aa", "abcdefg"), ("bb", "hijklmn"), ("rare", "opqrst"), ("long", "uvwxyz"))}
+    text = lambda lab, n: " ".join(rng.choice(vocabulary[lab], n))
+    rows = [(i, text(lab, 40), lab) for i, lab in enumerate(["aa", "bb"] * 400)] + [(5000, text("rare", 30), "rare")] + [(6000 + i, text("long", 3000), "long") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.learn(docs)
+    assert model.labels == ["aa", "bb", "long", "rare"]
+    asked = spark.createDataFrame([(i, text(lab, 25), lab) for i, lab in enumerate(["aa", "bb", "rare", "long"] * 5)], "doc_id long, text string, lang string")
+    assert all(r["lang_pred"] == r["lang"] for r in li.predict(asked, model, ["lang"]).collect())
