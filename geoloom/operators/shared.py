@@ -70,6 +70,23 @@ def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], hot: DataFrame |
     return rows.join(hot, keys, "left_semi").join(sent, keys, how).unionByName(rows.join(hot, keys, "left_anti").join(side, keys, how))
 
 
+def join_salted(rows: DataFrame, side: DataFrame, key: str, by: str) -> DataFrame:
+    """rows (a written table) joined with side (one row a key, of any size).  The rows of a hot key are dealt by `by` over as many parts
+    as they are hot shares, and the side's row is shuffled to each of these; a part holds about a hot key's least rows, and
+    there are fewer than 2 * HOT_SHARE parts of hot keys."""
+    total = rows.count()
+    least = max(HOT_ROWS, total / HOT_SHARE)
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least)
+    hot = table(counts.select(key, F.ceil(F.col("n") / least).cast("int").alias("_parts")).coalesce(1), "hot")
+    if not hot.limit(1).count():
+        return rows.join(side, key)
+    hot = F.broadcast(hot)
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    copied = side.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"]).drop("_part")
+
+
 #: Rows and bytes of strings up to which a join's side is sent to all executors.
 SENT_ROWS, SENT_BYTES = 2_000_000, 64_000_000
 
