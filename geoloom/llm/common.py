@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.operators.shared import clear, drop, hot_keys, join_hot, new_path, sent_if_small, table, work_dir  # noqa: F401
+from geoloom.operators.shared import clear, drop, hot_keys, join_hot, join_salted, new_path, sent_if_small, table, work_dir  # noqa: F401
 
 #: Rows of a batch handed to Python; whole texts, so that a batch of long ones stays small.
 BATCH_ROWS = 512

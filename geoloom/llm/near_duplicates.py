@@ -12,14 +12,15 @@ least 0.8; a class is a connected component of links.  The plan:
    Pairs are compared set against set; the similar ones are links, and links give labels.
 4. A bucket of three nodes or more that still holds two labels may hide links between nodes that
    didn't lead.  A node of another label leads next, LEADERS times or until that finds no link.
-5. In what is left, the nodes outside a bucket's largest label are dealt into blocks of bounded size and
-   compared with one another and with blocks of the largest label, each pair of blocks in one task, which
+5. In what is left, the nodes outside a bucket's largest label are dealt into blocks of bounded size, in nodes and in
+   bytes of their sets, and compared with one another and with blocks of the largest label, each pair of blocks in one task, which
    reports only the links that join two labels.  So no bucket needs a cap, no list of all its pairs is ever
    made, and what travels grows with the nodes outside the largest label, not with the bucket's square.
 
 With 40 bands of 7 a pair at exactly 0.8 shares no bucket with probability 8e-5, at 0.85 2e-7.  Sets are
 compared by 32-bit hashes: two sets of m and n elements take about m n / 2**32 unlike ones for equal.
-Buckets, hubs, classes and copies that hold many rows are joined by `join_hot`, never in one task.
+Buckets, hubs, classes and copies that hold many rows are joined by `join_hot`, and the pairs of a node that leads many by
+`join_salted`, never in one task.
 
 Nulls: a null text is an empty one, and documents without words form one class, as their texts
 don't differ in any word.  Null and repeated doc_ids stay rows of their own; class_id is the
@@ -34,13 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, drop, hot_keys, join_hot, mix64, own_memo, sent_if_small, table, texts_of
+from .common import arrow_map, bound_batches, drop, hot_keys, join_hot, join_salted, mix64, own_memo, sent_if_small, table, texts_of
 from .components import components
 from .dart_minhash import band_keys, signatures
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 7
-#: Nodes of a block, on average, when a bucket is compared in full; further leaders of a bucket before that.
-BLOCK, LEADERS = 256, 2
+#: Nodes of a block and bytes of its sets, on average, when a bucket is compared in full; further leaders of a bucket before that.
+BLOCK, BLOCK_BYTES, LEADERS = 256, 8_000_000, 2
 _MEMO_WORDS = 600_000
 _word_hash: dict[str, int] = {}
 
@@ -125,10 +126,11 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; sets: node, shingles."""
+    """The pairs (a, b; a written table) whose sets are similar enough; sets: node, shingles.  b is in few pairs, one a band at
+    most and round; a may lead any number."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    both = join_salted(pairs, left, "a", "b").join(right, "b").select("a", "b", "x", "y")
 
     def make():
         def f(batch):
@@ -223,10 +225,11 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, words:
             break
         round_ += 1
         if round_ <= LEADERS:
-            links = table(verified(next_pairs(left, hot, round_), sets, threshold), "verified")
+            links = table(verified(table(next_pairs(left, hot, round_), "pairs"), sets, threshold), "verified")
             found = bool(links.limit(1).count())
         if round_ > LEADERS or not found:
-            links = table(links_in_blocks(dealt(left, hot).join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), threshold), "more")
+            sized = left.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node")
+            links = table(links_in_blocks(dealt(sized, hot).join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), threshold), "more")
             labels = relabelled(labels, links) if links.limit(1).count() else labels
             break
         labels = relabelled(labels, links)
@@ -259,11 +262,12 @@ def next_pairs(left: DataFrame, hot: DataFrame | None, round_: int) -> DataFrame
 
 
 def dealt(left: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """key, i, j, own, node, label: each bucket's nodes in all pairs of blocks that have to be compared."""
-    by_label = left.groupBy("key", "label").agg(F.count("*").alias("m"))
-    largest = by_label.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("n"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    largest = largest.select("key", F.col("top.label").alias("main"), blocks(F.col("top.m")).alias("mains"), blocks(F.col("n") - F.col("top.m")).alias("strays"))
+    """key, i, j, own, node, label: each bucket's nodes (left: key, node, label, bytes) in all pairs of blocks that have to be compared."""
+    by_label = left.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("bytes").alias("size"))
+    largest = by_label.groupBy("key").agg(F.max(F.struct("m", "label", "size")).alias("top"), F.sum("m").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    strays = blocks(F.col("n") - F.col("top.m"), F.col("size") - F.col("top.size"))
+    largest = largest.select("key", F.col("top.label").alias("main"), blocks(F.col("top.m"), F.col("top.size")).alias("mains"), strays.alias("strays"))
     known = join_hot(left, largest, ["key"], hot).withColumn("stray", F.col("label") != F.col("main"))
     known = known.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int"))
     among = known.where("stray").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)))

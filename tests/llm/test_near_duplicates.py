@@ -129,3 +129,31 @@ def test_one_row_of_each_class_stays(spark):
     got = kept.select("doc_id", "text").collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(5, "a b c d e f"), (None, "g h i j k l"), (None, "m n o p q r"), (3, near), (7, "s t u v w x")], key=repr)
     assert nd.drop_near_duplicates(df.withColumnRenamed("doc_id", "id").withColumnRenamed("text", "body"), id_col="id", text_col="body").count() == 5
+
+
+def test_a_leader_of_many_is_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_SHARE", 64)
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    base = np.arange(1000, dtype="<u4")
+    sets = [(0, base.tobytes())] + [(n, np.concatenate([base[: 800 + n % 200], np.arange(5000, 5000 + n % 7, dtype="<u4")]).tobytes()) for n in range(1, 1500)]
+    pairs = shared.table(spark.createDataFrame([(0, n) for n in range(1, 1500)] + [(n, n + 1) for n in range(1, 500)], "a long, b long"))
+    frame = spark.createDataFrame(sets, "node long, shingles binary")
+    of = dict(sets)
+    want = sorted((a, b) for a, b in map(tuple, pairs.collect()) if nd.jaccard(of[a], of[b]) >= 0.8)
+    assert sorted(map(tuple, nd.verified(pairs, frame, 0.8).collect())) == want
+    joined = shared.join_salted(pairs, frame.withColumnRenamed("node", "a"), "a", "b")
+    assert joined.count() == pairs.count()
+
+
+def test_blocks_are_bounded_by_the_bytes_of_their_sets(spark):
+    rng = np.random.default_rng(8)
+    big = np.sort(rng.choice(2**31, 1_000_000, replace=False)).astype("<u4")
+    nodes = [(1, n, n // 3, 4_000_000) for n in range(40)] + [(2, 100 + n, n % 2, 1200) for n in range(600)]
+    left = spark.createDataFrame(nodes, "key long, node long, label long, bytes long")
+    blocks = nd.dealt(left, None).join(left.select("node", "bytes"), "node").groupBy("key", "i", "j").agg({"bytes": "sum", "node": "count"}).collect()
+    assert max(r["sum(bytes)"] for r in blocks if r["key"] == 1) <= 12 * 4_000_000 and max(r["count(node)"] for r in blocks if r["key"] == 2) > 256
+    # sets of a million shingles: two like ones of different labels and one apart
+    like = np.concatenate([big[:-1000], np.arange(2**31, 2**31 + 1000, dtype="<u4")])
+    rows = [(1, 0, 0, n, n, n, x.tobytes()) for n, x in enumerate((big, like, big[:500_000]))]
+    found = nd.links_in_blocks(spark.createDataFrame(rows, "key long, i int, j int, own int, node long, label long, shingles binary").coalesce(1), 0.8)
+    assert [tuple(r) for r in found.collect()] == [(0, 1)]
