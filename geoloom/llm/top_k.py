@@ -5,8 +5,9 @@ a few thousand buckets whatever the table.  A first look at the longest vectors
 score that its k-th best can't be below.  From that score, the query's norm and the bucket's largest
 norm follows the least cosine (local threshold) that a vector of the bucket needs; a bucket where it
 is above 1 is skipped, and as this holds for all shorter buckets a query meets a run of buckets
-only.  Buckets are cut into blocks of bounded size, queries into blocks as well, and each pair of
-blocks is one row of a join: queries are copied to the vectors' blocks, which are not copied.
+only.  Buckets are cut into blocks of bounded size, queries into blocks as well.  Some blocks of one bucket lie together in a
+task, and each block of queries whose run has the bucket is sent there once, streamed past the vectors' blocks that are
+held; vectors are not copied.
 Inside a block each query takes the cheaper way its local threshold allows: *length* pruning
 cuts the block's vectors, sorted by norm, where they get too short; *coordinate* pruning, for high
 thresholds, also keeps only vectors whose value in the query's largest coordinates lies in the range
@@ -29,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, sliced, table
+from .common import arrow_map, join_salted, sliced, table
 
 #: Ratio of a norm bucket's ends; longest vectors looked at first; rows of a block of vectors and
-#: of queries; local threshold from which coordinates prune; coordinates that are looked at.
-GROWTH, SEEDS, VECTORS, QUERIES, STEEP, FOCUS = 1.05, 1024, 4096, 256, 0.6, 3
+#: of queries; blocks of vectors that are held at once; local threshold from which coordinates prune; coordinates that are looked at.
+GROWTH, SEEDS, VECTORS, QUERIES, HELD, STEEP, FOCUS = 1.05, 1024, 4096, 256, 8, 0.6, 3
 _LONG = 2**63
 
 
@@ -115,18 +116,37 @@ def top_k(vectors: DataFrame, is_query, k: int, scale: float = 1024.0, id_col: s
     # queries of a like least cosine share a block: a block then skips what all of its queries skip
     asked = asked.withColumn("need", F.when((F.col("least") > 0) & (F.col("norm") > 0), F.col("least") / F.col("norm") * (1 - 1e-9)).otherwise(0.0))
     asked = asked.withColumn("need_bucket", F.when(F.col("need") < 1, -1).otherwise(F.floor(F.log("need") / math.log(GROWTH)) - 1).cast("int"))
-    groups = asked.groupBy("dim", "need_bucket").agg(F.count("*").alias("n"))
-    asked_blocks = blocks(asked.select("dim", "need_bucket", "row", "vec_id", "v", "norm", "need"), ["dim", "need_bucket"], QUERIES, groups).withColumnRenamed("block", "query_block").withColumnRenamed("rows", "queries")
-    # the vectors' blocks that each block of queries meets, by bucket and block numbers alone
-    at = sizes.select("dim", "bucket", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / VECTORS) - 1).cast("int"))).alias("block"))
-    met = asked_blocks.join(at, "dim").where("bucket >= need_bucket")
-    pairs = met.join(held, ["dim", "bucket", "block"]).select("top", "queries", "rows")
+    needs = asked.groupBy("dim", "need_bucket").agg(F.count("*").alias("n"))
+    asked_blocks = blocks(asked.select("dim", "need_bucket", "row", "vec_id", "v", "norm", "need"), ["dim", "need_bucket"], QUERIES, needs)
+    asked_blocks = table(asked_blocks.select("dim", "need_bucket", F.concat_ws(":", "dim", "need_bucket", "block").alias("ask"), "rows"), "asked")
+    # each block of queries meets a run of buckets: names alone are joined by bucket, then its rows go to every group of blocks once
+    runs = asked_blocks.select("dim", "need_bucket", "ask").join(F.broadcast(sizes.groupBy("dim").agg(F.max("bucket").alias("last"))), "dim")
+    runs = runs.where("need_bucket <= last").withColumn("bucket", F.explode(F.sequence("need_bucket", "last")))
+    runs = runs.groupBy(F.concat_ws(":", "dim", "bucket").alias("at")).agg(F.collect_list("ask").alias("asks"))
+    number = F.explode(F.sequence(F.lit(0), (F.ceil(F.ceil(F.col("n") / VECTORS) / HELD) - 1).cast("int")))
+    groups = table(sizes.select(F.concat_ws(":", "dim", "bucket").alias("at"), "dim", "bucket", number.alias("group")), "groups")
+    met = join_salted(groups, runs, "at", "group").select("dim", "bucket", "group", F.explode("asks").alias("ask"))
+    met = table(met.withColumn("slot", F.xxhash64("dim", "bucket", "group")), "met")
+    met = join_salted(met, asked_blocks.select("ask", F.col("rows").alias("queries")), "ask", "slot")
+    place = ["dim", "bucket", "group"]
+    kind = "array<struct<row:bigint,vec_id:bigint,v:array<double>,norm:double,need:double>>"
+    sent = met.select(*place, F.lit(1).alias("asks"), F.lit(0.0).alias("top"), F.col("queries").cast(kind).alias("rows"))
+    kept = held.select("dim", "bucket", F.floor(F.col("block") / HELD).cast("int").alias("group"), F.lit(0).alias("asks"), "top", F.transform("rows", lambda r: r.withField("need", F.lit(0.0))).cast(kind).alias("rows"))
+    met = kept.union(sent).repartition(*place).sortWithinPartitions(*place, "asks")
 
     def run(batches):
+        at, blocks_here = None, []
         for one in sliced(batches, 1):
-            yield _search(one.column("queries")[0].values, one.column("rows")[0].values, one.column("top")[0].as_py(), k)
-
-    found = pairs.mapInArrow(run, "query_id long, query_row long, vec_id long, score long")
+            here = tuple(one.column(c)[0].as_py() for c in place)
+            if here != at:
+                at, blocks_here = here, []
+            rows = one.column("rows")[0].values
+            if not one.column("asks")[0].as_py():
+                blocks_here.append(Block(rows, one.column("top")[0].as_py()))
+            else:
+                yield _search(rows, blocks_here, k)
+
+    found = met.mapInArrow(run, "query_id long, query_row long, vec_id long, score long")
     order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -142,32 +162,48 @@ def _stack(structs: pa.StructArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float64)
 
 
-def _search(queries: pa.StructArray, rows: pa.StructArray, top: float, k: int) -> pa.RecordBatch:
-    """The k best of a block of vectors for each query of a block."""
-    order = np.argsort(-_field(rows, "norm"), kind="stable")
-    ids, norms, v = _field(rows, "vec_id")[order], _field(rows, "norm")[order], _stack(rows)[order]
+class Block:
+    """A block of vectors by falling norm; top: its bucket's largest norm."""
+
+    def __init__(self, rows: pa.StructArray, top: float) -> None:
+        order = np.argsort(-_field(rows, "norm"), kind="stable")
+        self.top, self.ids, self.norms, self.v = top, _field(rows, "vec_id")[order], _field(rows, "norm")[order], _stack(rows)[order]
+        self.unit, self.by_value = None, {}
+
+    def near(self, q: np.ndarray, norm: float, need: float) -> np.ndarray:
+        """Rows that a query's local threshold doesn't rule out."""
+        # a vector needs norm * cosine >= need: the block's cosines reach need / top at least
+        cosine = need / self.top if self.top > 0 else 0.0
+        if cosine > 1:
+            return np.zeros(0, np.int64)
+        some = np.arange(int(np.searchsorted(-self.norms, -need, side="right")))
+        if cosine >= STEEP and len(some) > 64:
+            if self.unit is None:
+                self.unit = np.where(self.norms[:, None] > 0, self.v / self.norms[:, None], 0.0)
+            some = _in_ranges(self.unit, self.by_value, q / norm, cosine - 1e-9, len(some))
+        return some
+
+
+def _search(queries: pa.StructArray, blocks: list[Block], k: int) -> pa.RecordBatch:
+    """The k best of the blocks' vectors for each query."""
     q_ids, q_norms, need, q = _field(queries, "vec_id"), _field(queries, "norm"), _field(queries, "need"), _stack(queries)
     out: list[list[np.ndarray]] = [[], [], []]
-    unit = by_value = None
     with np.errstate(divide="ignore", invalid="ignore"):
         for i in range(len(q_ids)):
-            # a vector needs norm * cosine >= need: the block's cosines reach need / top at least
-            cosine = need[i] / top if top > 0 else 0.0
-            if cosine > 1:
-                continue
-            some = np.arange(int(np.searchsorted(-norms, -need[i], side="right")))
-            if cosine >= STEEP and len(some) > 64:
-                if unit is None:
-                    unit = np.where(norms[:, None] > 0, v / norms[:, None], 0.0)
-                    by_value = {}
-                some = _in_ranges(unit, by_value, q[i] / q_norms[i], cosine - 1e-9, len(some))
-            some = some[ids[some] != q_ids[i]]
-            if len(some):
-                score = products(q[i : i + 1], v[some], q_norms[i] * norms[0])[0]
-                won = best(score, ids[some], k)
-                out[0].append(np.full(len(won), i))
-                out[1].append(ids[some][won])
-                out[2].append(score[won])
+            ids, scores = [], []
+            for block in blocks:
+                some = block.near(q[i], q_norms[i], need[i])
+                some = some[block.ids[some] != q_ids[i]]
+                if len(some):
+                    score = products(q[i : i + 1], block.v[some], q_norms[i] * block.norms[0])[0]
+                    won = best(score, block.ids[some], k)
+                    ids.append(block.ids[some][won])
+                    scores.append(score[won])
+            if ids:
+                found, score = np.concatenate(ids), np.concatenate(scores)
+                won = best(score, found, k)
+                for kept, x in zip(out, (np.full(len(won), i), found[won], score[won])):
+                    kept.append(x)
     at, vec, score = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out]
     rows_of = _field(queries, "row")
     return pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[at], pa.int64()), "query_row": pa.array(rows_of[at], pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.int64())})

@@ -24,6 +24,7 @@ def test_against_brute_force(spark, monkeypatch, steep, seeds, block):
     monkeypatch.setattr(tk, "STEEP", steep)
     monkeypatch.setattr(tk, "VECTORS", block)
     monkeypatch.setattr(tk, "QUERIES", 4)
+    monkeypatch.setattr(tk, "HELD", 2)
     rng = np.random.default_rng(7)
     base = rng.normal(size=(6, 8))
     rows = [(i, (base[i % 6] + 0.2 * rng.normal(size=8)) * rng.lognormal(0, 1)) for i in range(900)]
