@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import hot_keys, join_hot, table
+
 
 def shared_nodes(vertices: DataFrame, least: int = 2) -> DataFrame:
     """node, ways: nodes of vertices (way, idx, node) that at least so many ways touch."""
@@ -66,7 +68,7 @@ def merged_segments(segs: DataFrame, write) -> DataFrame:
 
     A segment is passed in two directions; each such state has at most one next state.  Ends and distances are found by doubling
     the pointers, in rounds by the logarithm of a chain's length, so chains of any length are no one task's.
-    A ring has no end: it is cut before its first segment.  `write` as in spread_labels."""
+    A ring has no end: it is cut before its first segment.  `write` as in components."""
     name = F.struct("way", "piece")
     joint = chain_nodes(segs).withColumn("_joint", F.lit(True))
     both = segs.select(name.alias("seg"), F.lit(False).alias("back"), F.col("start").alias("enter"), F.col("end").alias("leave"))
@@ -100,31 +102,84 @@ def _followed(step: DataFrame, write, most: int = 64) -> DataFrame:
         if 2**n > size or not now.where("to is not null").limit(1).count():
             break
         ahead = now.select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("end").alias("end2"), F.col("hops").alias("hops2"), F.col("least").alias("least2"))
-        joined = now.join(ahead, "to", "left")
-        now = write(joined.select("at", F.col("to2").alias("to"), F.coalesce("end2", "end").alias("end"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), F.least("least", F.coalesce("least2", "least")).alias("least")))
+        # states that have arrived stay as they are; a state is the next one of one other at most, so no `to` gathers rows
+        joined = now.where("to is not null").join(ahead, "to", "left")
+        now = write(now.where("to is null").select("at", "to", "end", "hops", "least").union(joined.select("at", F.col("to2").alias("to"), F.coalesce("end2", "end").alias("end"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), F.least("least", F.coalesce("least2", "least")).alias("least"))))
     return now.select("at.seg", "at.back", "end", "hops", F.col("hops").alias("far"), "least", F.col("to.seg").alias("to_seg"))
 
 
-def spread_labels(nodes: DataFrame, links: DataFrame, write=None, most: int = 1000) -> DataFrame:
-    """node, label: the least node of its component, for links (a, b).  `write` stores a round's table
-    and returns it read back, so that plans don't grow; without it rounds are checkpointed."""
-    keep = write or (lambda df: df.checkpoint())
-    both = keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = keep(nodes.select("node", F.col("node").alias("label")))
-    for _ in range(most):
-        near = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        mid = now.join(near, now["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        jump = now.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        new = keep(mid.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("label")))
-        now = new.select("node", "label")
-        if not new.where("label != old").limit(1).count():
-            break
-    return now
+#: Links, after contraction, that one task finishes.
+FEW_LINKS = 100_000
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """node, to: the least node of the component, for at most FEW_LINKS links (a, b), in one task."""
+    kind = links.schema["a"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        first: dict = {}
+
+        def find(x):
+            while first[x] != x:
+                first[x] = x = first[first[x]]
+            return x
+
+        own = None
+        for batch in batches:
+            own = batch.schema.field("a").type
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                first.setdefault(a, a)
+                first.setdefault(b, b)
+                x, y = find(a), find(b)
+                first[max(x, y)] = min(x, y)
+        if own is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), own), pa.array([find(x) for x in first], own)], names=["node", "to"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, f"node {kind}, to {kind}")
 
 
 def components(links: DataFrame, write=None) -> DataFrame:
-    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    return spread_labels(nodes, links, write)
+    """node, label: the least node of the component, for the nodes of links (a, b).
+
+    Links are contracted: each round a node moves to the first of itself and its neighbours by a hash that the round draws, and
+    only links between unlike nodes go on, so a round works on what is unfinished, and stars, chains and meshes
+    alike shrink by a share a round until one task can finish the FEW_LINKS that are left.  Then the moves are followed back from the last round to the first, each table
+    once.  Hubs, and nodes to which many have moved, are joined where their rows lie (`join_hot`).  `write` stores a round's table
+    and returns it read back."""
+    keep = write or table
+    both = keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
+    alone = both.where("a = b").select("a")
+    nodes = both.select(F.col("a").alias("node")).distinct()
+    moves, ends = [], keep(both.where("a != b"))
+    while left := ends.count():
+        if left <= FEW_LINKS:
+            moves.append(keep(_joined(ends)))
+            break
+        draw = lambda c, n=len(moves): F.struct(F.xxhash64(c, F.lit(n)).alias("h"), F.col(c).alias("node"))
+        degrees = ends.groupBy("a").agg(F.min(draw("b")).alias("near"), F.count("*").alias("n"))
+        move = keep(degrees.select(F.col("a").alias("node"), F.least("near", draw("a"))["node"].alias("to"), "n"))
+        hubs = hot_keys(move, ["node"], left)
+        to = move.select("node", "to")
+        first = join_hot(ends.withColumnRenamed("a", "node"), to, ["node"], hubs).select(F.col("to").alias("a"), F.col("b").alias("node"))
+        ends = keep(join_hot(first, to, ["node"], hubs).select("a", F.col("to").alias("b")).where("a != b").distinct())
+        moves.append(to)
+    if not moves:
+        return nodes.select("node", F.col("node").alias("label"))
+    root = moves[-1].select("node", F.col("to").alias("root"))
+    for to in moves[-2::-1]:
+        hot = hot_keys(to.groupBy("to").agg(F.count("*").alias("n")), ["to"], to.count())
+        root = keep(join_hot(to, root.select(F.col("node").alias("to"), "root"), ["to"], hot, "left").select("node", F.coalesce("root", "to").alias("root")))
+    least = root.groupBy("root").agg(F.min("node").alias("label"), F.count("*").alias("n"))
+    hot = hot_keys(least, ["root"], root.count())
+    return join_hot(root, least.drop("n"), ["root"], hot).select("node", "label").union(alone.join(moves[0], alone["a"] == moves[0]["node"], "left_anti").select(F.col("a").alias("node"), F.col("a").alias("label")))
+
+
+def spread_labels(nodes: DataFrame, links: DataFrame, write=None) -> DataFrame:
+    """node, label: the least node of its component for every one of nodes; links (a, b) join nodes."""
+    own = (write or table)(components(links, write))
+    return nodes.select("node").join(own, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def overlapping(rects: DataFrame, size: float) -> DataFrame:
@@ -152,22 +207,28 @@ def nearest(points: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
     return got.groupBy("id").agg(F.min(F.struct("d2", "target")).alias("m")).select("id", "m.target", "m.d2")
 
 
-def finest_covering(tiles: DataFrame, write=None, most: int = 64) -> DataFrame:
+def finest_covering(tiles: DataFrame, write=None) -> DataFrame:
     """ids of tiles (id, parent, selected) that stay: those that are the nearest selected tile, itself or above, of a
-    tile without children.  Each tile points to itself if it is selected or has no parent, else to its parent;
-    pointers are doubled until none moves, in rounds by the logarithm of the depth.  `write` as in spread_labels."""
-    keep = write or (lambda df: df.checkpoint())
-    tiles = tiles.select("id", "parent", "selected")
-    leaves = tiles.select("id").join(tiles.select(F.col("parent").alias("id")).where("id is not null").distinct(), "id", "left_anti")
-    stop = F.coalesce("selected", F.lit(False)) | F.col("parent").isNull()
-    known = tiles.select(F.col("id").alias("parent"), F.lit(True).alias("_known"))
-    now = tiles.join(known, "parent", "left").select("id", F.when(stop | F.col("_known").isNull(), F.col("id")).otherwise(F.col("parent")).alias("to"))
-    now = keep(now)
-    for _ in range(most):
-        ahead = now.select(F.col("id").alias("to"), F.col("to").alias("far"))
-        moved = keep(now.join(ahead, "to").select("id", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
-        now = moved.select("id", "to")
-        if not moved.where("moved").limit(1).count():
-            break
-    picks = leaves.join(now, "id").select(F.col("to").alias("id")).distinct()
+    tile without children.  A tile that is selected, or whose parent isn't known, ends its way; others point to their parent.
+    Pointers are doubled, in rounds by the logarithm of the depth, and a tile whose way has ended takes no part
+    in the rounds that follow; a tile to which many point is joined where their rows lie.  Tiles that are their own ancestors are no one's way's
+    end.  `write` as in components."""
+    keep = write or table
+    tiles = keep(tiles.select("id", "parent", F.coalesce("selected", F.lit(False)).alias("selected")))
+    size = tiles.count()
+    children = tiles.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"))
+    leaves = tiles.select("id").join(children, "id", "left_anti")
+    often = hot_keys(children.withColumnRenamed("id", "parent"), ["parent"], size)
+    known = tiles.select(F.col("id").alias("parent"), (F.col("selected") | F.col("parent").isNull()).alias("_ends"))
+    up = join_hot(tiles.where("not selected and parent is not null"), known, ["parent"], often, "left")
+    # a parent that isn't listed ends the way here
+    start = tiles.where("selected or parent is null").select("id", F.col("id").alias("to"), F.lit(True).alias("ended"))
+    now = keep(start.union(up.select("id", F.when(F.col("_ends").isNull(), F.col("id")).otherwise(F.col("parent")).alias("to"), F.coalesce("_ends", F.lit(True)).alias("ended"))))
+    ended, open_, way = now.where("ended"), now.where("not ended"), 1
+    while way <= size and open_.limit(1).count():
+        often = hot_keys(open_.groupBy("to").agg(F.count("*").alias("n")), ["to"], open_.count())
+        ahead = ended.union(open_).select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("ended").alias("_done"))
+        moved = keep(join_hot(open_.select("id", "to"), ahead, ["to"], often).select("id", F.col("far").alias("to"), F.col("_done").alias("ended")))
+        ended, open_, way = ended.union(moved.where("ended")), moved.where("not ended"), way * 2
+    picks = leaves.join(ended, "id").select(F.col("to").alias("id")).distinct()
     return picks.join(tiles.where("selected").select("id"), "id", "left_semi")

@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from geoloom.operators import network
+from geoloom.operators.shared import table
 
 from .registry import query
 from .views import WAYS, read, ways
 
 
 def shared_folder(spark):
-    """Stores tables in the folder that all executors share; a folder of this machine if Spark runs on it alone."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
-    base = (base or "file:///tmp/checkpoints").rstrip("/")
-
-    def write(df):
-        path = f"{base}/geoloom/graph-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return write
+    """Stores tables in the application's part of the folder that all executors share."""
+    return lambda df: table(df, "graph")
 
 
 @query("shared_nodes", f"SELECT node, count(DISTINCT way) AS ways FROM {WAYS} GROUP BY node HAVING count(DISTINCT way) >= 2")

@@ -176,3 +176,50 @@ def test_frames_and_rules_of_single_values(spark):
     t = lambda **kv: F.create_map(*[F.lit(x) for k, v in kv.items() for x in (k.replace("__", ":"), v)])
     assert one(tags.flat_ground(t(amenity="parking"))) and not one(tags.flat_ground(t(amenity="parking", building="yes"))) and one(tags.flat_ground(t(area__highway="yes")))
     assert one(tags.mask_half_width(t(highway="primary"))) == 8 and one(tags.mask_half_width(t(highway="primary", bridge="yes"))) is None and one(tags.mask_half_width(t(highway="steps"))) is None
+
+
+@pytest.mark.parametrize("few", [100_000, 40])
+def test_components_of_stars_chains_and_meshes(spark, monkeypatch, few):
+    monkeypatch.setattr(network, "FEW_LINKS", few)
+    rng = np.random.default_rng(11)
+    links = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(300)] + [(3000 + int(a), 3000 + int(b)) for a, b in rng.integers(0, 400, (380, 2))] + [(9000, 9000), (None, 5), (9001, 9000)]
+    links += [(9100, 9100)]
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in links:
+        if a is not None:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(links, "a long, b long")
+    assert {tuple(r) for r in network.components(df).collect()} == {(x, find(x)) for x in parent}
+    nodes = spark.createDataFrame([(0,), (7,), (77777,)], "node long")
+    assert sorted(map(tuple, network.spread_labels(nodes, df).collect())) == [(0, 0), (7, 0), (77777, 77777)]
+    assert network.components(df.limit(0)).count() == 0
+
+
+def most_of_a_key(monkeypatch, module):
+    """The largest number of rows of one key, null included, that a shuffled side of a join has held in a task."""
+    seen = []
+    plain = module.join_hot
+
+    def watched(rows, side, keys, hot, how="inner"):
+        left = rows if hot is None else rows.join(hot, keys, "left_anti")
+        seen.append(left.groupBy(*keys).count().agg({"count": "max"}).first()[0] or 0)
+        return plain(rows, side, keys, hot, how)
+
+    monkeypatch.setattr(module, "join_hot", watched)
+    return seen
+
+
+def test_no_task_holds_a_star_or_a_root_of_many_tiles(spark, monkeypatch):
+    seen = most_of_a_key(monkeypatch, network)
+    monkeypatch.setattr(network, "FEW_LINKS", 1000)
+    star = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    got = network.components(star.union(spark.range(200_000, 200_100).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))))
+    assert [tuple(r) for r in got.groupBy("label").count().orderBy("label").collect()] == [(0, 100_001), (200_000, 101)]
+    tiles = spark.range(20_001).select("id", F.when(F.col("id") > 0, F.when(F.col("id") <= 10, F.lit(0)).otherwise(F.col("id") - 10 * (1 + F.col("id") % 3))).cast("long").alias("parent"), (F.col("id") == 0).alias("selected"))
+    tiles = tiles.withColumn("parent", F.when(F.col("id") > 0, F.greatest("parent", F.lit(0))))
+    assert [r["id"] for r in network.finest_covering(tiles).collect()] == [0]
+    assert max(seen) <= 200
+    loop = spark.createDataFrame([(1, 2, False), (2, 1, False), (3, 1, False), (4, None, True), (5, 4, False)], "id long, parent long, selected boolean")
+    assert [r["id"] for r in network.finest_covering(loop).collect()] == [4]
