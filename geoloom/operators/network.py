@@ -207,6 +207,21 @@ def nearest(points: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
     return got.groupBy("id").agg(F.min(F.struct("d2", "target")).alias("m")).select("id", "m.target", "m.d2")
 
 
+def nearest_of_all(points: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
+    """id, target, d2 as in `nearest`, however far the nearest target is: points that have none within reach look four times as far, again and
+    again.  No rows if there are no targets."""
+    left, found = table(points.select("id", "x", "y"), "left"), []
+    while targets.limit(1).count():
+        found.append(table(nearest(left, targets, reach), "nearest"))
+        left, reach = table(left.join(found[-1].select("id"), "id", "left_anti"), "left"), reach * 4
+        if not left.limit(1).count():
+            break
+    whole = found[0] if found else nearest(left, targets, reach)
+    for more in found[1:]:
+        whole = whole.union(more)
+    return whole
+
+
 def finest_covering(tiles: DataFrame, write=None) -> DataFrame:
     """ids of tiles (id, parent, selected) that stay: those that are the nearest selected tile, itself or above, of a
     tile without children.  A tile that is selected, or whose parent isn't known, ends its way; others point to their parent.

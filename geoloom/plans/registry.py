@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 #: Modules that register queries.
-MODULES = ("batch_queries", "scalar_queries", "grid_queries", "network_queries", "geometry_queries", "source_queries", "feature_queries", "frame_queries", "field_queries", "line_queries")
+MODULES = ("batch_queries", "scalar_queries", "grid_queries", "network_queries", "geometry_queries", "source_queries", "feature_queries", "frame_queries", "field_queries", "line_queries", "junction_queries")
 
 
 def _load() -> None:
