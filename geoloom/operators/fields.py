@@ -60,23 +60,6 @@ def resampled(targets: DataFrame, layers: list[tuple[DataFrame, dict]]) -> DataF
     return cells.select("id", "y", "x").join(best, ["id", "y", "x"], "left")
 
 
-def combined_terrain(targets: DataFrame, tiles: DataFrame) -> DataFrame:
-    """id, y, x, h, n of targets (see target_cells): the mean over the tiles (tile, y, x, h, north, south, east, west, width,
-    height: the last six the same for all of a tile's cells) that hold a cell, n of them; null where none does.
-
-    Tiles meet targets by whole cells of a hundredth of a degree, so that no target is compared with every tile."""
-    frame = ["north", "south", "east", "west", "width", "height"]
-    whole = tiles.groupBy("tile").agg(*[F.first(c).alias(c) for c in frame])
-    step = lambda c: F.floor(F.col(c) * 100)
-    spread = whole.withColumn("gy", F.explode(F.sequence(step("south"), step("north")))).withColumn("gx", F.explode(F.sequence(step("west"), step("east"))))
-    cells = target_cells(targets).withColumn("gy", step("lat")).withColumn("gx", step("lng"))
-    px = (F.col("lng") - F.col("west")) / (F.col("east") - F.col("west")) * (F.col("width") - 1)
-    py = (F.col("north") - F.col("lat")) / (F.col("north") - F.col("south")) * (F.col("height") - 1)
-    met = cells.join(spread, ["gy", "gx"]).where("lat between south and north and lng between west and east").select("id", F.col("y").alias("ty"), F.col("x").alias("tx"), "tile", px.alias("px"), py.alias("py"))
-    got = sampled(met, tiles.select("tile", "y", "x", "h"), ["tile"]).groupBy("id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.avg("h").alias("h"), F.count("h").alias("n"))
-    return cells.select("id", "y", "x").join(got, ["id", "y", "x"], "left").select("id", "y", "x", "h", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 def scene_cell(v: Column, n: int) -> Column:
     """The cell of a scene coordinate among n, held to the ends."""
     return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((v + SCENE / 2) / SCENE * n))).cast("int")
@@ -161,24 +144,56 @@ def feature_counts(features: DataFrame, by: list[str]) -> DataFrame:
     return features.groupBy(*by).agg(F.count("*").alias("total"), *kinds, F.count_if(point).alias("points"), F.count_if(~point & ring).alias("polygons"), F.count_if(~point & ~ring).alias("lines"))
 
 
-def seam_heights(places: DataFrame, centre: DataFrame, size: int, flat: float = 0.0) -> DataFrame:
-    """places (id, x, z around the scene, h: their own tile's height or null, missing: their tile's share of missing cells) with seam - the
-    mean of the centre raster's heights (y, x, h; size by size cells) at eleven taps along the edge - and blended: flat ground for tiles that
-    miss more than a quarter, else their own height, both bent to the seam near it."""
+# fixed values: least and, in median deviations, relative height by which a sample stands out of its neighbours; heights beyond
+# which one always does
+SPIKE, SPIKE_TIMES, ABSURD = 8.0, 6, 12000
+
+
+def guarded(points: DataFrame, rasters: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
+    """points (keys, tile, u, v: shares of a tile's width and height) with h of rasters (tile, y, x, h), held to the tile's edges: the sample
+    between four cells, or, if it stands out of its eight neighbours a cell around it, their upper median.  keys tell points apart."""
+    side = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in (-1, 0, 1) for i in (-1, 0, 1)])).alias("o")
+    p = points.select(*keys, "tile", "u", "v", side)
+    px = clamp(clamp(F.col("u") + F.col("o.i") / max(8, width - 1), 0.0, 1.0) * (width - 1), 0.0, width - 1.0)
+    py = clamp(clamp(F.col("v") + F.col("o.j") / max(8, height - 1), 0.0, 1.0) * (height - 1), 0.0, height - 1.0)
+    own = F.when((F.col("o.i") == 0) & (F.col("o.j") == 0), F.lit(True)).otherwise(F.lit(False))
+    # the middle sample isn't one of its neighbours: it is taken at u, v themselves, within the raster
+    mid = lambda c, n: clamp(F.col(c) * (n - 1), 0.0, n - 1.0)
+    p = p.withColumn("own", own).withColumn("px", F.when(own, mid("u", width)).otherwise(px)).withColumn("py", F.when(own, mid("v", height)).otherwise(py))
+    got = sampled(p.select(*keys, "tile", "own", "px", "py"), rasters, ["tile"]).groupBy(*keys).agg(F.max(F.when(F.col("own"), F.col("h"))).alias("c"), F.sort_array(F.collect_list(F.when(~F.col("own"), F.col("h")))).alias("near"))
+    upper = lambda a: F.try_element_at(a, (F.floor(F.size(a) / 2) + 1).cast("int"))
+    got = got.withColumn("m", upper(F.col("near")))
+    far = F.array_sort(F.transform("near", lambda x: F.abs(x - F.col("m"))))
+    odd = (F.abs("c") > ABSURD) | (F.abs(F.col("c") - F.col("m")) > F.greatest(F.lit(SPIKE), upper(far) * SPIKE_TIMES))
+    return got.select(*keys, F.when((F.size("near") >= 5) & odd, F.col("m")).otherwise(F.col("c")).alias("h"))
+
+
+def seam_heights(places: DataFrame, rasters: DataFrame, width: int, height: int, flat: float = 0.0) -> DataFrame:
+    """places (id, scene, tile, ox, oz, x, z, missing) with seam and blended.  x, z: a place beside the scene, in scene units; tile: the raster it
+    lies in, ox and oz scenes off; scene: the raster of the scene itself; missing: the tile's share of missing cells; rasters (tile, y, x, h) of
+    width by height cells, a hole at its raster's least height.
+
+    seam is the mean of the scene's heights at eleven taps along its edge, at the edge's point nearest to the place.  The place's own
+    height (see `guarded`) is moved by the seam's error - seam less the tile's own height at that point - in full at the seam and less
+    with the distance, not at all beyond SEAM_WIDTH of the scene.  A tile that misses more than FLAT_SHARE is flat ground that meets the seam."""
     from geoloom.functions.scalars import smoothstep
 
+    whole = rasters.join(rasters.groupBy("tile").agg(F.min("h").alias("_least")), "tile").select("tile", "y", "x", F.coalesce("h", "_least").alias("h"))
+    p = places.withColumn("s", frames.seam_point(F.col("x"), F.col("z")))
     tap = F.explode(F.sequence(F.lit(0), F.lit(frames.SEAM_TAPS - 1))).alias("k")
-    s = places.withColumn("s", frames.seam_point(F.col("x"), F.col("z"))).select("id", "h", "missing", "s", tap)
     step = (F.col("k") / (frames.SEAM_TAPS - 1) - 0.5) * (2 * SCENE / frames.SEAM_STEPS)
-    at = lambda v: clamp((v + SCENE / 2) / SCENE * (size - 1), 0.0, size - 1.0)
-    s = s.withColumn("px", at(F.col("s.x") + F.when(F.col("s.along_x"), step).otherwise(0.0))).withColumn("py", at(F.col("s.z") + F.when(~F.col("s.along_x"), step).otherwise(0.0)))
-    taps = sampled(s.select("id", "px", "py"), centre).groupBy("id").agg(F.avg("h").alias("seam"))
-    p = places.join(taps, "id").withColumn("distance", frames.seam_point(F.col("x"), F.col("z"))["distance"])
+    at = lambda v, n: clamp((v + SCENE / 2) / SCENE * (n - 1), 0.0, n - 1.0)
+    taps = p.select("id", F.col("scene").alias("tile"), "s", tap)
+    taps = taps.withColumn("px", at(F.col("s.x") + F.when(F.col("s.along_x"), step).otherwise(0.0), width)).withColumn("py", at(F.col("s.z") + F.when(~F.col("s.along_x"), step).otherwise(0.0), height))
+    seam = sampled(taps.select("id", "tile", "px", "py"), whole, ["tile"]).groupBy("id").agg(F.avg("h").alias("seam"))
+    share = lambda v, o: (v - F.col(o) * SCENE + SCENE / 2) / SCENE
+    asked = p.select("id", "tile", F.explode(F.array(F.struct(F.lit("edge").alias("at"), share(F.col("s.x"), "ox").alias("u"), share(F.col("s.z"), "oz").alias("v")), F.struct(F.lit("own").alias("at"), share(F.col("x"), "ox").alias("u"), share(F.col("z"), "oz").alias("v")))).alias("q")).select("id", "tile", "q.*")
+    own = guarded(asked, whole, ["id", "at"], width, height).groupBy("id").agg(F.max(F.when(F.col("at") == "edge", F.col("h"))).alias("edge"), F.max(F.when(F.col("at") == "own", F.col("h"))).alias("h"))
+    p = p.join(seam, "id").join(own, "id", "left").withColumn("distance", F.col("s.distance"))
     fade = smoothstep(F.col("distance") / SCENE)
     near = smoothstep((F.col("distance") - 0.5) / (SCENE * frames.SEAM_WIDTH - 0.5))
     level = F.col("seam") * (1 - fade) + F.lit(flat) * fade
-    bent = F.col("h") + (F.col("seam") - F.col("h")) * (1 - near)
-    return p.withColumn("blended", F.when((F.col("missing") > frames.FLAT_SHARE) | F.col("h").isNull(), level).otherwise(bent))
+    return p.withColumn("blended", F.when((F.col("missing") > frames.FLAT_SHARE) | F.col("h").isNull(), level).otherwise(F.col("h") + (F.col("seam") - F.col("edge")) * (1 - near))).drop("s")
 
 
 def sampled_pixels(points: DataFrame, image: DataFrame, zoom: int, tile_x: int, tile_y: int, width: int, height: int) -> DataFrame:

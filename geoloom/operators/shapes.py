@@ -103,13 +103,6 @@ def extruded(rings: DataFrame) -> DataFrame:
     return e.select("id", "wall", F.posexplode(F.array(corner("a", "low"), corner("b", "low"), corner("b", "high"), corner("a", "high"))).alias("corner", "c")).select("id", "wall", "corner", "c.*")
 
 
-def seam_blended(h: Column, seam_h: Column, own_at_seam: Column, distance: Column, reach: float = 42.0) -> Column:
-    """A height moved by its seam's error, the less the farther from the seam."""
-    from geoloom.functions.scalars import smoothstep
-
-    return h + (seam_h - own_at_seam) * (1 - smoothstep(distance / reach))
-
-
 def throttled(samples: DataFrame, least_ms: int, most: int) -> DataFrame:
     """samples (key, at, value) of which each is `least_ms` after the last kept one, the newest `most` of a key."""
 

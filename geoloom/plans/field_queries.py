@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.functions import frames
-from geoloom.operators import fields
+from geoloom.operators import composites, fields
 
 from .network_queries import shared_folder
 from .registry import query
@@ -40,19 +40,49 @@ def metre_grid(spark, sf):
     return got.select("id", "y", "x", F.round("h", 7).alias("h"))
 
 
+# blocks of 16 rows as tiles, four of them a route
+_ROUTE_TILES = f"""k AS (SELECT y // 64 AS route, y // 16 AS ord, y % 16 AS y, x, h * 100 AS h, 44.0137::DOUBLE + (y // 16) * 7 % 23 * 0.0009::DOUBLE AS north, 4.0071::DOUBLE + (y // 16) * 5 % 11 * 0.0012::DOUBLE AS west FROM {GRID}),
+t AS (SELECT route, ord, any_value(north) AS north, any_value(north) - 0.004::DOUBLE AS south, any_value(west) + 0.006::DOUBLE AS east, any_value(west) AS west, coalesce(min(h), 0) AS least, max(y) AS last FROM k GROUP BY route, ord),
+u AS (SELECT route, max(north) AS n, min(south) AS s, max(east) AS e, min(west) AS w, min(least) AS floor FROM t GROUP BY route),
+v AS (SELECT *, (n + s) / 2 AS lat, (e + w) / 2 AS lng, cos(radians((n + s) / 2)) * 111320 AS m FROM u),
+d AS (SELECT *, greatest((e - w) * m, (n - s) * 111320.0::DOUBLE, 1.0::DOUBLE) AS side FROM v),
+f AS (SELECT route, floor, lat + side / 2 / 111320.0::DOUBLE AS north, lat - side / 2 / 111320.0::DOUBLE AS south, lng + side / 2 / m AS east, lng - side / 2 / m AS west, CAST(pow(2, floor(log2(least(64, greatest(16, floor(side / 8 + 0.5)))) + 0.5)) AS INT) AS size FROM d)"""
+
+
+def route_tiles(spark, sf):
+    n, w = 44.0137 + F.col("ord") * 7 % 23 * 0.0009, 4.0071 + F.col("ord") * 5 % 11 * 0.0012
+    rows = cells(spark, sf).select(F.floor(F.col("y") / 64).alias("route"), F.floor(F.col("y") / 16).alias("ord"), (F.col("y") % 16).alias("y"), "x", (F.col("h") * 100).alias("h"))
+    rows = rows.join(rows.groupBy("ord").agg((F.max("y") + 1).alias("height")), "ord")
+    return rows.select("*", n.alias("north"), (n - 0.004).alias("south"), (w + 0.006).alias("east"), w.alias("west"), F.lit(64).alias("width"))
+
+
 @query("route_terrain", f"""
-WITH {_TARGETS}, k AS (SELECT y // 16 AS tile, y % 16 AS y, x, h, 44.0137::DOUBLE + (y // 16) % 23 * 0.9::DOUBLE AS n0, 4.0071::DOUBLE + (y // 16) % 11 * 0.8::DOUBLE AS w0 FROM {GRID}),
-f AS (SELECT tile, any_value(n0) AS n0, any_value(w0) AS w0 FROM k GROUP BY tile),
-p AS (SELECT c.id, c.y, c.x, tile, (lng - w0) / 1.5::DOUBLE * 63 AS px, (n0 - lat) / 1.2::DOUBLE * 15 AS py FROM c JOIN f ON lat BETWEEN n0 - 1.2::DOUBLE AND n0 AND lng BETWEEN w0 AND w0 + 1.5::DOUBLE),
-w AS (SELECT id, y, x, tile, floor(py) + a AS sy, floor(px) + b AS sx, (CASE WHEN a = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN b = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS wt FROM p, (VALUES (0), (1)) AS v(a), (VALUES (0), (1)) AS u(b)),
-s AS (SELECT w.id, w.y, w.x, w.tile, CASE WHEN count(*) FILTER (k.h IS NULL AND wt >= 1e-9) = 0 THEN sum(CASE WHEN wt >= 1e-9 THEN k.h * wt END) END AS h FROM w LEFT JOIN k ON k.tile = w.tile AND k.y = sy AND k.x = sx GROUP BY 1, 2, 3, 4)
-SELECT c.id, CAST(c.y AS INT) AS y, CAST(c.x AS INT) AS x, round(avg(s.h), 7) AS h, count(s.h) AS n FROM c LEFT JOIN s ON s.id = c.id AND s.y = c.y AND s.x = c.x GROUP BY 1, 2, 3""")
+WITH {_ROUTE_TILES}, c AS (SELECT route, size, unnest(range(size)) AS gy FROM f), g AS (SELECT route, gy, unnest(range(size)) AS gx FROM c),
+q AS (SELECT g.route, gy, gx, f.north - gy / (size - 1)::DOUBLE * (f.north - f.south) AS lat, f.west + gx / (size - 1)::DOUBLE * (f.east - f.west) AS lng FROM g JOIN f USING (route)),
+p AS (SELECT q.*, ord, least, last, greatest(0, least(63, (lng - west) / (east - west) * 63)) AS px, greatest(0, least(last, (north - lat) / (north - south) * last)) AS py FROM q JOIN t USING (route) WHERE lat BETWEEN south AND north AND lng BETWEEN west AND east),
+x AS (SELECT route, ord, gy, gx, least, least(last, floor(py) + a) AS y, least(63, floor(px) + b) AS x, (CASE WHEN a = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN b = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS wt FROM p, (VALUES (0), (1)) AS i(a), (VALUES (0), (1)) AS j(b)),
+s AS (SELECT x.route, x.ord, gy, gx, sum(coalesce(k.h, least) * wt) AS h FROM x JOIN k ON k.route = x.route AND k.ord = x.ord AND k.y = x.y AND k.x = x.x GROUP BY 1, 2, 3, 4),
+o AS (SELECT route, gy, gx, arg_max(h, ord) AS h FROM s GROUP BY 1, 2, 3), z AS (SELECT route, min(h) AS lo, max(h) AS hi FROM s GROUP BY 1)
+SELECT g.route, CAST(g.gy AS INT) AS y, CAST(g.gx AS INT) AS x, round(coalesce(o.h, floor), 6) AS h, size, round(least(floor, coalesce(lo, floor)), 6) AS lowest, round(greatest(floor, coalesce(hi, floor)), 6) AS highest
+FROM g JOIN f ON f.route = g.route LEFT JOIN o ON o.route = g.route AND o.gy = g.gy AND o.gx = g.gx LEFT JOIN z ON z.route = g.route""")
 def route_terrain(spark, sf):
-    """Grids of nations from overlapping tiles of 16 rows each."""
-    tile = F.floor(F.col("y") / 16)
-    n0, w0 = 44.0137 + tile % 23 * 0.9, 4.0071 + tile % 11 * 0.8
-    tiles = cells(spark, sf).select(tile.alias("tile"), (F.col("y") % 16).alias("y"), "x", "h", n0.alias("north"), (n0 - 1.2).alias("south"), (w0 + 1.5).alias("east"), w0.alias("west"), F.lit(64).alias("width"), F.lit(16).alias("height"))
-    return fields.combined_terrain(_targets(spark, sf), tiles).select("id", "y", "x", F.round("h", 7).alias("h"), "n")
+    """One square raster for each four blocks of the embeddings' raster, at up to 64 cells a side."""
+    got, about = composites.route_composite(route_tiles(spark, sf), 8.0, 64, 16)
+    return got.join(about.select("route", "size", F.round("lowest", 6).alias("lowest"), F.round("highest", 6).alias("highest")), "route").select("route", "y", "x", F.round("h", 6).alias("h"), "size", "lowest", "highest")
+
+
+@query("route_texture", f"""
+WITH {_ROUTE_TILES}, c AS (SELECT route, unnest(range(48)) AS gy FROM f), g AS (SELECT route, gy, unnest(range(48)) AS gx FROM c),
+r AS (SELECT t.route, ord, (t.west - f.west) / (f.east - f.west) * 48 AS x0, (t.east - f.west) / (f.east - f.west) * 48 AS x1, (f.north - t.north) / (f.north - f.south) * 48 AS y0, (f.north - t.south) / (f.north - f.south) * 48 AS y1, last + 1 AS rows FROM t JOIN f ON f.route = t.route),
+w AS (SELECT g.route, gy, gx, max(ord) AS ord FROM g JOIN r ON r.route = g.route AND gx + 0.5 >= x0 AND gx + 0.5 < x1 AND gy + 0.5 >= y0 AND gy + 0.5 < y1 GROUP BY 1, 2, 3),
+p AS (SELECT w.*, CAST(least(rows - 1, floor((gy + 0.5 - y0) / (y1 - y0) * rows)) AS BIGINT) AS y, CAST(least(63, floor((gx + 0.5 - x0) / (x1 - x0) * 64)) AS BIGINT) AS x FROM w JOIN r ON r.route = w.route AND r.ord = w.ord)
+SELECT g.route, CAST(g.gy AS INT) AS y, CAST(g.gx AS INT) AS x, CAST(CASE WHEN k.y IS NULL THEN 74 ELSE (k.y * 16 + k.x) % 256 END AS INT) AS r, CAST(CASE WHEN k.y IS NULL THEN 74 ELSE k.x * 3 END AS INT) AS g, CAST(CASE WHEN k.y IS NULL THEN 66 ELSE k.ord % 256 END AS INT) AS b
+FROM g LEFT JOIN p ON p.route = g.route AND p.gy = g.gy AND p.gx = g.gx LEFT JOIN k ON k.route = p.route AND k.ord = p.ord AND k.y = p.y AND k.x = p.x""")
+def route_texture(spark, sf):
+    """The routes' colours at 48 pixels a side."""
+    tiles = route_tiles(spark, sf)
+    pixels = tiles.withColumns({"r": ((F.col("y") * 16 + F.col("x")) % 256).cast("int"), "g": (F.col("x") * 3).cast("int"), "b": (F.col("ord") % 256).cast("int")})
+    return composites.route_texture(pixels, composites.route_frames(tiles, 8.0, 64, 16), 48)
 
 
 @query("scalar_field", """
@@ -91,22 +121,36 @@ def area_mask(spark, sf):
     return fields.area_mask(areas, 100, 3.0).select("cx", "cz", F.round("w", 6).alias("w"))
 
 
+_SEAM_SIDES = ((-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
+
+
 @query("seam_heights", f"""
-WITH g AS (SELECT y, x, coalesce(h, 0) AS h FROM {GRID} WHERE y < 64),
-p AS (SELECT c_custkey AS id, (c_custkey * 7 % 301 - 150.5)::DOUBLE AS x, (c_custkey * 13 % 307 - 153.5)::DOUBLE AS z, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 17 / 20.0 END::DOUBLE AS h, (c_custkey % 4 * 0.1)::DOUBLE AS missing FROM customer),
-e AS (SELECT *, greatest(-50, least(50, x)) AS sx, greatest(-50, least(50, z)) AS sz FROM p),
+WITH h AS (SELECT y // 20 AS tile, y % 20 AS y, x, h * 100 AS h FROM {GRID}), g AS (SELECT tile, y, x, coalesce(h, min(h) OVER (PARTITION BY tile)) AS h FROM h),
+n AS (SELECT max(tile) + 1 AS tiles FROM g),
+b AS (SELECT c_custkey AS id, c_custkey % tiles AS scene, (c_custkey + 1) % tiles AS tile, {[a for a, _ in _SEAM_SIDES]}[c_custkey % 8 + 1] AS ox, {[b for _, b in _SEAM_SIDES]}[c_custkey % 8 + 1] AS oz, (c_custkey * 7 % 101) / 100.0::DOUBLE AS u, (c_custkey * 13 % 97) / 96.0::DOUBLE AS v, (c_custkey % 4 * 0.1)::DOUBLE AS missing FROM customer, n),
+p AS (SELECT *, ox * 100 + (u - 0.5) * 100 AS x, oz * 100 + (v - 0.5) * 100 AS z FROM b), e AS (SELECT *, greatest(-50, least(50, x)) AS sx, greatest(-50, least(50, z)) AS sz FROM p),
 d AS (SELECT *, sqrt(pow(x - sx, 2) + pow(z - sz, 2)) AS dist, abs(z - sz) > abs(x - sx) AS flat FROM e),
-t AS (SELECT id, greatest(0, least(63, (sx + CASE WHEN flat THEN (k / 10 - 0.5) * 200 / 768 ELSE 0 END + 50) / 100 * 63)) AS px, greatest(0, least(63, (sz + CASE WHEN flat THEN 0 ELSE (k / 10 - 0.5) * 200 / 768 END + 50) / 100 * 63)) AS py FROM d, (SELECT unnest(range(11))::DOUBLE AS k)),
-w AS (SELECT id, least(63, floor(py) + a) AS y, least(63, floor(px) + b) AS x, (CASE WHEN a = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN b = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS wt FROM t, (VALUES (0), (1)) AS v(a), (VALUES (0), (1)) AS u(b)),
-s AS (SELECT w.id, sum(g.h * wt) / 11 AS seam FROM w JOIN g ON g.y = w.y AND g.x = w.x GROUP BY 1),
-f AS (SELECT d.*, seam, greatest(0, least(1, dist / 100)) AS u, greatest(0, least(1, (dist - 0.5) / 41.5)) AS v FROM d JOIN s USING (id))
-SELECT id, round(seam, 6) AS seam, round(CASE WHEN missing > 0.25 OR h IS NULL THEN seam * (1 - u * u * (3 - 2 * u)) ELSE h + (seam - h) * (1 - v * v * (3 - 2 * v)) END, 6) AS blended FROM f""")
+o AS (SELECT k, (k - 1) % 3 - 1 AS i, (k - 1) // 3 - 1 AS j FROM (SELECT unnest(range(1, 10)) AS k)),
+a AS (SELECT id, 0 AS kind, k, scene AS tile, (sx + CASE WHEN flat THEN (k / 10 - 0.5) * 200 / 768 ELSE 0 END + 50) / 100 * 63 AS px, (sz + CASE WHEN flat THEN 0 ELSE (k / 10 - 0.5) * 200 / 768 END + 50) / 100 * 19 AS py FROM d, (SELECT unnest(range(11))::DOUBLE AS k)
+ UNION ALL SELECT id, 1, k, tile, greatest(0, least(1, (sx - ox * 100 + 50) / 100 + i / 63.0::DOUBLE)) * 63, greatest(0, least(1, (sz - oz * 100 + 50) / 100 + j / 19.0::DOUBLE)) * 19 FROM d, o
+ UNION ALL SELECT id, 2, k, tile, greatest(0, least(1, (x - ox * 100 + 50) / 100 + i / 63.0::DOUBLE)) * 63, greatest(0, least(1, (z - oz * 100 + 50) / 100 + j / 19.0::DOUBLE)) * 19 FROM d, o),
+q AS (SELECT id, kind, k, tile, greatest(0, least(63, px)) AS px, greatest(0, least(19, py)) AS py FROM a),
+w AS (SELECT id, kind, k, tile, least(19, floor(py) + r) AS y, least(63, floor(px) + c) AS x, (CASE WHEN r = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN c = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS wt FROM q, (VALUES (0), (1)) AS v(r), (VALUES (0), (1)) AS u(c)),
+s AS (SELECT id, kind, k, sum(g.h * wt) AS h FROM w JOIN g ON g.tile = w.tile AND g.y = w.y AND g.x = w.x GROUP BY 1, 2, 3),
+t AS (SELECT id, avg(h) AS seam FROM s WHERE kind = 0 GROUP BY id),
+m AS (SELECT id, kind, max(h) FILTER (k = 5) AS c, list_sort(list(h) FILTER (k <> 5)) AS near FROM s WHERE kind > 0 GROUP BY 1, 2),
+r AS (SELECT id, kind, CASE WHEN abs(c) > 12000 OR abs(c - near[5]) > greatest(8, 6 * list_sort(list_transform(near, lambda x: abs(x - near[5])))[5]) THEN near[5] ELSE c END AS h FROM m),
+f AS (SELECT d.id, missing, seam, a.h AS edge, b.h AS h, greatest(0, least(1, dist / 100)) AS u, greatest(0, least(1, (dist - 0.5) / 41.5)) AS v FROM d JOIN t USING (id) JOIN r a ON a.id = d.id AND a.kind = 1 JOIN r b ON b.id = d.id AND b.kind = 2)
+SELECT id, round(seam, 6) AS seam, round(CASE WHEN missing > 0.25 THEN seam * (1 - u * u * (3 - 2 * u)) ELSE h + (seam - edge) * (1 - v * v * (3 - 2 * v)) END, 6) AS blended FROM f""")
 def seam_heights(spark, sf):
-    """Places around a raster of 64 by 64 cells; a quarter of the tiles misses too much."""
+    """Places of customers in the eight neighbours of scenes of 20 rows of the embeddings' raster; a quarter of the tiles misses too much."""
     k = F.col("c_custkey")
-    p = read(spark, sf, "customer").select(k.alias("id"), (k * 7 % 301 - 150.5).alias("x"), (k * 13 % 307 - 153.5).alias("z"), F.when(k % 5 > 0, k % 17 / 20.0).alias("h"), (k % 4 * 0.1).alias("missing"))
-    g = cells(spark, sf).where("y < 64").withColumn("h", F.coalesce("h", F.lit(0.0)))
-    return fields.seam_heights(p, g, 64).select("id", F.round("seam", 6).alias("seam"), F.round("blended", 6).alias("blended"))
+    rasters = cells(spark, sf).select(F.floor(F.col("y") / 20).alias("tile"), (F.col("y") % 20).alias("y"), "x", (F.col("h") * 100).alias("h"))
+    n = (rasters.agg(F.max("tile")).first()[0] or 0) + 1
+    of = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in _SEAM_SIDES]), (k % 8 + 1).cast("int"))
+    p = read(spark, sf, "customer").select(k.alias("id"), (k % n).alias("scene"), ((k + 1) % n).alias("tile"), of(0).alias("ox"), of(1).alias("oz"), (k * 7 % 101 / 100.0).alias("u"), (k * 13 % 97 / 96.0).alias("v"), (k % 4 * 0.1).alias("missing"))
+    p = p.withColumn("x", F.col("ox") * 100 + (F.col("u") - 0.5) * 100).withColumn("z", F.col("oz") * 100 + (F.col("v") - 0.5) * 100)
+    return fields.seam_heights(p, rasters, 64, 20).select("id", F.round("seam", 6).alias("seam"), F.round("blended", 6).alias("blended"))
 
 
 @query("image_grid", f"""
