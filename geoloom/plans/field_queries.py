@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.functions import frames
-from geoloom.operators import composites, fields
+from geoloom.operators import composites, fields, projected
 
 from .network_queries import shared_folder
 from .registry import query
+from .scalar_queries import _BACK_E, _BACK_N, _RECTIFYING, _forward_sql, _newton
 from .views import GRID, read
 from .views import grid as cells
 
@@ -167,3 +168,50 @@ def image_grid(spark, sf):
     image = cells(spark, sf).select("y", "x", whole((F.col("y") * 7 + F.col("x")) % 256).alias("r"), whole(F.col("x") * 3).alias("g"), F.when(F.col("h").isNull(), 9).otherwise(0).alias("b"), F.lit(200).alias("a"))
     last = read(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] or 0
     return fields.resampled_image(targets, image, 8, 134, 88, 64, last + 1)
+
+
+# blocks of 16 rows as tiles in degrees, in a zone's metres, in a country's metres and in Web Mercator, in turn, all around one place
+_BLOCKS = f"""g AS (SELECT y // 16 AS tile, y % 16 AS y, x, h FROM {GRID}),
+blocks AS (SELECT tile, max(y) + 1 AS rows, tile % 4 AS kind, [14.90037 + tile * 7 % 11 * 0.03, 490000 + tile * 7 % 11 * 2500, 215000 + tile * 7 % 11 * 2500, 1660000 + tile * 7 % 11 * 3500][tile % 4 + 1]::DOUBLE AS ox,
+ [52.20041 - tile * 5 % 7 * 0.05, 5790000 - tile * 5 % 7 * 6000, 490000 - tile * 5 % 7 * 6000, 6840000 - tile * 5 % 7 * 9000][tile % 4 + 1]::DOUBLE AS oy, [0.004, 280, 280, 440][tile % 4 + 1]::DOUBLE AS sx, [-0.01, -1100, -1100, -1800][tile % 4 + 1]::DOUBLE AS sy FROM g GROUP BY tile)"""
+
+
+def coded_tiles(spark, sf):
+    b, kind = F.col("tile"), (F.col("tile") % 4 + 1).cast("int")
+    pick = lambda *v: F.element_at(F.array(*[(x if hasattr(x, "cast") else F.lit(x)).cast("double") for x in v]), kind)
+    a, c = b * 7 % 11, b * 5 % 7
+    own = cells(spark, sf).select(F.floor(F.col("y") / 16).alias("tile"), (F.col("y") % 16).alias("y"), "x", "h")
+    code = F.element_at(F.array(F.lit(None), F.lit(32633), F.lit(2180), F.lit(3857)), kind)
+    t = own.groupBy("tile").agg((F.max("y") + 1).alias("height"))
+    t = t.select("tile", b.alias("ord"), code.alias("code"), pick(14.90037 + a * 0.03, 490000 + a * 2500, 215000 + a * 2500, 1660000 + a * 3500).alias("origin_x"), pick(52.20041 - c * 0.05, 5790000 - c * 6000, 490000 - c * 6000, 6840000 - c * 9000).alias("origin_y"), pick(0.004, 280, 280, 440).alias("step_x"), pick(-0.01, -1100, -1100, -1800).alias("step_y"), F.lit(64).alias("width"), "height")
+    return t, own
+
+
+@query("projected_rasters", f"""
+WITH {_BLOCKS}, c AS (SELECT c_custkey AS id, 51.9::DOUBLE + c_custkey * 7 % 401 * 0.001::DOUBLE AS lat, 14.85::DOUBLE + c_custkey * 13 % 503 * 0.001::DOUBLE AS lng FROM customer),
+{_forward_sql("SELECT id, lat, lng, mid FROM c, (VALUES (15), (19)) AS z(mid)", "id, mid")},
+q AS (SELECT id, 0 AS kind, lng AS x, lat AS y FROM c UNION ALL SELECT id, 1, 500000 + 0.9996 * east, 0.9996 * north FROM m WHERE mid = 15 UNION ALL SELECT id, 2, 500000 + 0.9993 * east, 0.9993 * north - 5300000 FROM m WHERE mid = 19
+ UNION ALL SELECT id, 3, radians(lng) * 6378137, asinh(tan(radians(lat))) * 6378137 FROM c),
+p AS (SELECT id, tile, q.kind, (q.x - ox) / sx AS px, (q.y - oy) / sy AS py FROM q JOIN blocks t ON t.kind = q.kind WHERE (q.x - ox) / sx >= 0 AND (q.x - ox) / sx < 63 AND (q.y - oy) / sy >= 0 AND (q.y - oy) / sy < rows - 1),
+w AS (SELECT id, tile, kind, floor(py) + a AS y, floor(px) + b AS x, (CASE WHEN a = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN b = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS wt FROM p, (VALUES (0), (1)) AS v(a), (VALUES (0), (1)) AS u(b)),
+s AS (SELECT id, w.tile, kind, sum(h * wt) AS h FROM w JOIN g ON g.tile = w.tile AND g.y = w.y AND g.x = w.x GROUP BY id, w.tile, kind HAVING count(h) FILTER (wt >= 1e-9) = count(*) FILTER (wt >= 1e-9))
+SELECT c.id, round(arg_min(s.h, (kind, tile)), 3) AS h, arg_min(tile, (kind, tile)) AS tile FROM c LEFT JOIN s USING (id) GROUP BY c.id""")
+def projected_rasters(spark, sf):
+    """Customers' places in tiles of four coordinate systems."""
+    k = F.col("c_custkey")
+    places = read(spark, sf, "customer").select(k.alias("id"), (51.9 + k * 7 % 401 * 0.001).alias("lat"), (14.85 + k * 13 % 503 * 0.001).alias("lng"))
+    return projected.sampled_across(places, *coded_tiles(spark, sf)).select("id", F.round("h", 3).alias("h"), "tile")
+
+
+@query("degree_bounds", f"""
+WITH {_BLOCKS}, k AS (SELECT tile, kind, ox + i * 32 * sx AS x, oy + j * rows / 2 * sy AS y, i, j FROM blocks, (VALUES (0, 0), (2, 0), (0, 2), (2, 2), (1, 1)) AS v(i, j)),
+l AS (SELECT *, CASE kind WHEN 1 THEN y / 0.9996 ELSE (y + 5300000) / 0.9993 END / {_RECTIFYING} AS a, (x - 500000) / CASE kind WHEN 1 THEN 0.9996 ELSE 0.9993 END / {_RECTIFYING} AS b FROM k WHERE kind IN (1, 2)),
+o AS (SELECT *, a{_BACK_N} AS xi, b{_BACK_E} AS eta FROM l),
+n0 AS (SELECT tile * 10 + i * 3 + j AS id, tile, i, j, CASE kind WHEN 1 THEN 15 ELSE 19 END + degrees(atan2(sinh(eta), cos(xi))) AS lng, sin(xi) / sqrt(pow(sinh(eta), 2) + pow(cos(xi), 2)) AS tc, sin(xi) / sqrt(pow(sinh(eta), 2) + pow(cos(xi), 2)) AS tn FROM o),
+{_newton(1).replace("SELECT id,", "SELECT id, tile, i, j,")}, {_newton(2).replace("SELECT id,", "SELECT id, tile, i, j,")}, {_newton(3).replace("SELECT id,", "SELECT id, tile, i, j,")},
+d AS (SELECT tile, i, j, degrees(atan(tn)) AS lat, lng FROM n3 UNION ALL SELECT tile, i, j, y, x FROM k WHERE kind = 0 UNION ALL SELECT tile, i, j, degrees(atan(sinh(y / 6378137))), degrees(x / 6378137) FROM k WHERE kind = 3)
+SELECT tile, round(max(lat) FILTER (i <> 1), 6) AS north, round(min(lat) FILTER (i <> 1), 6) AS south, round(max(lng) FILTER (i <> 1), 6) AS east, round(min(lng) FILTER (i <> 1), 6) AS west, round(max(lat) FILTER (i = 1), 6) AS lat, round(max(lng) FILTER (i = 1), 6) AS lng FROM d GROUP BY tile""")
+def degree_bounds(spark, sf):
+    """Bounds in degrees of tiles of four coordinate systems."""
+    b = projected.degree_bounds(coded_tiles(spark, sf)[0])
+    return b.select("tile", *[F.round(f"bounds.{c}", 6).alias(c) for c in ("north", "south", "east", "west")], F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
