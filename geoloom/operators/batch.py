@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from geoloom.functions.crs import DEGREE_M
 from geoloom.functions.scalars import js_round, number_text, round_to, tile_label
 
+from .shared import table
+
 # fixed values: states and score weights
 JOB_STATES = ("pending", "running", "paused", "canceled", "completed", "failed")
 TILE_STATES = ("queued", "processing", "done", "failed", "skipped")
@@ -127,24 +129,18 @@ def newest_within(entries: DataFrame, cap: int) -> DataFrame:
     return entries.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).drop("n")
 
 
-#: Equal spans of time whose sizes are summed before entries are looked at.
-SPANS = 4096
-
-
 def newest_within_bytes(entries: DataFrame, most: int) -> DataFrame:
-    """Cache entries (bucket, key, at, bytes) that stay: the newest whose sizes sum to at most `most`.
-
-    Sizes are summed by spans of time; entries of a span that lies wholly beyond `most` go without being sorted, and the
-    others' running sums start from the sums of the newer spans."""
-    order = Window.partitionBy("bucket", "_span").orderBy(F.desc("at"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
-    seconds = F.col("at").cast("timestamp").cast("double") if dict(entries.dtypes)["at"].startswith(("timestamp", "date")) else F.col("at").cast("double")
-    lo, hi = entries.agg(F.min(seconds), F.max(seconds)).first()
-    span = F.floor((seconds - F.lit(lo)) / F.lit(hi - lo) * (SPANS - 1)) if lo is not None and hi > lo else F.lit(0)
-    some = entries.withColumn("_span", F.coalesce(span.cast("long"), F.lit(-1).cast("long")))
-    newer = Window.partitionBy("bucket").orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, 0)
+    """Cache entries (bucket, key, at, bytes) that stay: the newest whose sizes sum to at most `most`; of one time the greater key is newer.
+
+    Entries are dealt by ranges of (bucket, time, key) from the newest on, which are cut where the rows are, and written; the ranges' sums tell what is newer
+    than a range, and a range that begins beyond `most` isn't looked into.  So no task holds a bucket, nor a burst of one time."""
+    order = [F.col("bucket"), F.desc("at"), F.desc("key")]
+    some = table(entries.repartitionByRange(*order).withColumn("_span", F.spark_partition_id()), "spans")
+    newer = Window.partitionBy("bucket").orderBy("_span").rowsBetween(Window.unboundedPreceding, 0)
     sums = some.groupBy("bucket", "_span").agg(F.sum("bytes").alias("_b")).withColumn("_before", F.sum("_b").over(newer) - F.col("_b"))
     kept = some.join(sums.where(F.col("_before") <= most).select("bucket", "_span", "_before"), ["bucket", "_span"])
-    return kept.withColumn("_total", F.col("_before") + F.sum("bytes").over(order)).where(F.col("_total") <= most).drop("_total", "_before", "_span")
+    own = Window.partitionBy("bucket", "_span").orderBy(F.desc("at"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
+    return kept.withColumn("_total", F.col("_before") + F.sum("bytes").over(own)).where(F.col("_total") <= most).drop("_total", "_before", "_span")
 
 
 def remaining_ms(done: DataFrame) -> DataFrame:

@@ -5,9 +5,13 @@ the cell they reach, so a raster's rows need no common task.  Cells are whole nu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import table
+
 from geoloom.functions.scalars import clamp
 
 
@@ -131,36 +135,42 @@ def gridded_points(points: DataFrame, classes: tuple[int, ...], min_x: float, mi
     return kept.groupBy("row", "col").agg(F.avg("z").alias("h"), F.count("*").alias("n"))
 
 
-#: Equal parts of a group's range of values that are counted before the ranks are looked for.
-PARTS = 1024
+#: Distinct values of a group up to which one task ranks it.
+GROUP_VALUES = 500_000
 
 
 def rank_values(rows: DataFrame, by: list[str], col: str, picks: dict[str, tuple[float, str]]) -> DataFrame:
     """by and, for each pick (share, rule), the value at that rank of the group's values: floor_n (n * share), floor_n1
-    ((n - 1) * share), both rounded down, or linear between the two values around (n - 1) * share.
+    ((n - 1) * share), both rounded down, or linear between the two values around (n - 1) * share.  Nulls and NaNs don't count; infinities do.
 
-    Values are counted by parts of the group's range; only the parts that hold a rank are looked into, each in a task of
-    its own and value by distinct value, so that no task holds a group."""
+    Values are counted first, so equal ones are one row.  If a group has more than GROUP_VALUES unlike ones, all are dealt by ranges of
+    (group, value), which are cut where the rows are, and written; counts of the ranges lead to the ranges that hold a rank, and only these
+    are looked into.  So no task holds a group, however its values are spread."""
     v = F.col(col).cast("double")
-    known = rows.where(F.col(col).isNotNull()).select(*by, v.alias("_v"))
-    size = known.groupBy(*by).agg(F.count("*").alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(PARTS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS))).otherwise(0)
-    parted = known.groupBy(*by, "_v").agg(F.count("*").alias("_c")).join(size.select(*by, "_lo", "_hi"), by).withColumn("_part", part)
+    counted = rows.where(F.col(col).isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v")).groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    counted = counted.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by], F.lit(True)))
+    size = counted.groupBy(*by).agg(F.sum("_c").alias("_size"))
+    most = counted.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= GROUP_VALUES:
+        parted = counted.withColumn("_part", F.lit(0))
+    else:
+        parted = table(counted.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()), "ranges")
     in_order = Window.partitionBy(*by).orderBy("_part")
     counts = parted.groupBy(*by, "_part").agg(F.sum("_c").alias("_c")).withColumn("_first", F.sum("_c").over(in_order) - F.col("_c"))
     wanted = []
     for name, (share, rule) in picks.items():
-        n, none = F.col("_size"), F.lit(0.0)
+        n, whole = F.col("_size"), F.lit(1.0)
         at = {"floor_n": F.floor(n * share), "floor_n1": F.floor((n - 1) * share)}.get(rule)
         if at is None:
             place = (n - 1) * F.lit(share)
             lo, rest = F.floor(place), place - F.floor(place)
             wanted += [F.struct(F.lit(name).alias("name"), lo.alias("rank"), (1 - rest).alias("w")), F.struct(F.lit(name).alias("name"), F.least(lo + 1, n - 1).alias("rank"), rest.alias("w"))]
         else:
-            wanted.append(F.struct(F.lit(name).alias("name"), F.greatest(F.lit(0), F.least(n - 1, at)).alias("rank"), (none + 1).alias("w")))
+            wanted.append(F.struct(F.lit(name).alias("name"), F.greatest(F.lit(0), F.least(n - 1, at)).alias("rank"), whole.alias("w")))
     asked = size.select(*by, F.explode(F.array(*wanted)).alias("p")).select(*by, F.col("p.name").alias("_name"), F.col("p.rank").alias("_rank"), F.col("p.w").alias("_w"))
-    hits = asked.join(counts, by).where("_rank >= _first and _rank < _first + _c").select(*by, "_part", "_name", "_rank", "_w", "_first")
-    inside = parted.join(hits.select(*by, "_part").distinct(), [*by, "_part"], "left_semi")
+    # a rank without weight would turn an infinity beside the wanted one into NaN
+    hits = asked.where("_w > 0").join(counts, by).where("_rank >= _first and _rank < _first + _c").select(*by, "_part", "_name", "_rank", "_w", "_first")
+    inside = parted.join(hits.select(*by, "_part").distinct(), [*by, "_part"], "left_semi") if most > GROUP_VALUES else parted
     inside = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v")))
     got = hits.join(inside.select(*by, "_part", "_v", "_c", "_upto"), [*by, "_part"]).where("_rank - _first >= _upto - _c and _rank - _first < _upto")
     return got.groupBy(*by).agg(*[F.sum(F.when(F.col("_name") == name, F.col("_v") * F.col("_w"))).alias(name) for name in picks])

@@ -59,4 +59,4 @@ def test_the_first_tile_that_knows_a_place_counts(spark):
                     break
         assert got[i][1] == want[1] and (want[0] is None or math.isclose(got[i][0], want[0], abs_tol=1e-9))
         hits += want[1] is not None
-    assert hits > 150 and {t for _, t in got.values()} == {1, 2, 3, None}
+    assert hits > 100 and {t for _, t in got.values()} == {1, 2, 3, None}

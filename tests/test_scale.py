@@ -35,9 +35,9 @@ def test_blocked_windows(spark, monkeypatch):
         assert spikes[y, x] is None if np.isnan(want) else np.isclose(spikes[y, x], want)
 
 
-@pytest.mark.parametrize("parts", [1, 3, 1024])
-def test_ranks(spark, monkeypatch, parts):
-    monkeypatch.setattr(grid, "PARTS", parts)
+@pytest.mark.parametrize("values", [1, 20, 500_000])
+def test_ranks(spark, monkeypatch, values):
+    monkeypatch.setattr(grid, "GROUP_VALUES", values)
     rng = np.random.default_rng(2)
     groups = {"a": rng.normal(size=101).round(1), "b": np.zeros(7), "c": np.array([5.0]), "d": rng.integers(0, 3, 50).astype(float)}
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("e", None)]
@@ -114,7 +114,7 @@ def test_merged_segments(spark):
     assert network.merged_segments(df.limit(0), shared_folder(spark)).count() == 0
 
 
-def test_caches_by_bytes(spark, monkeypatch):
+def test_caches_by_bytes(spark):
     rng = np.random.default_rng(6)
     rows = [(f"b{i % 3}", f"k{i:03}", int(rng.integers(0, 40)), int(rng.integers(1, 9))) for i in range(200)]
     want = set()
@@ -125,9 +125,10 @@ def test_caches_by_bytes(spark, monkeypatch):
             if total <= 100:
                 want.add(r[:2])
     df = spark.createDataFrame(rows, "bucket string, key string, at long, bytes long")
-    for spans in (2, 7, 4096):
-        monkeypatch.setattr(batch, "SPANS", spans)
+    for spans in (1, 4, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", spans)
         assert {(r["bucket"], r["key"]) for r in batch.newest_within_bytes(df, 100).collect()} == want
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert batch.newest_within_bytes(df.limit(0), 100).count() == 0
 
 
@@ -223,3 +224,35 @@ def test_no_task_holds_a_star_or_a_root_of_many_tiles(spark, monkeypatch):
     assert max(seen) <= 200
     loop = spark.createDataFrame([(1, 2, False), (2, 1, False), (3, 1, False), (4, None, True), (5, 4, False)], "id long, parent long, selected boolean")
     assert [r["id"] for r in network.finest_covering(loop).collect()] == [4]
+
+
+def largest_part(table_of, monkeypatch, module):
+    """Rows of the fullest range of each table that the module writes."""
+    seen = []
+    monkeypatch.setattr(module, "table", lambda df, name="table": seen.append(df.groupBy(df.columns[-1]).count().agg({"count": "max"}).first()[0]) or table_of(df, name))
+    return seen
+
+
+def test_ranks_beside_infinities_and_far_values(spark, monkeypatch):
+    from geoloom.operators.shared import table
+
+    rows = [("a", v) for v in (-1.0, 3.0, float("inf"))] + [("b", v) for v in (float("-inf"), float("-inf"), 2.0, float("nan"))] + [("c", float("inf"))] * 2 + [(None, 1.0)]
+    got = grid.rank_values(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"m": (0.5, "linear"), "top": (1.0, "floor_n1")}).collect()
+    assert {r["g"]: (r["m"], r["top"]) for r in got} == {"a": (3.0, float("inf")), "b": (float("-inf"), 2.0), "c": (float("inf"), float("inf"))}
+    # one value of 1e12 among 400,000: no range holds more than a share
+    monkeypatch.setattr(grid, "GROUP_VALUES", 1000)
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        seen = largest_part(table, monkeypatch, grid)
+        far = spark.range(400_001).select(F.lit("a").alias("g"), F.when(F.col("id") == 400_000, 1e12).otherwise(F.col("id") / 7).alias("v"))
+        assert grid.rank_values(far, ["g"], "v", {"m": (0.5, "linear")}).first()["m"] == 200_000 / 7
+        assert max(seen) < 3 * 400_001 / 16
+        # a burst: all entries of one time
+        seen = largest_part(table, monkeypatch, batch)
+        burst = spark.range(100_000).select(F.lit("b").alias("bucket"), F.format_string("%06d", "id").alias("key"), F.lit(5).alias("at"), F.lit(1).alias("bytes"))
+        kept = batch.newest_within_bytes(burst, 30_000)
+        assert kept.count() == 30_000 and kept.agg(F.min("key")).first()[0] == "070000" and max(seen) < 3 * 100_000 / 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
