@@ -266,6 +266,28 @@ def flat_ground(tags: Column) -> Column:
     return ~_has(tags, "building") & _any(_is(tags, "amenity", "parking"), _is(tags, "place", "square"), _has(tags, "area:highway"), _is(tags, "area", "yes") & _is(tags, "highway", "pedestrian", "footway", "service", "living_street"))
 
 
+# fixed values: half widths in metres of roads that lie on the ground, by class, that of all others, and classes that aren't driven on
+GROUND_HALF = {"motorway": 12.0, "trunk": 10.0, "primary": 8.0, "secondary": 6.0, "tertiary": 5.0, "residential": 4.0, "unclassified": 4.0, "living_street": 4.0, "service": 3.0}
+GROUND_HALF_ELSE = 4.0
+NOT_DRIVEN = ("footway", "path", "pedestrian", "steps", "cycleway", "bridleway", "corridor")
+
+
+def on_ground(tags: Column) -> Column:
+    """No bridge, no tunnel, and no layer but 0; a layer that is no number counts as one."""
+    off = lambda k: _has(tags, k) & (tags[k] != "no")
+    layer = F.trim(tags["layer"])
+    level = tags["layer"].isNull() | (layer == "") | F.coalesce(layer.try_cast("double") == 0, F.lit(False))
+    return ~off("bridge") & ~off("tunnel") & level
+
+
+def ground_half(tags: Column) -> Column:
+    """Half the width in metres of a road on the ground, null for ways that aren't driven on."""
+    out = F.lit(GROUND_HALF_ELSE)
+    for name, half in GROUND_HALF.items():
+        out = F.when(_is(tags, "highway", name), half).otherwise(out)
+    return F.when(~_is(tags, "highway", *NOT_DRIVEN), out)
+
+
 def excluded_water(tags: Column) -> Column:
     """Sea and harbour water, which is no inland water."""
     return _any(_is(tags, "place", "sea", "ocean"), _is(tags, "natural", "bay"), _is(tags, "water", "dock", "harbour"), _is(tags, "harbour", "yes"), _is(tags, "leisure", "marina"))

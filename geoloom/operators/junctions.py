@@ -92,21 +92,44 @@ def water_blocks(rings: DataFrame) -> DataFrame:
 
 def ground_mask(roads: DataFrame, size: int, feather: float) -> DataFrame:
     """cx, cz, w: coverage of cells by road segments (half, ax, az, bx, bz in cells): 1 inside the half width, falling
-    smoothly to 0 over the feather, the greatest counts."""
+    smoothly to 0 over the feather, the greatest counts.  Each row of cells is looked at only beside the part of the segment that is
+    near it, so a long slanting segment meets its own cells, not those of its box."""
     from geoloom.functions.scalars import smoothstep
 
     from .geometry import segment_distance2
 
-    reach = F.col("half") + feather
-    lo = lambda a, b: F.greatest(F.lit(0), F.floor(F.least(a, b) - reach)).cast("int")
-    hi = lambda a, b: F.least(F.lit(size - 1), F.ceil(F.greatest(a, b) + reach)).cast("int")
-    r = roads.withColumn("x0", lo("ax", "bx")).withColumn("x1", hi("ax", "bx")).withColumn("z0", lo("az", "bz")).withColumn("z1", hi("az", "bz")).where("x0 <= x1 and z0 <= z1")
-    c = r.withColumn("cx", F.explode(F.sequence("x0", "x1"))).withColumn("cz", F.explode(F.sequence("z0", "z1")))
-    edge = F.sqrt(segment_distance2(F.col("cx") + 0.5, F.col("cz") + 0.5, *[F.col(k) for k in ("ax", "az", "bx", "bz")])) - F.col("half")
+    reach, mid, dz, dx = F.col("half") + feather, F.col("cz") + 0.5, F.col("bz") - F.col("az"), F.col("bx") - F.col("ax")
+    hold = lambda v: F.greatest(F.lit(0), F.least(F.lit(size - 1), v)).cast("int")
+    z0, z1 = F.floor(F.least("az", "bz") - reach), F.ceil(F.greatest("az", "bz") + reach)
+    r = roads.where((z1 >= 0) & (z0 <= size - 1)).withColumn("cz", F.explode(F.sequence(hold(z0), hold(z1))))
+    t0, t1 = ((mid + s * reach - F.col("az")) / F.nullif(dz, F.lit(0.0)) for s in (-1, 1))
+    low, top = F.greatest(F.lit(0.0), F.coalesce(F.least(t0, t1), F.lit(0.0))), F.least(F.lit(1.0), F.coalesce(F.greatest(t0, t1), F.lit(1.0)))
+    r = r.withColumn("t0", low).withColumn("t1", top).where("t0 <= t1")
+    a, b = F.col("ax") + F.col("t0") * dx, F.col("ax") + F.col("t1") * dx
+    x0, x1 = F.floor(F.least(a, b) - reach - 0.5), F.ceil(F.greatest(a, b) + reach - 0.5)
+    c = r.where((x1 >= 0) & (x0 <= size - 1)).withColumn("cx", F.explode(F.sequence(hold(x0), hold(x1))))
+    edge = F.sqrt(segment_distance2(F.col("cx") + 0.5, mid, *[F.col(k) for k in ("ax", "az", "bx", "bz")])) - F.col("half")
     c = c.withColumn("edge", edge).where(F.col("edge") < feather)
     return c.groupBy("cx", "cz").agg(F.max(F.when(F.col("edge") <= 0, 1.0).otherwise(smoothstep((feather - F.col("edge")) / feather))).alias("w"))
 
 
+def ground_cover(features: DataFrame, size: int, cell: float, feather: float) -> DataFrame:
+    """cx, cz, w: coverage of cells by what lies flat on the ground of features (type, tags, geometry: array of x, y in cells, holes): flat areas of three points
+    or more are filled, other roads of two points or more are as wide as their class; bridges, tunnels and other layers are left out.  cell, feather:
+    metres."""
+    from geoloom.functions import tags as rules
+
+    from .fields import area_mask
+
+    on = features.where(rules.on_ground(F.col("tags")) & F.col("geometry").isNotNull())
+    area = rules.flat_ground(F.col("tags")) & (F.size("geometry") >= 3)
+    areas = area_mask(on.where(area).select(F.col("geometry").alias("ring"), F.coalesce("holes", F.slice(F.array("geometry"), 1, 0)).alias("holes")), size, feather / cell)
+    lines = on.where(~area & (F.col("type") == "road") & (F.size("geometry") >= 2)).select((rules.ground_half(F.col("tags")) / cell).alias("half"), "geometry").where("half is not null")
+    ends = F.explode(F.arrays_zip(F.slice("geometry", 1, F.size("geometry") - 1).alias("a"), F.slice("geometry", 2, F.size("geometry") - 1).alias("b"))).alias("s")
+    segs = lines.select("half", ends).select("half", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("az"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("bz"))
+    return ground_mask(segs, size, feather / cell).union(areas.select("cx", "cz", "w")).groupBy("cx", "cz").agg(F.max("w").alias("w"))
+
+
 def capped(rows: DataFrame, caps: dict[str, int]) -> DataFrame:
     """rows (category, priority, ord) within the cap of their category, high priorities first, then in order.  Only
     categories with a cap are ranked."""

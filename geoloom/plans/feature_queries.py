@@ -122,6 +122,30 @@ def ground_mask(spark, sf):
     return junctions.ground_mask(s, 64, 3.0).select("cx", "cz", F.round("w", 6).alias("w"))
 
 
+_COVER = f"""WITH f AS (SELECT *, id * 7 % 64 AS x0, id * 13 % 64 AS y0, id % 9 + 2 AS r FROM {tagged_sql()}),
+g AS (SELECT *, amenity_ IS NOT DISTINCT FROM 'parking' OR (area_ IS NOT DISTINCT FROM 'yes' AND coalesce(highway_ IN ('pedestrian', 'footway', 'service', 'living_street'), false)) AS flat FROM f
+      WHERE coalesce(bridge_, 'no') = 'no' AND coalesce(tunnel_, 'no') = 'no' AND (layer_ IS NULL OR coalesce(TRY_CAST(layer_ AS DOUBLE) = 0, false))),
+h AS (SELECT * EXCLUDE (flat), flat AND building_ IS NULL AS flat FROM g),
+c AS (SELECT h.*, x.i + 0.5::DOUBLE AS px, z.i + 0.5::DOUBLE AS py FROM h, (SELECT unnest(range(64)) AS i) x, (SELECT unnest(range(64)) AS i) z WHERE x.i BETWEEN x0 - 13 AND x0 + 22 AND z.i BETWEEN y0 - 13 AND y0 + 32),
+a AS (SELECT px, py, CASE WHEN px BETWEEN x0 AND x0 + r AND py BETWEEN y0 AND y0 + 2 * r THEN 0 ELSE sqrt(pow(greatest(x0 - px, 0, px - x0 - r), 2) + pow(greatest(y0 - py, 0, py - y0 - 2 * r), 2)) END AS edge FROM c WHERE flat),
+s AS (SELECT px, py, x0::DOUBLE AS ax, y0::DOUBLE AS ay, (x0 + r)::DOUBLE AS bx, y0::DOUBLE AS b_y, highway_ FROM c WHERE NOT flat AND id % 3 > 0 UNION ALL SELECT px, py, (x0 + r)::DOUBLE, y0::DOUBLE, (x0 + r)::DOUBLE, (y0 + 2 * r)::DOUBLE, highway_ FROM c WHERE NOT flat AND id % 3 > 0
+ UNION ALL SELECT px, py, (x0 + r)::DOUBLE, (y0 + 2 * r)::DOUBLE, x0::DOUBLE, (y0 + 2 * r)::DOUBLE, highway_ FROM c WHERE NOT flat AND id % 3 > 0),
+t AS (SELECT *, greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (b_y - ay)) / (pow(bx - ax, 2) + pow(b_y - ay, 2)))) AS t, CASE highway_ WHEN 'motorway' THEN 12 WHEN 'trunk' THEN 10 WHEN 'primary' THEN 8 WHEN 'secondary' THEN 6 WHEN 'tertiary' THEN 5 WHEN 'service' THEN 3 ELSE 4 END / 2.0 AS half FROM s WHERE highway_ IS NULL OR highway_ <> 'footway'),
+e AS (SELECT px, py, sqrt(pow(px - ax - (bx - ax) * t, 2) + pow(py - ay - (b_y - ay) * t, 2)) - half AS edge FROM t UNION ALL SELECT px, py, edge FROM a),
+w AS (SELECT px, py, min(edge) AS edge FROM e WHERE edge < 1.5 GROUP BY px, py)"""
+
+
+@query("ground_cover", _COVER + " SELECT CAST(px - 0.5 AS INT) AS cx, CAST(py - 0.5 AS INT) AS cz, round(CASE WHEN edge <= 0 THEN 1 ELSE pow((1.5 - edge) / 1.5, 2) * (3 - 2 * (1.5 - edge) / 1.5) END, 6) AS w FROM w")
+def ground_cover(spark, sf):
+    """Tagged features of parts as rectangles or three sides of them, at two metres a cell, whatever of them lies on the ground."""
+    f = tagged(spark, sf)
+    x, y, r = F.col("id") * 7 % 64, F.col("id") * 13 % 64, F.col("id") % 9 + 2
+    point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    ring = F.array(point(x, y), point(x + r, y), point(x + r, y + 2 * r), point(x, y + 2 * r))
+    f = f.select("id", F.when(F.col("id") % 3 > 0, "road").otherwise("landuse").alias("type"), "tags", ring.alias("geometry"), F.lit(None).cast("array<array<struct<x:double,y:double>>>").alias("holes"))
+    return junctions.ground_cover(f, 64, 2.0, 3.0).select("cx", "cz", F.round("w", 6).alias("w"))
+
+
 @query("capped_categories", """
 SELECT l_orderkey AS ord, category FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY priority DESC, ord) AS n FROM (SELECT l_orderkey, l_returnflag AS category, l_linenumber % 3 AS priority, l_orderkey * 1000000 + l_partkey * 100 + l_linenumber AS ord FROM lineitem)) WHERE n <= CASE category WHEN 'A' THEN 50 WHEN 'R' THEN 120 ELSE 1000000000 END""")
 def capped_categories(spark, sf):

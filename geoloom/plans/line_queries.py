@@ -133,11 +133,12 @@ def reset_tiles(spark, sf):
 
 @query("own_tile_names", """
 SELECT p_partkey AS index, n AS name FROM (SELECT p_partkey, trim(CASE WHEN p_partkey % 3 = 0 THEN printf('R%dC%d', p_partkey // 7 + 1, p_partkey % 7 + 1) WHEN p_partkey % 3 = 1 THEN '  ' ELSE concat(' ', p_name, ' ') END) AS n FROM part)
-WHERE n <> '' AND n <> printf('R%dC%d', p_partkey // 7 + 1, p_partkey % 7 + 1) AND p_partkey < 1000""")
+WHERE n <> '' AND n <> printf('R%dC%d', p_partkey // 7 + 1, p_partkey % 7 + 1)""")
 def own_tile_names(spark, sf):
     k = F.col("p_partkey")
     name = F.when(k % 3 == 0, F.format_string("R%dC%d", F.floor(k / 7) + 1, k % 7 + 1)).when(k % 3 == 1, "  ").otherwise(F.concat(F.lit(" "), F.col("p_name"), F.lit(" ")))
-    return batch.tile_names(read(spark, sf, "part").select(k.alias("index"), name.alias("name")), 7, 1000)
+    tiles = (read(spark, sf, "part").agg(F.max("p_partkey")).first()[0] or 0) + 1  # of the grid
+    return batch.tile_names(read(spark, sf, "part").select(k.alias("index"), name.alias("name")), 7, tiles)
 
 
 @query("mask_residuals", """

@@ -149,3 +149,26 @@ def test_a_gap_needs_two_level_roads(spark):
     assert {p["z"] for p in got[0]["ring"]} == {1.0, 1.5} and max(p["x"] for p in got[0]["ring"]) > 1.5
     none = cells[0].limit(0)
     assert gaps.gap_junctions(none, none, spark.createDataFrame([], "seg int, x double, y double, z double"), spark.createDataFrame([], "target int, x double, y double, z double"), 1.0, 3.0).count() == 0
+
+
+def test_what_lies_on_the_ground(spark):
+    """A road east to west through the middle of 200 m by 200 m at a metre a cell, as in the mask's own numbers; bridges, tunnels and layers don't count, nor
+    do footways; a parking place is filled but for its hole."""
+    from geoloom.operators import junctions
+
+    road = [{"x": 0.0, "y": 100.0}, {"x": 200.0, "y": 100.0}]
+    square = [{"x": x, "y": y} for x, y in ((80.0, 80.0), (120.0, 80.0), (120.0, 120.0), (80.0, 120.0))]
+    hole = [[{"x": x, "y": y} for x, y in ((95.0, 95.0), (105.0, 95.0), (105.0, 105.0), (95.0, 105.0))]]
+    schema = "type string, tags map<string,string>, geometry array<struct<x:double,y:double>>, holes array<array<struct<x:double,y:double>>>"
+
+    def mask(*features):
+        return {(r["cx"], r["cz"]): r["w"] for r in junctions.ground_cover(spark.createDataFrame(list(features), schema), 200, 1.0, 3.0).collect()}
+
+    home = mask(("road", {"highway": "residential"}, road, None))
+    assert home[100, 100] > 0.95 and home.get((100, 110), 0) < 0.05 and mask(("road", {"highway": "motorway"}, road, None))[100, 110] > 0.9
+    for tags in ({"bridge": "yes"}, {"tunnel": "culvert"}, {"layer": "1"}, {"layer": "x"}, {"highway": "footway"}):
+        assert mask(("road", {"highway": "residential"} | tags, road, None)) == {}
+    assert mask(("road", {"highway": "residential", "bridge": "no", "layer": " 0 "}, road, None)) == home
+    assert mask(("landuse", {"highway": "residential"}, road, None)) == {} and mask(("road", {}, None, None)) == {}
+    park = mask(("landuse", {"amenity": "parking"}, square, hole))
+    assert park[85, 100] == 1 and (100, 100) not in park and mask(("landuse", {"amenity": "parking", "building": "yes"}, square, None)) == {}
