@@ -166,3 +166,42 @@ def paint_order(spark, sf):
     s = F.col("p_size")
     f = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 40).alias("tile"), F.when(s % 3 == 0, s % 5).alias("class"), F.when(s % 3 != 0, s % 4).alias("bucket"), F.col("p_retailprice").alias("area"), (s % 2).alias("layer"))
     return junctions.paint_order(f).select("id", "n")
+
+
+_TEXT = "concat(' ', p_name, '/', p_brand, CASE WHEN p_partkey % 5 = 0 THEN '  ##' ELSE '_x.' END, p_partkey)"
+_UNITS = ("US survey foot", "ftUS", "International Foot", "feet", "metre", "Meter", "degree", "left")
+
+
+@query("text_forms", f"""
+WITH t AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN ' # ' ELSE {_TEXT} END AS s, {list(_UNITS)}[p_partkey % 8 + 1] AS u, p_partkey * 370 % 5000 AS ms, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 3 = 1 END AS flag FROM part),
+w AS (SELECT *, CASE WHEN regexp_matches(lower(u), 'us survey|survey foot|us-ft|ftus') THEN 'us_survey_foot' WHEN regexp_matches(lower(u), 'foot|feet|ft') THEN 'foot' WHEN regexp_matches(lower(u), 'metre|meter') THEN 'meter' END AS unit FROM t)
+SELECT id, coalesce(nullif(substr(trim(regexp_replace(regexp_replace(s, '[^A-Za-z0-9 _.-]', ' ', 'g'), ' +', ' ', 'g')), 1, 96), ''), 'roads') AS folder,
+ coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim(s), '[^A-Za-z0-9_-]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g'), ''), 'tile') AS part,
+ unit, CASE unit WHEN 'foot' THEN 0.3048 WHEN 'us_survey_foot' THEN 1200.0 / 3937 ELSE 1.0 END::DOUBLE AS scale, CASE WHEN ms >= 1000 THEN printf('%.2fs', ms / 1000) ELSE printf('%dms', ms) END AS took, flag IS TRUE AS sure FROM w""")
+def text_forms(spark, sf):
+    """Names as folders and parts of file names, units in texts with their scale, durations, strict truth."""
+    from geoloom.functions import scalars
+
+    k = F.col("p_partkey")
+    s = F.when(k % 11 == 0, " # ").otherwise(F.concat(F.lit(" "), "p_name", F.lit("/"), "p_brand", F.when(k % 5 == 0, "  ##").otherwise("_x."), k.cast("string")))
+    unit = scalars.unit_of_text(F.element_at(F.array(*map(F.lit, _UNITS)), (k % 8 + 1).cast("int")))
+    flag = F.when(k % 3 > 0, k % 3 == 1)
+    return read(spark, sf, "part").select(k.alias("id"), scalars.sanitize_folder(s, "roads").alias("folder"), scalars.sanitize_file_part(s).alias("part"), unit.alias("unit"), scalars.unit_scale(unit).alias("scale"), scalars.duration_ms_text(k * 370 % 5000).alias("took"), scalars.strictly_true(flag).alias("sure"))
+
+
+_SOME_KEYS = ("building", "landuse", "leisure", "natural", "amenity", "man_made", "historic", "surface")
+
+
+@query("area_ways", f"""
+WITH f AS (SELECT *, id % 4 AS n FROM {tagged_sql()})
+SELECT id, CASE WHEN n = 0 THEN false WHEN area_ IS NOT DISTINCT FROM 'yes' THEN true WHEN area_ IS NOT DISTINCT FROM 'no' THEN false WHEN n = 1 THEN false WHEN highway_ IS NOT NULL OR barrier_ IS NOT NULL THEN false
+ WHEN waterway_ IS NOT NULL THEN waterway_ IN {tags.AREA_WATERWAYS!r} ELSE {' OR '.join(f'{k}_ IS NOT NULL' for k in _SOME_KEYS)} END AS area,
+ CASE {' '.join(f"WHEN highway_ = '{name}' THEN {mat}" for name, mat, _ in tags.LAYER_ROADS)} END::INT AS mat, CASE {' '.join(f"WHEN highway_ = '{name}' THEN {half}" for name, _, half in tags.LAYER_ROADS)} END::DOUBLE AS half_m FROM f""")
+def area_ways(spark, sf):
+    """Which of parts' features are areas by their tags and rings, and the layer map's material and half width of those that are roads."""
+    k = F.col("id")
+    point = lambda x, y: F.struct(F.lit(float(x)).alias("lat"), F.lit(float(y)).alias("lng"))
+    rings = [F.array(point(0, 0), point(0, 1)), F.array(point(0, 0), point(0, 1), point(1, 1)), F.array(point(0, 0), point(0, 1), point(1, 1), point(0, 0)), F.array(point(0, 0), point(0, 2), point(2, 2), point(2, 0), point(0, 0))]
+    ring = F.when(k % 4 == 0, rings[0]).when(k % 4 == 1, rings[1]).when(k % 4 == 2, rings[2]).otherwise(rings[3])
+    road = tags.layer_road(F.col("tags"))
+    return tagged(spark, sf).select("id", tags.area_like(F.col("tags"), ring).alias("area"), road["mat"].alias("mat"), road["half_m"].alias("half_m"))
