@@ -11,7 +11,8 @@ least 0.8; a class is a connected component of links.  The plan:
 3. In each bucket of a band key the least node leads; every other node makes one pair with it.
    Pairs are compared set against set; the similar ones are links, and links give labels.
 4. A bucket of three nodes or more that still holds two labels may hide links between nodes that
-   didn't lead.  A node of another label leads next, LEADERS times or until that finds no link.
+   didn't lead.  Where more than a block of nodes have another label than the lead, a node of another label leads next, LEADERS
+   times or until that finds no link.
 5. In what is left, the nodes outside a bucket's largest label are dealt into blocks of bounded size, in nodes and in
    bytes of their sets, and compared with one another and with blocks of the largest label, each pair of blocks in one task, which
    reports only the links that join two labels.  So no bucket needs a cap, no list of all its pairs is ever
@@ -83,7 +84,7 @@ def occurrences(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row (unique: row_col, or made here), doc_id, h1, h2 (hash of the weighted set), keys (one a band), shingles
-    (hashes of occurrences, ascending little-endian unsigned 32-bit)."""
+    (hashes of occurrences, ascending little-endian unsigned 32-bit) and their bytes."""
 
     def make():
         from pyspark import TaskContext
@@ -108,13 +109,14 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
                 "h1": [int.from_bytes(h[:8], "little", signed=True) for h in whole],
                 "h2": [int.from_bytes(h[8:], "little", signed=True) for h in whole],
                 "keys": [next(found) if len(s) else [] for s, _ in sets],
-                "shingles": [occurrences(s, n).tobytes() for s, n in sets],
+                "shingles": (shingles := [occurrences(s, n).tobytes() for s, n in sets]),
+                "bytes": [len(x) for x in shingles],
             }
 
         return f
 
     rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
-    return arrow_map(rows_, make, "row long, doc_id long, h1 long, h2 long, keys array<long>, shingles binary")
+    return arrow_map(rows_, make, "row long, doc_id long, h1 long, h2 long, keys array<long>, shingles binary, bytes long")
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -205,8 +207,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, words:
     members = table(made.select("row", "doc_id", "h1", "h2"), "members")
     least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("least")
     nodes = table(members.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("n"), least), "nodes")
-    keys = table(made.select(F.col("row").alias("node"), "keys").join(nodes.select("node"), "node", "left_semi"), "keys")
-    exploded = keys.select("node", F.explode("keys").alias("key"))
+    keys = table(made.select(F.col("row").alias("node"), "keys", "bytes").join(nodes.select("node"), "node", "left_semi"), "keys")
+    exploded = keys.select("node", "bytes", F.explode("keys").alias("key"))
     buckets = table(exploded.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"), "leads")
     hot = hot_keys(buckets, ["key"], bands * keys.count())
     in_buckets = table(join_hot(exploded, buckets, ["key"], hot), "buckets")
@@ -214,22 +216,29 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, words:
     wanted = table(in_buckets.select("node").distinct(), "wanted")
     sets = table(made.select(F.col("row").alias("node"), "shingles").join(sent_if_small(wanted), "node", "left_semi"), "sets")
     drop(spark, made, keys)
-    labels = wanted.join(components(table(verified(pairs, sets, threshold), "verified")), "node", "left")
+    links = table(verified(pairs, sets, threshold), "verified")
+    # only nodes that aren't linked to their bucket's lead can have another label than it
+    apart = in_buckets.where("n > 2 and node != lead").select("key", F.col("lead").alias("a"), F.col("node").alias("b"), "bytes")
+    apart = table(apart.join(links, ["a", "b"], "left_anti"), "apart")
+    labels = wanted.join(components(links), "node", "left")
     labels = table(labels.select("node", F.coalesce("label", "node").alias("label")), "labels")
     drop(spark, pairs, wanted)
 
     found, round_ = True, 0
     while found:
-        left = table(unlike_buckets(in_buckets, labels, hot), "unlike")
+        left, strays = unlike_buckets(in_buckets, apart, labels, hot)
         if not left.limit(1).count():
             break
         round_ += 1
-        if round_ <= LEADERS:
-            links = table(verified(table(next_pairs(left, hot, round_), "pairs"), sets, threshold), "verified")
+        # the strays of other buckets are one block already, which further leaders couldn't make fewer
+        many = strays.where(F.col("strays") > BLOCK).select("key")
+        found = round_ <= LEADERS and bool(many.limit(1).count())
+        if found:
+            many = table(join_keys(left, many, hot, "left_semi"), "many")
+            links = table(verified(table(next_pairs(many, hot, round_), "pairs"), sets, threshold), "verified")
             found = bool(links.limit(1).count())
-        if round_ > LEADERS or not found:
-            sized = left.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node")
-            links = table(links_in_blocks(dealt(sized, hot).join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), threshold), "more")
+        if not found:
+            links = table(links_in_blocks(dealt(left, hot).join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), threshold), "more")
             labels = relabelled(labels, links) if links.limit(1).count() else labels
             break
         labels = relabelled(labels, links)
@@ -242,11 +251,25 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, words:
     return whole.select("doc_id", F.col("least.doc_id").alias("class_id"), "class_size", "row", (F.col("least.row") == F.col("row")).alias("first"))
 
 
-def unlike_buckets(in_buckets: DataFrame, labels: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """key, node, lead, label of the buckets of three nodes or more that hold two labels or more."""
-    labelled = in_buckets.where("n > 2").join(labels, "node").select("key", "node", "lead", "label")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key")
-    return join_hot(labelled, mixed, ["key"], hot, "left_semi")
+def join_keys(rows: DataFrame, side: DataFrame, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with side (one row a bucket) by key: sent to the rows if it is measured to be small, else by join_hot."""
+    side = table(side, "keyed")
+    sent = sent_if_small(side)
+    return rows.join(sent, ["key"], how) if sent is not side else join_hot(rows, side, ["key"], hot, how)
+
+
+def unlike_buckets(in_buckets: DataFrame, apart: DataFrame, labels: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(key, node, lead, label, bytes) of the buckets of three nodes or more that hold two labels or more, and (key, strays) of these: the
+    number of nodes that have another label than the lead.  apart: key, a (lead), b, bytes of the nodes that aren't linked to their lead; all
+    others have the lead's label."""
+    often = hot_keys(apart.groupBy("a").agg(F.count("*").alias("n")), ["a"], apart.count())
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    known = table(join_hot(apart, of("a"), ["a"], often).join(of("b"), "b").select("key", F.col("b").alias("node"), F.col("a").alias("lead"), "la", F.col("lb").alias("label"), "bytes"), "known")
+    mixed = table(known.where("la != label").groupBy("key", "la").agg(F.count("*").alias("strays")), "mixed")
+    others = table(join_keys(known, mixed.select("key"), hot, "left_semi"), "others")
+    linked = join_keys(in_buckets.where("n > 2"), mixed.select("key", "la"), hot).join(others.select("key", "node"), ["key", "node"], "left_anti")
+    left = others.select("key", "node", "lead", "label", "bytes").union(linked.select("key", "node", "lead", F.col("la").alias("label"), "bytes"))
+    return table(left, "unlike"), mixed.select("key", "strays")
 
 
 def next_pairs(left: DataFrame, hot: DataFrame | None, round_: int) -> DataFrame:
@@ -268,7 +291,7 @@ def dealt(left: DataFrame, hot: DataFrame | None) -> DataFrame:
     blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
     strays = blocks(F.col("n") - F.col("top.m"), F.col("size") - F.col("top.size"))
     largest = largest.select("key", F.col("top.label").alias("main"), blocks(F.col("top.m"), F.col("top.size")).alias("mains"), strays.alias("strays"))
-    known = join_hot(left, largest, ["key"], hot).withColumn("stray", F.col("label") != F.col("main"))
+    known = join_keys(left, largest, hot).withColumn("stray", F.col("label") != F.col("main"))
     known = known.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int"))
     among = known.where("stray").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)))
     among = among.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
