@@ -5,6 +5,7 @@ source cell carries its right and lower neighbours."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,24 +104,96 @@ def field_values(points: DataFrame, field: DataFrame, n: int) -> DataFrame:
     return sampled(p, field).drop("px", "py").withColumnRenamed("h", "value")
 
 
+# fixed values: rows of cells that one step of an area covers, pairs of a cell and an edge that are held at a time, cells that a task
+# gathers before it hands them on
+BAND, PAIRS, GATHERED = 64, 1 << 20, 1 << 20
+
+
+def _ring_cells(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, measure: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Whether places (rows y, columns x) lie in a ring, and their squared distance from it if it is asked for; edges with a missing
+    coordinate don't count.  The arithmetic is that of `point_in_ring` and `ring_distance`."""
+    inside, near = np.zeros((len(y), len(x)), bool), np.full((len(y), len(x)), np.inf)
+    bx, by = np.roll(rx, -1), np.roll(ry, -1)
+    known = ~(np.isnan(rx) | np.isnan(ry) | np.isnan(bx) | np.isnan(by))
+    edges = [v[known] for v in (rx, ry, bx, by)]
+    step = max(1, PAIRS // max(1, inside.size))
+    for n in range(0, len(edges[0]), step):
+        ax, ay, ex, ey = (v[n : n + step] for v in edges)
+        dx, dy = ex - ax, ey - ay
+        with np.errstate(all="ignore"):
+            cut = dx * (y[:, None] - ay) / np.where(dy == 0, 1e-12, dy) + ax
+            cut = np.where((ay > y[:, None]) != (ey > y[:, None]), cut, -np.inf)
+            inside ^= (x[None, :, None] < cut[:, None, :]).sum(2) % 2 == 1
+            if measure:
+                size, px, py = dx * dx + dy * dy, x[None, :, None] - ax, y[:, None, None] - ay
+                t = np.where(size > 0, np.clip((px * dx + py * dy) / size, 0.0, 1.0), 0.0)
+                qx, qy = x[None, :, None] - (ax + dx * t), y[:, None, None] - (ay + dy * t)
+                near = np.minimum(near, (qx * qx + qy * qy).min(2))
+    return inside, near
+
+
 def area_mask(areas: DataFrame, size: int, feather: float) -> DataFrame:
     """cx, cz, w: coverage of cells by areas (ring and holes of points x, y in cells): 1 inside, falling smoothly to 0 over the
-    feather outside; holes are left out; the greatest counts."""
-    from geoloom.functions.scalars import smoothstep
-
-    from .geometry import point_in_ring, ring_distance
+    feather outside; holes are left out; the greatest counts.
 
+    An area goes by bands of BAND rows, which are dealt over all tasks; a band's cells meet the ring's edges as arrays, some edges at a
+    time, and a task hands on a cell's greatest coverage."""
     ends = lambda k, f: f(F.transform("ring", lambda p: p[k]))
     hold = lambda v: F.greatest(F.lit(0), F.least(F.lit(size - 1), v)).cast("int")
     lo, hi = lambda k: F.floor(ends(k, F.array_min) - feather), lambda k: F.ceil(ends(k, F.array_max) + feather)
     a = areas.where((F.size("ring") >= 3) & (hi("x") >= 0) & (hi("y") >= 0) & (lo("x") <= size - 1) & (lo("y") <= size - 1))
-    c = a.withColumn("cz", F.explode(F.sequence(hold(lo("y")), hold(hi("y"))))).withColumn("cx", F.explode(F.sequence(hold(lo("x")), hold(hi("x")))))
-    x, y = F.col("cx") + 0.5, F.col("cz") + 0.5
-    c = c.withColumn("_in", point_in_ring(x, y, F.col("ring")))
-    holed = F.exists("holes", lambda h: (F.size(h) >= 3) & point_in_ring(x, y, h))
-    gap = ring_distance(x, y, F.col("ring"))
-    w = F.when(F.col("_in"), F.when(~holed, 1.0)).otherwise(F.when(gap < feather, smoothstep((feather - gap) / feather)))
-    return c.withColumn("w", w).where("w is not null").groupBy("cx", "cz").agg(F.max("w").alias("w"))
+    of = lambda k: F.transform("ring", lambda p: p[k].cast("double")).alias(f"r{k}")
+    in_holes = lambda k: F.transform("holes", lambda h: F.transform(h, lambda p: p[k].cast("double"))).alias(f"h{k}")
+    a = a.select(of("x"), of("y"), in_holes("x"), in_holes("y"), *[f(v).alias(name) for v, f, name in ((lo("x"), hold, "x0"), (hi("x"), hold, "x1"), (lo("y"), hold, "z0"), (hi("y"), hold, "z1"))])
+    band = F.explode(F.sequence(F.floor(F.col("z0") / BAND), F.floor(F.col("z1") / BAND))).alias("band")
+    # a few bytes of an area stand for many cells, so the tables' own splits would be too few
+    bands = a.select("*", band).repartition(4 * areas.sparkSession.sparkContext.defaultParallelism)
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def greatest() -> tuple[np.ndarray, np.ndarray]:
+            cell, w = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            order = np.lexsort((w, cell))
+            cell, w = cell[order], w[order]
+            last = np.append(cell[1:] != cell[:-1], True)[: len(cell)]
+            return cell[last], w[last]
+
+        def handed(cell, w):
+            return pa.RecordBatch.from_arrays([pa.array((cell % size).astype("int32")), pa.array((cell // size).astype("int32")), pa.array(w)], names=["cx", "cz", "w"])
+
+        count = 0
+        for batch in batches:
+            col = {k: batch.column(k) for k in batch.schema.names}
+            numbers = lambda v: v.values.to_numpy(zero_copy_only=False).astype(float)
+            for i in range(batch.num_rows):
+                x0, x1, z0, z1, n = (col[k][i].as_py() for k in ("x0", "x1", "z0", "z1", "band"))
+                cx, cz = np.arange(x0, x1 + 1), np.arange(max(z0, n * BAND), min(z1, n * BAND + BAND - 1) + 1)
+                x, y = cx + 0.5, cz + 0.5
+                inside, near = _ring_cells(x, y, numbers(col["rx"][i]), numbers(col["ry"][i]), True)
+                gap = np.sqrt(near)
+                with np.errstate(all="ignore"):
+                    t = np.clip((feather - gap) / feather, 0.0, 1.0)
+                w = np.where(inside, 1.0, np.where(gap < feather, t * t * (3.0 - t * 2.0), np.nan))
+                if col["hx"][i].is_valid:
+                    for hx, hy in zip(col["hx"][i].values, col["hy"][i].values):
+                        if hx.is_valid and len(hx.values) >= 3:
+                            w[inside & _ring_cells(x, y, numbers(hx), numbers(hy), False)[0]] = np.nan
+                some = ~np.isnan(w)
+                held.append(((cz[:, None] * size + cx)[some], w[some]))
+                count += len(held[-1][0])
+                if count > GATHERED:
+                    held = [greatest()]
+                    count = len(held[0][0])
+                    if count > GATHERED // 2:
+                        yield handed(*held.pop())
+                        count = 0
+        if held:
+            yield handed(*greatest())
+
+    return bands.mapInArrow(run, "cx int, cz int, w double").groupBy("cx", "cz").agg(F.max("w").alias("w"))
 
 
 def uncovered(reference: DataFrame, coverage: DataFrame) -> DataFrame:

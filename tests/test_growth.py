@@ -1,9 +1,11 @@
 """Queries that a larger table or another deal of its rows broke."""
 
 import random
-from math import floor
+from math import cos, floor, pi, sin
 
-from geoloom.operators import batch
+from pyspark.sql import functions as F
+
+from geoloom.operators import batch, fields, geometry
 from geoloom.plans import registry
 
 
@@ -27,3 +29,30 @@ def test_remaining_time_adds_in_order(spark, tmp_path):
     orders = spark.createDataFrame([(1, 1, "F", 2.5), (2, 1, "O", 9.0), (3, 1, None, 9.0)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     assert [r["left_ms"] for r in registry.queries()["remaining_time"](spark, str(tmp_path)).collect()] == [3]
+
+
+def test_area_masks_by_bands(spark, monkeypatch):
+    draw = random.Random(5)
+    point = lambda x, y: {"x": x, "y": y}
+    star = lambda x, y, r, n: [point(x + r * draw.uniform(0.2, 1) * cos(2 * pi * k / n), y + r * draw.uniform(0.2, 1) * sin(2 * pi * k / n)) for k in range(n)]
+    rows = [(i, star(draw.uniform(-5, 45), draw.uniform(-5, 45), draw.uniform(2, 30), draw.randrange(3, 40)), [star(20, 20, 9, 7), [point(1.0, 1.0)]] if i % 2 else []) for i in range(12)]
+    schema = "id int, ring array<struct<x:double,y:double>>, holes array<array<struct<x:double,y:double>>>"
+    areas = spark.createDataFrame(rows, schema)
+    cells = spark.range(40).select(F.col("id").alias("cx")).crossJoin(spark.range(40).select(F.col("id").alias("cz")))
+    x, y = F.col("cx") + 0.5, F.col("cz") + 0.5
+    met = areas.crossJoin(cells).select("cx", "cz", geometry.point_in_ring(x, y, F.col("ring")).alias("inside"), geometry.ring_distance(x, y, F.col("ring")).alias("gap"), F.exists("holes", lambda h: (F.size(h) >= 3) & geometry.point_in_ring(x, y, h)).alias("hole"))
+    wanted = {}
+    for r in met.collect():
+        t = (4.0 - r["gap"]) / 4.0
+        w = None if r["inside"] and r["hole"] else 1.0 if r["inside"] else t * t * (3 - 2 * t) if t > 0 else None
+        if w is not None:
+            wanted[r["cx"], r["cz"]] = max(w, wanted.get((r["cx"], r["cz"]), 0.0))
+    got = lambda a: {(r["cx"], r["cz"]): r["w"] for r in fields.area_mask(a, 40, 4.0).collect()}
+    for band, pairs, gathered in ((64, 1 << 20, 1 << 20), (7, 900, 50)):
+        for name, value in (("BAND", band), ("PAIRS", pairs), ("GATHERED", gathered)):
+            monkeypatch.setattr(fields, name, value)
+        assert {k: round(v, 9) for k, v in got(areas).items()} == {k: round(v, 9) for k, v in wanted.items()}
+    # areas without a list of holes, or with a missing hole, are whole
+    square = [point(1.0, 1.0), point(4.0, 1.0), point(4.0, 4.0), point(1.0, 4.0)]
+    assert got(spark.createDataFrame([(1, square, None), (2, square, [None])], schema))[2, 2] == 1.0
+    assert got(areas.limit(0)) == {}
