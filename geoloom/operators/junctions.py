@@ -101,7 +101,9 @@ def ground_mask(roads: DataFrame, size: int, feather: float) -> DataFrame:
     reach, mid, dz, dx = F.col("half") + feather, F.col("cz") + 0.5, F.col("bz") - F.col("az"), F.col("bx") - F.col("ax")
     hold = lambda v: F.greatest(F.lit(0), F.least(F.lit(size - 1), v)).cast("int")
     z0, z1 = F.floor(F.least("az", "bz") - reach), F.ceil(F.greatest("az", "bz") + reach)
-    r = roads.where((z1 >= 0) & (z0 <= size - 1)).withColumn("cz", F.explode(F.sequence(hold(z0), hold(z1))))
+    # a few bytes of a segment stand for many cells, so the table's own splits would be too few
+    dealt = roads.where((z1 >= 0) & (z0 <= size - 1)).select("half", "ax", "az", "bx", "bz").repartition(4 * roads.sparkSession.sparkContext.defaultParallelism)
+    r = dealt.withColumn("cz", F.explode(F.sequence(hold(z0), hold(z1))))
     t0, t1 = ((mid + s * reach - F.col("az")) / F.nullif(dz, F.lit(0.0)) for s in (-1, 1))
     low, top = F.greatest(F.lit(0.0), F.coalesce(F.least(t0, t1), F.lit(0.0))), F.least(F.lit(1.0), F.coalesce(F.greatest(t0, t1), F.lit(1.0)))
     r = r.withColumn("t0", low).withColumn("t1", top).where("t0 <= t1")
@@ -109,7 +111,8 @@ def ground_mask(roads: DataFrame, size: int, feather: float) -> DataFrame:
     x0, x1 = F.floor(F.least(a, b) - reach - 0.5), F.ceil(F.greatest(a, b) + reach - 0.5)
     c = r.where((x1 >= 0) & (x0 <= size - 1)).withColumn("cx", F.explode(F.sequence(hold(x0), hold(x1))))
     edge = F.sqrt(segment_distance2(F.col("cx") + 0.5, mid, *[F.col(k) for k in ("ax", "az", "bx", "bz")])) - F.col("half")
-    c = c.withColumn("edge", edge).where(F.col("edge") < feather)
+    # an array of one or no edge: a filter would be moved below the distance, with a copy of it for each of its terms
+    c = c.select("cx", "cz", F.explode(F.filter(F.array(edge), lambda e: e < feather)).alias("edge"))
     return c.groupBy("cx", "cz").agg(F.max(F.when(F.col("edge") <= 0, 1.0).otherwise(smoothstep((feather - F.col("edge")) / feather))).alias("w"))
 
 

@@ -1,11 +1,11 @@
 """Queries that a larger table or another deal of its rows broke."""
 
 import random
-from math import cos, floor, pi, sin
+from math import cos, floor, hypot, pi, sin
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import batch, fields, geometry
+from geoloom.operators import batch, fields, geometry, junctions
 from geoloom.plans import registry
 
 
@@ -56,3 +56,19 @@ def test_area_masks_by_bands(spark, monkeypatch):
     square = [point(1.0, 1.0), point(4.0, 1.0), point(4.0, 4.0), point(1.0, 4.0)]
     assert got(spark.createDataFrame([(1, square, None), (2, square, [None])], schema))[2, 2] == 1.0
     assert got(areas.limit(0)) == {}
+
+
+def test_ground_masks_of_one_split_are_dealt(spark):
+    roads = spark.createDataFrame([(1.0, 2.0, 3.0, 30.0, 17.0), (2.0, 9.0, 9.0, 9.0, 9.0)], "half double, ax double, az double, bx double, bz double").coalesce(1)
+    mask = junctions.ground_mask(roads, 32, 3.0)
+    assert "RoundRobinPartitioning(16)" in mask._jdf.queryExecution().executedPlan().toString()
+    got = {(r["cx"], r["cz"]): r["w"] for r in mask.collect()}
+    for i in range(32):
+        for j in range(32):
+            edges = []
+            for half, ax, az, bx, bz in ((1.0, 2.0, 3.0, 30.0, 17.0), (2.0, 9.0, 9.0, 9.0, 9.0)):
+                size = (bx - ax) ** 2 + (bz - az) ** 2
+                t = min(1.0, max(0.0, ((i + 0.5 - ax) * (bx - ax) + (j + 0.5 - az) * (bz - az)) / size)) if size else 0.0
+                edges.append(hypot(i + 0.5 - ax - t * (bx - ax), j + 0.5 - az - t * (bz - az)) - half)
+            u = min(1.0, (3.0 - min(edges)) / 3.0)
+            assert ((i, j) in got) == (u > 0) and (u <= 0 or abs(got[i, j] - u * u * (3 - 2 * u)) < 1e-9)
