@@ -28,8 +28,13 @@ def quads(cells: DataFrame, by: list[str] = ()) -> DataFrame:
 def sampled(points: DataFrame, cells: DataFrame, by: list[str] = ()) -> DataFrame:
     """points (by, px, py in cells) with h between the four cells around, null where one is missing that has weight (1e-9 or more) or
     the point lies beyond the outermost cells."""
+    return between(points, quads(cells, by), by)
+
+
+def between(points: DataFrame, corners: DataFrame, by: list[str] = ()) -> DataFrame:
+    """points with h as in `sampled`, of cells that carry their neighbours (see quads)."""
     p = points.withColumn("_x", F.floor("px")).withColumn("_y", F.floor("py"))
-    q = quads(cells, by).select(*by, F.col("y").alias("_y"), F.col("x").alias("_x"), "h00", "h01", "h10", "h11")
+    q = corners.select(*by, F.col("y").alias("_y"), F.col("x").alias("_x"), "h00", "h01", "h10", "h11")
     fx, fy = F.col("px") - F.col("_x"), F.col("py") - F.col("_y")
     part = lambda h, w: F.when(w < 1e-9, 0.0).otherwise(F.col(h) * w)
     h = part("h00", (1 - fx) * (1 - fy)) + part("h01", fx * (1 - fy)) + part("h10", (1 - fx) * fy) + part("h11", fx * fy)

@@ -6,13 +6,15 @@ and of the tiles that know it the first counts: systems in the order of their fi
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import crs
 
-from .fields import sampled
+from .fields import between, quads
+from .shared import sent_if_small, table
 
 # fixed values: transverse Mercator systems with a code of their own (latitude and longitude of origin, scale, easting, northing); radius
 # of the sphere of Web Mercator
@@ -20,6 +22,8 @@ SYSTEMS = {2180: (0.0, 19.0, 0.9993, 500000.0, -5300000.0)}
 RADIUS = 6378137.0
 #: Degrees of a square; share of a tile's extent by which its bounds in degrees are widened, as its edges are curves there.
 SQUARE, MARGIN = 0.05, 0.02
+#: Tiles of a square that the first round asks.
+TILES = 16
 
 
 def known_system(code: Column, systems: dict[int, tuple] = SYSTEMS) -> Column:
@@ -97,20 +101,37 @@ def sampled_across(places: DataFrame, tiles: DataFrame, cells: DataFrame, system
 
     tiles (tile, ord, code, origin_x, origin_y, step_x, step_y, width, height): the corner of the first cell, steps of a column and a row in
     the code's units; a null code stands for degrees, tiles of unknown codes are left out.  cells (tile, y, x, h).  A place lies in a tile if
-    its column is from 0 to less than width - 1 and its row likewise; a hole with weight around it makes the tile not know it."""
+    its column is from 0 to less than width - 1 and its row likewise; a hole with weight around it makes the tile not know it.
+
+    The tiles of a square are numbered in their order.  A round asks the next of them, TILES at first and four times as many each time, and only
+    places that no tile has known yet go on, so a place isn't sampled in all tiles that lie over one another."""
     first = tiles.groupBy(F.coalesce("code", F.lit(4326)).alias("_code")).agg(F.min("ord").alias("_first"))  # one row a system
     t = tiles.where(known_system(F.col("code"), systems)).join(F.broadcast(first), F.coalesce("code", F.lit(4326)) == F.col("_code"))
     t = degree_bounds(t, systems)
     pad = lambda a, b: (F.col(f"bounds.{a}") - F.col(f"bounds.{b}")) * MARGIN + 1e-6
     square = lambda lo, hi, p: F.explode(F.sequence(F.floor((F.col(f"bounds.{lo}") - p) / SQUARE).cast("long"), F.floor((F.col(f"bounds.{hi}") + p) / SQUARE).cast("long")))
-    t = t.drop("lat", "lng").withColumn("_qy", square("south", "north", pad("north", "south"))).withColumn("_qx", square("west", "east", pad("east", "west")))
+    in_square = Window.partitionBy("_qy", "_qx").orderBy("_first", "ord", "tile")
+    t = t.drop("lat", "lng").withColumn("_qy", square("south", "north", pad("north", "south"))).withColumn("_qx", square("west", "east", pad("east", "west"))).withColumn("_n", F.row_number().over(in_square) - 1)
+    t = table(t.select("_qy", "_qx", "_code", "_n", "tile", "_first", "ord", "origin_x", "origin_y", "step_x", "step_y", "width", "height"), "tiles")
+    # the systems of a square, each with its last tile's number there: a place is projected once a system, not once a tile
+    here = table(t.groupBy("_qy", "_qx", "_code").agg(F.max("_n").alias("_last")), "systems")
     p = places.select("id", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"), F.floor(F.col("lat") / SQUARE).cast("long").alias("_qy"), F.floor(F.col("lng") / SQUARE).cast("long").alias("_qx"))
-    inside = F.col("lat").between(F.col("bounds.south") - pad("north", "south"), F.col("bounds.north") + pad("north", "south")) & F.col("lng").between(F.col("bounds.west") - pad("east", "west"), F.col("bounds.east") + pad("east", "west"))
-    met = projected(p.join(t, ["_qy", "_qx"]).where(inside), systems)
-    # an array of one or no place: a filter would be moved below the projection, with a copy of it for each of its terms
-    px, py = (F.col("x") - F.col("origin_x")) / F.col("step_x"), (F.col("y") - F.col("origin_y")) / F.col("step_y")
-    place = F.filter(F.array(F.struct(px.alias("px"), py.alias("py"))), lambda q: (q["px"] >= 0) & (q["px"] < F.col("width") - 1) & (q["py"] >= 0) & (q["py"] < F.col("height") - 1))
-    met = met.select("id", "tile", "_first", "ord", F.explode(place).alias("q")).select("id", "tile", "_first", "ord", "q.px", "q.py")
-    got = sampled(met.select("id", "tile", "px", "py", F.struct("_first", "ord", "tile").alias("_rank")), cells.select("tile", "y", "x", "h"), ["tile"]).where("h is not null")
-    best = got.groupBy("id").agg(F.min_by(F.struct("h", "tile"), "_rank").alias("b"))
+    p = projected(p.join(sent_if_small(here), ["_qy", "_qx"]).withColumnRenamed("_code", "code"), systems)
+    left = table(p.select("id", "_qy", "_qx", F.col("code").alias("_code"), "_last", "x", "y"), "asking")
+    corners = table(quads(cells.select("tile", "y", "x", "h"), ["tile"]), "corners")
+    found, at, many = [], 0, TILES
+    while left.limit(1).count():
+        some = table(t.where(F.col("_n").between(at, at + many - 1)), "some")
+        met = left.join(sent_if_small(some), ["_qy", "_qx", "_code"])
+        # an array of one or no place: a filter would be moved below the projection, with a copy of it for each of its terms
+        px, py = (F.col("x") - F.col("origin_x")) / F.col("step_x"), (F.col("y") - F.col("origin_y")) / F.col("step_y")
+        place = F.filter(F.array(F.struct(px.alias("px"), py.alias("py"))), lambda q: (q["px"] >= 0) & (q["px"] < F.col("width") - 1) & (q["py"] >= 0) & (q["py"] < F.col("height") - 1))
+        met = met.select("id", "tile", "_first", "ord", F.explode(place).alias("q")).select("id", "tile", "q.px", "q.py", F.struct("_first", "ord", "tile").alias("_rank"))
+        got = between(met, corners, ["tile"]).where("h is not null")
+        found.append(table(got.groupBy("id").agg(F.min_by(F.struct("h", "tile"), "_rank").alias("b")), "found"))
+        at, many = at + many, many * 4
+        left = table(left.where(F.col("_last") >= at).join(found[-1].select("id"), "id", "left_anti"), "asking")
+    best = reduce(DataFrame.unionByName, found) if found else None
+    if best is None:
+        return places.select("*", F.lit(None).cast(cells.schema["h"].dataType).alias("h"), F.lit(None).cast(tiles.schema["tile"].dataType).alias("tile"))
     return places.join(best, "id", "left").select(*places.columns, F.col("b.h").alias("h"), F.col("b.tile").alias("tile"))

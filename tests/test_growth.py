@@ -5,7 +5,7 @@ from math import cos, floor, hypot, pi, sin
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import batch, fields, geometry, junctions
+from geoloom.operators import batch, fields, geometry, junctions, projected
 from geoloom.plans import registry
 
 
@@ -72,3 +72,22 @@ def test_ground_masks_of_one_split_are_dealt(spark):
                 edges.append(hypot(i + 0.5 - ax - t * (bx - ax), j + 0.5 - az - t * (bz - az)) - half)
             u = min(1.0, (3.0 - min(edges)) / 3.0)
             assert ((i, j) in got) == (u > 0) and (u <= 0 or abs(got[i, j] - u * u * (3 - 2 * u)) < 1e-9)
+
+
+def test_places_ask_tiles_by_rounds(spark, monkeypatch):
+    """Tiles over one another, most of them full of holes: a later round finds what an earlier one left."""
+    draw = random.Random(7)
+    tiles = [(t, 30 - t, None, 10.0, 50.0, 0.01, -0.01, 6, 6) for t in range(30)]
+    cells = [(t, y, x, float(t) if draw.random() < (0.6 if t else 0.9) else None) for t in range(30) for y in range(6) for x in range(6)]
+    places = [(i, 50.0 - draw.uniform(-0.01, 0.06), 10.0 + draw.uniform(-0.01, 0.06)) for i in range(150)] + [(500, 12.0, 13.0)]
+    known = {(t, y, x): h for t, y, x, h in cells}
+    frames_of = lambda rows, schema: spark.createDataFrame(rows, schema)
+    monkeypatch.setattr(projected, "TILES", 2)
+    df = projected.sampled_across(frames_of(places, "id int, lat double, lng double"), frames_of(tiles, "tile int, ord int, code int, origin_x double, origin_y double, step_x double, step_y double, width int, height int"), frames_of(cells, "tile int, y int, x int, h double"))
+    got = {r["id"]: r["tile"] for r in df.collect()}
+    for i, lat, lng in places:
+        px, py = (lng - 10.0) / 0.01, (lat - 50.0) / -0.01
+        inside = 0 <= px < 5 and 0 <= py < 5
+        whole = [t for t in range(29, -1, -1) if inside and all(known[t, int(py) + a, int(px) + b] is not None for a in (0, 1) for b in (0, 1))]
+        assert got[i] == (whole[0] if whole else None)
+    assert len(got) == 151 and len(set(got.values())) > 5
