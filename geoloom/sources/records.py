@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,28 +22,41 @@ def encoded_number(n: Column) -> Column:
     """A whole number of 1e-5 degrees as the polyline format writes it: sign in the lowest bit, then groups of five bits
     from the lowest on, 32 more for all but the last, 63 beyond that in ASCII."""
     v = F.when(n < 0, -2 * n - 1).otherwise(2 * n).cast("long")
-    groups = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.floor(v / F.pow(F.lit(32.0), i)).cast("long"))
-    used = F.filter(groups, lambda g, i: (i == 0) | (g > 0))
-    chars = F.transform(used, lambda g: F.char(g % 32 + F.when(g >= 32, 32).otherwise(0) + 63))
-    return F.array_join(chars, "")
+    group = lambda i: F.shiftright(v, 5 * i)
+    char = lambda g: F.char(g % 32 + F.when(g >= 32, 32).otherwise(0) + 63)
+    return F.concat(char(v), *[F.when(group(i) > 0, char(group(i))).otherwise("") for i in range(1, 7)])
 
 
 def decode_polyline(text: Column) -> Column:
     """array<struct<lat, lng>> of an encoded polyline: five-bit groups, low first, signs in the lowest bit,
-    differences in units of 1e-5."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) - 63)
-    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("value"), F.lit(1).cast("bigint").alias("unit"))
-
-    def step(s: Column, c: Column) -> Column:
-        value = s["value"] + (c.cast("bigint") % 32) * s["unit"]
-        signed = F.when(value % 2 == 1, -((value + 1) / 2).cast("bigint")).otherwise((value / 2).cast("bigint"))
-        more = c >= 32
-        return F.struct(F.when(more, s["done"]).otherwise(F.concat(s["done"], F.array(signed))).alias("done"), F.when(more, value).otherwise(F.lit(0).cast("bigint")).alias("value"), F.when(more, s["unit"] * 32).otherwise(F.lit(1).cast("bigint")).alias("unit"))
-
-    deltas = F.aggregate(codes, start, step, lambda s: s["done"])
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size(deltas) / 2).cast("int"))), lambda i: F.struct(F.element_at(deltas, i * 2 - 1).alias("lat"), F.element_at(deltas, i * 2).alias("lng")))
-    summed = F.aggregate(pairs, F.array().cast("array<struct<lat:bigint,lng:bigint>>"), lambda a, d: F.concat(a, F.array(F.struct((F.coalesce(F.element_at(F.concat(F.array(F.struct(F.lit(0).cast("bigint").alias("lat"), F.lit(0).cast("bigint").alias("lng"))), a), -1)["lat"], F.lit(0)) + d["lat"]).alias("lat"), (F.element_at(F.concat(F.array(F.struct(F.lit(0).cast("bigint").alias("lat"), F.lit(0).cast("bigint").alias("lng"))), a), -1)["lng"] + d["lng"]).alias("lng")))))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<struct<lat:double,lng:double>>")).otherwise(F.transform(summed, lambda p: F.struct((p["lat"] / 1e5).alias("lat"), (p["lng"] / 1e5).alias("lng"))))
+    differences in units of 1e-5.  An unfinished number, or one without its partner, at the end is left out."""
+    return F.arrow_udf(_decoded, "array<struct<lat:double,lng:double>>")(text)
+
+
+def _decoded(texts: pa.Array) -> pa.Array:
+    """All texts of a batch at a time: their characters in one array, numbers by reduceat, places by running sums less their text's start."""
+    own = [(t or "").encode("utf-32-le") for t in texts.to_pylist()]
+    sizes = np.array([len(t) // 4 for t in own], np.int64)
+    codes = np.frombuffer(b"".join(own), np.uint32).astype(np.int64) - 63
+    starts = np.zeros(len(own) + 1, np.int64)
+    of_text, more = np.repeat(np.arange(len(own)), sizes), codes >= 32
+    head = np.ones(len(codes), bool)
+    head[1:] = ~more[:-1] | (of_text[1:] != of_text[:-1])
+    first = np.flatnonzero(head)
+    lat = lng = np.zeros(0, np.int64)
+    if len(codes):
+        last = np.append(first[1:], len(codes)) - 1
+        digit = np.arange(len(codes)) - np.repeat(first, last - first + 1)
+        value = np.add.reduceat(np.fmod(codes, 32) << (5 * digit), first)[~more[last]]
+        value, by = np.where(value % 2 == 1, -((value + 1) // 2), value // 2), of_text[first][~more[last]]
+        count = np.bincount(by, minlength=len(own))
+        nth = np.arange(len(by)) - np.repeat(np.cumsum(count) - count, count)
+        paired = nth < (count // 2 * 2)[by]
+        starts[1:] = np.cumsum(count // 2)
+        run = lambda v: (lambda s: s[1:] - np.repeat(s[starts[:-1]], np.diff(starts)))(np.append(0, np.cumsum(v)))
+        lat, lng = run(value[paired & (nth % 2 == 0)]), run(value[paired & (nth % 2 == 1)])
+    places = pa.StructArray.from_arrays([pa.array(lat / 1e5), pa.array(lng / 1e5)], names=["lat", "lng"])
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), places)
 
 
 def read_elements(files: DataFrame) -> DataFrame:

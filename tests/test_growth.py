@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.operators import batch, fields, geometry, junctions, projected
 from geoloom.plans import registry
+from geoloom.sources import records
 
 
 def test_remaining_time_adds_in_order(spark, tmp_path):
@@ -91,3 +92,14 @@ def test_places_ask_tiles_by_rounds(spark, monkeypatch):
         whole = [t for t in range(29, -1, -1) if inside and all(known[t, int(py) + a, int(px) + b] is not None for a in (0, 1) for b in (0, 1))]
         assert got[i] == (whole[0] if whole else None)
     assert len(got) == 151 and len(set(got.values())) > 5
+
+
+def test_polylines_of_odd_ends(spark):
+    known = "_p~iF~ps|U_ulLnnqC_mqNvxq`@"
+    texts = [(1, known), (2, None), (3, ""), (4, "_p~iF"), (5, known + "_"), (6, known[:10] + "_ulL")]
+    got = {r["id"]: [(p["lat"], p["lng"]) for p in r["p"]] for r in spark.createDataFrame(texts, "id int, text string").coalesce(1).select("id", records.decode_polyline(F.col("text")).alias("p")).collect()}
+    line = [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]
+    assert got == {1: line, 2: [], 3: [], 4: [], 5: line, 6: line[:1]}
+    numbers = spark.createDataFrame([(0,), (1,), (-1,), (15,), (16,), (-17998321,), (36000000,)], "n int")
+    pairs = numbers.select("n", records.decode_polyline(F.concat(records.encoded_number(F.col("n")), F.lit("?")))[0]["lat"].alias("back"))
+    assert all(round(r["back"] * 1e5) == r["n"] for r in pairs.collect())
