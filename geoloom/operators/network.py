@@ -3,6 +3,8 @@ chains of pieces and components."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,11 +199,30 @@ def overlapping(rects: DataFrame, size: float) -> DataFrame:
 
 def nearest(points: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
     """id, target, d2: for points (id, x, y) the nearest of targets (target, tx, ty) within reach, ties to
-    the smaller target; by squares of `reach`."""
-    p = points.select("*", F.floor(F.col("x") / reach).cast("int").alias("cx"), F.floor(F.col("y") / reach).cast("int").alias("cy"))
+    the smaller target.
+
+    Of targets at one place the smallest counts.  Points look as far as targets lie apart on average, and those that have found none four times
+    as far, again and again up to reach, so that dense targets don't all meet all points within reach."""
+    t = table(targets.where("tx is not null and ty is not null").groupBy("tx", "ty").agg(F.min("target").alias("target")), "places")
+    size = t.agg(F.count("*").alias("n"), ((F.max("tx") - F.min("tx")) * (F.max("ty") - F.min("ty"))).alias("area")).first()
+    side = (size["area"] / size["n"]) ** 0.5 if size["n"] else 0.0
+    if not 0.0 < side * 2 < reach:
+        return _nearest(points, t, reach)
+    left, found = table(points.select("id", "x", "y"), "left"), []
+    while side < reach:
+        found.append(table(_nearest(left, t, side), "nearest"))
+        left, side = table(left.join(found[-1].select("id"), "id", "left_anti"), "left"), side * 4
+        if not left.limit(1).count():
+            break
+    return reduce(DataFrame.union, [*found, _nearest(left, t, reach)])
+
+
+def _nearest(points: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
+    """As `nearest`, in one step by squares of `reach`."""
+    p = points.select("*", F.floor(F.col("x") / reach).cast("long").alias("cx"), F.floor(F.col("y") / reach).cast("long").alias("cy"))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
     t = targets.select("target", "tx", "ty", around)
-    t = t.select("target", "tx", "ty", (F.floor(F.col("tx") / reach) + F.col("s.i")).cast("int").alias("cx"), (F.floor(F.col("ty") / reach) + F.col("s.j")).cast("int").alias("cy"))
+    t = t.select("target", "tx", "ty", (F.floor(F.col("tx") / reach) + F.col("s.i")).cast("long").alias("cx"), (F.floor(F.col("ty") / reach) + F.col("s.j")).cast("long").alias("cy"))
     d2 = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
     got = p.join(t, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach)
     return got.groupBy("id").agg(F.min(F.struct("d2", "target")).alias("m")).select("id", "m.target", "m.d2")

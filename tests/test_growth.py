@@ -5,7 +5,7 @@ from math import cos, floor, hypot, pi, sin
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import batch, fields, geometry, junctions, projected
+from geoloom.operators import batch, fields, geometry, junctions, network, projected
 from geoloom.plans import registry
 from geoloom.sources import records
 
@@ -103,3 +103,18 @@ def test_polylines_of_odd_ends(spark):
     numbers = spark.createDataFrame([(0,), (1,), (-1,), (15,), (16,), (-17998321,), (36000000,)], "n int")
     pairs = numbers.select("n", records.decode_polyline(F.concat(records.encoded_number(F.col("n")), F.lit("?")))[0]["lat"].alias("back"))
     assert all(round(r["back"] * 1e5) == r["n"] for r in pairs.collect())
+
+
+def test_dense_targets_are_met_by_near_points_only(spark, monkeypatch):
+    draw, reaches, step = random.Random(9), [], network._nearest
+    monkeypatch.setattr(network, "_nearest", lambda p, t, reach: reaches.append(reach) or step(p, t, reach))
+    targets = [(i, float(draw.randrange(60)), float(draw.randrange(60))) for i in range(900)]
+    points = [(i, draw.uniform(-20, 70), draw.uniform(-20, 70)) for i in range(200)] + [(900, 500.0, 0.0)]
+    got = network.nearest(spark.createDataFrame(points, "id int, x double, y double"), spark.createDataFrame(targets, "target int, tx double, ty double"), 15.0).collect()
+    wanted = {}
+    for i, x, y in points:
+        d2, t = min(((x - a) * (x - a) + (y - b) * (y - b), t) for t, a, b in targets)
+        if d2 <= 225.0:
+            wanted[i] = (t, d2)
+    assert {r["id"]: (r["target"], r["d2"]) for r in got} == wanted and len(got) == len(wanted) < 201
+    assert reaches[0] < 3 and reaches[-1] == 15.0
