@@ -70,44 +70,50 @@ def merged_segments(segs: DataFrame, write) -> DataFrame:
 
     A segment is passed in two directions; each such state has at most one next state.  Ends and distances are found by doubling
     the pointers, in rounds by the logarithm of a chain's length, so chains of any length are no one task's.
-    A ring has no end: it is cut before its first segment.  `write` as in components."""
+    A ring has no end: it is cut before its first segment, and only its states are followed again.  All joins are by shuffle: sides of any
+    size would pass the driver, if Spark took their compressed files for small.  `write` as in components."""
     name = F.struct("way", "piece")
     joint = chain_nodes(segs).withColumn("_joint", F.lit(True))
     both = segs.select(name.alias("seg"), F.lit(False).alias("back"), F.col("start").alias("enter"), F.col("end").alias("leave"))
     both = both.union(segs.select(name.alias("seg"), F.lit(True).alias("back"), F.col("end").alias("enter"), F.col("start").alias("leave")))
     both = write(both)
     ahead = both.select(F.col("seg").alias("to_seg"), F.col("back").alias("to_back"), F.col("enter").alias("leave"))
-    step = both.join(joint.withColumnRenamed("node", "leave"), "leave").join(ahead, "leave").where("seg != to_seg").select("seg", "back", "to_seg", "to_back")
-    step = write(both.select("seg", "back").join(step, ["seg", "back"], "left"))
-    # the least state of a ring is found by doubling as well; the step into it is cut
-    ends = _followed(step, write)
-    ring = ends.where("to_seg is not null").select("seg", "back", "least")
-    if ring.limit(1).count():
-        cut = step.join(ring, ["seg", "back"], "left")
-        into = F.struct(F.col("to_seg").alias("seg"), F.col("to_back").alias("back")) == F.col("least")
-        step = write(cut.select("seg", "back", F.when(~F.coalesce(into, F.lit(False)), F.col("to_seg")).alias("to_seg"), F.when(~F.coalesce(into, F.lit(False)), F.col("to_back")).alias("to_back")))
-        ends = _followed(step, write)
+    step = both.join(joint.withColumnRenamed("node", "leave").hint("merge"), "leave").join(ahead.hint("merge"), "leave").where("seg != to_seg").select("seg", "back", "to_seg", "to_back")
+    step = write(both.select("seg", "back").join(step.hint("merge"), ["seg", "back"], "left"))
+    ends, ring = _followed(step, write)
+    if ring is not None:
+        # the least state of a ring is found by doubling as well; the step into it is cut
+        goes_on = F.struct(F.col("to_seg").alias("seg"), F.col("to_back").alias("back")) != F.col("least")
+        cut = ring.join(step.hint("merge"), ["seg", "back"])
+        opened = write(cut.select("seg", "back", F.when(goes_on, F.col("to_seg")).alias("to_seg"), F.when(goes_on, F.col("to_back")).alias("to_back")))
+        ends = ends.union(_followed(opened, write)[0])
     # of a chain's two passes the one in which its first segment isn't reversed
-    first = ends.groupBy("end").agg(F.min(F.struct("seg", "back")).alias("first"), F.max("far").alias("far"))
-    kept = ends.drop("far").withColumn("left", F.col("hops")).join(first.where("not first.back"), "end")
-    return kept.select("seg.way", "seg.piece", F.col("first.seg.way").alias("chain_way"), F.col("first.seg.piece").alias("chain_piece"), (F.col("far") - F.col("left")).cast("int").alias("pos"), F.col("back").alias("reversed"))
+    first = ends.groupBy("end").agg(F.min(F.struct("seg", "back")).alias("first"), F.max("hops").alias("far"))
+    kept = ends.join(first.where("not first.back").hint("merge"), "end")
+    return kept.select("seg.way", "seg.piece", F.col("first.seg.way").alias("chain_way"), F.col("first.seg.piece").alias("chain_piece"), (F.col("far") - F.col("hops")).cast("int").alias("pos"), F.col("back").alias("reversed"))
 
 
-def _followed(step: DataFrame, write, most: int = 64) -> DataFrame:
-    """seg, back, end (the last state that is reached), hops and far (steps to it), least (state met on the way); to_seg is not null
-    where steps go round and round.  step: seg, back, to_seg, to_back."""
+def _followed(step: DataFrame, write, most: int = 64) -> tuple[DataFrame, DataFrame | None]:
+    """seg, back, end (the last state that is reached) and hops (steps to it) of the states that reach one, and seg, back, least (of the ring's
+    states) of those that go round and round, None if none do.  step: seg, back, to_seg, to_back."""
     state = lambda a, b: F.struct(F.col(a).alias("seg"), F.col(b).alias("back"))
     to = F.when(F.col("to_seg").isNotNull(), state("to_seg", "to_back"))
-    now = step.select(state("seg", "back").alias("at"), to.alias("to"), F.coalesce(to, state("seg", "back")).alias("end"), F.when(F.col("to_seg").isNotNull(), 1).otherwise(0).cast("long").alias("hops"), state("seg", "back").alias("least"))
-    now, size = write(now), step.count()
-    for n in range(most):
-        if 2**n > size or not now.where("to is not null").limit(1).count():
+    now = write(step.select(state("seg", "back").alias("at"), to.alias("to"), F.coalesce(to, state("seg", "back")).alias("end"), F.when(F.col("to_seg").isNotNull(), 1).otherwise(0).cast("long").alias("hops"), state("seg", "back").alias("least")))
+    ended, open_ = now.where("to is null"), now.where("to is not null")
+    left = open_.count()
+    for _ in range(most):
+        if not left:
             break
-        ahead = now.select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("end").alias("end2"), F.col("hops").alias("hops2"), F.col("least").alias("least2"))
-        # states that have arrived stay as they are; a state is the next one of one other at most, so no `to` gathers rows
-        joined = now.where("to is not null").join(ahead, "to", "left")
-        now = write(now.where("to is null").select("at", "to", "end", "hops", "least").union(joined.select("at", F.col("to2").alias("to"), F.coalesce("end2", "end").alias("end"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), F.least("least", F.coalesce("least2", "least")).alias("least"))))
-    return now.select("at.seg", "at.back", "end", "hops", F.col("hops").alias("far"), "least", F.col("to.seg").alias("to_seg"))
+        ahead = ended.union(open_).select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("end").alias("end2"), F.col("hops").alias("hops2"), F.col("least").alias("least2"))
+        # a state is the next one of one other at most, so no `to` gathers rows
+        joined = open_.join(ahead.hint("merge"), "to", "left")
+        moved = write(joined.select("at", F.col("to2").alias("to"), F.coalesce("end2", "end").alias("end"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), F.least("least", F.coalesce("least2", "least")).alias("least"), (F.col("least2") < F.col("least")).alias("fell")))
+        seen = moved.agg(F.count_if(F.col("to").isNull()).alias("arrived"), F.count_if(F.col("to").isNotNull() & F.col("fell")).alias("fell")).first()
+        ended, open_, left = ended.union(moved.where("to is null").drop("fell")), moved.where("to is not null").drop("fell"), left - seen["arrived"]
+        # of a chain some state arrives in every round; where none does and no least falls, only rings are left and each state knows the least of its ring
+        if not seen["arrived"] and not seen["fell"]:
+            break
+    return ended.select("at.seg", "at.back", "end", "hops"), open_.select("at.seg", "at.back", "least") if left else None
 
 
 #: Links, after contraction, that one task finishes.

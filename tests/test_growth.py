@@ -5,7 +5,7 @@ from math import cos, floor, hypot, pi, sin
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import batch, fields, geometry, junctions, network, projected
+from geoloom.operators import batch, fields, geometry, junctions, network, projected, shared
 from geoloom.plans import registry
 from geoloom.sources import records
 
@@ -118,3 +118,29 @@ def test_dense_targets_are_met_by_near_points_only(spark, monkeypatch):
             wanted[i] = (t, d2)
     assert {r["id"]: (r["target"], r["d2"]) for r in got} == wanted and len(got) == len(wanted) < 201
     assert reaches[0] < 3 and reaches[-1] == 15.0
+
+
+def test_chains_and_rings_pass_no_table_through_the_driver(spark):
+    """A ring of 17, one of 3 and chains: rounds by the logarithm of the longest, all joins by shuffle."""
+    ring = lambda ids: list(zip(ids, ids[1:] + ids[:1]))
+    links = [*ring(list(range(17))), *ring([20, 21, 22]), *[(k, k + 1) for k in range(30, 43)], (100, 101)]
+    rows = [(way, 0, str(b if way % 3 == 0 else a), str(a if way % 3 == 0 else b), 1) for way, (a, b) in enumerate(links)]
+    many = [(1000 + k, 0, f"{k}a", f"{k}b", 1) for k in range(3000)]
+    plans = []
+
+    def write(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.table(df)
+
+    out = network.merged_segments(spark.createDataFrame(rows + many, "way int, piece int, start string, end string, style int"), write)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert not any("Broadcast" in p for p in plans) and len(plans) < 20
+    got = {r["way"]: (r["chain_way"], r["pos"], r["reversed"]) for r in out.collect()}
+    assert len(got) == len(rows) + len(many) and all(got[1000 + k] == (1000 + k, 0, False) for k in range(3000))
+    chains = {}
+    for way, (chain, pos, _) in got.items():
+        chains.setdefault(chain, {})[pos] = way
+    whole = [[w for _, w in sorted(c.items())] for k, c in sorted(chains.items()) if k < 1000]
+    # a first link that is drawn the other way round turns its chain
+    assert whole == [[0, *range(16, 0, -1)], [17, 18, 19], list(range(20, 33)), [33]]
+    assert [got[w][2] for w in (0, 16, 15, 17, 18)] == [False, True, False, False, True]
