@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import hot_keys, join_hot, table
+from .shared import dealt, hot_keys, join_hot, table
 
 
 def shared_nodes(vertices: DataFrame, least: int = 2) -> DataFrame:
@@ -16,18 +16,20 @@ def shared_nodes(vertices: DataFrame, least: int = 2) -> DataFrame:
     return vertices.groupBy("node").agg(F.count_distinct("way").alias("ways")).where(F.col("ways") >= least)
 
 
-def split_ways(vertices: DataFrame) -> DataFrame:
+def split_ways(vertices: DataFrame, parts: int | None = None) -> DataFrame:
     """Vertices with their piece; a way is cut at its inner shared nodes, whose vertex is in both
-    pieces: rows (way, piece, pos, node, idx and further columns)."""
-    cut = shared_nodes(vertices).select("node", F.lit(1).alias("_cut"))
-    in_way = Window.partitionBy("way").orderBy("idx")
-    ends = Window.partitionBy("way")
-    v = vertices.join(cut, "node", "left").withColumn("_last", F.max("idx").over(ends)).withColumn("_first", F.min("idx").over(ends))
-    inner = F.when((F.col("_cut") == 1) & (F.col("idx") > F.col("_first")) & (F.col("idx") < F.col("_last")), 1).otherwise(0)
-    v = v.withColumn("_inner", inner).withColumn("piece", (F.sum("_inner").over(in_way) - F.col("_inner")).cast("int"))
-    both = F.explode(F.when(F.col("_inner") == 1, F.array(F.col("piece"), F.col("piece") + 1)).otherwise(F.array(F.col("piece"))))
-    v = v.withColumn("piece", both).drop("_cut", "_first", "_last", "_inner")
-    return v.withColumn("pos", F.row_number().over(Window.partitionBy("way", "piece").orderBy("idx")) - 1)
+    pieces: rows (way, piece, pos, node, idx and further columns).  parts: in how many nodes and ways are dealt, for vertices of any
+    number; a node is shared if its least and greatest way differ, so neither nodes nor ways are sorted more than once."""
+    of_node, in_way = Window.partitionBy("node"), Window.partitionBy("way").orderBy("idx")
+    whole, before = in_way.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), in_way.rowsBetween(Window.unboundedPreceding, -1)
+    v = dealt(vertices, parts, "node").withColumn("_cut", F.col("node").isNotNull() & (F.min("way").over(of_node) != F.max("way").over(of_node)))
+    v = dealt(v, parts, "way").withColumn("_last", F.max("idx").over(whole)).withColumn("_first", F.min("idx").over(whole)).withColumn("_row", F.row_number().over(in_way) - 1)
+    v = v.withColumn("_inner", F.when(F.col("_cut") & (F.col("idx") > F.col("_first")) & (F.col("idx") < F.col("_last")), 1).otherwise(0))
+    # a piece's rows are counted from the last cut before; a cut is the first row of the next piece as well
+    v = v.withColumn("piece", F.coalesce(F.sum("_inner").over(before), F.lit(0)).cast("int")).withColumn("pos", F.col("_row") - F.coalesce(F.max(F.when(F.col("_inner") == 1, F.col("_row"))).over(before), F.lit(0)))
+    own, following = F.struct("piece", "pos"), F.struct((F.col("piece") + 1).alias("piece"), F.lit(0).alias("pos"))
+    v = v.withColumn("_at", F.explode(F.when(F.col("_inner") == 1, F.array(own, following)).otherwise(F.array(own))))
+    return v.withColumn("piece", F.col("_at.piece")).withColumn("pos", F.col("_at.pos")).drop("_cut", "_first", "_last", "_inner", "_row", "_at")
 
 
 def segments(pieces: DataFrame) -> DataFrame:
@@ -36,9 +38,9 @@ def segments(pieces: DataFrame) -> DataFrame:
     return out.where("points > 1")
 
 
-def intersections(segs: DataFrame) -> DataFrame:
-    """node, entries, ways of nodes where at least two segment ends meet; a loop counts twice."""
-    ends = segs.select("way", F.explode(F.array("start", "end")).alias("node"))
+def intersections(segs: DataFrame, parts: int | None = None) -> DataFrame:
+    """node, entries, ways of nodes where at least two segment ends meet; a loop counts twice.  parts: in how many nodes are dealt."""
+    ends = dealt(segs.select("way", F.explode(F.array("start", "end")).alias("node")), parts, "node")
     return ends.groupBy("node").agg(F.count("*").alias("entries"), F.count_distinct("way").alias("ways")).where("entries > 1")
 
 
@@ -56,11 +58,13 @@ def unconsumed(ways: DataFrame, members: DataFrame) -> DataFrame:
     return ways.join(used, "id", "left_anti")
 
 
-def chain_nodes(segs: DataFrame) -> DataFrame:
-    """node of the places where exactly two segments of one style (segs has `style`) join."""
-    ends = segs.select("style", F.struct("way", "piece").alias("seg"), F.explode(F.array("start", "end")).alias("node"))
-    got = ends.groupBy("node").agg(F.count("*").alias("n"), F.count_distinct("seg").alias("segs"), F.count_distinct("style").alias("styles"))
-    return got.where("n = 2 and segs = 2 and styles = 1").select("node")
+def chain_nodes(segs: DataFrame, parts: int | None = None) -> DataFrame:
+    """node of the places where exactly two segments of one style (segs has `style`) join.  parts: in how many nodes are dealt."""
+    ends = dealt(segs.select("style", "way", "piece", F.explode(F.array("start", "end")).alias("node")), parts, "node")
+    # of two rows' values: whether they differ, one missing value from another as well
+    differ = lambda c: (F.min(c) != F.max(c)) | (F.count(c) == 1)
+    got = ends.groupBy("node").agg(F.count("*").alias("n"), (differ("way") | differ("piece")).alias("two"), (F.min("style") == F.max("style")).alias("alike"))
+    return got.where("n = 2 and two and alike").select("node")
 
 
 def merged_segments(segs: DataFrame, write) -> DataFrame:

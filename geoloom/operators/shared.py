@@ -48,6 +48,22 @@ def clear(spark: SparkSession) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of one part of a table that is dealt by keys.
+PART_ROWS = 250_000
+
+
+def parts_of(df: DataFrame) -> int | None:
+    """The parts of about PART_ROWS rows by which to deal a table (best as it is read, so that only its footers are counted); None if the
+    cores together hold no more anyway."""
+    parts = df.count() // PART_ROWS
+    return parts if parts > df.sparkSession.sparkContext.defaultParallelism else None
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """df by a shuffle on keys in so many parts, so what one task sorts and counts doesn't grow with the table; as it is without parts."""
+    return df.repartition(parts, *keys) if parts else df
+
+
 #: A key is hot if it holds more than one of HOT_SHARE rows - so fewer keys than this are, whatever the table - and more
 #: than a task does in no time anyway.
 HOT_SHARE, HOT_ROWS = 4096, 100

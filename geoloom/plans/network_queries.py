@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.operators import network
-from geoloom.operators.shared import table
+from geoloom.operators.shared import parts_of, table
 
 from .registry import query
-from .views import WAYS, read, ways
+from .views import WAYS, nodes, read, ways
 
 
 def shared_folder(spark):
@@ -18,7 +18,7 @@ def shared_folder(spark):
 
 @query("shared_nodes", f"SELECT node, count(DISTINCT way) AS ways FROM {WAYS} GROUP BY node HAVING count(DISTINCT way) >= 2")
 def shared_nodes(spark, sf):
-    return network.shared_nodes(ways(spark, sf))
+    return network.shared_nodes(nodes(spark, sf))
 
 
 _PIECES = f"""
@@ -29,9 +29,15 @@ p AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY way ORDER BY idx) - cut AS INT)
 v AS (SELECT way, p0 AS piece, idx, node FROM p UNION ALL SELECT way, p0 + 1, idx, node FROM p WHERE cut = 1)"""
 
 
+def _pieces(spark, sf):
+    """The pieces of all ways, and the parts in which their rows are dealt."""
+    parts = parts_of(read(spark, sf, "lineitem"))
+    return network.split_ways(ways(spark, sf).select("way", "idx", "node"), parts), parts
+
+
 @query("road_pieces", f"WITH {_PIECES} SELECT way, piece, CAST(row_number() OVER (PARTITION BY way, piece ORDER BY idx) - 1 AS INT) AS pos, idx, node FROM v")
 def road_pieces(spark, sf):
-    return network.split_ways(ways(spark, sf).select("way", "idx", "node")).select("way", "piece", "pos", "idx", "node")
+    return _pieces(spark, sf)[0].select("way", "piece", "pos", "idx", "node")
 
 
 _SEGS = _PIECES + ", g AS (SELECT way, piece, arg_min(node, idx) AS start, arg_max(node, idx) AS end_, count(*) AS points FROM v GROUP BY way, piece HAVING count(*) > 1)"
@@ -39,18 +45,20 @@ _SEGS = _PIECES + ", g AS (SELECT way, piece, arg_min(node, idx) AS start, arg_m
 
 @query("segments", f'WITH {_SEGS} SELECT way, piece, start, end_ AS "end", points FROM g')
 def segments(spark, sf):
-    return network.segments(network.split_ways(ways(spark, sf).select("way", "idx", "node")))
+    return network.segments(_pieces(spark, sf)[0])
 
 
 @query("intersections", f"WITH {_SEGS}, e AS (SELECT way, start AS node FROM g UNION ALL SELECT way, end_ FROM g) SELECT node, count(*) AS entries, count(DISTINCT way) AS ways FROM e GROUP BY node HAVING count(*) > 1")
 def intersections(spark, sf):
-    return network.intersections(segments(spark, sf))
+    pieces, parts = _pieces(spark, sf)
+    return network.intersections(network.segments(pieces), parts)
 
 
 @query("chain_nodes", f"""WITH {_SEGS}, e AS (SELECT way % 3 AS style, concat(way, '/', piece) AS seg, start AS node FROM g UNION ALL SELECT way % 3, concat(way, '/', piece), end_ FROM g)
 SELECT node FROM e GROUP BY node HAVING count(*) = 2 AND count(DISTINCT seg) = 2 AND count(DISTINCT style) = 1""")
 def chain_nodes(spark, sf):
-    return network.chain_nodes(segments(spark, sf).withColumn("style", F.col("way") % 3))
+    pieces, parts = _pieces(spark, sf)
+    return network.chain_nodes(network.segments(pieces).withColumn("style", F.col("way") % 3), parts)
 
 
 _CHAIN_WAYS = "(SELECT c_custkey AS way, 0 AS piece, CAST(c_custkey AS VARCHAR) AS a, CAST(CASE WHEN c_custkey % 17 = 16 THEN c_custkey - 16 WHEN c_custkey % 23 = 22 THEN c_custkey * 7 % 50 ELSE c_custkey + 1 END AS VARCHAR) AS b, c_custkey // 40 % 2 AS style, c_custkey % 3 = 0 AS turned FROM customer)"

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geoloom.operators.shared import dealt, parts_of
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,16 +32,22 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 WAYS = "(SELECT l_orderkey AS way, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS idx, concat(l_partkey, ':', l_suppkey) AS node, l_partkey % 997 AS px, l_suppkey * 7 % 991 AS py FROM lineitem)"
 
 
+def _place() -> list[Column]:
+    """node, px, py of rows of lineitem."""
+    node = F.concat(F.col("l_partkey").cast("string"), F.lit(":"), F.col("l_suppkey").cast("string"))
+    return [node.alias("node"), (F.col("l_partkey") % 997).alias("px"), (F.col("l_suppkey") * 7 % 991).alias("py")]
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """way, node, px, py: the rows of `ways` as they are read, in no order."""
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("way"), *_place())
+
+
 def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """way, idx, node, px, py: orders as lines through (part, supplier) nodes."""
+    """way, idx, node, px, py: orders as lines through (part, supplier) nodes, in parts by way."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("way"),
-        (F.row_number().over(w) - 1).alias("idx"),
-        F.concat(F.col("l_partkey").cast("string"), F.lit(":"), F.col("l_suppkey").cast("string")).alias("node"),
-        (F.col("l_partkey") % 997).alias("px"),
-        (F.col("l_suppkey") * 7 % 991).alias("py"),
-    )
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return dealt(rows, parts_of(rows), "l_orderkey").select(F.col("l_orderkey").alias("way"), (F.row_number().over(w) - 1).alias("idx"), *_place())
 
 
 _HIGHWAYS = ("motorway", "motorway_link", "trunk", "primary", "primary_link", "secondary", "tertiary", "residential", "unclassified", "service", "track", "footway", "living_street")

@@ -1,11 +1,12 @@
 """Queries that a larger table or another deal of its rows broke."""
 
 import random
-from math import cos, floor, hypot, pi, sin
+from math import ceil, cos, floor, hypot, pi, sin
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import batch, fields, geometry, junctions, network, projected, shared
+from geoloom.functions import scalars
+from geoloom.operators import batch, fields, geometry, junctions, network, projected, routes, shared
 from geoloom.plans import registry
 from geoloom.sources import records
 
@@ -144,3 +145,44 @@ def test_chains_and_rings_pass_no_table_through_the_driver(spark):
     # a first link that is drawn the other way round turns its chain
     assert whole == [[0, *range(16, 0, -1)], [17, 18, 19], list(range(20, 33)), [33]]
     assert [got[w][2] for w in (0, 16, 15, 17, 18)] == [False, True, False, False, True]
+
+
+def test_ways_are_split_in_parts(spark):
+    draw = random.Random(17)
+    ways_ = {w: [f"n{draw.randrange(60)}" for _ in range(draw.randrange(1, 9))] for w in range(40)}
+    df = spark.createDataFrame([(w, i * 3, n) for w, line in ways_.items() for i, n in enumerate(line)], "way int, idx int, node string")
+    touched = {}
+    for w, line in ways_.items():
+        for n in line:
+            touched.setdefault(n, set()).add(w)
+    wanted = []
+    for w, line in ways_.items():
+        piece = pos = 0
+        for i, n in enumerate(line):
+            wanted.append((w, piece, pos, i * 3, n))
+            pos += 1
+            if 0 < i < len(line) - 1 and len(touched[n]) > 1:
+                piece, pos = piece + 1, 1
+                wanted.append((w, piece, 0, i * 3, n))
+    for parts in (None, 7):
+        pieces = network.split_ways(df, parts)
+        plan = pieces._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 2 and plan.count("Sort [") == 2 and (not parts or plan.count(", 7)") == 2)
+        assert sorted((r["way"], r["piece"], r["pos"], r["idx"], r["node"]) for r in pieces.collect()) == sorted(wanted)
+        segs = network.segments(pieces).withColumn("style", F.col("way") % 2)
+        for step in (network.intersections, network.chain_nodes):
+            assert not parts or ", 7)" in step(segs, parts)._jdf.queryExecution().executedPlan().toString().partition("Generate")[0]
+        ends = {}
+        for s in segs.collect():
+            for n in (s["start"], s["end"]):
+                ends.setdefault(n, []).append((s["way"], s["piece"]))
+        assert {(r["node"], r["entries"], r["ways"]) for r in network.intersections(segs, parts).collect()} == {(n, len(e), len({w for w, _ in e})) for n, e in ends.items() if len(e) > 1}
+        assert {r["node"] for r in network.chain_nodes(segs, parts).collect()} == {n for n, e in ends.items() if len(e) == 2 == len(set(e)) and len({w % 2 for w, _ in e}) == 1}
+    assert "REPARTITION_BY_NUM" in shared.dealt(df, 5, "way")._jdf.queryExecution().executedPlan().toString() and shared.dealt(df, None, "way") is df
+
+
+def test_parts_follow_from_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "PART_ROWS", 10)
+    assert shared.parts_of(spark.range(1000)) == 100 and shared.parts_of(spark.range(30)) is None
+    plan = registry.queries()["corner_cutting"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert ", 600)" in plan or ", 60" in plan
