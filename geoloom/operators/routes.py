@@ -146,14 +146,22 @@ def corridor_stations(points: DataFrame, half_width: float, spacing: float, exte
     u, de, dn = (F.col("sample") * spacing + spacing / 2 - F.col("arc")) / F.col("len"), (F.col("e2") - F.col("e")) / F.col("len"), (F.col("north2") - F.col("north")) / F.col("len")
     rings = min(MOST_RINGS, math.floor(half_width / RING_M + 0.5))
     sides = [0, *[side * r for r in range(1, rings + 1) for side in (1, -1)]]
-    off = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("side"), F.lit(half_width * x / rings * RING_SHARE if x else 0.0).alias("off")) for k, x in enumerate(sides)])
-    s = s.select("route", "sample", (F.col("e") + (F.col("e2") - F.col("e")) * u).alias("e"), (F.col("north") + (F.col("north2") - F.col("north")) * u).alias("north"), de.alias("dir_e"), dn.alias("dir_n"), F.explode(off).alias("o"))
-    s = s.select("route", "sample", "o.k", "o.side", (F.col("e") - F.col("dir_n") * F.col("o.off")).alias("e"), (F.col("north") + F.col("dir_e") * F.col("o.off")).alias("north"), "dir_e", "dir_n")
-    s = s.where((F.abs("e") <= extent / 2) & (F.abs("north") <= extent / 2))
-    s = s.withColumn("n", F.row_number().over(Window.partitionBy("route").orderBy("sample", "k")) - 1).withColumn("total", F.count("*").over(Window.partitionBy("route")))
-    stride = F.greatest(F.lit(1.0), F.col("total") / most)
-    taken = F.ceil(F.col("n") / stride - 1e-9)
-    return s.where((F.floor(taken * stride + 1e-9) == F.col("n")) & (taken < most)).drop("k", "total")
+    s = s.select("route", "sample", (F.col("e") + (F.col("e2") - F.col("e")) * u).alias("e"), (F.col("north") + (F.col("north2") - F.col("north")) * u).alias("north"), de.alias("dir_e"), dn.alias("dir_n"))
+    off = [half_width * x / rings * RING_SHARE if x else 0.0 for x in sides]
+    at = lambda o: (F.col("e") - F.col("dir_n") * o, F.col("north") + F.col("dir_e") * o)
+    inside = lambda o: F.when((F.abs(at(o)[0]) <= extent / 2) & (F.abs(at(o)[1]) <= extent / 2), 1).otherwise(0)
+    # the places of a sample are counted before they are made, so what is sorted is samples, not places; bit k: the place at side k stays
+    by_sample = Window.partitionBy("route").orderBy("sample").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = s.withColumn("mask", sum((inside(o) * 2**k for k, o in enumerate(off)), F.lit(0))).where("mask > 0")
+    own = F.bit_count("mask")
+    s = s.withColumn("first", F.sum(own).over(by_sample) - own).withColumn("total", F.sum(own).over(by_sample.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    side = F.explode(F.array(*[F.struct(F.lit(x).alias("side"), F.lit(2**k).alias("bit"), F.lit(o).alias("off")) for k, (x, o) in enumerate(zip(sides, off))])).alias("o")
+    s = s.select("*", side).where(F.col("mask").bitwiseAND(F.col("o.bit")) > 0)
+    stride, n = F.greatest(F.lit(1.0), F.col("total") / most), F.col("first") + F.bit_count(F.col("mask").bitwiseAND(F.col("o.bit") - 1))
+    s = s.withColumn("n", n.cast("int")).withColumn("stride", stride)
+    taken = F.ceil(F.col("n") / F.col("stride") - 1e-9)
+    s = s.where((F.floor(taken * F.col("stride") + 1e-9) == F.col("n")) & (taken < most))
+    return s.select("route", "n", "sample", "o.side", at(F.col("o.off"))[0].alias("e"), at(F.col("o.off"))[1].alias("north"), "dir_e", "dir_n")
 
 
 def route_frames(chunks_: DataFrame, size: float) -> DataFrame:

@@ -147,6 +147,29 @@ def test_chains_and_rings_pass_no_table_through_the_driver(spark):
     assert [got[w][2] for w in (0, 16, 15, 17, 18)] == [False, True, False, False, True]
 
 
+def test_stations_are_counted_before_they_are_made(spark):
+    draw = random.Random(11)
+    points = [(r, i, draw.uniform(-600, 600), draw.uniform(-600, 600)) for r in range(6) for i in range(1 + 4 * r)]
+    got = routes.corridor_stations(spark.createDataFrame(points, "route int, idx int, e double, north double"), 300.0, 40.0, 960.0, 25)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the uppermost step that makes rows stands over all sorts: places are neither sorted nor shuffled
+    assert plan.index("Generate explode") < plan.index("Sort [") and plan.index("Generate explode") < plan.index("Window")
+    rows, wanted = got.collect(), []
+    for r in range(6):
+        line, arc, places = [p[2:] for p in points if p[0] == r], 0.0, []
+        for (ax, ay), (bx, by) in zip(line, line[1:]):
+            size = hypot(bx - ax, by - ay)
+            for s in range(max(0, ceil((arc - 20) / 40)), ceil((arc + size - 20) / 40)):
+                u = (s * 40 + 20 - arc) / size
+                for side in (0, 1, -1, 2, -2):
+                    x, y = ax + (bx - ax) * u - (by - ay) / size * side * 127.5, ay + (by - ay) * u + (bx - ax) / size * side * 127.5
+                    places += [(r, s, side, round(x, 6), round(y, 6))] if abs(x) <= 480 and abs(y) <= 480 else []
+            arc += size
+        stride = max(1.0, len(places) / 25)
+        wanted += [places[n] for n in sorted({floor(t * stride + 1e-9) for t in range(25)}) if n < len(places)]
+    assert sorted((p["route"], p["sample"], p["side"], round(p["e"], 6), round(p["north"], 6)) for p in rows) == sorted(wanted) and len(wanted) > 60
+
+
 def test_ways_are_split_in_parts(spark):
     draw = random.Random(17)
     ways_ = {w: [f"n{draw.randrange(60)}" for _ in range(draw.randrange(1, 9))] for w in range(40)}
