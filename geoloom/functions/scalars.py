@@ -189,3 +189,13 @@ def tile_key(key: Column) -> Column:
 def token_like(text: Column) -> Column:
     """Three parts of base64url text joined by dots, the first two of which begin as JSON objects do in it."""
     return F.coalesce(F.trim(text).rlike(r"^eyJ[\w-]+\.[\w-]+\.[\w-]+$"), F.lit(False))
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded to so many digits, halves away from zero, in plain arithmetic on doubles - many times as fast as by decimals, which
+    `round` goes through.  Null, NaN, infinite and very large values stay."""
+    scale = float(10**digits)
+    size = F.abs(value) * scale
+    low = F.floor(size).cast("double")
+    up = (low + F.when(size - low >= 0.5, 1.0).otherwise(0.0)) / scale
+    return F.when(size < 2.0**52, F.when(value < 0, 0.0 - up).otherwise(up)).otherwise(value)

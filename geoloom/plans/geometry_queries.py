@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from geoloom.functions.scalars import rounded
 from geoloom.operators import geometry, mesh
 
 from . import registry
@@ -250,7 +251,7 @@ SELECT line, idx, CAST(k AS INT) AS k, round(x + (bx - x) * k / n, 6) AS x, roun
 def tree_rows(spark, sf):
     from geoloom.operators import shapes
 
-    return shapes.along(lines(spark, sf), 8.0).select("line", "idx", "k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return shapes.along(lines(spark, sf), 8.0).select("line", "idx", "k", rounded(F.col("x"), 6).alias("x"), rounded(F.col("y"), 6).alias("y"))
 
 
 @query("walls", f"""

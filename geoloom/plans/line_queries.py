@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.functions import tags
+from geoloom.functions.scalars import rounded
 from geoloom.operators import batch, fields, geometry, routes
 
 from .registry import query
@@ -72,7 +73,7 @@ def corridor_stations(spark, sf):
     """Orders as routes in a box of 960 metres, with two rings of 127.5 metres each and at most 60 stations."""
     p = ways(spark, sf).select(F.col("way").alias("route"), "idx", (F.col("px") - 498.0).alias("e"), (F.col("py") - 495.0).alias("north"))
     s = routes.corridor_stations(p, 300.0, 110.0, 960.0, 60)
-    return s.select("route", "sample", "side", F.round("e", 5).alias("e"), F.round("north", 5).alias("north"))
+    return s.select("route", "sample", "side", rounded(F.col("e"), 5).alias("e"), rounded(F.col("north"), 5).alias("north"))
 
 
 @query("route_frames", """

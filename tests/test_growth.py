@@ -170,6 +170,14 @@ def test_stations_are_counted_before_they_are_made(spark):
     assert sorted((p["route"], p["sample"], p["side"], round(p["e"], 6), round(p["north"], 6)) for p in rows) == sorted(wanted) and len(wanted) > 60
 
 
+def test_plain_rounding(spark):
+    draw = random.Random(13)
+    values = [draw.uniform(-1e4, 1e4) for _ in range(500)] + [k / 128 for k in range(-300, 300)] + [0.0, -0.0, None, float("nan"), float("inf"), -float("inf"), 1e300, 1e17 + 2, 5e-324]
+    for digits in (0, 5, 6):
+        rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", F.round("v", digits).alias("a"), scalars.rounded(F.col("v"), digits).alias("b")).collect()
+        assert [r for r in rows if repr(r["a"]) != repr(r["b"])] == []
+
+
 def test_ways_are_split_in_parts(spark):
     draw = random.Random(17)
     ways_ = {w: [f"n{draw.randrange(60)}" for _ in range(draw.randrange(1, 9))] for w in range(40)}
