@@ -13,12 +13,14 @@ from geoloom.functions.crs import valid_crs
 
 # fixed value: the no-data number of a grid that names none
 ASC_NO_DATA = -9999.0
+#: Blanks of a line, without its end: `^\s*` would go over the same empty lines from each of them.
+_BLANKS = r"[ \t\x0B\f\r]*"
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
 def likely_asc(text: Column) -> Column:
     head = F.lower(F.substring(text, 1, 2048))
-    has = lambda p: head.rlike(rf"(^|\n)\s*{p}\s+")
+    has = lambda p: head.rlike(rf"(^|\n){_BLANKS}{p}\s+")
     return has("ncols") & has("nrows") & has("xll(corner|center)") & has("yll(corner|center)") & has("cellsize")
 
 
@@ -26,23 +28,24 @@ def likely_gml(text: Column) -> Column:
     return F.coalesce(text.contains("RectifiedGridCoverage") | text.contains("GridCoverage") | text.contains("tupleList"), F.lit(False))
 
 
-def _asc_field(text: Column, key: str) -> Column:
-    got = F.regexp_extract(text, rf"(?im)^\s*{key}\s+({_NUMBER})", 1)
-    return F.when(got != "", got.cast("double"))
+_ASC_FIELDS = ("ncols", "nrows", "xllcorner", "xllcenter", "yllcorner", "yllcenter", "cellsize", "nodata_value")
 
 
-def asc_meta(files: DataFrame) -> DataFrame:
-    """id, cols, rows, west, north, cell, no_data, values: the header of ASCII grids.  A centre counts before a corner
+def asc_meta(files: DataFrame, *more: Column) -> DataFrame:
+    """id, cols, rows, west, north, cell, no_data, values: the header of ASCII grids, with `more` columns of files.  A centre counts before a corner
     and is moved to its cell's outer edge; longitudes from 180 to 360 are turned back."""
-    t = F.regexp_replace(F.col("text"), r"(?m)^\s*(#|//).*$", "")
-    cell = _asc_field(t, "cellsize")
-    x = F.coalesce(_asc_field(t, "xllcenter") - cell / 2, _asc_field(t, "xllcorner"))
-    y = F.coalesce(_asc_field(t, "yllcenter") - cell / 2, _asc_field(t, "yllcorner"))
-    rows = _asc_field(t, "nrows").cast("int")
-    body = F.regexp_replace(t, r"(?im)^\s*(ncols|nrows|xllcorner|xllcenter|yllcorner|yllcenter|cellsize|nodata_value)\s+.*$", "")
+    # each text is cleaned once and each field looked for once
+    t = files.select("id", *more, F.regexp_replace(F.col("text"), rf"(?m)^{_BLANKS}(#|//).*$", "").alias("_text"))
+    own = t.columns[1:-1]
+    got = t.select("id", *own, "_text", *[F.regexp_extract("_text", rf"(?im)^{_BLANKS}{key}\s+({_NUMBER})", 1).alias(f"_{key}") for key in _ASC_FIELDS])
+    field = lambda key: F.when(F.col(f"_{key}") != "", F.col(f"_{key}").cast("double"))
+    cell = field("cellsize")
+    x = F.coalesce(field("xllcenter") - cell / 2, field("xllcorner"))
+    y = F.coalesce(field("yllcenter") - cell / 2, field("yllcorner"))
+    rows = field("nrows").cast("int")
+    body = F.regexp_replace("_text", rf"(?im)^{_BLANKS}({'|'.join(_ASC_FIELDS)})\s+.*$", "")
     values = F.transform(F.regexp_extract_all(body, F.lit(f"({_NUMBER})"), 1), lambda v: v.cast("double"))
-    out = files.select("id", _asc_field(t, "ncols").cast("int").alias("cols"), rows.alias("rows"), F.when(x > 180, x - 360).otherwise(x).alias("west"), (y + cell * rows).alias("north"), cell.alias("cell"), F.coalesce(_asc_field(t, "nodata_value"), F.lit(ASC_NO_DATA)).alias("no_data"), values.alias("values"))
-    return out
+    return got.select("id", field("ncols").cast("int").alias("cols"), rows.alias("rows"), F.when(x > 180, x - 360).otherwise(x).alias("west"), (y + cell * rows).alias("north"), cell.alias("cell"), F.coalesce(field("nodata_value"), F.lit(ASC_NO_DATA)).alias("no_data"), values.alias("values"), *own)
 
 
 def read_asc(files: DataFrame, strict: bool = True) -> DataFrame:

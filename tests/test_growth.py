@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import scalars
 from geoloom.operators import batch, fields, geometry, junctions, network, projected, routes, shared
 from geoloom.plans import registry
-from geoloom.sources import records
+from geoloom.sources import records, text_grids
 
 
 def test_remaining_time_adds_in_order(spark, tmp_path):
@@ -217,3 +217,13 @@ def test_parts_follow_from_the_rows(spark, monkeypatch):
     assert shared.parts_of(spark.range(1000)) == 100 and shared.parts_of(spark.range(30)) is None
     plan = registry.queries()["corner_cutting"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert ", 600)" in plan or ", 60" in plan
+
+
+def test_headers_are_dealt_and_read_once(spark):
+    plan = registry.queries()["asc_headers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(16)" in plan and "Join" not in plan
+    # remarks and empty lines by the ten thousand, blanks before keys, other line ends, a key within a line
+    head = "\n" * 40000 + " \t ncols 2\r\n\r\n// xllcorner 9\n# nrows 7\n  NROWS\t1\nxllcorner 190\n a yllcorner 5\n\n\nyllcenter 3\ncellsize 2\n" + "# remark\n" * 20000 + "\n1 -9999\n"
+    got = text_grids.asc_meta(spark.createDataFrame([(1, head), (2, None)], "id int, text string"), F.length("text").alias("size")).collect()
+    assert [tuple(r) for r in got] == [(1, 2, 1, -170.0, 4.0, 2.0, -9999.0, [5.0, 1.0, -9999.0], len(head)), (2, None, None, None, None, None, -9999.0, None, None)]
+    assert [r["likely"] for r in spark.createDataFrame([("\n \n ncols 1\nnrows 2\n xllcenter 0\nyllcorner 1\ncellsize 1\n",), ("a ncols 1",)], "text string").select(text_grids.likely_asc(F.col("text")).alias("likely")).collect()] == [True, False]
