@@ -6,15 +6,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import sent_if_small, table
+
 GROUND_NORMAL, BAND_M, COHERE_M, RISER_M, GROUND_M = 0.85, 1.5, 1.5, 2.5, 2.5
 
 
-def corners(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Triangles with their three points a, b, c as structs."""
+def corners(triangles: DataFrame, vertices: DataFrame, *more: str, how: str = "inner") -> DataFrame:
+    """Triangles with their three points a, b, c as structs of x, y, z and `more` columns of vertices."""
     out = triangles
     for k, name in enumerate("abc"):
-        v = vertices.select("mesh", F.col("vi").alias(f"i{k}"), F.struct("x", "y", "z").alias(name))
-        out = out.join(v, ["mesh", f"i{k}"])
+        v = vertices.select("mesh", F.col("vi").alias(f"i{k}"), F.struct("x", "y", "z", *more).alias(name))
+        out = out.join(v, ["mesh", f"i{k}"], how)
     return out
 
 
@@ -31,13 +33,17 @@ def ground_triangles(triangles: DataFrame, vertices: DataFrame, normal: float =
     return t.where(normal_up(F.col("a"), F.col("b"), F.col("c")) > normal)
 
 
-def strip_ground(triangles: DataFrame, vertices: DataFrame, terrain: DataFrame, cell: float, normal: float = GROUND_NORMAL, distance: float = GROUND_M) -> DataFrame:
-    """Triangles less those that lie flat and on average under `distance` above the terrain (cx, cz, h)."""
+def strip_ground(triangles: DataFrame, vertices: DataFrame, terrain: DataFrame, cell: float, normal: float = GROUND_NORMAL, distance: float = GROUND_M, whole: bool = False) -> DataFrame:
+    """Triangles less those that lie flat and on average under `distance` above the terrain (cx, cz, h); if `whole`, those that lack a vertex
+    go as well.  A vertex takes its height above the terrain along, so triangles meet their vertices once."""
+    terrain = sent_if_small(table(terrain, "terrain"))
     at = lambda v: F.floor(F.col(v) / cell)
     above = vertices.join(terrain, (at("x") == F.col("cx")) & (at("z") == F.col("cz")), "left").withColumn("above", F.col("y") - F.coalesce("h", F.lit(0.0)))
-    t = ground_triangles(triangles, vertices, normal).select("mesh", "ti", F.explode(F.array("i0", "i1", "i2")).alias("vi"))
-    low = t.join(above.select("mesh", "vi", "above"), ["mesh", "vi"]).groupBy("mesh", "ti").agg(F.avg("above").alias("m")).where(F.col("m") < distance)
-    return triangles.join(low.select("mesh", "ti"), ["mesh", "ti"], "left_anti")
+    t = corners(triangles, above, "above", how="inner" if whole else "left")
+    known = [F.col(f"{k}.above") for k in "abc"]
+    mean = sum((F.coalesce(v, F.lit(0.0)) for v in known), F.lit(0.0)) / F.nullif(sum((v.isNotNull().cast("int") for v in known), F.lit(0)), F.lit(0))
+    low = (normal_up(F.col("a"), F.col("b"), F.col("c")) > normal) & (mean < distance)
+    return t.where(~F.coalesce(low, F.lit(False))).select(triangles.columns)
 
 
 def welded(vertices: DataFrame, triangles: DataFrame, cell: float = 1.0) -> DataFrame:

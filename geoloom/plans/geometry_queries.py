@@ -10,7 +10,7 @@ from geoloom.functions.scalars import rounded
 from geoloom.operators import geometry, mesh
 
 from . import registry
-from .views import WAYS, read, ways
+from .views import WAYS, nodes, read, ways
 
 
 
@@ -178,11 +178,15 @@ def ring_raster(spark, sf):
     return geometry.rasterized_rings(rings(spark, sf).select(F.col("id").alias("ord"), (F.col("id") % 8).alias("mat"), "ring"), 64)
 
 
+def _xyz():
+    return [(F.col("px") % 40 * 0.5).alias("x"), (F.col("py") % 8 * 0.125).alias("y"), (F.col("py") % 50 * 0.5).alias("z")]
+
+
 def _soup(spark, sf):
     """Vertices and triangles: order lines as vertices of meshes by order; each three make a triangle."""
     li = ways(spark, sf)
     mesh_id = F.col("way") % 40
-    v = li.select(mesh_id.alias("mesh"), (F.col("way") % 2).alias("lod"), (F.col("way") * 64 + F.col("idx")).alias("vi"), (F.col("px") % 40 * 0.5).alias("x"), (F.col("py") % 8 * 0.125).alias("y"), (F.col("py") % 50 * 0.5).alias("z"))
+    v = li.select(mesh_id.alias("mesh"), (F.col("way") % 2).alias("lod"), (F.col("way") * 64 + F.col("idx")).alias("vi"), *_xyz())
     t = li.where("idx % 3 = 0").select(mesh_id.alias("mesh"), (F.col("way") * 64 + F.col("idx")).alias("ti"), *[(F.col("way") * 64 + F.col("idx") + k).alias(f"i{k}") for k in range(3)])
     return v, t
 
@@ -217,9 +221,8 @@ a AS (SELECT vi, y - coalesce(h, 0) AS above FROM v LEFT JOIN h ON cx = CAST(flo
 SELECT g.mesh, g.ti FROM g JOIN a p ON p.vi = ti JOIN a q ON q.vi = i1 JOIN a r ON r.vi = i2 WHERE NOT (up > 0.85 AND (p.above + q.above + r.above) / 3 < 0.75)""")
 def stripped_triangles(spark, sf):
     v, t = _soup(spark, sf)
-    full = mesh.corners(t, v).select(t.columns)
-    h = v.groupBy(F.floor(F.col("x") / 5).alias("cx"), F.floor(F.col("z") / 5).alias("cz")).agg((F.min("y") - 0.25).alias("h"))
-    return mesh.strip_ground(full, v, h, 5.0, distance=0.75).select("mesh", "ti")
+    h = nodes(spark, sf).select(*_xyz()).groupBy(F.floor(F.col("x") / 5).alias("cx"), F.floor(F.col("z") / 5).alias("cz")).agg((F.min("y") - 0.25).alias("h"))
+    return mesh.strip_ground(t, v, h, 5.0, distance=0.75, whole=True).select("mesh", "ti")
 
 
 @query("corridor_triangles", f"""

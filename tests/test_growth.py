@@ -6,7 +6,7 @@ from math import ceil, cos, floor, hypot, pi, sin
 from pyspark.sql import functions as F
 
 from geoloom.functions import scalars
-from geoloom.operators import batch, fields, geometry, junctions, network, projected, routes, shared
+from geoloom.operators import batch, fields, geometry, junctions, mesh, network, projected, routes, shared
 from geoloom.plans import registry
 from geoloom.sources import records, text_grids
 
@@ -227,3 +227,15 @@ def test_headers_are_dealt_and_read_once(spark):
     got = text_grids.asc_meta(spark.createDataFrame([(1, head), (2, None)], "id int, text string"), F.length("text").alias("size")).collect()
     assert [tuple(r) for r in got] == [(1, 2, 1, -170.0, 4.0, 2.0, -9999.0, [5.0, 1.0, -9999.0], len(head)), (2, None, None, None, None, None, -9999.0, None, None)]
     assert [r["likely"] for r in spark.createDataFrame([("\n \n ncols 1\nnrows 2\n xllcenter 0\nyllcorner 1\ncellsize 1\n",), ("a ncols 1",)], "text string").select(text_grids.likely_asc(F.col("text")).alias("likely")).collect()] == [True, False]
+
+
+def test_stripped_triangles_meet_their_vertices_once(spark):
+    v = spark.createDataFrame([(1, i, x, y, z) for i, (x, y, z) in enumerate([(0.0, 0.5, 0.0), (1.0, 0.5, 0.0), (0.0, 0.5, 1.0), (0.0, 9.0, 0.0), (1.0, 9.0, 0.0), (0.0, 9.0, 1.0), (0.0, 3.0, 0.0)])], "mesh int, vi int, x double, y double, z double")
+    t = spark.createDataFrame([(1, 0, 0, 1, 2), (1, 1, 3, 4, 5), (1, 2, 0, 1, 6), (1, 3, 0, 1, 99), (1, 4, 0, 0, 0)], "mesh int, ti int, i0 int, i1 int, i2 int")
+    terrain = spark.createDataFrame([(0, 0, 0.25), (7, 7, 1.0)], "cx long, cz long, h double")
+    for whole, left in ((False, [1, 2, 3, 4]), (True, [1, 2, 4])):
+        kept = mesh.strip_ground(t, v, terrain, 5.0, whole=whole)
+        # flat and low: 0; one that lacks a vertex: 3; high, upright and without area stay
+        assert sorted(r["ti"] for r in kept.collect()) == left and kept.columns == t.columns
+    plan = registry.queries()["stripped_triangles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 6 and plan.count("broadcast") == 3  # three corners, each with its terrain, which is sent
