@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .network import components
+from .polylines import hulls, starts_of, whole_groups
 from .shared import hot_keys, join_hot, table
 
 # fixed values: least arms of a junction, corners nearer than this are one, distance of centres and slack of boxes that make
@@ -134,40 +135,39 @@ def within(points: DataFrame, reach: float = REACH) -> DataFrame:
 def _chain(p: np.ndarray) -> np.ndarray:
     """Counter-clockwise hull of points (x, y, z) from the leftmost, the lower of these first; of points of one place the highest counts,
     points on an edge don't."""
-    p = p[np.lexsort((-p[:, 2], p[:, 1], p[:, 0]))]
-    p = p[np.concatenate([[True], (p[1:, :2] != p[:-1, :2]).any(axis=1)])]
-    if len(p) < 3:
-        return p
-    halves = []
-    for points in (p, p[::-1]):
-        half: list[np.ndarray] = []
-        for q in points:
-            while len(half) > 1 and (half[-1][0] - half[-2][0]) * (q[1] - half[-2][1]) - (half[-1][1] - half[-2][1]) * (q[0] - half[-2][0]) <= 0:
-                half.pop()
-            half.append(q)
-        halves.append(half[:-1])
-    return np.array(halves[0] + halves[1])
+    return p[hulls(p[:, 0], p[:, 1], np.array([len(p)]), p[:, 2])[0]]
 
 
 def hull_rings(points: DataFrame, key: str) -> DataFrame:
-    """key, ring: the convex hull of each key's points (key, x, y, z), all in one row.  Points of a key are dealt to parts of about PART, whose
-    hulls come first, so a task holds a part or the hulls of a key's parts, never all its points."""
+    """key, ring: the convex hull of each key's points (key, x, y, z), all in one row.  Points of a key of more than PART are dealt to parts, whose
+    hulls come first, so a task holds a part or the hulls of a key's parts, never all its points.  A batch of points of many keys is one step."""
     kind = dict(points.dtypes)[key]
-    points = table(points.select(key, *[F.col(c).cast("double").alias(c) for c in "xyz"]), "points")
-    counts = table(points.groupBy(key).agg(F.count("*").alias("n")), "counts")
-    dealt = join_hot(points, counts, [key], hot_keys(counts, [key], points.count()))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.ceil(F.col("n") / PART)).cast("int")).drop("n")
-
-    def hull(got: pa.Table) -> pa.Table:
-        p = _chain(np.stack([got.column(c).to_numpy() for c in "xyz"], axis=1))
-        return pa.table({key: pa.repeat(got.column(key)[0], len(p)), **{c: p[:, i] for i, c in enumerate("xyz")}})
-
-    def ring(got: pa.Table) -> pa.Table:
-        p = _chain(np.stack([got.column(c).to_numpy() for c in "xyz"], axis=1))
-        return pa.table({key: got.column(key)[:1], "ring": [[{"x": x, "y": y, "z": z} for x, y, z in p.tolist()]]})
-
-    parts = dealt.where("part is not null").groupBy(key, "part").applyInArrow(lambda _, t: hull(t), f"{key} {kind}, x double, y double, z double")
-    return parts.groupBy(key).applyInArrow(lambda _, t: ring(t), f"{key} {kind}, ring array<{_POINT}>")
+    points = table(points.where(F.col(key).isNotNull()).select(key, *[F.col(c).cast("double").alias(c) for c in "xyz"]), "points")
+    # a key that is in here has more than PART points, so it is a small share of them
+    full = table(points.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > PART), "full")
+
+    def corners(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        for rows, n in whole_groups(batches, keys):
+            at, n = hulls(*[rows.column(c).to_numpy() for c in "xy"], n, rows.column("z").to_numpy())
+            yield rows.take(at), n
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _ in corners(batches, [key, "part"]):
+            yield from rows.select([key, "x", "y", "z"]).to_batches()
+
+    def ring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, n in corners(batches, [key]):
+            p = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in "xyz"], names=list("xyz"))
+            rings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), p)
+            yield pa.RecordBatch.from_arrays([rows.column(key).combine_chunks().take(pa.array(starts_of(n))), rings], names=[key, "ring"])
+
+    whole = points
+    if full.limit(1).count():
+        n = F.broadcast(full)
+        dealt = points.join(n, key).withColumn("part", F.pmod(F.xxhash64("x", "y"), F.ceil(F.col("n") / PART)).cast("int")).drop("n")
+        parts = dealt.repartition(key, "part").sortWithinPartitions(key, "part").mapInArrow(flat, f"{key} {kind}, x double, y double, z double")
+        whole = points.join(n, key, "left_anti").union(parts)
+    return whole.repartition(key).sortWithinPartitions(key).mapInArrow(ring, f"{key} {kind}, ring array<{_POINT}>")
 
 
 def clustered(rings: DataFrame, reach: float = REACH, slack: float = SLACK, most_z: float = MOST_Z) -> DataFrame:
@@ -187,6 +187,6 @@ def clustered(rings: DataFrame, reach: float = REACH, slack: float = SLACK, most
     flat = F.col("hi") - F.col("lo") <= most_z
     judged = judged.select("id", F.when(flat, F.col("label")).otherwise(F.col("id")).alias("cluster"), F.when(flat, F.col("n")).otherwise(1).alias("members"), "ring")
     judged = table(judged, "judged")
-    hulls = hull_rings(judged.select("cluster", F.explode("ring").alias("p")).select("cluster", "p.x", "p.y", "p.z"), "cluster")
-    out = with_centre(hulls.where(F.size("ring") > 2))
+    found = hull_rings(judged.select("cluster", F.explode("ring").alias("p")).select("cluster", "p.x", "p.y", "p.z"), "cluster")
+    out = with_centre(found.where(F.size("ring") > 2))
     return out.join(judged.groupBy("cluster").agg(F.max("members").alias("members")), "cluster").select("cluster", "members", "ring", "cx", "cy", "cz")

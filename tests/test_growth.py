@@ -3,10 +3,12 @@
 import random
 from math import ceil, cos, floor, hypot, pi, sin
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import scalars
-from geoloom.operators import batch, fields, geometry, junctions, mesh, network, projected, routes, shared
+from geoloom.operators import batch, clusters, fields, geometry, junctions, mesh, network, polylines, projected, routes, shared
 from geoloom.plans import registry
 from geoloom.sources import records, text_grids
 
@@ -239,3 +241,44 @@ def test_stripped_triangles_meet_their_vertices_once(spark):
         assert sorted(r["ti"] for r in kept.collect()) == left and kept.columns == t.columns
     plan = registry.queries()["stripped_triangles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 6 and plan.count("broadcast") == 3  # three corners, each with its terrain, which is sent
+
+
+def plain_hull(p):
+    """Andrew's chains over the points of one line, one after another."""
+    p = p[np.lexsort((-p[:, 2], p[:, 1], p[:, 0]))]
+    p = p[np.concatenate([[True], (p[1:, :2] != p[:-1, :2]).any(axis=1)])]
+    halves = []
+    for points in (p, p[::-1]):
+        half = []
+        for q in points:
+            while len(half) > 1 and (half[-1][0] - half[-2][0]) * (q[1] - half[-2][1]) - (half[-1][1] - half[-2][1]) * (q[0] - half[-2][0]) <= 0:
+                half.pop()
+            half.append(q)
+        halves += half[:-1]
+    return np.array(halves) if len(p) > 2 else p
+
+
+@pytest.mark.parametrize("side_by_side", [2, 8, 64])
+def test_hulls_of_many_lines_at_once(monkeypatch, side_by_side):
+    monkeypatch.setattr(polylines, "SIDE_BY_SIDE", side_by_side)
+    rng = np.random.default_rng(12)
+    lines = [np.column_stack([rng.integers(0, most, (k, 2)), rng.integers(0, 5, k)]).astype(float) for k in (1, 2, 3, 4, 5, 9, 33, 64, 65, 200, 1) for most in (1, 2, 4, 30, 1000)]
+    lines += [np.column_stack([np.arange(7.0), np.arange(7.0), np.zeros(7)]), rng.normal(size=(50, 3))]
+    p, n = np.concatenate(lines), np.array([len(line) for line in lines])
+    at, counts = polylines.hulls(p[:, 0], p[:, 1], n, p[:, 2])
+    for got, line in zip(np.split(p[at], np.cumsum(counts)[:-1]), lines):
+        assert got.tolist() == plain_hull(line).tolist()
+
+
+def test_hulls_take_no_call_a_key(spark, monkeypatch, capsys):
+    """The points of thousands of keys travel in batches, not in calls a key; a key that goes on in the next batch stays whole."""
+    monkeypatch.setattr(clusters, "PART", 9_000)
+    k = F.col("id")
+    points = spark.range(60_000).select((F.when(k < 30_000, k % 6_000).otherwise(-1 - k % 2)).alias("k"), (k * 37 % 101).cast("double").alias("x"), (k * 53 % 97).cast("double").alias("y"), (k % 7).cast("double").alias("z"))
+    found = clusters.hull_rings(points, "k")
+    found.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out
+    got = {r["k"]: [tuple(q) for q in r["ring"]] for r in found.collect()}
+    rows = points.toPandas()
+    want = {key: [tuple(q) for q in plain_hull(g[["x", "y", "z"]].to_numpy()).tolist()] for key, g in rows.groupby("k")}
+    assert got == want
