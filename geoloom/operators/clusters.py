@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .network import components
 from .polylines import hulls, starts_of, whole_groups
-from .shared import hot_keys, join_hot, table
+from .shared import by_shuffle, hot_keys, join_hot, table
 
 # fixed values: least arms of a junction, corners nearer than this are one, distance of centres and slack of boxes that make
 # a cluster, heights that a cluster may span
@@ -65,14 +65,15 @@ def overlaps(boxes: DataFrame, side: float = SIDE) -> DataFrame:
         x, y = F.col("qx") * side, F.col("qy") * side
         covers = (F.col("x0") <= x) & (F.col("y0") <= y) & (F.col("x1") >= x + side) & (F.col("y1") >= y + side)
         squares = table(here.groupBy("qx", "qy").agg(F.count("*").alias("n"), F.min(F.when(covers, F.col("id"))).alias("cover")).where("n > 1"), "squares")
-        held = table(join_hot(here, squares, ["qx", "qy"], hot_keys(squares, ["qx", "qy"], here.count())), "held")
+        size = here.count()
+        held = table(join_hot(here, squares, ["qx", "qy"], hot_keys(squares, ["qx", "qy"], size), size=size), "held")
         found.append(held.where("cover is not null and id != cover").select(F.col("id").alias("a"), F.col("cover").alias("b")))
         open_ = held.where("cover is null")
         # quartering squares below a millimetre would only follow edges that touch
         pairs = open_ if side < 1e-3 else open_.where(F.col("n") <= FEW)
         a, b = (pairs.select("qx", "qy", *[F.col(c).alias(p + c) for c in ("id", "x0", "y0", "x1", "y1")]) for p in "ab")
         meet = (F.col("aid") < F.col("bid")) & (F.col("ax0") <= F.col("bx1")) & (F.col("bx0") <= F.col("ax1")) & (F.col("ay0") <= F.col("by1")) & (F.col("by0") <= F.col("ay1"))
-        found.append(a.join(b, ["qx", "qy"]).where(meet).select(F.col("aid").alias("a"), F.col("bid").alias("b")))
+        found.append(a.join(by_shuffle(b, size), ["qx", "qy"]).where(meet).select(F.col("aid").alias("a"), F.col("bid").alias("b")))
         full = open_.where(F.col("n") > FEW)
         if side < 1e-3 or not full.limit(1).count():
             break
@@ -90,18 +91,20 @@ def within(points: DataFrame, reach: float = REACH) -> DataFrame:
     points = table(points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "points")
     # points of one place are one; a square's diagonal is within the reach
     places = table(points.groupBy("x", "y").agg(F.min("id").alias("first"), F.count("*").alias("n")), "places")
-    hot = hot_keys(places, ["x", "y"], points.count())
-    links = [join_hot(points, places.drop("n"), ["x", "y"], hot).where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))]
+    size = points.count()
+    hot = hot_keys(places, ["x", "y"], size)
+    links = [join_hot(points, places.drop("n"), ["x", "y"], hot, size=size).where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))]
     places, side = places.select(F.col("first").alias("id"), "x", "y"), reach / 2**0.5 * (1 - 1e-9)
     square = lambda s: [F.floor(F.col("x") / s).cast("long").alias("qx"), F.floor(F.col("y") / s).cast("long").alias("qy")]
     dealt = places.select("*", *square(side))
     cells = table(dealt.groupBy("qx", "qy").agg(F.count("*").alias("n"), F.min("id").alias("least")), "cells")
-    stars = join_hot(dealt, cells.drop("n"), ["qx", "qy"], hot_keys(cells, ["qx", "qy"], places.count()))
+    size = places.count()
+    stars = join_hot(dealt, cells.drop("n"), ["qx", "qy"], hot_keys(cells, ["qx", "qy"], size), size=size)
     links.append(stars.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")))
     half = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
     step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in half]))
     near = cells.select("qx", "qy", "n", "least", step.alias("s")).select("qx", "qy", "n", "least", (F.col("qx") + F.col("s.i")).alias("rx"), (F.col("qy") + F.col("s.j")).alias("ry"))
-    pairs = near.join(cells.select(F.col("qx").alias("rx"), F.col("qy").alias("ry"), F.col("n").alias("m"), F.col("least").alias("other")), ["rx", "ry"])
+    pairs = near.join(by_shuffle(cells.select(F.col("qx").alias("rx"), F.col("qy").alias("ry"), F.col("n").alias("m"), F.col("least").alias("other")), size), ["rx", "ry"])
     while True:
         gap = lambda p, q: F.greatest(F.abs(F.col(p) - F.col(q)) - 1, F.lit(0)) * side  # noqa: E731, B023
         span = lambda p, q: (F.abs(F.col(p) - F.col(q)) + 1) * side  # noqa: E731, B023
@@ -111,10 +114,10 @@ def within(points: DataFrame, reach: float = REACH) -> DataFrame:
         links.append(judged.where(sure).select(F.col("least").alias("a"), F.col("other").alias("b")))
         few = judged.where(~sure & (F.col("n") * F.col("m") <= FEW * FEW))
         dealt = places.select("*", *square(side))
-        one = few.join(dealt, ["qx", "qy"]).select("qx", "qy", "rx", "ry", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+        one = few.join(by_shuffle(dealt, size), ["qx", "qy"]).select("qx", "qy", "rx", "ry", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
         two = dealt.select(F.col("qx").alias("rx"), F.col("qy").alias("ry"), F.col("id").alias("b"), "x", "y")
         d2 = (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y"))
-        links.append(one.join(two, ["rx", "ry"]).where(d2 <= reach * reach).select("a", "b"))
+        links.append(one.join(by_shuffle(two, size), ["rx", "ry"]).where(d2 <= reach * reach).select("a", "b"))
         full = judged.where(~sure & (F.col("n") * F.col("m") > FEW * FEW))
         if not full.limit(1).count():
             break
@@ -124,7 +127,7 @@ def within(points: DataFrame, reach: float = REACH) -> DataFrame:
         up = lambda c: F.floor(F.col(c) / 2).cast("long")
         mine = parts.select(up("qx").alias("qx"), up("qy").alias("qy"), F.col("qx").alias("ax"), F.col("qy").alias("ay"), F.col("n").alias("an"), F.col("least").alias("al"))
         other = parts.select(up("qx").alias("rx"), up("qy").alias("ry"), F.col("qx").alias("bx"), F.col("qy").alias("by"), F.col("n").alias("bn"), F.col("least").alias("bl"))
-        both = full.select("qx", "qy", "rx", "ry").join(mine, ["qx", "qy"]).join(other, ["rx", "ry"])
+        both = full.select("qx", "qy", "rx", "ry").join(by_shuffle(mine, size), ["qx", "qy"]).join(by_shuffle(other, size), ["rx", "ry"])
         pairs = both.select(F.col("ax").alias("qx"), F.col("ay").alias("qy"), F.col("bx").alias("rx"), F.col("by").alias("ry"), F.col("an").alias("n"), F.col("bn").alias("m"), F.col("al").alias("least"), F.col("bl").alias("other"))
     whole = links[0]
     for more in links[1:]:
@@ -181,12 +184,13 @@ def clustered(rings: DataFrame, reach: float = REACH, slack: float = SLACK, most
     links = overlaps(boxes).union(within(rings.select("id", F.col("cx").alias("x"), F.col("cy").alias("y")), reach))
     labels = table(components(links).withColumnRenamed("node", "id"), "labels")
     heights = rings.select("id", F.array_min(F.transform("ring", lambda p: p["z"])).alias("z0"), F.array_max(F.transform("ring", lambda p: p["z"])).alias("z1"), "ring")
-    own = table(heights.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "own")
+    size = rings.count()
+    own = table(heights.join(by_shuffle(labels, size), "id", "left").withColumn("label", F.coalesce("label", "id")), "own")
     spans = table(own.groupBy("label").agg(F.min("z0").alias("lo"), F.max("z1").alias("hi"), F.count("*").alias("n")), "spans")
-    judged = join_hot(own, spans, ["label"], hot_keys(spans, ["label"], own.count()))
+    judged = join_hot(own, spans, ["label"], hot_keys(spans, ["label"], size), size=size)
     flat = F.col("hi") - F.col("lo") <= most_z
     judged = judged.select("id", F.when(flat, F.col("label")).otherwise(F.col("id")).alias("cluster"), F.when(flat, F.col("n")).otherwise(1).alias("members"), "ring")
     judged = table(judged, "judged")
     found = hull_rings(judged.select("cluster", F.explode("ring").alias("p")).select("cluster", "p.x", "p.y", "p.z"), "cluster")
     out = with_centre(found.where(F.size("ring") > 2))
-    return out.join(judged.groupBy("cluster").agg(F.max("members").alias("members")), "cluster").select("cluster", "members", "ring", "cx", "cy", "cz")
+    return out.join(by_shuffle(judged.groupBy("cluster").agg(F.max("members").alias("members")), size), "cluster").select("cluster", "members", "ring", "cx", "cy", "cz")

@@ -10,7 +10,7 @@ from geoloom.functions.frames import grown_polygon
 
 from .clusters import hull_rings, with_centre
 from .network import nearest_of_all, spread_labels
-from .shared import table
+from .shared import by_shuffle, table
 
 # fixed values: least area of a gap in square metres, metres that a patch reaches under the roads, heights that its roads may span,
 # its reach for road ends in half diagonals, roads that have to end there
@@ -50,12 +50,13 @@ def patches(cells: DataFrame) -> DataFrame:
     place = F.col("px") - F.row_number().over(Window.partitionBy("py", "block").orderBy("px"))
     runs = cells.withColumn("place", place).groupBy("py", "block", "place").agg(F.min("px").alias("x0"), F.max("px").alias("x1"))
     runs = table(runs.select("py", "block", "x0", "x1", (F.col("py") * F.lit(2**32) + F.col("x0") + F.lit(2**31)).alias("run")), "runs")
+    size = runs.count()
     below = runs.select((F.col("py") - 1).alias("py"), "block", F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("run").alias("other"))
-    down = runs.join(below, ["py", "block"]).where("u0 <= x1 and x0 <= u1").select(F.col("run").alias("a"), F.col("other").alias("b"))
+    down = runs.join(by_shuffle(below, size), ["py", "block"]).where("u0 <= x1 and x0 <= u1").select(F.col("run").alias("a"), F.col("other").alias("b"))
     ahead = runs.select("py", (F.col("block") - 1).alias("block"), (F.col("x0") - 1).alias("x1"), F.col("run").alias("other"))
-    on = runs.join(ahead, ["py", "block", "x1"]).select(F.col("run").alias("a"), F.col("other").alias("b"))
+    on = runs.join(by_shuffle(ahead, size), ["py", "block", "x1"]).select(F.col("run").alias("a"), F.col("other").alias("b"))
     labels = spread_labels(runs.select(F.col("run").alias("node")), table(down.union(on), "links"))
-    return runs.join(labels.withColumnRenamed("node", "run"), "run").select("py", "x0", "x1", F.col("label").alias("patch"))
+    return runs.join(by_shuffle(labels.withColumnRenamed("node", "run"), size), "run").select("py", "x0", "x1", F.col("label").alias("patch"))
 
 
 def gap_junctions(reference: DataFrame, coverage: DataFrame, ends: DataFrame, nodes: DataFrame, cell: float, widest: float) -> DataFrame:
@@ -64,8 +65,10 @@ def gap_junctions(reference: DataFrame, coverage: DataFrame, ends: DataFrame, no
 
     A gap is a patch of reference cells that coverage leaves, of LEAST_AREA at least, with the ends of LEAST_ROADS roads near its middle
     - within half its box's diagonal or `widest`, times NEAR - which span no more than MOST_Z in height.  Its polygon is the hull of
-    its cells' middles, OUTSET metres wider, each point at the height of the nearest node (ties: least target)."""
-    holes = reference.select("px", "py").distinct().join(coverage.select("px", "py").distinct(), ["px", "py"], "left_anti")
+    its cells' middles, OUTSET metres wider, each point at the height of the nearest node (ties: least target).
+
+    Cells, ends and nodes, which may be many more than the files they come from let expect, are joined by shuffle."""
+    holes = reference.select("px", "py").distinct().join(coverage.select("px", "py").distinct().hint("merge"), ["px", "py"], "left_anti")
     runs = table(patches(holes), "patches")
     n = F.col("x1") - F.col("x0") + 1
     least = max(1, int(LEAST_AREA / cell / cell + 0.5))
@@ -77,16 +80,17 @@ def gap_junctions(reference: DataFrame, coverage: DataFrame, ends: DataFrame, no
     asked = of.withColumn("qx", at("mx")).withColumn("qy", at("my"))
     here = ends.select("seg", F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("z").alias("ez"), F.floor(F.col("x") / SQUARE).cast("long").alias("qx"), F.floor(F.col("y") / SQUARE).cast("long").alias("qy"))
     dx, dy = F.col("ex") - F.col("mx"), F.col("ey") - F.col("my")
-    near = asked.join(here, ["qx", "qy"]).where(dx * dx + dy * dy <= F.col("reach") * F.col("reach"))
+    near = asked.join(here.hint("merge"), ["qx", "qy"]).where(dx * dx + dy * dy <= F.col("reach") * F.col("reach"))
     flat = near.groupBy("patch").agg(F.count_distinct("seg").alias("roads"), (F.max("ez") - F.min("ez")).alias("span")).where((F.col("roads") >= LEAST_ROADS) & (F.col("span") <= MOST_Z))
-    kept = table(of.join(flat.select("patch"), "patch", "left_semi").select("patch", "cells"), "kept")
+    kept = table(of.join(by_shuffle(flat.select("patch"), of.count()), "patch", "left_semi").select("patch", "cells"), "kept")
+    size = kept.count()
     middle = lambda c: ((F.col(c) + 0.5) * cell).alias("x")
-    edge = runs.join(kept.select("patch"), "patch", "left_semi")
+    edge = runs.join(by_shuffle(kept.select("patch"), size), "patch", "left_semi")
     points = edge.select("patch", middle("x0"), ((F.col("py") + 0.5) * cell).alias("y"), F.lit(0.0).alias("z")).union(edge.select("patch", middle("x1"), ((F.col("py") + 0.5) * cell).alias("y"), F.lit(0.0).alias("z")))
     hulls = hull_rings(points, "patch").where(F.size("ring") > 2)
     corners = table(hulls.select("patch", F.posexplode(grown_polygon(F.transform("ring", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))), OUTSET)).alias("i", "p")).select("patch", "i", "p.x", "p.y", F.monotonically_increasing_id().alias("id")), "corners")
     heights = nodes.select("target", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("z"))
-    found = nearest_of_all(corners.select("id", "x", "y"), heights.select("target", "tx", "ty"), 8.0).join(heights.select("target", "z"), "target")
-    rings = corners.join(found.select("id", "z"), "id").groupBy("patch").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y", "z"))).alias("r"))
+    found = nearest_of_all(corners.select("id", "x", "y"), heights.select("target", "tx", "ty"), 8.0).join(heights.select("target", "z").hint("merge"), "target")
+    rings = corners.join(by_shuffle(found.select("id", "z"), corners.count()), "id").groupBy("patch").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y", "z"))).alias("r"))
     out = with_centre(rings.select("patch", F.transform("r", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))).alias("ring")))
-    return out.join(kept, "patch").select("patch", "cells", "ring", "cx", "cy", "cz")
+    return out.join(by_shuffle(kept, size), "patch").select("patch", "cells", "ring", "cx", "cy", "cz")

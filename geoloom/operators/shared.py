@@ -76,14 +76,21 @@ def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None
     return found if found.limit(1).count() else None
 
 
-def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+def by_shuffle(side: DataFrame, size: int) -> DataFrame:
+    """A side of `size` rows at most, for a join by shuffle if these are more than PART_ROWS: compressed files of a few MB look small enough to be sent
+    through the driver, whatever they hold."""
+    return side.hint("merge") if size > PART_ROWS else side
+
+
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner", size: int = 0) -> DataFrame:
     """rows joined with side (one row a key, no null keys).  The side's rows of hot keys, fewer than HOT_SHARE, are sent to
-    where the rows are; only the rows of other keys are shuffled, so no key gathers its rows in one task."""
+    where the rows are; only the rows of other keys are shuffled, so no key gathers its rows in one task.  size: the most rows that the side
+    may have, as in by_shuffle; without it Spark goes by the size of the files."""
     if hot is None:
-        return rows.join(side, keys, how)
+        return rows.join(by_shuffle(side, size), keys, how)
     hot = F.broadcast(hot)
     sent = F.broadcast(side.join(hot, keys, "left_semi"))
-    return rows.join(hot, keys, "left_semi").join(sent, keys, how).unionByName(rows.join(hot, keys, "left_anti").join(side, keys, how))
+    return rows.join(hot, keys, "left_semi").join(sent, keys, how).unionByName(rows.join(hot, keys, "left_anti").join(by_shuffle(side, size), keys, how))
 
 
 def join_salted(rows: DataFrame, side: DataFrame, key: str, by: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import scalars
-from geoloom.operators import batch, clusters, fields, geometry, junctions, mesh, network, polylines, projected, routes, shared
+from geoloom.operators import batch, clusters, fields, gaps, geometry, junctions, mesh, network, polylines, projected, routes, shared
 from geoloom.plans import registry
 from geoloom.sources import records, text_grids
 
@@ -282,3 +282,19 @@ def test_hulls_take_no_call_a_key(spark, monkeypatch, capsys):
     rows = points.toPandas()
     want = {key: [tuple(q) for q in plain_hull(g[["x", "y", "z"]].to_numpy()).tolist()] for key, g in rows.groupby("k")}
     assert got == want
+
+
+def test_sides_of_many_rows_are_not_sent(spark, monkeypatch, capsys):
+    """Written tables of many rows are joined by shuffle, however small their files."""
+    monkeypatch.setattr(shared, "PART_ROWS", 50)
+    rng = random.Random(4)
+    cells = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(1500)], "px int, py int")
+    points = spark.createDataFrame([(i, rng.random() * 900, rng.random() * 900) for i in range(800)], "id int, x double, y double")
+    links = clusters.within(points)
+    targets = points.select(F.col("id").alias("target"), F.col("y").alias("tx"), F.col("x").alias("ty"))
+    for found in (gaps.patches(cells), links, network.components(links), network.spread_labels(points.select(F.col("id").alias("node")), links), network.nearest(points, targets, 500.0)):
+        capsys.readouterr()
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "Join" in plan and "Broadcast" not in plan
+    assert network.nearest(points, targets, 2000.0).count() == 800
