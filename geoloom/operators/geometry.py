@@ -3,13 +3,17 @@ resampling by arc length, smoothing and hulls."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.scalars import clamp
 
+from . import polylines
+
 
 def _next(ring: Column) -> Column:
     """The ring's points moved on by one, the first at the end."""
@@ -168,60 +172,32 @@ def decimated(points: DataFrame, least: float) -> DataFrame:
     return p.select("line", F.explode(kept).alias("q")).select("line", "q.idx", "q.x", "q.y")
 
 
-def _per_line(points: DataFrame, f) -> DataFrame:
-    """f on each line's points as an array (n, 2), to kept or made points in order.  Lines travel to Python
-    many at a time; one line has to fit in memory."""
+def _per_line(points: DataFrame, f: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """line, idx, x, y of the points that f keeps of each line, in its order: f(x, y, n) takes the points of many lines, n of each in turn, and gives
+    positions of points and how many each line has.  Lines travel to Python many at a time, as arrays; one line has to fit in memory."""
 
-    @F.pandas_udf("array<struct<x:double,y:double>>")
-    def run(lines: pd.Series) -> pd.Series:
-        done = (f(np.array([(p["x"], p["y"]) for p in line], float)) for line in lines)
-        return pd.Series([[{"x": float(x), "y": float(y)} for x, y in out] for out in done])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column("p")
+            flat = p.flatten()
+            x, y = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in "xy")
+            at, n = f(x, y, p.value_lengths().to_numpy())
+            line = batch.column("line").take(pa.array(np.repeat(np.arange(len(n)), n)))
+            idx = np.arange(len(at)) - np.repeat(polylines.starts_of(n), n)
+            yield pa.RecordBatch.from_arrays([line, pa.array(idx, pa.int32()), pa.array(x[at]), pa.array(y[at])], names=["line", "idx", "x", "y"])
 
     whole = points.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("idx", "x", "y"))).alias("p"))
-    out = whole.select("line", run("p").alias("q"))
-    return out.select("line", F.posexplode("q").alias("idx", "p")).select("line", "idx", "p.x", "p.y")
+    return whole.mapInArrow(run, f"line {dict(points.dtypes)['line']}, idx int, x double, y double")
 
 
 def simplify(points: DataFrame, tolerance: float) -> DataFrame:
     """Douglas-Peucker: ends and the points farthest from chords, until none is beyond the tolerance."""
-
-    def dp(p: np.ndarray) -> np.ndarray:
-        keep, todo = {0, len(p) - 1}, [(0, len(p) - 1)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2:
-                continue
-            d, chord = p[a + 1 : b] - p[a], p[b] - p[a]
-            size = float(chord @ chord)
-            t = np.clip(d @ chord / size, 0, 1) if size else np.zeros(len(d))
-            away = np.hypot(*(d - t[:, None] * chord).T)
-            i = int(away.argmax())
-            if away[i] > tolerance:
-                keep.add(a + 1 + i)
-                todo += [(a, a + 1 + i), (a + 1 + i, b)]
-        return p[sorted(keep)]
-
-    return _per_line(points, dp)
+    return _per_line(points, lambda x, y, n: polylines.simplified(x, y, n, tolerance))
 
 
 def hull(points: DataFrame) -> DataFrame:
     """Convex hull of each line's points, counter-clockwise from the leftmost (Andrew's chains)."""
-
-    def chain(p: np.ndarray) -> np.ndarray:
-        p = np.unique(p, axis=0)
-        if len(p) < 3:
-            return p
-        halves = []
-        for pts in (p, p[::-1]):
-            half: list[np.ndarray] = []
-            for q in pts:
-                while len(half) > 1 and (half[-1][0] - half[-2][0]) * (q[1] - half[-2][1]) - (half[-1][1] - half[-2][1]) * (q[0] - half[-2][0]) <= 0:
-                    half.pop()
-                half.append(q)
-            halves.append(half[:-1])
-        return np.array(halves[0] + halves[1])
-
-    return _per_line(points, chain)
+    return _per_line(points, lambda x, y, n: polylines.hulls(x, y, n))
 
 
 def rasterized_segments(segs: DataFrame, size: int) -> DataFrame:
