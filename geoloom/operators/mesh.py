@@ -65,18 +65,33 @@ def welded(vertices: DataFrame, triangles: DataFrame, cell: float = 1.0) -> Data
 
 
 def in_corridor(triangles: DataFrame, vertices: DataFrame, route: DataFrame, half_width: float) -> DataFrame:
-    """Triangles whose centroid lies within half_width of a route (seg, ax, az, bx, bz)."""
+    """Triangles whose centroid lies within half_width of a route (seg, ax, az, bx, bz).  A segment is looked for only from the squares that are
+    near it, row by row, and a triangle goes on with the first that it meets."""
     from .geometry import segment_distance2
 
     t = corners(triangles, vertices)
     mid = lambda k: (F.col(f"a.{k}") + F.col(f"b.{k}") + F.col(f"c.{k}")) / 3
-    t = t.select("mesh", "ti", mid("x").alias("px"), mid("z").alias("pz"))
-    t = t.withColumn("gx", F.floor(F.col("px") / half_width)).withColumn("gz", F.floor(F.col("pz") / half_width))
-    reach = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - half_width) / half_width), F.floor((F.greatest(a, b) + half_width) / half_width)))
-    r = route.withColumn("gx", reach("ax", "bx")).withColumn("gz", reach("az", "bz"))
-    d2 = segment_distance2(*[F.col(c) for c in ("px", "pz", "ax", "az", "bx", "bz")])
-    near = t.join(r, ["gx", "gz"]).where(d2 <= half_width * half_width).select("mesh", "ti").distinct()
-    return triangles.join(near, ["mesh", "ti"], "left_semi")
+    t = t.select(*triangles.columns, mid("x").alias("_px"), mid("z").alias("_pz"))
+    square = lambda c: F.floor(F.col(c) / half_width).cast("long")
+    t = t.withColumn("_gx", square("_px")).withColumn("_gz", square("_pz"))
+    ends = [F.col(c).cast("double") for c in ("ax", "az", "bx", "bz")]
+    r = table(near_squares(route.select(*[c.alias(f"_{n}") for c, n in zip(ends, ("ax", "az", "bx", "bz"))]), half_width), "route")
+    d2 = segment_distance2(*[F.col(f"_{c}") for c in ("px", "pz", "ax", "az", "bx", "bz")])
+    met = (t["_gx"] == r["_rx"]) & (t["_gz"] == r["_rz"]) & (d2 <= half_width * half_width)
+    return t.join(sent_if_small(r), met, "left_semi").select(*triangles.columns)
+
+
+def near_squares(route: DataFrame, side: float) -> DataFrame:
+    """Segments (_ax, _az, _bx, _bz) with _rx, _rz of the squares of `side` that hold any place within `side` of them: in each row of squares those beside
+    the part of the segment that is within `side` of the row."""
+    dx, dz = F.col("_bx") - F.col("_ax"), F.col("_bz") - F.col("_az")
+    span = lambda lo, hi: F.explode(F.sequence(F.floor((lo - side) / side - 1e-6).cast("long"), F.floor((hi + side) / side + 1e-6).cast("long")))
+    rows = route.withColumn("_rz", span(F.least("_az", "_bz"), F.greatest("_az", "_bz")))
+    t0, t1 = (((F.col("_rz") + k) * side - F.col("_az")) / F.nullif(dz, F.lit(0.0)) for k in (-1 - 1e-6, 2 + 1e-6))
+    low, top = F.greatest(F.lit(0.0), F.coalesce(F.least(t0, t1), F.lit(0.0))), F.least(F.lit(1.0), F.coalesce(F.greatest(t0, t1), F.lit(1.0)))
+    rows = rows.withColumn("_t0", low).withColumn("_t1", top).where("_t0 <= _t1")
+    a, b = F.col("_ax") + F.col("_t0") * dx, F.col("_ax") + F.col("_t1") * dx
+    return rows.withColumn("_rx", span(F.least(a, b), F.greatest(a, b))).drop("_t0", "_t1")
 
 
 def compacted(triangles: DataFrame) -> DataFrame:

@@ -298,3 +298,33 @@ def test_sides_of_many_rows_are_not_sent(spark, monkeypatch, capsys):
         plan = capsys.readouterr().out
         assert "Join" in plan and "Broadcast" not in plan
     assert network.nearest(points, targets, 2000.0).count() == 800
+
+
+def test_corridor_meets_segments_by_the_squares_near_them(spark, capsys):
+    rng = np.random.default_rng(5)
+    segs = [*map(tuple, rng.uniform(-40, 40, (30, 4)).round(2).tolist()), (3.0, 3.0, 3.0, 3.0), (-20.0, 7.0, 20.0, 7.0), (7.0, 20.0, 7.0, -20.0), (0.0, 0.0, 4.5, 4.5), (None, 1.0, 2.0, 3.0)]
+    route = spark.createDataFrame(segs, "ax double, az double, bx double, bz double")
+    p = rng.uniform(-45, 45, (9000, 2)).round(2)
+    vertices = spark.createDataFrame([(i // 3000, i, float(x), 0.0, float(z)) for i, (x, z) in enumerate((p + rng.uniform(-1, 1, p.shape)).tolist())], "mesh int, vi int, x double, y double, z double")
+    triangles = spark.createDataFrame([(i // 3000, i, i, i + 1, i + 2) for i in range(0, 9000, 3)], "mesh int, ti int, i0 int, i1 int, i2 int")
+    at = {(r["mesh"], r["vi"]): (r["x"], r["z"]) for r in vertices.collect()}
+    for half in (0.45, 3.0):
+        want = set()
+        for i in range(0, 9000, 3):
+            px, pz = ((at[i // 3000, i][k] + at[i // 3000, i + 1][k] + at[i // 3000, i + 2][k]) / 3 for k in (0, 1))
+            for ax, az, bx, bz in segs[:-1]:
+                dx, dz = bx - ax, bz - az
+                t = max(0.0, min(1.0, ((px - ax) * dx + (pz - az) * dz) / (dx * dx + dz * dz))) if dx or dz else 0.0
+                if (px - ax - dx * t) ** 2 + (pz - az - dz * t) ** 2 <= half * half:
+                    want.add((i // 3000, i))
+        found = mesh.in_corridor(triangles, vertices, route, half)
+        capsys.readouterr()
+        found.explain()
+        plan = capsys.readouterr().out
+        # no triangle is kept once a segment and made one again
+        assert "LeftSemi" in plan and "Aggregate" not in plan and found.columns == triangles.columns
+        got = [(r["mesh"], r["ti"]) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want)
+    # of a long way across the squares near it, not those of the box around it
+    long = spark.createDataFrame([(0.0, 0.0, 900.0, 900.0)], "_ax double, _az double, _bx double, _bz double")
+    assert mesh.near_squares(long, 1.0).count() < 10 * 900
