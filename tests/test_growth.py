@@ -3,6 +3,7 @@
 import random
 from math import ceil, cos, floor, hypot, pi, sin
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,23 @@ def test_remaining_time_adds_in_order(spark, tmp_path):
     assert [r["left_ms"] for r in registry.queries()["remaining_time"](spark, str(tmp_path)).collect()] == [3]
 
 
+def test_remaining_time_adds_rows_as_they_lie(spark, tmp_path):
+    draw = random.Random(4)
+    halves = [(j, draw.randrange(10**5, 4 * 10**7) / 100) for j in range(4000) for _ in range(6)]
+    # the keys run against the rows, and the second file begins within jobs
+    rows = [(len(halves) - i, j, "F", ms) for i, (j, ms) in enumerate(halves)] + [(-1, j, "O", 1.0) for j in range(4000) for _ in range(3)]
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double"
+    for name, part in (("a", rows[1::2]), ("b", rows[::2])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        (tmp_path / "orders.parquet").mkdir(exist_ok=True)
+        next((tmp_path / name).glob("*.parquet")).rename(tmp_path / "orders.parquet" / f"{name}.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"SET threads = 1; CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = dict(duck.execute(registry.oracle_sql()["remaining_time"]).fetchall())
+    got = {r["job"]: r["left_ms"] for r in registry.queries()["remaining_time"](spark, str(tmp_path)).collect()}
+    assert {j: (want[j], got.get(j)) for j in want if want[j] != got.get(j)} == {}
+
+
 def test_area_masks_by_bands(spark, monkeypatch):
     draw = random.Random(5)
     point = lambda x, y: {"x": x, "y": y}
