@@ -67,12 +67,24 @@ def ribbon_triangles(points: DataFrame) -> DataFrame:
     return p.select("line", "idx", both).select("line", (F.col("idx") * 2 + F.col("t.k")).alias("ti"), "t.i0", "t.i1", "t.i2")
 
 
-def along(points: DataFrame, spacing: float) -> DataFrame:
-    """line, idx, k, x, y: points at most `spacing` apart on each stretch of lines, both ends included."""
+#: Stretches of one part where they are dealt by their steps: some millions of points.
+STRETCHES = 62_500
+
+
+def along(points: DataFrame, spacing: float, parts: int | None = None) -> DataFrame:
+    """line, idx, k, x, y: points at most `spacing` apart on each stretch of lines, both ends included.
+
+    With `parts` stretches are dealt in so many parts by their number of steps, and the first points of a part's stretches come before the rest.  Between
+    whole places, stretches of as many steps have few coordinates, which then fill a part's files over and over and are written as numbers of these instead
+    of doubles.  The points are the same in any case."""
     w = Window.partitionBy("line").orderBy("idx")
     s = points.select("line", "idx", "x", "y", F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by")).where("bx is not null")
     d = F.sqrt((F.col("bx") - F.col("x")) * (F.col("bx") - F.col("x")) + (F.col("by") - F.col("y")) * (F.col("by") - F.col("y")))
-    s = s.withColumn("n", F.greatest(F.lit(1), F.floor(d / spacing)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    s = s.withColumn("n", F.greatest(F.lit(1), F.floor(d / spacing)).cast("int"))
+    if parts:
+        first, rest = (F.struct(a.alias("a"), b.alias("b")) for a, b in ((F.lit(0), F.lit(0)), (F.lit(1), F.col("n"))))
+        s = s.repartitionByRange(parts, "n", "line").withColumn("ks", F.explode(F.array(first, rest))).sortWithinPartitions(F.col("ks.a") * F.col("n"))
+    s = s.withColumn("k", F.explode(F.sequence("ks.a", "ks.b") if parts else F.sequence(F.lit(0), F.col("n"))))
     t = F.col("k") / F.col("n")
     return s.select("line", "idx", "k", (F.col("x") + (F.col("bx") - F.col("x")) * t).alias("x"), (F.col("y") + (F.col("by") - F.col("y")) * t).alias("y"))
 

@@ -52,10 +52,10 @@ def clear(spark: SparkSession) -> None:
 PART_ROWS = 250_000
 
 
-def parts_of(df: DataFrame) -> int | None:
-    """The parts of about PART_ROWS rows by which to deal a table (best as it is read, so that only its footers are counted); None if the
-    cores together hold no more anyway."""
-    parts = df.count() // PART_ROWS
+def parts_of(df: DataFrame, rows: int = 0) -> int | None:
+    """The parts of about `rows` rows (PART_ROWS, if not given) by which to deal a table (best as it is read, so that only its footers are counted);
+    None if the cores together hold no more anyway."""
+    parts = df.count() // (rows or PART_ROWS)
     return parts if parts > df.sparkSession.sparkContext.defaultParallelism else None
 
 

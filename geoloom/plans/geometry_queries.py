@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.scalars import rounded
 from geoloom.operators import geometry, mesh
+from geoloom.operators.shared import parts_of
 
 from . import registry
 from .views import WAYS, nodes, read, ways
@@ -254,7 +255,8 @@ SELECT line, idx, CAST(k AS INT) AS k, round(x + (bx - x) * k / n, 6) AS x, roun
 def tree_rows(spark, sf):
     from geoloom.operators import shapes
 
-    return shapes.along(lines(spark, sf), 8.0).select("line", "idx", "k", rounded(F.col("x"), 6).alias("x"), rounded(F.col("y"), 6).alias("y"))
+    parts = parts_of(read(spark, sf, "lineitem"), shapes.STRETCHES)
+    return shapes.along(lines(spark, sf), 8.0, parts).select("line", "idx", "k", rounded(F.col("x"), 6).alias("x"), rounded(F.col("y"), 6).alias("y"))
 
 
 @query("walls", f"""

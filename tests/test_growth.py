@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import scalars
-from geoloom.operators import batch, clusters, fields, gaps, geometry, junctions, mesh, network, polylines, projected, routes, shared
-from geoloom.plans import registry
+from geoloom.operators import batch, clusters, fields, gaps, geometry, junctions, mesh, network, polylines, projected, routes, shapes, shared
+from geoloom.plans import geometry_queries, registry
 from geoloom.sources import records, text_grids
 
 
@@ -346,3 +346,25 @@ def test_corridor_meets_segments_by_the_squares_near_them(spark, capsys):
     # of a long way across the squares near it, not those of the box around it
     long = spark.createDataFrame([(0.0, 0.0, 900.0, 900.0)], "_ax double, _az double, _bx double, _bz double")
     assert mesh.near_squares(long, 1.0).count() < 10 * 900
+
+
+def test_many_tree_rows_take_little_disk(spark, monkeypatch, tmp_path):
+    draw, rows = random.Random(6), []
+    for line in range(40_000):  # stretches of one of five numbers of steps between whole places
+        x, y, n = draw.randrange(300), draw.randrange(300), (61, 67, 71, 73, 79)[line % 5]
+        dx = draw.randrange(8 * n)
+        rows += [(line, 0, float(x), float(y)), (line, 1, float(x + dx), float(y + ceil(((8 * n) ** 2 - dx**2) ** 0.5)))]
+    points = spark.createDataFrame(rows, "line long, idx int, x double, y double").coalesce(1)
+    points.write.parquet(f"{tmp_path}/points")
+    points = spark.read.parquet(f"{tmp_path}/points")
+    monkeypatch.setattr(geometry_queries, "lines", lambda spark, sf: points)
+    monkeypatch.setattr(geometry_queries, "read", lambda spark, sf, name: points)
+    written = {}
+    for name, stretches in (("whole", 1 << 40), ("dealt", 16_000)):
+        monkeypatch.setattr(shapes, "STRETCHES", stretches, raising=False)
+        registry.queries()["tree_rows"](spark, "").write.parquet(f"{tmp_path}/{name}")
+        written[name] = sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
+    whole, dealt = (spark.read.parquet(f"{tmp_path}/{name}") for name in written)
+    assert dealt.count() == whole.count() > 1_000_000
+    assert not dealt.exceptAll(whole).limit(1).count() and not whole.exceptAll(dealt).limit(1).count()
+    assert written["dealt"] < 0.75 * written["whole"], written
