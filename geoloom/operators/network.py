@@ -172,22 +172,23 @@ def components(links: DataFrame, write=None) -> DataFrame:
         draw = lambda c, n=len(moves): F.struct(F.xxhash64(c, F.lit(n)).alias("h"), F.col(c).alias("node"))
         degrees = ends.groupBy("a").agg(F.min(draw("b")).alias("near"), F.count("*").alias("n"))
         move = keep(degrees.select(F.col("a").alias("node"), F.least("near", draw("a"))["node"].alias("to"), "n"))
-        hubs, size = hot_keys(move, ["node"], left), move.count()
+        hubs = hot_keys(move, ["node"], left)
         to = move.select("node", "to")
-        first = join_hot(ends.withColumnRenamed("a", "node"), to, ["node"], hubs, size=size).select(F.col("to").alias("a"), F.col("b").alias("node"))
-        ends = keep(join_hot(first, to, ["node"], hubs, size=size).select("a", F.col("to").alias("b")).where("a != b").distinct())
         moves.append(to)
+        to = by_shuffle(to, move.count())
+        first = join_hot(ends.withColumnRenamed("a", "node"), to, ["node"], hubs).select(F.col("to").alias("a"), F.col("b").alias("node"))
+        ends = keep(join_hot(first, to, ["node"], hubs).select("a", F.col("to").alias("b")).where("a != b").distinct())
     if not moves:
         return nodes.select("node", F.col("node").alias("label"))
     root = moves[-1].select("node", F.col("to").alias("root"))
     for to in moves[-2::-1]:
         size = to.count()
         hot = hot_keys(to.groupBy("to").agg(F.count("*").alias("n")), ["to"], size)
-        root = keep(join_hot(to, root.select(F.col("node").alias("to"), "root"), ["to"], hot, "left", size).select("node", F.coalesce("root", "to").alias("root")))
+        root = keep(join_hot(to, by_shuffle(root.select(F.col("node").alias("to"), "root"), size), ["to"], hot, "left").select("node", F.coalesce("root", "to").alias("root")))
     least = root.groupBy("root").agg(F.min("node").alias("label"), F.count("*").alias("n"))
     size = root.count()
     hot = hot_keys(least, ["root"], size)
-    return join_hot(root, least.drop("n"), ["root"], hot, size=size).select("node", "label").union(alone.join(by_shuffle(moves[0], size), alone["a"] == moves[0]["node"], "left_anti").select(F.col("a").alias("node"), F.col("a").alias("label")))
+    return join_hot(root, by_shuffle(least.drop("n"), size), ["root"], hot).select("node", "label").union(alone.join(by_shuffle(moves[0], size), alone["a"] == moves[0]["node"], "left_anti").select(F.col("a").alias("node"), F.col("a").alias("label")))
 
 
 def spread_labels(nodes: DataFrame, links: DataFrame, write=None) -> DataFrame:
@@ -218,25 +219,26 @@ def nearest(points: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
     t = table(targets.where("tx is not null and ty is not null").groupBy("tx", "ty").agg(F.min("target").alias("target")), "places")
     size = t.agg(F.count("*").alias("n"), ((F.max("tx") - F.min("tx")) * (F.max("ty") - F.min("ty"))).alias("area")).first()
     side = (size["area"] / size["n"]) ** 0.5 if size["n"] else 0.0
+    t = by_shuffle(t, size["n"] * 9)  # each is in nine squares
     if not 0.0 < side * 2 < reach:
-        return _nearest(points, t, reach, size["n"])
+        return _nearest(points, t, reach)
     left, found = table(points.select("id", "x", "y"), "left"), []
     while side < reach:
-        found.append(table(_nearest(left, t, side, size["n"]), "nearest"))
+        found.append(table(_nearest(left, t, side), "nearest"))
         left, side = table(left.join(by_shuffle(found[-1].select("id"), found[-1].count()), "id", "left_anti"), "left"), side * 4
         if not left.limit(1).count():
             break
-    return reduce(DataFrame.union, [*found, _nearest(left, t, reach, size["n"])])
+    return reduce(DataFrame.union, [*found, _nearest(left, t, reach)])
 
 
-def _nearest(points: DataFrame, targets: DataFrame, reach: float, size: int) -> DataFrame:
-    """As `nearest`, in one step by squares of `reach`; size: the number of targets, each of which is in nine squares."""
+def _nearest(points: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
+    """As `nearest`, in one step by squares of `reach`."""
     p = points.select("*", F.floor(F.col("x") / reach).cast("long").alias("cx"), F.floor(F.col("y") / reach).cast("long").alias("cy"))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
     t = targets.select("target", "tx", "ty", around)
     t = t.select("target", "tx", "ty", (F.floor(F.col("tx") / reach) + F.col("s.i")).cast("long").alias("cx"), (F.floor(F.col("ty") / reach) + F.col("s.j")).cast("long").alias("cy"))
     d2 = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
-    got = p.join(by_shuffle(t, size * 9), ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach)
+    got = p.join(t, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach)
     return got.groupBy("id").agg(F.min(F.struct("d2", "target")).alias("m")).select("id", "m.target", "m.d2")
 
 
